@@ -97,7 +97,7 @@ def normalize_column_tags(column_tags: DataFrame) -> DataFrame:
 
 
 def _comma_list(c: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_policies(rows: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def parse_allowed_values(text: Column | str) -> Column:
     """``['a', "b"]`` as an array; empty text or ``[]`` means the tag is key-only."""
     c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     items = F.split(F.regexp_replace(c, r"^\[+|\]+$", ""), ",")
-    trimmed = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(trimmed, lambda x: F.regexp_replace(x, "^['\"]+|['\"]+$", ""))
 
 

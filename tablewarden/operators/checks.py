@@ -34,7 +34,6 @@ def hand_out(
     groups = F.filter(F.array("group_name", F.lit(admin_group)), lambda g: g.isNotNull())
     return (
         mapped.select(*units.columns, F.explode(groups).alias("group_name"))
-        .distinct()
         .join(membership.select(F.col("member_email").alias("principal"), "group_name"), "group_name")
         .select("principal", *units.columns)
         .distinct()

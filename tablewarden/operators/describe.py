@@ -50,7 +50,7 @@ def row_filters(dump: DataFrame) -> DataFrame:
     return last.select(
         *KEY,
         _function_fqn(F.col("raw_text")).alias("function_fqn"),
-        F.when(has_args, F.transform(F.split(args, ","), F.trim)).otherwise(F.array().cast("array<string>")).alias("using_columns"),
+        F.when(has_args, F.transform(F.split(args, ","), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>")).alias("using_columns"),
         "raw_text",
     )
 

@@ -1,6 +1,6 @@
 """Queries over the test tables, one or more per operator."""
 
-from workload import enforcement
+from workload import enforcement, metadata
 from workload.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "enforcement"]
+__all__ = ["ORACLE", "QUERIES", "enforcement", "metadata"]
