@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.names import (
-    COLUMN_MASK,
     KEY,
     ROLE_STEM,
     ROW_FILTER,
@@ -16,6 +15,7 @@ from tablewarden.functions.names import (
     principal_text,
     tag_key,
 )
+from tablewarden.sources.store import cut_lineage
 
 # Grant role names.
 GRANT_ROLES = {"ASSIGN": "roles/tagPolicy.assigner", "MANAGE": "roles/tagPolicy.manager"}
@@ -30,21 +30,18 @@ def description_of(function_fqn: Column | str) -> Column:
 
 def tag_requests(planned: DataFrame, team_prefix: str = "") -> DataFrame:
     """One request per filter argument and per masked column of objects to be migrated."""
-    go = planned.where(F.col("decision") == "PROCEED")
-    fields = [*KEY, "column", "role", "function_fqn", "tag_key"]
-    of_filters = (
-        go.where(F.col("object_type") == ROW_FILTER)
-        .select(*KEY, F.explode("using_columns").alias("column"), F.col("source_function").alias("function_fqn"))
-        .withColumn("role", F.lit("row_filter"))
-        .withColumn("tag_key", tag_key("function_fqn", "row_filter", team_prefix))
+    is_filter = F.col("object_type") == ROW_FILTER
+    columns = F.when(is_filter, F.col("using_columns")).otherwise(F.array("masked_column"))
+    key = F.when(is_filter, tag_key("source_function", "row_filter", team_prefix)).otherwise(
+        tag_key("source_function", "mask", team_prefix)
     )
-    of_masks = (
-        go.where(F.col("object_type") == COLUMN_MASK)
-        .select(*KEY, F.col("masked_column").alias("column"), F.col("source_function").alias("function_fqn"))
-        .withColumn("role", F.lit("mask"))
-        .withColumn("tag_key", tag_key("function_fqn", "mask", team_prefix))
+    return planned.where(F.col("decision") == "PROCEED").select(
+        *KEY,
+        F.explode(columns).alias("column"),
+        F.when(is_filter, "row_filter").otherwise("mask").alias("role"),
+        F.col("source_function").alias("function_fqn"),
+        key.alias("tag_key"),
     )
-    return of_filters.select(*fields).unionByName(of_masks.select(*fields))
 
 
 def reusable_tags(column_tags: DataFrame, governed_tags: DataFrame, same_role_only: bool = False) -> DataFrame:
@@ -137,12 +134,14 @@ def resolve_tags(
 
     ``resolution`` is REUSED, MINTED, SKIPPED or KEY_ERROR; the first two carry
     ``tag_key, tag_value, alias`` of the match column, the others only the key
-    that was wanted.
+    that was wanted.  Runs one job: the matched requests go to the shared
+    folder, because four later steps read them.
     """
     if prefer_existing:
         asked = reuse(requests, reusable_tags(column_tags, governed_tags, same_role_only))
     else:
         asked = requests.withColumn("reused", F.lit(None).cast("struct<tag_key:string,tag_value:string>"))
+    asked = cut_lineage(asked)
     to_mint = asked.where(F.col("reused").isNull()).drop("reused")
     errors = key_errors(to_mint, governed_tags).select("tag_key", "error_code")
     fields = [*KEY, "column", "role", "function_fqn"]

@@ -8,6 +8,7 @@ migrations, clashing tags, and missing functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,16 +18,35 @@ from tablewarden.functions import names
 from tablewarden.functions.names import KEY
 from tablewarden.operators.tags import description_of
 from tablewarden.plans.run import GovernanceState
+from tablewarden.sources.store import shared_folder
 
 
 def _text(c: Column) -> Column:
     return c.cast("string")
 
 
+# Derived tables already written by this session: (application, folder, name) -> path.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Frames:
+    """Frames over one folder of test tables.
+
+    Projections of a test table stay lazy.  Tables that take a shuffle to derive
+    are written once per session, as a governance catalog would hold them.
+    """
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        at = (self.spark.sparkContext.applicationId, self.dir, name)
+        if at not in _STORED:
+            path = shared_folder(self.spark)
+            build().write.parquet(path)
+            _STORED[at] = path
+        return self.spark.read.parquet(_STORED[at])
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -142,6 +162,9 @@ class Frames:
 
     @cached_property
     def dump(self) -> DataFrame:
+        return self.stored("dump", self._dump)
+
+    def _dump(self) -> DataFrame:
         """DESCRIBE output: type, filter, mask section, a trap line, and a quoted line after the section."""
         per_mask = self.masks.groupBy(*KEY).agg(
             F.sort_array(F.collect_list(F.struct("position", "column", "function_fqn"))).alias("ms")
@@ -180,6 +203,9 @@ class Frames:
 
     @cached_property
     def functions(self) -> DataFrame:
+        return self.stored("functions", self._functions)
+
+    def _functions(self) -> DataFrame:
         """Distinct functions; some are gone, some cannot be executed."""
         used = self.row_filters.select("tid", "function_fqn").unionByName(self.masks.select("tid", "function_fqn"))
         first = used.groupBy("function_fqn").agg(F.min("tid").alias("first_tid"))
@@ -212,6 +238,9 @@ class Frames:
         return F.when(is_filter, names.tag_key("function_fqn", "row_filter")).otherwise(names.tag_key("function_fqn", "mask"))
 
     def policies(self, scope: str = "TABLE") -> DataFrame:
+        return self.stored(f"policies_{scope}", lambda: self._policies(scope))
+
+    def _policies(self, scope: str) -> DataFrame:
         is_filter = F.col("object_type") == "ROW_FILTER"
         calls = F.when(F.col("tid") % 17 == 0, F.concat("function_fqn", F.lit("_old"))).otherwise(F.col("function_fqn"))
         alias = F.when(is_filter, "mc_region").otherwise(names.match_alias("slot"))
@@ -248,6 +277,9 @@ class Frames:
 
     @cached_property
     def raw_column_tags(self) -> DataFrame:
+        return self.stored("raw_column_tags", self._raw_column_tags)
+
+    def _raw_column_tags(self) -> DataFrame:
         """Tags as listed: '' is a key-only tag."""
         fields = [*KEY, "column", "tag_key", "tag_value"]
         minted = self._migrated().select(
@@ -274,6 +306,9 @@ class Frames:
 
     @cached_property
     def governed_tags(self) -> DataFrame:
+        return self.stored("governed_tags", self._governed_tags)
+
+    def _governed_tags(self) -> DataFrame:
         """Tags made by hand, and minted ones of which some carry another description."""
         none = F.array().cast("array<string>")
         pii = (
