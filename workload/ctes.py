@@ -62,6 +62,7 @@ SELECT 'run-' || CAST(event_id % 7 AS VARCHAR) AS run_id, lpad(CAST(event_id AS
   CASE WHEN event_type IN ('view', 'click') THEN 'ROW_FILTER' ELSE 'COLUMN_MASK' END AS object_type,
   CASE event_type WHEN 'error' THEN 'email' WHEN 'purchase' THEN 'phone' WHEN 'signup' THEN 'ssn' END AS masked_column,
   CASE event_id % 6 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'ABAC_APPLIED' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'ALREADY_MIGRATED' WHEN 4 THEN 'NOT_ELIGIBLE' ELSE 'ROLLED_BACK' END AS status,
+  CASE WHEN event_id % 6 = 2 THEN 'POLICY_VERIFY_FAILED' END AS error_code,
   CASE event_id % 6 WHEN 0 THEN 'FINALIZED' WHEN 1 THEN 'ABAC_APPLIED' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'FINALIZED' ELSE 'NOT_APPLICABLE' END AS migration_phase,
   ts AS completed_at FROM events""",
 }
