@@ -46,7 +46,11 @@ def legacy_objects(row_filters: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def applicable_objects(row_filters: DataFrame, masks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Objects with an old rule, a policy of an earlier run, or both."""
+    """Objects with an old rule, a policy of an earlier run, or both.
+
+    Each side has one row per object, so a union and one aggregation by object
+    bring them together in a single shuffle.
+    """
     found = existing.select(
         *KEY,
         "object_type",
@@ -54,7 +58,13 @@ def applicable_objects(row_filters: DataFrame, masks: DataFrame, existing: DataF
         F.col("policy_name").alias("existing_name"),
         F.col("function_fqn").alias("existing_function"),
     )
-    return legacy_objects(row_filters, masks).join(found, OBJECT, "full_outer")
+    sides = legacy_objects(row_filters, masks).unionByName(found, allowMissingColumns=True)
+    return sides.groupBy(*OBJECT).agg(
+        *[
+            F.first(c, ignorenulls=True).alias(c)
+            for c in ("legacy_function", "using_columns", "position", "existing_name", "existing_function")
+        ]
+    )
 
 
 def policy_name(scope: str, team_prefix: str = "", function: str = "legacy_function") -> Column:

@@ -74,13 +74,10 @@ def column_masks(dump: DataFrame) -> DataFrame:
 
     in_chunk = Window.partitionBy(*KEY, "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (
-        lines.where(F.col("opens").isNotNull())
-        .groupBy(*KEY, "chunk")
-        .agg(F.max_by("opens", "pos").alias("last_opens"))
+    ends = lines.groupBy(*KEY, "chunk").agg(
+        F.max_by("opens", F.when(F.col("opens").isNotNull(), F.col("pos"))).alias("last_opens")
     )
-    chunks = lines.select(*KEY, "chunk").distinct().join(ends, [*KEY, "chunk"], "left")
-    carried = chunks.withColumn("carried", F.last("last_opens", ignorenulls=True).over(earlier)).drop("last_opens")
+    carried = ends.withColumn("carried", F.last("last_opens", ignorenulls=True).over(earlier)).drop("last_opens")
     return (
         lines.withColumn("local", F.last("opens", ignorenulls=True).over(in_chunk))
         .where(F.col("opens").isNull())

@@ -84,49 +84,25 @@ def binds(scoping: Scoping, who: Who) -> bool:
     return who.is_any(scoping.to, EVERYONE)
 
 
-def binding_pairs(policies: DataFrame, membership: DataFrame, principals: DataFrame) -> DataFrame:
-    """For many principals: how many policies bind each one, TO and EXCEPT applied.
+def policies_binding(policies: DataFrame, who: Who) -> DataFrame:
+    """Policies that apply to the principal: named in TO, itself, through a
+    group or as everyone, and not in EXCEPT.
 
-    Every policy's lists are reduced to (name, policy) rows first and joined by
-    name, directly or through a group; a policy for everyone is counted, not
-    paired with each principal.
+    A filter over the policies; only a principal in very many groups costs a
+    join, on (policy, listed name).
     """
-    names = (
-        principals.select("principal", F.col("principal").alias("name"))
-        .unionByName(
-            membership.select(F.col("member_email").alias("principal"), F.col("group_name").alias("name")).join(
-                principals, "principal", "left_semi"
-            )
-        )
-        .distinct()
-    )
-    open_to_all = F.array_contains("to_principals", EVERYONE)
-    closed_to_all = F.array_contains("except_principals", EVERYONE)
-    live = policies.where(~F.coalesce(closed_to_all, F.lit(False)))
-    total_open = live.where(open_to_all).agg(F.count("*")).scalar()
-
-    listed = live.select(
-        "on_securable",
-        "policy_name",
-        F.coalesce(open_to_all, F.lit(False)).alias("open"),
-        F.explode(
-            F.array_union(
-                F.transform(F.coalesce("to_principals", F.array()), lambda p: F.struct(p.alias("name"), F.lit(False).alias("exempt"))),
-                F.transform(F.coalesce("except_principals", F.array()), lambda p: F.struct(p.alias("name"), F.lit(True).alias("exempt"))),
-            )
-        ).alias("e"),
-    ).select("on_securable", "policy_name", "open", "e.name", "e.exempt")
-    touched = (
-        names.join(listed, "name")
-        .groupBy("principal", "on_securable", "policy_name")
-        .agg(F.bool_or("exempt").alias("exempt"), F.bool_or("open").alias("open"), F.bool_or(~F.col("exempt")).alias("named"))
-        .groupBy("principal")
-        .agg(
-            F.count_if(F.col("exempt") & F.col("open")).alias("lost"),
-            F.count_if(~F.col("exempt") & ~F.col("open") & F.col("named")).alias("gained"),
-        )
-    )
-    return principals.join(touched, "principal", "left").select(
-        "principal",
-        (total_open - F.coalesce("lost", F.lit(0)) + F.coalesce("gained", F.lit(0))).alias("n_binding"),
+    none = F.array().cast("array<string>")
+    to, except_ = F.coalesce("to_principals", none), F.coalesce("except_principals", none)
+    if who.groups is not None:
+        me = F.array(*[F.lit(n) for n in (EVERYONE, who.name, *sorted(who.groups))])
+        return policies.where(F.arrays_overlap(to, me) & ~F.arrays_overlap(except_, me))
+    me = who.group_rows.select(F.col("group_name").alias("name")).unionAll(
+        who.group_rows.sparkSession.createDataFrame([(EVERYONE,), (who.name,)], "name string")
     )
+
+    def naming(names: Column) -> DataFrame:
+        listed = policies.select("on_securable", "policy_name", F.explode(names).alias("name"))
+        return listed.join(me, "name", "left_semi").select("on_securable", "policy_name")
+
+    key = ["on_securable", "policy_name"]
+    return policies.join(naming(to), key, "left_semi").join(naming(except_), key, "left_anti")

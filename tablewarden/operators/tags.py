@@ -104,10 +104,8 @@ def key_errors(to_mint: DataFrame, governed_tags: DataFrame) -> DataFrame:
 def crowded_keys(to_mint: DataFrame, column_tags: DataFrame) -> DataFrame:
     """Tables where a key is wanted by, or already on, more than one column."""
     uses = to_mint.select(*KEY, "tag_key", "column").unionByName(column_tags.select(*KEY, "tag_key", "column"))
-    wanted = to_mint.select("tag_key").distinct()
     return (
-        uses.join(wanted, "tag_key", "left_semi")
-        .groupBy(*KEY, "tag_key")
+        uses.groupBy(*KEY, "tag_key")
         .agg(F.min("column").alias("first_column"), F.max("column").alias("last_column"))
         .where(F.col("first_column") != F.col("last_column"))
     )

@@ -10,11 +10,11 @@ from tablewarden.operators import checks, matching
 from tablewarden.operators.enforce import MaskFunction, SecurityState, apply_masks, secure
 from tablewarden.operators.membership import is_member, resolve_who
 from tablewarden.operators.rowfilters import (
-    binding_pairs,
     equals_rule,
     filter_by_group,
     filter_public_or_group,
     group_rule,
+    policies_binding,
     predicate_rule,
 )
 from tablewarden.sources import schemas
@@ -112,36 +112,43 @@ def _scoped_policies(f: Frames) -> DataFrame:
 
 
 _BINDING = {
-    "people": "SELECT c_name, c_custkey FROM customer",
-    "pol_to": """
-SELECT tid, 'account users' AS who FROM gov_tables WHERE tid % 3 = 0
-UNION ALL SELECT tid, 'bu_BUILDING' FROM gov_tables WHERE tid % 3 = 1 UNION ALL SELECT tid, 'bu_MACHINERY' FROM gov_tables WHERE tid % 3 = 1
-UNION ALL SELECT tid, 'Customer#' || lpad(CAST(tid % 50 AS VARCHAR), 9, '0') FROM gov_tables WHERE tid % 3 = 2""",
-    "pol_except": """
-SELECT tid, 'admins' AS who FROM gov_tables WHERE tid % 2 = 0
-UNION ALL SELECT tid, 'Customer#' || lpad(CAST(tid % 50 AS VARCHAR), 9, '0') FROM gov_tables WHERE tid % 2 = 0""",
-    "ids_of": "SELECT c_name AS p, c_name AS who FROM customer UNION SELECT member_email, group_name FROM membership",
-    "bound": """
-SELECT DISTINCT i.p, t.tid FROM pol_to t JOIN ids_of i ON t.who = i.who
-UNION SELECT c_name, tid FROM people, pol_to WHERE who = 'account users'""",
-    "exempt": "SELECT DISTINCT i.p, t.tid FROM pol_except t JOIN ids_of i ON t.who = i.who",
+    "pol": """
+SELECT tid, 'TABLE ' || tn AS on_securable, CASE tid % 3 WHEN 0 THEN ['account users'] WHEN 1 THEN ['bu_BUILDING', 'bu_MACHINERY'] ELSE ['Customer#' || lpad(CAST(tid % 50 AS VARCHAR), 9, '0')] END AS to_list,
+  CASE WHEN tid % 2 = 0 THEN ['admins', 'Customer#' || lpad(CAST(tid % 50 AS VARCHAR), 9, '0')] ELSE CAST([] AS VARCHAR[]) END AS except_list FROM gov_tables""",
+    "me": f"""
+SELECT p, who FROM (SELECT p, unnest(['account users', p]) AS who FROM (VALUES ('{MEMBER}'), ('{ADMIN}'), ('{OUTSIDER}')) v(p)) UNION SELECT member_email, group_name FROM membership WHERE member_email IN ('{MEMBER}', '{ADMIN}', '{OUTSIDER}')""",
+    "bound": "SELECT DISTINCT p, tid, on_securable FROM me JOIN (SELECT tid, on_securable, unnest(to_list) AS who FROM pol) USING (who)",
+    "exempt": "SELECT DISTINCT p, tid FROM me JOIN (SELECT tid, unnest(except_list) AS who FROM pol) USING (who)",
 }
 
 
-@query("E-06_exempt_principals", """
-SELECT c.c_name AS principal, (SELECT count(*) FROM bound b WHERE b.p = c.c_name AND NOT EXISTS (SELECT 1 FROM exempt e WHERE e.p = b.p AND e.tid = b.tid)) AS n_binding
-FROM customer c""", _BINDING)
+def _binding(f: Frames, limit: int, exempt: bool) -> DataFrame:
+    policies = _scoped_policies(f)
+    if not exempt:
+        policies = policies.withColumn("except_principals", F.array().cast("array<string>"))
+    parts = [
+        policies_binding(policies, resolve_who(f.membership, p, limit=limit)).select(F.lit(p).alias("principal"), "on_securable")
+        for p in (MEMBER, ADMIN, OUTSIDER)
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+_EXEMPT = "SELECT p AS principal, on_securable FROM bound b WHERE NOT EXISTS (SELECT 1 FROM exempt e WHERE e.p = b.p AND e.tid = b.tid)"
+
+
+@query("E-06_exempt_principals", _EXEMPT, _BINDING)
 def exempt_principals(f: Frames) -> DataFrame:
-    people = f.read("customer").select(F.col("c_name").alias("principal"))
-    return binding_pairs(_scoped_policies(f), f.membership, people)
+    return _binding(f, limit=1000, exempt=True)
+
+
+@query("E-06_exempt_by_join", _EXEMPT, _BINDING)
+def exempt_by_join(f: Frames) -> DataFrame:
+    return _binding(f, limit=0, exempt=True)
 
 
-@query("E-07_target_principals", """
-SELECT c.c_name AS principal, (SELECT count(*) FROM bound b WHERE b.p = c.c_name) AS n_binding FROM customer c""", _BINDING)
+@query("E-07_target_principals", "SELECT p AS principal, on_securable FROM bound", _BINDING)
 def target_principals(f: Frames) -> DataFrame:
-    people = f.read("customer").select(F.col("c_name").alias("principal"))
-    open_policies = _scoped_policies(f).withColumn("except_principals", F.array().cast("array<string>"))
-    return binding_pairs(open_policies, f.membership, people)
+    return _binding(f, limit=1000, exempt=False)
 
 
 def _masked(f: Frames, column: str, mask: m.Mask, principal: str = MEMBER, admin_bypass: bool = False) -> DataFrame:
