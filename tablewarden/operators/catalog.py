@@ -125,7 +125,7 @@ def policies_by_schema(policies: DataFrame) -> DataFrame:
 
 def function_status(used: DataFrame, functions: DataFrame) -> DataFrame:
     """Adds ``function_exists`` and ``function_executable`` to rows with a ``function_fqn``."""
-    known = functions.groupBy("function_fqn").agg(F.bool_or("executable").alias("__executable"))
+    known = functions.select("function_fqn", F.coalesce("executable", F.lit(False)).alias("__executable"))
     return used.join(known, "function_fqn", "left").select(
         *[F.col(c) for c in used.columns],
         F.col("__executable").isNotNull().alias("function_exists"),

@@ -53,7 +53,7 @@ def reusable_tags(column_tags: DataFrame, governed_tags: DataFrame, same_role_on
     tags the first by key and value is taken.  *same_role_only* keeps a filter
     from reusing a tag minted for a mask, and the other way round.
     """
-    governed = governed_tags.groupBy("tag_key").agg(F.first("allowed_values").alias("allowed_values"))
+    governed = governed_tags.select("tag_key", "allowed_values")
     single = (
         column_tags.groupBy(*KEY, "tag_key", "tag_value")
         .agg(F.min("column").alias("column"), F.max("column").alias("__last"))
@@ -87,7 +87,7 @@ def key_errors(to_mint: DataFrame, governed_tags: DataFrame) -> DataFrame:
     owners = to_mint.groupBy("tag_key").agg(
         F.min("function_fqn").alias("function_fqn"), F.max("function_fqn").alias("other_function")
     )
-    taken = governed_tags.groupBy("tag_key").agg(F.first("description").alias("description"))
+    taken = governed_tags.select("tag_key", "description")
     two_functions = F.col("function_fqn") != F.col("other_function")
     foreign = F.col("description").isNotNull() & (F.col("description") != description_of("function_fqn"))
     return (

@@ -175,7 +175,7 @@ def verify(tables: DataFrame, state: GovernanceState, options: RunOptions) -> Da
 
 
 def _migrate(tables: DataFrame, state: GovernanceState, options: RunOptions, faults: DataFrame | None) -> RunResult:
-    inventory = inventory_of(tables, state, options)
+    inventory = cut_lineage(inventory_of(tables, state, options))
     append_inventory(inventory, options.inventory_path, options.dry_run)
     if options.phase is None:
         return RunResult(options, state, inventory)

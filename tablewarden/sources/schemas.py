@@ -1,4 +1,10 @@
-"""Schemas of the governance frames.  ``catalog, schema, table`` is the table key."""
+"""Schemas of the governance frames.
+
+``catalog, schema, table`` is the table key.  Keys are unique: a table in
+``tables`` and ``row_filters``, table and column in ``masks``, table, column
+and tag key in ``column_tags``, the tag key in ``governed_tags``, the function
+in ``functions``, securable and name in ``policies``.
+"""
 
 from __future__ import annotations
 
