@@ -1,218 +1,320 @@
-"""Outcome of every row of the decision tables, on one small table."""
+"""Outcome of every row of the decision tables: one table per case, few runs."""
 
 import pytest
-from helpers import T, fault, frame, options, policy, rows, state, steps_of
+from helpers import fault, options, policy, rows, state
 
-from tablewarden.functions.names import KEY
+from tablewarden.operators.results import with_none_steps
 from tablewarden.operators.tags import DESCRIPTION
 from tablewarden.plans.run import run
 from tablewarden.sources import schemas
 from tablewarden.sources.store import read_table
 
-ON = "TABLE `cat`.`sch`.`tbl`"
-RF, MK = "cat.sch.rf", "cat.sch.mk"
-FILTER = (T, RF, ["region"])
-MASKS = [(T, "c1", MK), (T, "c2", "cat.sch.mk2"), (T, "c3", "cat.sch.mk3")]
+KINDS = ["MANAGED", "EXTERNAL", "STREAMING_TABLE", "MATERIALIZED_VIEW", "VIEW", "FOREIGN"]
+ERRORS = {
+    "err_a": ("[X] PERMISSION_DENIED: no", "PERMISSION_DENIED"),
+    "err_b": ("SAMPLE_TABLE_PERMISSIONS", "PERMISSION_DENIED"),
+    "err_c": ("Failed: FAILED_JDBC.CONNECTION", "FEDERATION_UNREACHABLE"),
+    "err_d": ("DATA_SOURCE_NOT_FOUND", "UNSUPPORTED_DATA_SOURCE"),
+    "err_e": ("boom", "UNKNOWN_GATEWAY_ERROR"),
+}
+# Tables with one row filter on ``region``, and what goes wrong with it.
+FAULTS = {
+    "create_fails": {"create_failed": True},
+    "create_coded": {"create_failed": True, "create_error_code": "X", "create_error_message": "m"},
+    "verify_fails": {"verify_failed": True},
+    "removal_fails": {"removal_error": "boom"},
+    "old_remains": {"legacy_remains": True},
+}
+FILTERED = ["filter_only", "both", "gone_function", "no_execute", "conflict", "listed", *FAULTS]
+THREE = ["masks_only", "both", "partial"]
+
+
+def key(name):
+    return ("cat", "sch", name)
+
+
+def on(name):
+    return f"TABLE `cat`.`sch`.`{name}`"
+
+
+def rf(name):
+    return f"cat.sch.rf_{name}"
+
+
+def world(spark):
+    kinds = [(*key(f"kind_{k.lower()}"), k, None) for k in KINDS]
+    errors = [(*key(n), "MANAGED", text) for n, (text, _) in ERRORS.items()]
+    plain = [*FILTERED, "masks_only", "partial", "two_columns", "shared_mask", "twin_1", "twin_2", "bare"]
+    filters = [(key(n), rf(n), ["region"]) for n in FILTERED]
+    filters += [(key("two_columns"), rf("two"), ["region", "business_unit"])]
+    filters += [(key("twin_1"), "cat.sch.rf-x", ["region"]), (key("twin_2"), "cat.sch.rf_x", ["region"])]
+    filters += [(key(f"kind_{k.lower()}"), rf("kind"), ["region"]) for k in KINDS]
+    masks = [(key(n), c, f"cat.sch.mk_{c}") for n in THREE for c in ("c1", "c2", "c3")]
+    masks += [(key("shared_mask"), c, "cat.sch.mk_same") for c in ("ssn", "national_id")]
+    known = {(f[1], f[1] != rf("no_execute")) for f in filters if f[1] != rf("gone_function")} | {(m[2], True) for m in masks}
+    policies = [
+        policy(on("conflict"), "abac_migrated_row_filter", "ROW_FILTER", "cat.sch.other"),
+        policy(on("listed"), "abac_migrated_row_filter", "ROW_FILTER", None),
+    ]
+    tables = [(*key(n), "MANAGED", None) for n in plain] + kinds + errors
+    return state(spark, tables, filters, masks, policies, functions=known)
 
 
-def table_row(result):
-    return result.results.collect()[0]
+def all_faults(spark):
+    return fault(
+        spark,
+        *[(key(n), "ROW_FILTER", "", values) for n, values in FAULTS.items()],
+        (key("partial"), "COLUMN_MASK", "c2", {"create_failed": True}),
+    )
 
 
-def test_filter_only(spark, tmp_path):
-    done = run(state(spark, filters=[FILTER]), options(tmp_path))
-    assert steps_of(done) == {"": ("SUCCESS", None)}
-    row = table_row(done)
-    assert (row.status, row.row_filter_status, row.column_mask_status) == ("SUCCESS", "SUCCESS", {})
-    assert (row.validation_status, row.migration_phase) == ("PASSED", "FINALIZED")
-    assert done.state.row_filters.isEmpty()
-    assert rows(done.state.policies, "on_securable", "policy_name", "function_fqn") == [(ON, "abac_migrated_row_filter", RF)]
-    assert rows(done.state.column_tags, "column", "tag_key", "tag_value") == [("region", "abac_rls_cat_sch_rf", None)]
-    assert rows(done.state.governed_tags, "tag_key", "description") == [("abac_rls_cat_sch_rf", DESCRIPTION + RF)]
+class Seen:
+    """A run's rows, collected once."""
 
+    def __init__(self, result):
+        self.result = result
+        self.steps = {(r.table, r.slot): r for r in result.steps.collect()}
+        self.tables = {r.table: r for r in result.results.collect()}
+        self.filters = {r.table for r in result.state.row_filters.collect()}
+        self.masks = {(r.table, r.column) for r in result.state.masks.collect()}
+        self.policies = {(r.on_securable, r.policy_name): r for r in result.state.policies.collect()}
+        self.tags = {(r.table, r.column): (r.tag_key, r.tag_value) for r in result.state.column_tags.collect()}
 
-def test_masks_only(spark, tmp_path):
-    done = run(state(spark, masks=MASKS), options(tmp_path))
-    row = table_row(done)
-    assert row.row_filter_status is None
-    assert row.column_mask_status == {"c1": "SUCCESS", "c2": "SUCCESS", "c3": "SUCCESS"}
-    assert done.state.masks.isEmpty()
+    def status(self, table, slot=""):
+        step = self.steps[(table, slot)]
+        return step.status, step.error_code
 
+    def has_policy(self, table, name="abac_migrated_row_filter"):
+        return (on(table), name) in self.policies
 
-def test_filter_and_masks(spark, tmp_path):
-    done = run(state(spark, filters=[FILTER], masks=MASKS), options(tmp_path))
-    assert table_row(done).status == "SUCCESS"
-    assert table_row(done).n_steps == 4
-    audit = read_table(spark, f"{tmp_path}/audit", schemas.AUDIT)
-    assert audit.count() == 4
-    assert rows(audit, "object_type", "masked_column", "validation_status", "migration_phase")[0] == (
-        "COLUMN_MASK", "c1", "PASSED", "FINALIZED",
-    )
 
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    return tmp_path_factory.mktemp("migration")
 
-def test_no_rules_is_not_in_the_run(spark, tmp_path):
-    done = run(state(spark), options(tmp_path))
-    assert rows(done.inventory, "migration_eligibility", "eligibility_reason") == [("NOT_ELIGIBLE", "NO_LEGACY_SECURITY_FOUND")]
-    assert done.results.isEmpty()
 
+@pytest.fixture(scope="module")
+def full(spark, folder):
+    return Seen(run(world(spark), options(folder), all_faults(spark)))
+
+
+@pytest.fixture(scope="module")
+def rerun(spark, folder, full):
+    return Seen(run(full.result.state, options(folder, run_id="r2")))
+
+
+@pytest.fixture(scope="module")
+def applied(spark, folder):
+    return Seen(run(world(spark), options(folder, "APPLY_ABAC", run_id="apply")))
+
+
+@pytest.fixture(scope="module")
+def finalized(spark, folder, applied):
+    bad = fault(spark, (key("both"), "ROW_FILTER", "", {"verify_failed": True}))
+    return Seen(run(applied.result.state, options(folder, "FINALIZE", run_id="final"), bad))
 
-def test_eligible_table_without_objects_gets_a_none_step(spark):
-    from tablewarden.operators.results import with_none_steps
 
-    s = state(spark)
-    empty = frame(spark, [], f"{schemas._KEY}, object_type string, slot string, status string, error_code string")
-    assert rows(with_none_steps(empty, s.tables), "object_type", "status", "error_code") == [
-        ("NONE", "NOT_ELIGIBLE", "NO_LEGACY_SECURITY_FOUND")
+def test_filter_only(full):
+    assert full.status("filter_only") == ("SUCCESS", None)
+    row = full.tables["filter_only"]
+    assert (row.status, row.row_filter_status, row.column_mask_status) == ("SUCCESS", "SUCCESS", {})
+    assert (row.validation_status, row.migration_phase, row.row_filter_function) == ("PASSED", "FINALIZED", rf("filter_only"))
+    assert "filter_only" not in full.filters
+    made = full.policies[(on("filter_only"), "abac_migrated_row_filter")]
+    assert (made.function_fqn, made.using_columns, made.target_alias) == (rf("filter_only"), ["mc_region"], None)
+    assert [tuple(m) for m in made.match_columns] == [("abac_rls_cat_sch_rf_filter_only", None, "mc_region", "region")]
+    assert full.tags[("filter_only", "region")] == ("abac_rls_cat_sch_rf_filter_only", None)
+
+
+def test_definition_text(full):
+    assert full.steps[("filter_only", "")].target_definition.split("\n") == [
+        "CREATE OR REPLACE POLICY abac_migrated_row_filter",
+        "ON TABLE `cat`.`sch`.`filter_only`",
+        "COMMENT 'Migrated from a table-level row filter.'",
+        "ROW FILTER cat.sch.rf_filter_only",
+        "TO `account users`",
+        "FOR TABLES",
+        "MATCH COLUMNS has_tag('abac_rls_cat_sch_rf_filter_only') AS mc_region",
+        "USING COLUMNS (mc_region)",
     ]
+    mask = full.steps[("masks_only", "c1")].target_definition.split("\n")
+    assert mask[-1] == "ON COLUMN mc_c1" and mask[3] == "COLUMN MASK cat.sch.mk_c1"
 
 
-@pytest.mark.parametrize(
-    ("functions", "code"),
-    [([], "SOURCE_FUNCTION_NOT_FOUND"), ([(RF, False)], "SOURCE_FUNCTION_NOT_ACCESSIBLE")],
-)
-def test_function_gone_or_forbidden(spark, tmp_path, functions, code):
-    before = state(spark, filters=[FILTER], functions=functions)
-    done = run(before, options(tmp_path))
-    assert steps_of(done) == {"": ("FAILED", code)}
-    assert done.state.policies.isEmpty()
-    assert done.state.row_filters.count() == 1
+def test_minted_tags_describe_themselves(full):
+    minted = {r.tag_key: r for r in full.result.state.governed_tags.collect()}
+    assert minted["abac_rls_cat_sch_rf_filter_only"].description == DESCRIPTION + rf("filter_only")
+    assert minted["abac_rls_cat_sch_rf_filter_only"].allowed_values == []
+
+
+def test_masks_only_and_both(full):
+    row = full.tables["masks_only"]
+    assert row.row_filter_status is None
+    assert row.column_mask_status == {"c1": "SUCCESS", "c2": "SUCCESS", "c3": "SUCCESS"}
+    assert (full.tables["both"].status, full.tables["both"].n_steps) == ("SUCCESS", 4)
+    assert not {m for m in full.masks if m[0] in ("masks_only", "both")}
 
 
-def test_conflicting_policy(spark, tmp_path):
-    other = policy(ON, "abac_migrated_row_filter", "ROW_FILTER", "cat.sch.other")
-    done = run(state(spark, filters=[FILTER], policies=[other]), options(tmp_path))
-    assert steps_of(done) == {"": ("NOT_ELIGIBLE", "EXISTING_ABAC_POLICY_CONFLICT")}
-    assert table_row(done).row_filter_policy == "abac_migrated_row_filter"
-    assert rows(done.state.policies, "function_fqn") == [("cat.sch.other",)]
+def test_table_without_rules_is_not_attempted(full):
+    assert "bare" not in full.tables
+    got = {r.table: r for r in full.result.inventory.collect()}
+    assert (got["bare"].migration_eligibility, got["bare"].eligibility_reason) == ("NOT_ELIGIBLE", "NO_LEGACY_SECURITY_FOUND")
+    assert {n: (got[n].row_filter_expression_text, got[n].eligibility_reason) for n in ERRORS} == ERRORS
+    assert {got[n].table_type for n in ERRORS} == {"UNKNOWN"}
+    assert {got[f"kind_{k.lower()}"].eligibility_reason for k in KINDS[4:]} == {"UNSUPPORTED_TABLE_TYPE"}
+    assert {full.tables[f"kind_{k.lower()}"].status for k in KINDS[:4]} == {"SUCCESS"}
 
 
-def test_listed_but_not_described_policy_is_no_conflict(spark, tmp_path):
-    listed = policy(ON, "abac_migrated_row_filter", "ROW_FILTER", None)
-    before = state(spark, filters=[FILTER], policies=[listed])
-    assert steps_of(run(before, options(tmp_path, "FINALIZE"))) == {"": ("NOT_ELIGIBLE", "ABAC_NOT_APPLIED_YET")}
-    assert steps_of(run(before, options(tmp_path))) == {"": ("SUCCESS", None)}
+def test_eligible_table_without_objects_gets_a_none_step(spark):
+    bare = state(spark)
+    none = spark.createDataFrame([], schemas.schema(f"{schemas._KEY}, object_type string, slot string, status string, error_code string"))
+    got = rows(with_none_steps(none, bare.tables), "object_type", "status", "error_code")
+    assert got == [("NONE", "NOT_ELIGIBLE", "NO_LEGACY_SECURITY_FOUND")]
+
 
+def test_function_gone_or_forbidden(full):
+    assert full.status("gone_function") == ("FAILED", "SOURCE_FUNCTION_NOT_FOUND")
+    assert full.status("no_execute") == ("FAILED", "SOURCE_FUNCTION_NOT_ACCESSIBLE")
+    assert {"gone_function", "no_execute"} <= full.filters
+    assert not full.has_policy("gone_function") and not full.has_policy("no_execute")
 
-def test_rerun_is_already_migrated(spark, tmp_path):
-    first = run(state(spark, filters=[FILTER], masks=MASKS), options(tmp_path))
-    again = run(first.state, options(tmp_path, run_id="r2"))
-    assert {s for s, _ in steps_of(again).values()} == {"ALREADY_MIGRATED"}
-    assert table_row(again).row_filter_function == RF
-    assert first.state.policies.count() == again.state.policies.count() == 4
 
+def test_conflicting_policy(full):
+    assert full.status("conflict") == ("NOT_ELIGIBLE", "EXISTING_ABAC_POLICY_CONFLICT")
+    assert full.tables["conflict"].row_filter_policy == "abac_migrated_row_filter"
+    assert full.policies[(on("conflict"), "abac_migrated_row_filter")].function_fqn == "cat.sch.other"
 
-def test_create_fails(spark, tmp_path):
-    for values, code in [({"create_failed": True}, "POLICY_CREATE_FAILED"),
-                         ({"create_failed": True, "create_error_code": "X", "create_error_message": "m"}, "X")]:
-        done = run(state(spark, filters=[FILTER]), options(tmp_path), fault(spark, (T, "ROW_FILTER", "", values)))
-        assert steps_of(done) == {"": ("FAILED", code)}
-        assert done.steps.collect()[0].rollback is None
-        assert done.steps.collect()[0].error_message == values.get("create_error_message")
-        assert done.state.row_filters.count() == 1 and done.state.policies.isEmpty()
 
+def test_listed_but_not_described_policy_is_no_conflict(full, finalized):
+    assert full.status("listed") == ("SUCCESS", None)
 
-def test_verify_fails_keeps_the_old_rule_and_the_new_policy(spark, tmp_path):
-    done = run(state(spark, filters=[FILTER]), options(tmp_path), fault(spark, (T, "ROW_FILTER", "", {"verify_failed": True})))
-    assert steps_of(done) == {"": ("FAILED", "POLICY_VERIFY_FAILED")}
-    assert done.steps.collect()[0].rollback is not None
-    assert done.state.row_filters.count() == 1 and done.state.policies.count() == 1
+
+def test_create_fails(full):
+    assert full.status("create_fails") == ("FAILED", "POLICY_CREATE_FAILED")
+    assert full.status("create_coded") == ("FAILED", "X")
+    assert full.steps[("create_coded", "")].error_message == "m"
+    for name in ("create_fails", "create_coded"):
+        assert full.steps[(name, "")].rollback is None
+        assert name in full.filters and not full.has_policy(name)
 
 
 @pytest.mark.parametrize(
-    ("values", "code", "message"),
-    [({"removal_error": "boom"}, "LEGACY_REMOVAL_FAILED", "boom"), ({"legacy_remains": True}, "FINAL_STATE_VERIFY_FAILED", None)],
+    ("name", "code", "message"),
+    [
+        ("verify_fails", "POLICY_VERIFY_FAILED", None),
+        ("removal_fails", "LEGACY_REMOVAL_FAILED", "boom"),
+        ("old_remains", "FINAL_STATE_VERIFY_FAILED", None),
+    ],
 )
-def test_removal_fails_leaves_both(spark, tmp_path, values, code, message):
-    done = run(state(spark, filters=[FILTER]), options(tmp_path), fault(spark, (T, "ROW_FILTER", "", values)))
-    step = done.steps.collect()[0]
+def test_late_failure_leaves_both(full, rerun, name, code, message):
+    step = full.steps[(name, "")]
     assert (step.status, step.error_code, step.error_message) == ("FAILED", code, message)
-    assert done.state.row_filters.count() == 1 and done.state.policies.count() == 1
+    assert step.rollback is not None
+    assert name in full.filters and full.has_policy(name)
     # A run that stopped half-way is taken up again.
-    assert steps_of(run(done.state, options(tmp_path, run_id="r2"))) == {"": ("SUCCESS", None)}
+    assert rerun.status(name) == ("SUCCESS", None)
 
 
-def test_one_of_three_masks_fails(spark, tmp_path):
-    done = run(state(spark, masks=MASKS), options(tmp_path), fault(spark, (T, "COLUMN_MASK", "c2", {"create_failed": True})))
-    assert {c: s for c, (s, _) in steps_of(done).items()} == {"c1": "SUCCESS", "c2": "FAILED", "c3": "SUCCESS"}
-    row = table_row(done)
+def test_one_of_three_masks_fails(full):
+    assert {c: full.status("partial", c)[0] for c in ("c1", "c2", "c3")} == {"c1": "SUCCESS", "c2": "FAILED", "c3": "SUCCESS"}
+    row = full.tables["partial"]
     assert (row.status, row.error_code, row.validation_status) == ("FAILED", "POLICY_CREATE_FAILED", "FAILED")
-    assert rows(done.state.masks, "column") == [("c2",)]
+    assert {m for m in full.masks if m[0] == "partial"} == {("partial", "c2")}
 
 
-@pytest.mark.parametrize(("mode", "status"), [("MIGRATE", "WOULD_MIGRATE"), ("APPLY_ABAC", "WOULD_APPLY_ABAC")])
-def test_dry_run_changes_nothing(spark, tmp_path, mode, status):
-    before = state(spark, filters=[FILTER], masks=MASKS)
-    done = run(before, options(tmp_path, mode, dry_run=True))
-    assert {s for s, _ in steps_of(done).values()} == {status}
-    assert table_row(done).migration_phase == "DRY_RUN"
-    assert done.state is before
-    assert not (tmp_path / "audit").exists() and not (tmp_path / "inventory").exists()
-
-
-def test_apply_then_finalize(spark, tmp_path):
-    before = state(spark, filters=[FILTER], masks=MASKS)
-    assert {s for s, _ in steps_of(run(before, options(tmp_path, "FINALIZE"))).values()} == {"NOT_ELIGIBLE"}
-    applied = run(before, options(tmp_path, "APPLY_ABAC", run_id="a"))
-    assert (table_row(applied).status, table_row(applied).validation_status) == ("ABAC_APPLIED", "PARTIAL")
-    assert applied.state.row_filters.count() == 1 and applied.state.policies.count() == 4
-    would = run(applied.state, options(tmp_path, "FINALIZE", dry_run=True))
-    assert {s for s, _ in steps_of(would).values()} == {"WOULD_FINALIZE"}
-    final = run(applied.state, options(tmp_path, "FINALIZE", run_id="f"))
-    assert {s for s, _ in steps_of(final).values()} == {"SUCCESS"}
-    assert final.state.row_filters.isEmpty() and final.state.masks.isEmpty()
-    assert final.steps.where("target_definition is not null").isEmpty()
-
-
-def test_finalize_checks_the_policy_again(spark, tmp_path):
-    applied = run(state(spark, filters=[FILTER]), options(tmp_path, "APPLY_ABAC")).state
-    done = run(applied, options(tmp_path, "FINALIZE"), fault(spark, (T, "ROW_FILTER", "", {"verify_failed": True})))
-    step = done.steps.collect()[0]
-    assert (step.status, step.error_code, step.rollback) == ("FAILED", "POLICY_VERIFY_FAILED", None)
+def test_filter_on_two_columns_cannot_be_tagged(full):
+    assert full.status("two_columns") == ("FAILED", "RLS_TAG_COLLISION_UNRESOLVABLE")
+    assert "two_columns" in full.filters
+    assert not [t for t in full.tags if t[0] == "two_columns"]
 
 
-def test_filter_on_two_columns_cannot_be_tagged(spark, tmp_path):
-    done = run(state(spark, filters=[(T, RF, ["region", "business_unit"])]), options(tmp_path))
-    assert steps_of(done) == {"": ("FAILED", "RLS_TAG_COLLISION_UNRESOLVABLE")}
-    assert done.state.row_filters.count() == 1
-    assert done.state.column_tags.isEmpty()
+def test_one_mask_on_two_columns_shares_a_key(full):
+    assert full.tables["shared_mask"].status == "SUCCESS"
+    assert full.tags[("shared_mask", "ssn")] == full.tags[("shared_mask", "national_id")] == ("abac_colmask_cat_sch_mk_same", None)
 
 
-def test_one_mask_on_two_columns_shares_a_key(spark, tmp_path):
-    done = run(state(spark, masks=[(T, "ssn", MK), (T, "national_id", MK)]), options(tmp_path))
-    assert table_row(done).status == "SUCCESS"
-    assert rows(done.state.column_tags, "column", "tag_key") == [
-        ("national_id", "abac_colmask_cat_sch_mk"), ("ssn", "abac_colmask_cat_sch_mk"),
-    ]
-    assert done.state.governed_tags.count() == 1
+def test_two_functions_with_one_key_fail_alone(full):
+    """Names that differ only in a replaced character do not stop the other tables."""
+    assert full.status("twin_1")[0] == full.status("twin_2")[0] == "FAILED"
+    assert full.tables["filter_only"].status == "SUCCESS"
 
 
-def test_two_functions_with_one_key_fail_alone(spark, tmp_path):
-    """Names that differ only in a character that is replaced do not stop the other tables."""
-    other = ("cat", "sch", "t2")
-    third = ("cat", "sch", "t3")
-    before = state(
-        spark,
-        tables=[(*t, "MANAGED", None) for t in (T, other, third)],
-        filters=[(T, "cat.sch.rf-a", ["x"]), (other, "cat.sch.rf_a", ["x"]), (third, "cat.sch.ok", ["x"])],
+def test_audit_has_one_row_per_object(spark, folder, full):
+    audit = read_table(spark, f"{folder}/audit", schemas.AUDIT).where("run_id = 'r1'")
+    assert audit.count() == len(full.steps)
+    assert audit.select("attempt_id").distinct().count() == len(full.steps)
+    got = {(r.table, r.masked_column): r for r in audit.collect()}
+    step = got[("both", "c1")]
+    assert (step.validation_status, step.migration_phase, step.target_policy_type) == ("PASSED", "FINALIZED", "COLUMN_MASK")
+    # Phase and validation are the table's, not the object's.
+    assert (got[("partial", "c1")].status, got[("partial", "c1")].migration_phase) == ("SUCCESS", "FAILED")
+    assert got[("filter_only", None)].rollback_metadata == (
+        '{"original_row_filter":{"function":"cat.sch.rf_filter_only","using_columns":["region"]},'
+        '"abac_policies_created_by_this_run":[{"policy_name":"abac_migrated_row_filter",'
+        '"on_securable":"TABLE `cat`.`sch`.`filter_only`","policy_type":"ROW_FILTER"}]}'
     )
-    done = run(before, options(tmp_path))
-    assert rows(done.results, "table", "status") == [("t2", "FAILED"), ("t3", "SUCCESS"), ("tbl", "FAILED")]
+
+
+def test_rerun_is_already_migrated(full, rerun):
+    for name in ("filter_only", "masks_only", "both", "shared_mask"):
+        assert rerun.tables[name].status == "ALREADY_MIGRATED"
+    assert rerun.tables["filter_only"].row_filter_function == rf("filter_only")
+    assert rerun.tables["filter_only"].migration_phase == "FINALIZED"
+    # The masks done earlier are ALREADY_MIGRATED, the one that failed is done now.
+    assert rerun.tables["partial"].column_mask_status == {"c1": "ALREADY_MIGRATED", "c2": "SUCCESS", "c3": "ALREADY_MIGRATED"}
+    assert rerun.tables["partial"].status == "SUCCESS"
+
+
+def test_dry_run_changes_nothing(spark, tmp_path):
+    before = world(spark)
+    done = run(before, options(tmp_path, dry_run=True))
+    got = {r.table: r for r in done.results.collect()}
+    assert got["both"].status == "WOULD_MIGRATE" and got["both"].migration_phase == "DRY_RUN"
+    assert got["gone_function"].status == "FAILED"
+    assert done.state is before
+    assert not list(tmp_path.iterdir())
+
+
+def test_apply_leaves_the_old_rules(applied):
+    row = applied.tables["both"]
+    assert (row.status, row.validation_status, row.migration_phase) == ("ABAC_APPLIED", "PARTIAL", "ABAC_APPLIED")
+    assert "both" in applied.filters and ("both", "c1") in applied.masks
+    assert applied.has_policy("both") and applied.has_policy("both", "abac_migrated_mask_c1")
+
+
+def test_finalize(finalized):
+    assert finalized.tables["filter_only"].status == finalized.tables["masks_only"].status == "SUCCESS"
+    assert "filter_only" not in finalized.filters
+    assert finalized.steps[("filter_only", "")].target_definition is None
+    # The policy is checked again before the old rule goes.
+    step = finalized.steps[("both", "")]
+    assert (step.status, step.error_code, step.rollback) == ("FAILED", "POLICY_VERIFY_FAILED", None)
+    assert "both" in finalized.filters
+    # What could not be applied is not finalized.
+    assert finalized.status("two_columns") == ("NOT_ELIGIBLE", "ABAC_NOT_APPLIED_YET")
+
+
+def test_finalize_dry_run(spark, folder, applied):
+    done = run(applied.result.state, options(folder, "FINALIZE", dry_run=True))
+    got = {r.table: r.status for r in done.results.collect()}
+    assert got["both"] == "WOULD_FINALIZE"
 
 
 def test_team_prefix_names_keys_and_policies(spark, tmp_path):
-    done = run(state(spark, filters=[FILTER], masks=[(T, "Odd Col", MK)]), options(tmp_path, tag_team_prefix="my-team"))
+    before = state(spark, filters=[(key("tbl"), "cat.sch.rf", ["region"])], masks=[(key("tbl"), "Odd Col", "cat.sch.mk")])
+    done = run(before, options(tmp_path, tag_team_prefix="my-team"))
     assert rows(done.state.policies, "policy_name") == [
         ("abac_my_team_migrated_mask_Odd Col",), ("abac_my_team_migrated_row_filter",),
     ]
     assert rows(done.state.governed_tags, "tag_key") == [("abac_colmask_my_team_cat_sch_mk",), ("abac_rls_my_team_cat_sch_rf",)]
     # Without the prefix the policies are not recognized as ours.
-    assert rows(run(done.state, options(tmp_path, run_id="r2")).inventory, "eligibility_reason") == [("NO_LEGACY_SECURITY_FOUND",)]
+    again = run(done.state, options(tmp_path, "INVENTORY", run_id="r2"))
+    assert rows(again.inventory, "eligibility_reason") == [("NO_LEGACY_SECURITY_FOUND",)]
 
 
 def test_stop_at_first_failure(spark, tmp_path):
-    names = ["t1", "t2", "t3", "t4"]
-    tables = [("cat", "sch", n) for n in names]
-    before = state(spark, tables=[(*t, "MANAGED", None) for t in tables], filters=[(t, RF, ["x"]) for t in tables])
+    tables = [key(n) for n in ("t1", "t2", "t3", "t4")]
+    before = state(spark, tables=[(*t, "MANAGED", None) for t in tables], filters=[(t, "cat.sch.rf", ["x"]) for t in tables])
     bad = fault(spark, *[(t, "ROW_FILTER", "", {"create_failed": True}) for t in tables[1:3]])
     done = run(before, options(tmp_path, continue_on_error=False), bad)
     assert rows(done.results, "table", "status") == [("t1", "SUCCESS"), ("t2", "FAILED")]
@@ -220,70 +322,36 @@ def test_stop_at_first_failure(spark, tmp_path):
         "tables_succeeded": 1, "tables_abac_applied": 0, "tables_would_migrate": 0, "tables_already_migrated": 0, "tables_failed": 1,
     }
     assert rows(read_table(spark, f"{tmp_path}/audit", schemas.AUDIT), "table") == [("t1",), ("t2",)]
-    everything = run(before, options(tmp_path, run_id="r2"), bad)
-    assert everything.summary.collect()[0].tables_succeeded == 2
-
-
-def test_kinds(spark, tmp_path):
-    kinds = ["MANAGED", "EXTERNAL", "STREAMING_TABLE", "MATERIALIZED_VIEW", "VIEW", "FOREIGN"]
-    tables = [("cat", "sch", k.lower()) for k in kinds]
-    before = state(spark, tables=[(*t, k, None) for t, k in zip(tables, kinds, strict=True)], filters=[(t, RF, ["x"]) for t in tables])
-    done = run(before, options(tmp_path))
-    assert rows(done.inventory.where("eligibility_reason is not null"), "table_type", "eligibility_reason") == [
-        ("FOREIGN", "UNSUPPORTED_TABLE_TYPE"), ("VIEW", "UNSUPPORTED_TABLE_TYPE"),
-    ]
-    assert done.results.where("status = 'SUCCESS'").count() == 4
-
-
-def test_describe_errors(spark, tmp_path):
-    texts = {
-        "a": ("[X] PERMISSION_DENIED: no", "PERMISSION_DENIED"), "b": ("SAMPLE_TABLE_PERMISSIONS", "PERMISSION_DENIED"),
-        "c": ("Failed: FAILED_JDBC.CONNECTION", "FEDERATION_UNREACHABLE"), "d": ("DATA_SOURCE_NOT_FOUND", "UNSUPPORTED_DATA_SOURCE"),
-        "e": ("boom", "UNKNOWN_GATEWAY_ERROR"),
-    }
-    done = run(state(spark, tables=[("cat", "sch", n, "MANAGED", e) for n, (e, _) in texts.items()]), options(tmp_path, "INVENTORY"))
-    got = done.inventory.select("table", "table_type", "eligibility_reason", "row_filter_expression_text", "has_row_filter").collect()
-    assert {r.table: (r.row_filter_expression_text, r.eligibility_reason) for r in got} == texts
-    assert {r.table_type for r in got} == {"UNKNOWN"}
-    assert done.results is None
-    assert read_table(spark, f"{tmp_path}/inventory", schemas.INVENTORY).count() == 5
 
 
 def test_grants(spark, tmp_path):
-    rules = [("abac_rls_cat_sch_rf", "roles/tagPolicy.assigner", ["groups/g", "groups/h"])]
-    before = state(spark, filters=[FILTER], masks=[(T, "c1", MK)], rules=rules)
-    done = run(before, options(tmp_path, tag_grantee_principals=("groups/g",)))
+    role = "roles/tagPolicy.assigner"
+    rules = [
+        ("abac_rls_cat_sch_rf", role, ["groups/g", "groups/h", "groups/i"]),
+        # Two rules that only together cover what is wanted are not enough.
+        ("abac_colmask_cat_sch_mk", role, ["groups/g"]),
+        ("abac_colmask_cat_sch_mk", role, ["groups/h"]),
+    ]
+    before = state(spark, filters=[(key("tbl"), "cat.sch.rf", ["x"])], masks=[(key("tbl"), "c1", "cat.sch.mk")], rules=rules)
+    grantees = ("groups/g", "groups/h")
+    done = run(before, options(tmp_path, tag_grantee_principals=grantees))
     assert rows(done.tag_grants, "tag_key", "status") == [("abac_colmask_cat_sch_mk", "GRANTED"), ("abac_rls_cat_sch_rf", "ALREADY_GRANTED")]
-    assert done.state.grant_rules.count() == 2
+    assert done.state.grant_rules.count() == 4
     assert read_table(spark, f"{tmp_path}/tag_grants", schemas.TAG_GRANTS).count() == 2
-    again = run(done.state, options(tmp_path, "APPLY_ABAC", run_id="r2", tag_grantee_principals=("groups/g",)))
-    # Nothing is left to migrate, so no tag is resolved and nothing granted.
-    assert again.tag_grants.isEmpty()
-    dry = run(before, options(tmp_path, dry_run=True, tag_grantee_principals=("groups/g",)))
+    dry = run(before, options(tmp_path, dry_run=True, tag_grantee_principals=grantees))
     assert {r.status for r in dry.tag_grants.collect()} == {"WOULD_GRANT"}
 
 
-def test_two_rules_that_only_together_cover_are_not_enough(spark, tmp_path):
-    role = "roles/tagPolicy.assigner"
-    rules = [("abac_rls_cat_sch_rf", role, ["groups/g"]), ("abac_rls_cat_sch_rf", role, ["groups/h"])]
-    done = run(state(spark, filters=[FILTER], rules=rules), options(tmp_path, tag_grantee_principals=("groups/g", "groups/h")))
-    assert rows(done.tag_grants, "status") == [("GRANTED",)]
-
-
 def test_catalog_scope_shares_one_policy(spark, tmp_path):
-    others = [("cat", "sch", f"t{i}") for i in range(3)]
-    before = state(spark, tables=[(*t, "MANAGED", None) for t in others], filters=[(t, RF, ["region"]) for t in others],
-                   masks=[(t, "ssn", MK) for t in others])
+    tables = [key(f"t{i}") for i in range(3)]
+    before = state(
+        spark, [(*t, "MANAGED", None) for t in tables], [(t, "cat.sch.rf", ["region"]) for t in tables],
+        [(t, "ssn", "cat.sch.mk") for t in tables],
+    )
     done = run(before, options(tmp_path, policy_scope="CATALOG"))
     assert {r.status for r in done.results.collect()} == {"SUCCESS"}
     assert rows(done.state.policies, "on_securable", "policy_name") == [
         ("CATALOG `cat`", "abac_colmask_cat_sch_mk"), ("CATALOG `cat`", "abac_rls_cat_sch_rf"),
     ]
     again = run(done.state, options(tmp_path, policy_scope="CATALOG", run_id="r2"))
-    assert {s for s, in rows(again.steps, "status")} == {"ALREADY_MIGRATED"}
-    assert again.steps.count() == 6
-
-
-def test_keys_of_steps(spark, tmp_path):
-    done = run(state(spark, filters=[FILTER]), options(tmp_path))
-    assert rows(done.steps, *KEY) == [T]
+    assert [r.status for r in again.steps.collect()] == ["ALREADY_MIGRATED"] * 6
