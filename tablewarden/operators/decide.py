@@ -45,11 +45,14 @@ def legacy_objects(row_filters: DataFrame, masks: DataFrame) -> DataFrame:
     )
 
 
-def applicable_objects(row_filters: DataFrame, masks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Objects with an old rule, a policy of an earlier run, or both.
+def applicable_objects(
+    row_filters: DataFrame, masks: DataFrame, existing: DataFrame, tables: DataFrame | None = None
+) -> DataFrame:
+    """Objects with an old rule, a policy of an earlier run, or both; of *tables* only if given.
 
     Each side has one row per object, so a union and one aggregation by object
-    bring them together in a single shuffle.
+    bring them together.  The semi join shuffles by table, which the
+    aggregation can use as it is.
     """
     found = existing.select(
         *KEY,
@@ -59,6 +62,8 @@ def applicable_objects(row_filters: DataFrame, masks: DataFrame, existing: DataF
         F.col("function_fqn").alias("existing_function"),
     )
     sides = legacy_objects(row_filters, masks).unionByName(found, allowMissingColumns=True)
+    if tables is not None:
+        sides = sides.join(tables.select(*KEY), KEY, "left_semi")
     return sides.groupBy(*OBJECT).agg(
         *[
             F.first(c, ignorenulls=True).alias(c)
@@ -82,6 +87,7 @@ def plan_objects(
     functions: DataFrame,
     scope: str = "TABLE",
     team_prefix: str = "",
+    tables: DataFrame | None = None,
 ) -> DataFrame:
     """Decision per object: PROCEED, ALREADY_MIGRATED, NOT_ELIGIBLE or FAILED.
 
@@ -93,7 +99,7 @@ def plan_objects(
         "on_securable", "policy_name", F.lit(True).alias("listed"), F.col("function_fqn").alias("described_function")
     )
     objects = (
-        applicable_objects(row_filters, masks, existing)
+        applicable_objects(row_filters, masks, existing, tables)
         .withColumn("on_securable", securable(scope))
         .withColumn("policy_name", policy_name(scope, team_prefix))
         .join(named, ["on_securable", "policy_name"], "left")
@@ -222,8 +228,8 @@ def outcomes(objects: DataFrame, phase: str = "FULL", dry_run: bool = False) ->
         text = F.lit(None).cast("string")
     else:
         attempted = go & ~F.col("tag_missing")
-        keeps = attempted & ~yes("create_failed")
-        created = keeps if not dry_run else F.lit(False)
+        keeps = attempted if dry_run else attempted & ~yes("create_failed")
+        created = F.lit(False) if dry_run else keeps
         text = F.lit(None).cast("string") if dry_run else F.when(attempted, definition_text())
     message = (
         F.when(failed("LEGACY_REMOVAL_FAILED"), F.col("removal_error"))

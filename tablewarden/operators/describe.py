@@ -28,7 +28,7 @@ def _function_fqn(text):
 
 def table_types(dump: DataFrame) -> DataFrame:
     """Table kind per table, ``MANAGED`` where the dump does not say; the last line wins."""
-    is_type = F.trim("name") == TYPE_LABEL
+    is_type = (F.trim("name") == TYPE_LABEL) & (F.length("value") > 0)
     return dump.groupBy(*KEY).agg(
         F.coalesce(F.max_by(F.when(is_type, F.trim("value")), F.when(is_type, F.col("pos"))), F.lit("MANAGED")).alias(
             "table_type"

@@ -71,22 +71,31 @@ def _existing_on_catalog(policies: DataFrame, column_tags: DataFrame, team_prefi
 def with_match_columns(planned: DataFrame, resolved: DataFrame) -> DataFrame:
     """Adds ``match_columns`` (in argument order) and ``tag_missing`` to planned objects.
 
-    ``resolved`` is what the tag step could resolve.  It is gathered into one
-    small map per table and role, as long as the table has governed columns.
+    ``resolved`` is what the tag step could resolve.  A mask meets the tag of
+    its own column; a filter is taken apart into its arguments and put together
+    again, so no row ever carries the tags of a whole table.
     """
     match = F.struct("tag_key", "tag_value", "alias", F.col("column").alias("source_column"))
-    by_table = resolved.groupBy(*KEY, "role").agg(
-        F.map_from_entries(F.collect_set(F.struct("column", match.alias("m")))).alias("tags")
-    )
+    tags = resolved.select(*KEY, "column", "role", match.alias("m"))
     is_filter = F.col("object_type") == ROW_FILTER
-    columns = F.when(is_filter, F.col("using_columns")).otherwise(F.array("masked_column"))
-    return (
-        planned.withColumn("role", F.when(is_filter, "row_filter").otherwise("mask"))
-        .join(by_table, [*KEY, "role"], "left")
-        .withColumn("match_columns", F.transform(columns, lambda c: F.try_element_at("tags", c)))
-        .withColumn("tag_missing", F.exists("match_columns", lambda m: m.isNull()))
-        .drop("tags", "role")
+
+    of_masks = tags.where(F.col("role") == "mask").select(*KEY, F.col("column").alias("slot"), "m")
+    masks = planned.where(~is_filter).join(of_masks, [*KEY, "slot"], "left")
+    masks = masks.select(*planned.columns, F.array("m").alias("match_columns"))
+
+    filters = planned.where(is_filter)
+    arguments = filters.select("*", F.posexplode_outer("using_columns").alias("n", "column"))
+    of_filters = tags.where(F.col("role") == "row_filter").drop("role")
+    filters = (
+        arguments.join(of_filters, [*KEY, "column"], "left")
+        .groupBy(*planned.columns)
+        .agg(F.sort_array(F.collect_list(F.struct("n", "m"))).alias("args"))
+        .select(
+            *planned.columns,
+            F.transform(F.filter("args", lambda a: a["n"].isNotNull()), lambda a: a["m"]).alias("match_columns"),
+        )
     )
+    return masks.unionByName(filters).withColumn("tag_missing", F.exists("match_columns", lambda m: m.isNull()))
 
 
 def plan_policies(objects: DataFrame, scope: str, to: list[str], except_: list[str]) -> DataFrame:

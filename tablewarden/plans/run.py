@@ -74,50 +74,70 @@ class RunResult:
     audit: DataFrame | None = None
 
 
-def tables_in_scope(state: GovernanceState, options: RunOptions) -> DataFrame:
-    """Tables selected by the options; a named table that is not listed is kept."""
-    names = None
+def named_tables(state: GovernanceState, options: RunOptions) -> DataFrame:
+    """Keys of the tables that the options name, listed or not."""
+    names = state.tables.sparkSession.createDataFrame([(n,) for n in options.tables], "name string")
+    wrong = [r.error_message for r in parse_table_names(names).where("error_message is not null").collect()]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return resolve_scope(state.tables, "SPECIFIC_TABLES", names=names)
+
+
+def scoped(df: DataFrame, state: GovernanceState, options: RunOptions) -> DataFrame:
+    """Rows of a frame with table keys that are in scope.
+
+    All scopes but named tables are predicates on catalog and schema, which
+    reach the frame's own scan.
+    """
     if options.scope_type == "SPECIFIC_TABLES":
-        spark = state.tables.sparkSession
-        names = spark.createDataFrame([(n,) for n in options.tables], "name string")
-        wrong = [r.error_message for r in parse_table_names(names).where("error_message is not null").collect()]
-        if wrong:
-            raise ValueError("; ".join(wrong))
-    scope = resolve_scope(
-        state.tables, options.scope_type, list(options.catalogs), options.schemas, names, options.exclude_schema_regex
+        return df.join(named_tables(state, options), KEY, "left_semi")
+    return resolve_scope(
+        df, options.scope_type, list(options.catalogs), options.schemas, exclude_schema_regex=options.exclude_schema_regex
     )
-    if names is None:
-        return scope
-    return scope.join(state.tables, KEY, "left").select(
+
+
+def tables_in_scope(state: GovernanceState, options: RunOptions) -> DataFrame:
+    """Tables selected by the options; a named table that is not listed is kept."""
+    if options.scope_type != "SPECIFIC_TABLES":
+        return scoped(state.tables, state, options)
+    return named_tables(state, options).join(state.tables, KEY, "left").select(
         *KEY, F.coalesce("table_type", F.lit("MANAGED")).alias("table_type"), "describe_error"
     )
 
 
 def existing_of(state: GovernanceState, options: RunOptions) -> DataFrame:
-    return existing_policies(state.policies, options.policy_scope, state.column_tags, options.tag_team_prefix)
+    found = existing_policies(
+        state.policies, options.policy_scope, scoped(state.column_tags, state, options), options.tag_team_prefix
+    )
+    return scoped(found, state, options) if options.policy_scope == "TABLE" else found
 
 
-def inventory_of(tables: DataFrame, state: GovernanceState, options: RunOptions) -> DataFrame:
+def inventory_of(
+    tables: DataFrame, state: GovernanceState, options: RunOptions, audit: DataFrame | None = None
+) -> DataFrame:
+    """Inventory of *tables*; with an audit log also the last status of each."""
     return build_inventory(
-        tables, state.row_filters, state.masks, existing_of(state, options), options.run_id, options.suggest_pii_tags
+        tables,
+        scoped(state.row_filters, state, options),
+        scoped(state.masks, state, options),
+        existing_of(state, options),
+        options.run_id,
+        options.suggest_pii_tags,
+        None if audit is None else audit_ops.latest_per_table(scoped(audit, state, options)),
     )
 
 
 def planned_objects(tables: DataFrame, state: GovernanceState, options: RunOptions) -> DataFrame:
     """Decisions for the objects of *tables*."""
-    keys = tables.select(*KEY)
-
-    def here(df: DataFrame) -> DataFrame:
-        return df.join(keys, KEY, "left_semi")
-
     return plan_objects(
-        here(state.row_filters),
-        here(state.masks),
-        here(existing_of(state, options)),
+        scoped(state.row_filters, state, options),
+        scoped(state.masks, state, options),
+        existing_of(state, options),
         state.policies,
         state.functions,
         options.policy_scope,
         options.tag_team_prefix,
+        tables,
     )
 
 
@@ -164,18 +184,17 @@ def next_state(
 
 
 def verify(tables: DataFrame, state: GovernanceState, options: RunOptions) -> DataFrame:
-    keys = tables.select(*KEY)
-    existing = existing_of(state, options).join(keys, KEY, "left_semi")
-    filters = state.row_filters.join(keys, KEY, "left_semi")
-    masks = state.masks.join(keys, KEY, "left_semi")
+    existing = existing_of(state, options)
     steps = verify_row_filters(
-        filters, existing, state.policies, options.policy_scope, options.tag_team_prefix
-    ).unionByName(verify_masks(masks, existing))
+        scoped(state.row_filters, state, options), existing, state.policies, options.policy_scope, options.tag_team_prefix
+    ).unionByName(verify_masks(scoped(state.masks, state, options), existing))
     return verify_tables(tables, steps)
 
 
-def _migrate(tables: DataFrame, state: GovernanceState, options: RunOptions, faults: DataFrame | None) -> RunResult:
-    inventory = cut_lineage(inventory_of(tables, state, options))
+def _migrate(
+    tables: DataFrame, state: GovernanceState, options: RunOptions, faults: DataFrame | None, audit: DataFrame | None
+) -> RunResult:
+    inventory = cut_lineage(inventory_of(tables, state, options, audit))
     append_inventory(inventory, options.inventory_path, options.dry_run)
     if options.phase is None:
         return RunResult(options, state, inventory)
@@ -235,8 +254,11 @@ def _rollback(state: GovernanceState, options: RunOptions, audit: DataFrame) ->
 def run(
     state: GovernanceState, options: RunOptions, faults: DataFrame | None = None, audit: DataFrame | None = None
 ) -> RunResult:
-    """Run one mode.  *audit* defaults to the table at ``options.audit_path``.
+    """Run one mode.
 
+    *audit* is the log that RECONCILE and ROLLBACK read, by default the table
+    at ``options.audit_path``; given to other modes, it fills the inventory's
+    last status.
     INVENTORY and the migrating modes append to their tables unless dry; VERIFY
     and RECONCILE only return results; ROLLBACK undoes ``options.run_id``.
     Intermediate frames go to the folder that executors share.
@@ -250,4 +272,4 @@ def run(
         return RunResult(options, state, results=verify(tables, state, options))
     if options.mode == "RECONCILE":
         return RunResult(options, state, results=detect_drift(tables, audit, verify(tables, state, options)))
-    return _migrate(tables, state, options, faults)
+    return _migrate(tables, state, options, faults, audit)

@@ -185,7 +185,7 @@ def test_conflicting_policy(full):
     assert full.policies[(on("conflict"), "abac_migrated_row_filter")].function_fqn == "cat.sch.other"
 
 
-def test_listed_but_not_described_policy_is_no_conflict(full, finalized):
+def test_listed_but_not_described_policy_is_no_conflict(full):
     assert full.status("listed") == ("SUCCESS", None)
 
 
@@ -255,6 +255,13 @@ def test_audit_has_one_row_per_object(spark, folder, full):
     )
 
 
+def test_inventory_shows_the_last_status(spark, folder, full):
+    log = read_table(spark, f"{folder}/audit", schemas.AUDIT).where("run_id = 'r1'")
+    again = run(full.result.state, options(folder, "INVENTORY", run_id="inv"), audit=log)
+    got = {r.table: r.current_migration_status for r in again.inventory.collect()}
+    assert (got["filter_only"], got["create_fails"], got["bare"]) == ("SUCCESS", "FAILED", None)
+
+
 def test_rerun_is_already_migrated(full, rerun):
     for name in ("filter_only", "masks_only", "both", "shared_mask"):
         assert rerun.tables[name].status == "ALREADY_MIGRATED"
@@ -267,7 +274,8 @@ def test_rerun_is_already_migrated(full, rerun):
 
 def test_dry_run_changes_nothing(spark, tmp_path):
     before = world(spark)
-    done = run(before, options(tmp_path, dry_run=True))
+    done = run(before, options(tmp_path, dry_run=True), all_faults(spark))
+    assert done.steps.where("`table` = 'create_fails' and rollback is not null").count() == 1
     got = {r.table: r for r in done.results.collect()}
     assert got["both"].status == "WOULD_MIGRATE" and got["both"].migration_phase == "DRY_RUN"
     assert got["gone_function"].status == "FAILED"
