@@ -29,8 +29,9 @@ _DOMAIN = {"Retail": "shop.example", "O2C": "partner.example"}
 class DemoData:
     """Tables of one demo catalog.
 
-    Odd ids are one unit, even ids the other, so an order's customer, rep and
-    product are picked among ids of the order's own parity.
+    Odd ids of customers, reps and orders are one unit, even ids the other; the
+    first half of the products belongs to Retail.  An order's customer and rep
+    are picked among ids of its own parity, its product from its unit's half.
     """
 
     def __init__(self, seed: str, n_customers: int = 20, n_reps: int = 10, n_products: int = 16):
@@ -48,8 +49,9 @@ class DemoData:
     def _digits(self, field: str, n: int) -> Column:
         return F.lpad(F.pmod(self._hash(field), F.lit(10**n)).cast("string"), n, "0")
 
-    def _date(self, field: str, year: int) -> Column:
-        return F.make_date(F.lit(year), self._int(field + "m", 1, 12).cast("int"), self._int(field + "d", 1, 28).cast("int"))
+    def _date(self, field: str, first_year: int, last_year: int | None = None) -> Column:
+        year = self._int(field + "y", first_year, last_year or first_year).cast("int")
+        return F.make_date(year, self._int(field + "m", 1, 12).cast("int"), self._int(field + "d", 1, 28).cast("int"))
 
     def _same_unit(self, field: str, n: int) -> Column:
         """An id in 1..n of the same parity as the row's id."""
@@ -70,16 +72,23 @@ class DemoData:
         user = F.lower(F.concat_ws(".", self._pick(field + "f", _FIRST), self._pick(field + "l", _LAST)))
         return F.concat(user, self._int(field + "n", 1, 999).cast("string"), F.lit("@"), domain)
 
+    def _place(self, row_id: str = "id") -> Column:
+        """City and state of a customer, from its id alone."""
+        places = F.array(*[F.struct(F.lit(c).alias("city"), F.lit(s).alias("state")) for c, s in _PLACES])
+        return F.element_at(places, self._int("place", 1, len(_PLACES), row_id).cast("int"))
+
+    def _is_retail_product(self, product_id: str) -> Column:
+        return F.col(product_id) <= self.n_products // 2
+
     def unit_price(self, product_id: str = "product_id") -> Column:
         """Price of a product, from its id alone, so that orders need no join for it."""
-        cents = F.when(F.col(product_id) % 2 == 0, self._int("price", 19_900, 4_999_900, product_id)).otherwise(
+        cents = F.when(self._is_retail_product(product_id), self._int("price", 19_900, 4_999_900, product_id)).otherwise(
             self._int("price", 5_000_000, 500_000_000, product_id)
         )
         return (cents.cast("decimal(14,0)") / 100).cast("decimal(12,2)")
 
     def customers(self, ids: DataFrame) -> DataFrame:
-        place = F.array(*[F.struct(F.lit(c).alias("city"), F.lit(s).alias("state")) for c, s in _PLACES])
-        at = F.element_at(place, self._int("place", 1, len(_PLACES)).cast("int"))
+        at = self._place()
         domain = F.when(F.col("id") % 2 == 0, _DOMAIN["Retail"]).otherwise(_DOMAIN["O2C"])
         letters = F.translate(self._digits("pan1", 5), "0123456789", "ABCDEFGHIJ")
         return ids.select(
@@ -103,26 +112,30 @@ class DemoData:
             self._email("rep", F.lit("sales.example")).alias("rep_email"),
             self._phone("repphone").alias("rep_phone"),
             self.unit().alias("business_unit"),
-            self._date("hired", 2023).alias("hire_date"),
+            self._date("hired", 2020, 2024).alias("hire_date"),
             self._pick("region", [c for c, _ in _PLACES]).alias("region"),
         )
 
     def products(self, ids: DataFrame) -> DataFrame:
-        name = F.when(F.col("id") % 2 == 0, self._pick("good", _GOODS["Retail"])).otherwise(self._pick("good", _GOODS["O2C"]))
+        retail = self._is_retail_product("id")
+        name = F.when(retail, self._pick("good", _GOODS["Retail"])).otherwise(self._pick("good", _GOODS["O2C"]))
         return ids.select(
             F.col("id").alias("product_id"),
             name.alias("product_name"),
-            F.when(F.col("id") % 2 == 0, "Household").otherwise("Petrochemicals").alias("category"),
+            F.when(retail, "Household").otherwise("Petrochemicals").alias("category"),
             self.unit_price("id").alias("unit_price"),
-            self.unit().alias("business_unit"),
+            F.when(retail, "Retail").otherwise("O2C").alias("business_unit"),
         )
 
     def orders(self, ids: DataFrame) -> DataFrame:
+        half = self.n_products // 2
+        product = F.pmod(self._hash("product"), F.lit(half)) + F.when(F.col("id") % 2 == 0, 1).otherwise(half + 1)
+        at = self._place("customer_id")
         picked = ids.select(
             "id",
             self._same_unit("customer", self.n_customers).alias("customer_id"),
             self._same_unit("rep", self.n_reps).alias("rep_id"),
-            self._same_unit("product", self.n_products).alias("product_id"),
+            product.alias("product_id"),
             self._int("quantity", 1, 20).cast("int").alias("quantity"),
         )
         return picked.select(
@@ -134,7 +147,9 @@ class DemoData:
             "quantity",
             (F.col("quantity") * self.unit_price()).cast("decimal(14,2)").alias("order_amount"),
             self.unit().alias("business_unit"),
-            F.concat_ws(" ", self._int("dock", 1, 999).cast("string"), F.lit("Logistics Park")).alias("shipping_address"),
+            F.concat(
+                self._int("dock", 1, 999).cast("string"), F.lit(" "), at["city"], F.lit(" Logistics Park, "), at["state"]
+            ).alias("shipping_address"),
         )
 
     def payments(self, orders: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +15,22 @@ from tablewarden.sources.schemas import AUDIT, INVENTORY, TAG_GRANTS, conform, s
 _MAX_ROWS_PER_FILE = 5_000_000
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="tablewarden-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new sub-folder of the folder that all executors share.
 
     The session names it in ``spark.checkpoint.dir``.  Only a local session
     may do without: driver and executors are one process there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tablewarden-")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/tablewarden-{uuid.uuid4().hex}"
 
 

@@ -272,6 +272,14 @@ def test_demo_domain(spark):
     again = generate.DemoData("cat-a").orders(generate.ids(spark, 30))
     assert checks.parity_difference(orders, again).isEmpty()
     assert not checks.parity_difference(orders, generate.DemoData("cat-b").orders(generate.ids(spark, 30))).isEmpty()
+    products = data.products(generate.ids(spark, 16))
+    assert rows(products.groupBy("business_unit").agg(F.max("product_id").alias("last")), "business_unit", "last") == [("O2C", 16), ("Retail", 8)]
+    joined = orders.join(customers, "customer_id").join(products, "product_id").join(data.sales_reps(generate.ids(spark, 10)), "rep_id")
+    assert joined.where(orders["business_unit"] != customers["business_unit"]).isEmpty()
+    assert joined.where(orders["business_unit"] != products["business_unit"]).isEmpty()
+    assert joined.where(orders["order_amount"] != orders["quantity"] * products["unit_price"]).isEmpty()
+    assert joined.where(~F.endswith(orders["shipping_address"], customers["state"])).isEmpty()
+    assert joined.count() == 30
     assert orders.schema["order_amount"].dataType.simpleString() == "decimal(14,2)"
     assert orders.agg(F.min("order_date")).first()[0] >= dt.date(2025, 1, 1)
 

@@ -225,16 +225,22 @@ def test_wrong_options(bad):
         RunOptions(**{"scope_type": "ALL_CATALOGS", **bad})
 
 
-def test_shared_folder_needs_a_setting_off_local(spark, monkeypatch):
+def test_shared_folder(spark, tmp_path, monkeypatch):
     class Remote:
-        conf = spark.conf
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
 
         class sparkContext:  # noqa: N801
             master = "yarn"
-
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-            store.shared_folder(Remote)
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_folder(Remote)
+    monkeypatch.setattr(Remote.sparkContext, "getCheckpointDir", lambda: str(tmp_path))
+    assert store.shared_folder(Remote).startswith(str(tmp_path))
+    monkeypatch.setattr(Remote.conf, "get", lambda key, default: "hdfs://shared/cp/")
+    assert store.shared_folder(Remote).startswith("hdfs://shared/cp/tablewarden-")
+    assert store.shared_folder(spark) != store.shared_folder(spark)
 
 
 def test_list_session_tables(spark):
