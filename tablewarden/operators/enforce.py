@@ -55,7 +55,10 @@ class SecurityState:
 
 @dataclass(frozen=True)
 class Rules:
-    """What acts on one table: ``(function, columns)`` filters and ``{column: function}`` masks."""
+    """What acts on one table: ``(function, columns)`` filters and ``{column: function}`` masks.
+
+    Columns are in lower case, as Spark takes them.
+    """
 
     filters: tuple[tuple[str, tuple[str, ...]], ...]
     masks: dict[str, str]
@@ -75,13 +78,17 @@ def rules_on(table: tuple[str, str, str], state: SecurityState, who: Who) -> Rul
     filters: dict[tuple[str, tuple[str, ...]], None] = {}
     masks: dict[str, str] = {}
 
+    def add_filter(function: str, columns: list[str]) -> None:
+        filters[(function, tuple(c.lower() for c in columns))] = None
+
     def add_mask(column: str, function: str) -> None:
+        column = column.lower()
         if masks.setdefault(column, function) != function:
             raise ConflictingMasks(f"{'.'.join(table)}.{column}: {masks[column]} and {function}")
 
     if state.row_filters is not None:
         for r in _on(state.row_filters, table).select("function_fqn", "using_columns").collect():
-            filters[(r.function_fqn, tuple(r.using_columns))] = None
+            add_filter(r.function_fqn, r.using_columns)
     if state.masks is not None:
         for r in _on(state.masks, table).select("column", "function_fqn").collect():
             add_mask(r["column"], r["function_fqn"])
@@ -115,7 +122,7 @@ def rules_on(table: tuple[str, str, str], state: SecurityState, who: Who) -> Rul
                 several = {a: c for a, c in aliases.items() if len(c) > 1}
                 if several:
                     raise AmbiguousColumnMatch(f"{'.'.join(table)} {r.policy_name}: {several}")
-                filters[(r.function_fqn, tuple(aliases[a][0] for a in r.using_columns))] = None
+                add_filter(r.function_fqn, [aliases[a][0] for a in r.using_columns])
     return Rules(tuple(filters), masks)
 
 
@@ -134,12 +141,16 @@ def apply_row_filters(df: DataFrame, filters, functions: Registry, who: Who) ->
 
 
 def apply_masks(df: DataFrame, masks: Mapping[str, str], functions: Registry, who: Who) -> DataFrame:
-    """Every masked column replaced in one projection; names, order and types stay."""
+    """Every masked column replaced in one projection; names, order and types stay.
+
+    Column names match without regard to case, so that none slips through.
+    """
+    by_column = {c.lower(): fn for c, fn in masks.items()}
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
-        if field.name in masks:
-            fn = _lookup(functions, masks[field.name])
+        if field.name.lower() in by_column:
+            fn = _lookup(functions, by_column[field.name.lower()])
             mask = unless_admin(fn.mask, fn.admin_bypass and who.is_admin)
             c = mask(c, field.dataType).cast(field.dataType).alias(field.name)
         out.append(c)

@@ -29,7 +29,7 @@ POLICIES = (
     "to_principals array<string>, except_principals array<string>, comment string"
 )
 
-# Persisted tables: 20, 22 and 9 columns.
+# Columns and types of the persisted tables (20, 22 and 9 columns).
 INVENTORY = (
     f"run_id string, inventoried_at timestamp, {_KEY}, full_name string, table_type string, "
     "has_row_filter boolean, row_filter_function string, row_filter_columns array<string>, "

@@ -205,6 +205,12 @@ def test_two_masks_on_a_column_and_unknown_functions(spark, people, membership):
         secure(people, TABLE, security(spark, membership, masks=[("email", "f.none")]), "r@x")
 
 
+def test_column_names_match_without_regard_to_case(spark, people, membership):
+    state = security(spark, membership, filters=[("f.unit", ["UNIT"])], masks=[("EMAIL", "f.redact"), ("email", "f.redact")])
+    seen = secure(people.withColumnRenamed("email", "eMail"), TABLE, state, "r@x")
+    assert ids(seen) == [1, 3] and {r.eMail for r in seen.collect()} == {"REDACTED"}
+
+
 def test_filters_read_raw_values(spark, people, membership):
     """The filter column may be masked too: the filter sees the value behind the mask."""
     state = security(spark, membership, filters=[("f.unit", ["unit"])], masks=[("unit", "f.redact")])

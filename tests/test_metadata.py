@@ -86,6 +86,16 @@ def test_specific_tables_in_a_run(spark, tmp_path):
         run(before, options(tmp_path, scope_type="SPECIFIC_TABLES", tables=("cat.tbl",)))
 
 
+def test_a_run_stays_in_its_scope(spark, tmp_path):
+    keys = [("a", "s1", "t"), ("a", "s2", "t"), ("b", "s1", "t"), ("a", "tmp_s", "t")]
+    before = state(spark, [(*k, "MANAGED", None) for k in keys], [(k, "a.s1.rf", ["x"]) for k in keys])
+    done = run(before, options(tmp_path, scope_type="SELECTED_CATALOGS", catalogs=("a",), exclude_schema_regex="^tmp"))
+    assert rows(done.results, "catalog", "schema", "status") == [("a", "s1", "SUCCESS"), ("a", "s2", "SUCCESS")]
+    assert rows(done.state.row_filters, "catalog", "schema") == [("a", "tmp_s"), ("b", "s1")]
+    checked = run(done.state, options(tmp_path, "VERIFY", scope_type="SELECTED_SCHEMAS", schemas={"a": ["s1", "tmp_s"]}))
+    assert rows(checked.results, "schema", "status") == [("s1", "SUCCESS"), ("tmp_s", "FAILED")]
+
+
 @pytest.mark.parametrize(
     ("message", "scope", "action"),
     [

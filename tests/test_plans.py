@@ -69,3 +69,10 @@ def test_sample_limits_units_before_the_shuffle(people, spark, membership):
 def test_parity_needs_one_shuffle(people):
     text = plan(checks.parity_difference(people, people.where("id > 5")))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_a_table_partitioned_by_the_filter_column_is_pruned(spark, people, membership, tmp_path):
+    people.write.partitionBy("unit").parquet(f"{tmp_path}/by_unit")
+    df = spark.read.parquet(f"{tmp_path}/by_unit")
+    text = plan(filter_by_group(df, "unit", {"u1": "g1"}, resolve_who(membership, "p")))
+    assert "PartitionFilters: [isnotnull(unit" in text or "PartitionFilters: [(unit" in text or "PartitionFilters: [unit" in text
