@@ -14,7 +14,7 @@ from tablewarden.functions.names import (
     securable,
 )
 from tablewarden.operators.catalog import function_status
-from tablewarden.operators.policies import definition_text
+from tablewarden.operators.policies import definition_text, table_policies_by_object
 
 PHASES = ("FULL", "APPLY_ABAC", "FINALIZE")
 
@@ -46,13 +46,18 @@ def legacy_objects(row_filters: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def applicable_objects(
-    row_filters: DataFrame, masks: DataFrame, existing: DataFrame, tables: DataFrame | None = None
+    row_filters: DataFrame,
+    masks: DataFrame,
+    existing: DataFrame,
+    tables: DataFrame | None = None,
+    named: DataFrame | None = None,
 ) -> DataFrame:
     """Objects with an old rule, a policy of an earlier run, or both; of *tables* only if given.
 
     Each side has one row per object, so a union and one aggregation by object
     bring them together.  The semi join shuffles by table, which the
-    aggregation can use as it is.
+    aggregation can use as it is.  *named* (object and ``described_function``)
+    only adds that column.
     """
     found = existing.select(
         *KEY,
@@ -62,14 +67,14 @@ def applicable_objects(
         F.col("function_fqn").alias("existing_function"),
     )
     sides = legacy_objects(row_filters, masks).unionByName(found, allowMissingColumns=True)
+    fields = ["legacy_function", "using_columns", "position", "existing_name", "existing_function"]
+    if named is not None:
+        fields.append("described_function")
+        sides = sides.unionByName(named.select(*OBJECT, "described_function"), allowMissingColumns=True)
     if tables is not None:
         sides = sides.join(tables.select(*KEY), KEY, "left_semi")
-    return sides.groupBy(*OBJECT).agg(
-        *[
-            F.first(c, ignorenulls=True).alias(c)
-            for c in ("legacy_function", "using_columns", "position", "existing_name", "existing_function")
-        ]
-    )
+    objects = sides.groupBy(*OBJECT).agg(*[F.first(c, ignorenulls=True).alias(c) for c in fields])
+    return objects.where(F.col("legacy_function").isNotNull() | F.col("existing_function").isNotNull())
 
 
 def policy_name(scope: str, team_prefix: str = "", function: str = "legacy_function") -> Column:
@@ -95,17 +100,16 @@ def plan_objects(
     stopped half-way is taken up again.  A policy row without a function is one
     that is listed but cannot be described.
     """
-    named = policies.select(
-        "on_securable", "policy_name", F.lit(True).alias("listed"), F.col("function_fqn").alias("described_function")
-    )
-    objects = (
-        applicable_objects(row_filters, masks, existing, tables)
-        .withColumn("on_securable", securable(scope))
-        .withColumn("policy_name", policy_name(scope, team_prefix))
-        .join(named, ["on_securable", "policy_name"], "left")
-        .withColumn("function_fqn", F.col("legacy_function"))
-    )
-    checked = function_status(objects, functions)
+    names = {"on_securable": securable(scope), "policy_name": policy_name(scope, team_prefix)}
+    if scope == "TABLE":
+        # The policy of an object's name sits on the object's own table.
+        named = table_policies_by_object(policies, team_prefix).withColumnRenamed("function_fqn", "described_function")
+        objects = applicable_objects(row_filters, masks, existing, tables, named).withColumns(names)
+    else:
+        named = policies.select("on_securable", "policy_name", F.col("function_fqn").alias("described_function"))
+        objects = applicable_objects(row_filters, masks, existing, tables).withColumns(names)
+        objects = objects.join(named, ["on_securable", "policy_name"], "left")
+    checked = function_status(objects.withColumn("function_fqn", F.col("legacy_function")), functions)
 
     legacy = F.col("legacy_function").isNotNull()
     described = F.col("described_function").isNotNull()

@@ -30,21 +30,34 @@ def existing_policies(policies: DataFrame, scope: str, column_tags: DataFrame, t
     return _existing_on_catalog(policies, column_tags, team_prefix)
 
 
-def _existing_on_table(policies: DataFrame, team_prefix: str) -> DataFrame:
+def table_policies_by_object(policies: DataFrame, team_prefix: str = "") -> DataFrame:
+    """TABLE-scoped policies of our names with the object that each name stands for.
+
+    The table is read off the securable, the object off the name, so this is a
+    projection: no join with tables.
+    """
     prefix = mask_policy_prefix(team_prefix)
     is_filter = F.col("policy_name") == row_filter_policy_name(F.lit(""), "TABLE", team_prefix)
-    is_mask = (F.col("policy_type") == COLUMN_MASK) & F.startswith("policy_name", F.lit(prefix))
-    on_table = F.startswith("on_securable", F.lit("TABLE "))
+    is_mask = F.startswith("policy_name", F.lit(prefix))
     key = F.regexp_extract_all("on_securable", F.lit("`([^`]+)`"), 1)
-    return policies.where(F.col("function_fqn").isNotNull() & on_table & (is_filter | is_mask)).select(
+    return policies.where(F.startswith("on_securable", F.lit("TABLE ")) & (is_filter | is_mask)).select(
         *[F.get(key, F.lit(i)).alias(k) for i, k in enumerate(KEY)],
         F.when(is_filter, ROW_FILTER).otherwise(COLUMN_MASK).alias("object_type"),
-        F.when(~is_filter, F.substring("policy_name", len(prefix) + 1, 10_000)).alias("masked_column"),
+        F.when(is_filter, "").otherwise(F.substring("policy_name", len(prefix) + 1, 10_000)).alias("slot"),
+        "policy_type",
         "policy_name",
         "function_fqn",
     )
 
 
+def _existing_on_table(policies: DataFrame, team_prefix: str) -> DataFrame:
+    ours = table_policies_by_object(policies.where(F.col("function_fqn").isNotNull()), team_prefix)
+    is_filter = F.col("object_type") == ROW_FILTER
+    return ours.where(is_filter | (F.col("policy_type") == COLUMN_MASK)).select(
+        *KEY, "object_type", F.when(~is_filter, F.col("slot")).alias("masked_column"), "policy_name", "function_fqn"
+    )
+
+
 def _existing_on_catalog(policies: DataFrame, column_tags: DataFrame, team_prefix: str) -> DataFrame:
     named = policies.where(F.col("function_fqn").isNotNull()).select("on_securable", "policy_name", "function_fqn")
 
