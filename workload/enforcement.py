@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions import masks as m
+from tablewarden.functions.names import KEY
 from tablewarden.operators import checks, matching
 from tablewarden.operators.enforce import MaskFunction, SecurityState, apply_masks, secure
 from tablewarden.operators.membership import is_member, resolve_who
@@ -226,7 +227,7 @@ def _matches(f: Frames) -> DataFrame:
 
 @query("X-01_match_columns", f"SELECT {KEY_OUT}, on_securable, policy_name, alias, col AS \"column\" FROM matches", {"matches": _MATCHES})
 def match_columns(f: Frames) -> DataFrame:
-    return _matches(f).select(*schemas_key(), "on_securable", "policy_name", "alias", "column")
+    return _matches(f).select(*KEY, "on_securable", "policy_name", "alias", "column")
 
 
 @query("X-01_valued_tags", """
@@ -244,10 +245,6 @@ def valued_tags(f: Frames) -> DataFrame:
     return found.groupBy("tag_key", F.substring("alias", 4, 10).alias("wanted")).agg(F.count("*").alias("n_columns"))
 
 
-def schemas_key() -> list[str]:
-    return ["catalog", "schema", "table"]
-
-
 @query("X-02_ambiguous_matches", f"""
 SELECT {KEY_OUT}, on_securable, policy_name, alias, min(col) AS first_column, max(col) AS last_column, 'UC_ABAC_AMBIGUOUS_COLUMN_MATCH' AS error_code
 FROM matches WHERE policy_type = 'ROW_FILTER' GROUP BY cn, sn, tn, on_securable, policy_name, alias HAVING count(DISTINCT col) > 1""", {"matches": _MATCHES})
@@ -272,7 +269,6 @@ def customer_state(f: Frames, legacy: bool = False, policies: bool = True) -> Se
     old rules name the same functions.
     """
     spark = f.spark
-    key = {"catalog": CUSTOMERS[0], "schema": CUSTOMERS[1], "table": CUSTOMERS[2]}
     on_table = "TABLE `cat-0`.`s_0`.`customers`"
 
     def policy(securable: str, name: str, kind: str, fn: str, tag: str) -> tuple:
@@ -294,7 +290,6 @@ def customer_state(f: Frames, legacy: bool = False, policies: bool = True) -> Se
     def frame(data: list[tuple], ddl: str) -> DataFrame:
         return spark.createDataFrame(data, schemas.schema(ddl))
 
-    assert key["table"] == "customers"
     return SecurityState(
         membership=f.membership,
         functions={

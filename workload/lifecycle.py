@@ -96,8 +96,13 @@ def planned(f: Frames, options: RunOptions = TABLE) -> DataFrame:
 
 
 def resolved(f: Frames, options: RunOptions = TABLE, objects: DataFrame | None = None) -> DataFrame:
+    """Resolved requests, written out for queries that read them more than once."""
+    return cut_lineage(resolved_once(f, options, objects))
+
+
+def resolved_once(f: Frames, options: RunOptions = TABLE, objects: DataFrame | None = None) -> DataFrame:
     objects = planned(f, options) if objects is None else objects
-    return cut_lineage(resolved_tags(objects, f.state(options.policy_scope), options))
+    return resolved_tags(objects, f.state(options.policy_scope), options)
 
 
 def faults(f: Frames) -> DataFrame:
@@ -182,7 +187,7 @@ def key_errors(f: Frames) -> DataFrame:
 
 @query("T-05_new_tags", f"SELECT tkey AS tag_key, {DESCRIPTION} || min(fn) AS description FROM resolved WHERE resolution = 'MINTED' AND tkey NOT IN (SELECT tkey FROM governed) GROUP BY tkey", PLANNED)
 def new_tags(f: Frames) -> DataFrame:
-    return tags.minted_tags(resolved(f), f.governed_tags).select("tag_key", "description")
+    return tags.minted_tags(resolved_once(f), f.governed_tags).select("tag_key", "description")
 
 
 @query("T-06_collisions", f"""
@@ -197,13 +202,13 @@ _RESOLVED_OUT = f"""SELECT {KEY_OUT}, col AS "column", req_role AS role, tkey AS
 
 @query("T-06_resolved_tags", _RESOLVED_OUT, PLANNED)
 def resolved_all(f: Frames) -> DataFrame:
-    return resolved(f).drop("function_fqn", "error_code")
+    return resolved_once(f).drop("function_fqn", "error_code")
 
 
 @query("T-06_without_reuse", _RESOLVED_OUT, {**PLANNED, "reusable": "SELECT '' AS tn, '' AS col, '' AS rk, '' AS rv WHERE false"})
 def resolved_without_reuse(f: Frames) -> DataFrame:
     options = RunOptions(scope_type="ALL_CATALOGS", prefer_existing_tags=False, run_id="r1")
-    return resolved(f, options).drop("function_fqn", "error_code")
+    return resolved_once(f, options).drop("function_fqn", "error_code")
 
 
 @query("T-07_assigned_tags", f"""
@@ -218,7 +223,7 @@ def assigned(f: Frames) -> DataFrame:
 SELECT tkey AS tag_key, descr AS description FROM governed
 UNION ALL SELECT tkey, {DESCRIPTION} || min(fn) FROM resolved WHERE resolution = 'MINTED' AND tkey NOT IN (SELECT tkey FROM governed) GROUP BY tkey""", PLANNED)
 def created_tags(f: Frames) -> DataFrame:
-    return tags.create_tags(f.governed_tags, tags.minted_tags(resolved(f), f.governed_tags)).select("tag_key", "description")
+    return tags.create_tags(f.governed_tags, tags.minted_tags(resolved_once(f), f.governed_tags)).select("tag_key", "description")
 
 
 @query("T-08_aliases", 'SELECT DISTINCT col AS "column", \'mc_\' || col AS alias FROM tags')
@@ -246,7 +251,7 @@ _GRANTEES = "'servicePrincipals/00000000-0000-4000-8000-000000000001,groups/stew
 
 @query("T-10_grants", f"SELECT DISTINCT tkey AS tag_key, {_GRANTEES} AS principals, 'roles/tagPolicy.assigner' AS role FROM usable_tags", PLANNED)
 def grants(f: Frames) -> DataFrame:
-    return tags.grants(resolved(f), GRANT).withColumn("principals", F.array_join("principals", ","))
+    return tags.grants(resolved_once(f), GRANT).withColumn("principals", F.array_join("principals", ","))
 
 
 _GRANT_STATUS = """CASE WHEN length(tkey) % 11 = 0 THEN 'FAILED' WHEN tkey IN (SELECT tkey FROM governed WHERE length(tkey) % 2 = 0 AND length(tkey) % 3 <> 0) THEN 'ALREADY_GRANTED' ELSE 'GRANTED' END"""
