@@ -43,7 +43,7 @@ UNION ALL SELECT 'SELECTED_CATALOGS', cn, sn, tn FROM gov_tables WHERE cn IN ('c
 UNION ALL SELECT 'ALL_SCHEMAS', cn, sn, tn FROM gov_tables WHERE cn = 'cat-2'
 UNION ALL SELECT 'ALL_SCHEMAS_ANY', cn, sn, tn FROM gov_tables
 UNION ALL SELECT 'SELECTED_SCHEMAS', cn, sn, tn FROM gov_tables WHERE (cn = 'cat-1' AND sn IN ('s_1', 's_6')) OR (cn = 'cat-0' AND sn = 's_10')
-UNION ALL SELECT 'SPECIFIC_TABLES', cn, sn, tn FROM gov_tables WHERE tid % 9 = 0 AND tid % 10 <> 0 AND tid % 31 <> 0""")
+UNION ALL SELECT 'SPECIFIC_TABLES', cn, sn, tn FROM gov_tables WHERE tid % 10 <> 0 AND tid % 31 <> 0""")
 def scope(f: Frames) -> DataFrame:
     t = f.tables.select(*KEY)
     parts = {
@@ -52,7 +52,7 @@ def scope(f: Frames) -> DataFrame:
         "ALL_SCHEMAS": catalog.resolve_scope(t, "ALL_SCHEMAS", ["cat-2"]),
         "ALL_SCHEMAS_ANY": catalog.resolve_scope(t, "ALL_SCHEMAS"),
         "SELECTED_SCHEMAS": catalog.resolve_scope(t, "SELECTED_SCHEMAS", schemas={"cat-1": ["s_1", "s_6"], "cat-0": ["s_10"]}),
-        "SPECIFIC_TABLES": catalog.resolve_scope(t, "SPECIFIC_TABLES", names=_asked_names(f).where("tid % 9 = 0").select("name")),
+        "SPECIFIC_TABLES": catalog.resolve_scope(t, "SPECIFIC_TABLES", names=_asked_names(f).select("name")),
     }
     out = None
     for label, rows in parts.items():

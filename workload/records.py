@@ -383,23 +383,25 @@ def run_rollback(f: Frames) -> DataFrame:
 
 
 @query("G-01_generated_orders", """
-SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'Retail' ELSE 'O2C' END AS business_unit, count(*) AS n_orders, count(*) AS n_payments, 0 AS n_unit_mismatch, 0 AS n_amount_mismatch, true AS quantities_in_range FROM orders GROUP BY 1""")
+SELECT CASE WHEN (o_orderkey + 1) % 2 = 0 THEN 'Retail' ELSE 'O2C' END AS business_unit, count(*) AS n_orders, count(*) AS n_payments, 0 AS n_unit_mismatch, 0 AS n_amount_mismatch, true AS quantities_in_range FROM orders GROUP BY 1""")
 def generated_orders(f: Frames) -> DataFrame:
-    """As many generated orders as the test data has, checked against their customers, reps and products."""
-    ids = f.read("orders").select(F.col("o_orderkey").alias("id"))
-    n = 2000
-    data = generate.DemoData("cat-0", n_customers=n, n_reps=n, n_products=n)
-    some = f.spark.range(1, n + 1)
-    orders = data.orders(ids)
+    """As many generated rows as the test tables have, orders checked against their customers, reps and products."""
+
+    def ids(table: str, key: str) -> DataFrame:
+        return f.read(table).select((F.col(key) + 1).alias("id"))
+
+    people, reps, goods = ids("customer", "c_custkey"), ids("supplier", "s_suppkey"), ids("part", "p_partkey")
+    data = generate.DemoData("cat-0", n_customers=people.count(), n_reps=reps.count(), n_products=goods.count())
+    orders = data.orders(ids("orders", "o_orderkey"))
     payments = data.payments(orders).groupBy("business_unit").agg(F.count("*").alias("n_payments"))
 
     def units(df: DataFrame, key: str, alias: str, *more: str) -> DataFrame:
         return df.select(key, F.col("business_unit").alias(alias), *more)
 
     joined = (
-        orders.join(units(data.customers(some), "customer_id", "cu"), "customer_id", "left")
-        .join(units(data.sales_reps(some), "rep_id", "ru"), "rep_id", "left")
-        .join(units(data.products(some), "product_id", "pu", "unit_price"), "product_id", "left")
+        orders.join(units(data.customers(people), "customer_id", "cu"), "customer_id", "left")
+        .join(units(data.sales_reps(reps), "rep_id", "ru"), "rep_id", "left")
+        .join(units(data.products(goods), "product_id", "pu", "unit_price"), "product_id", "left")
     )
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("business_unit")) for c in ("cu", "ru", "pu")])
     amount = (F.col("quantity") * F.col("unit_price")).cast("decimal(14,2)")
