@@ -22,13 +22,18 @@ def parity_difference(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def hand_out(
-    units: DataFrame, unit: str, value_to_group: DataFrame, membership: DataFrame, admin_group: str = ADMIN_GROUP
+    units: DataFrame,
+    unit: str,
+    value_to_group: DataFrame,
+    membership: DataFrame,
+    admin_group: str = ADMIN_GROUP,
+    key: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows of *units*, each once per principal that may see its unit (adds ``principal``).
 
     *units* should be small per unit (counts, first rows): it is what gets
     multiplied.  Administrators see every unit, NULL and unmapped ones included.
-    The rows must differ from each other.
+    *key* tells the rows of *units* apart, by default the unit does.
     """
     mapped = units.join(value_to_group, units[unit] == value_to_group["value"], "left")
     groups = F.filter(F.array("group_name", F.lit(admin_group)), lambda g: g.isNotNull())
@@ -36,7 +41,7 @@ def hand_out(
         mapped.select(*units.columns, F.explode(groups).alias("group_name"))
         .join(membership.select(F.col("member_email").alias("principal"), "group_name"), "group_name")
         .select("principal", *units.columns)
-        .distinct()
+        .dropDuplicates(["principal", *(key or (unit,))])
     )
 
 
@@ -80,7 +85,7 @@ def sample_per_principal(
     heads = df.withColumn("__rn", F.row_number().over(per_unit)).where(F.col("__rn") <= n)
     per_principal = Window.partitionBy("principal").orderBy(key)
     return (
-        hand_out(heads, unit, value_to_group, membership, admin_group)
+        hand_out(heads, unit, value_to_group, membership, admin_group, (unit, "__rn"))
         .withColumn("position", F.row_number().over(per_principal))
         .where(F.col("position") <= n)
         .drop("__rn")

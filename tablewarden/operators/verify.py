@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.names import COLUMN_MASK, KEY, ROW_FILTER, row_filter_policy_name, securable
 from tablewarden.operators.audit import latest_per_table
+from tablewarden.operators.policies import table_policies_by_object
 
 _FIELDS = [*KEY, "object_type", "masked_column", "status", "source_function", "target_policy_name", "error_code"]
 
@@ -16,25 +17,29 @@ def verify_row_filters(
 ) -> DataFrame:
     """Row filter per table: old rule gone and policy there is SUCCESS, both
     there ABAC_APPLIED, only the old rule FAILED; neither gives no row."""
-    described = policies.where(F.col("function_fqn").isNotNull()).select(
-        "on_securable", "policy_name", F.col("function_fqn").alias("policy_function")
+    described = policies.where(F.col("function_fqn").isNotNull())
+    old = row_filters.select(
+        *KEY,
+        securable(scope).alias("on_securable"),
+        row_filter_policy_name("function_fqn", scope, team_prefix).alias("wanted_name"),
+        F.lit(True).alias("legacy"),
     )
-    old = (
-        row_filters.select(
-            *KEY,
-            securable(scope).alias("on_securable"),
-            row_filter_policy_name("function_fqn", scope, team_prefix).alias("policy_name"),
+    if scope == "TABLE":
+        ours = table_policies_by_object(described, team_prefix).where(F.col("object_type") == ROW_FILTER)
+        old = old.join(ours.select(*KEY, F.col("function_fqn").alias("policy_function")), KEY, "left")
+    else:
+        named = described.select(
+            "on_securable", F.col("policy_name").alias("wanted_name"), F.col("function_fqn").alias("policy_function")
         )
-        .join(described, ["on_securable", "policy_name"], "left")
-        .select(*KEY, F.lit(True).alias("legacy"), F.col("policy_name").alias("wanted_name"), "policy_function")
-    )
+        old = old.join(named, ["on_securable", "wanted_name"], "left")
     found = existing.where(F.col("object_type") == ROW_FILTER).select(
         *KEY, F.col("policy_name").alias("found_name"), F.col("function_fqn").alias("found_function")
     )
     legacy = F.col("legacy").isNotNull()
     missing = legacy & F.col("policy_function").isNull()
     return (
-        old.join(found, KEY, "full_outer")
+        old.drop("on_securable")
+        .join(found, KEY, "full_outer")
         .select(
             *KEY,
             F.lit(ROW_FILTER).alias("object_type"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.names import KEY
@@ -74,6 +75,11 @@ class RunResult:
     audit: DataFrame | None = None
 
 
+def _now() -> Column:
+    """The time as a literal: a frame that is read again shows the time that was written."""
+    return F.lit(dt.datetime.now(dt.timezone.utc))
+
+
 def named_tables(state: GovernanceState, options: RunOptions) -> DataFrame:
     """Keys of the tables that the options name, listed or not."""
     names = state.tables.sparkSession.createDataFrame([(n,) for n in options.tables], "name string")
@@ -194,6 +200,7 @@ def verify(tables: DataFrame, state: GovernanceState, options: RunOptions) -> Da
 def _migrate(
     tables: DataFrame, state: GovernanceState, options: RunOptions, faults: DataFrame | None, audit: DataFrame | None
 ) -> RunResult:
+    started = _now()
     inventory = cut_lineage(inventory_of(tables, state, options, audit))
     append_inventory(inventory, options.inventory_path, options.dry_run)
     if options.phase is None:
@@ -210,9 +217,8 @@ def _migrate(
     results = table_results(steps)
     if not options.continue_on_error:
         results = until_first_failure(results)
-    now = F.current_timestamp()
     recorded = steps if options.continue_on_error else steps.join(results.select(*KEY), KEY, "left_semi")
-    rows = audit_ops.audit_rows(recorded, results, options.run_id, uuid.uuid4().hex, now, now, options.dry_run)
+    rows = audit_ops.audit_rows(recorded, results, options.run_id, uuid.uuid4().hex, started, _now(), options.dry_run)
     append_audit(rows, options.audit_path, options.dry_run)
     new_state = state if options.dry_run else next_state(state, steps, resolved, granted)
     return RunResult(options, new_state, inventory, steps, results, run_summary(results), granted, rows)
@@ -224,18 +230,18 @@ def _grant(resolved: DataFrame, state: GovernanceState, options: RunOptions) ->
         raise ValueError("granting needs grant_rules in the state")
     granted = grant_outcomes(wanted, state.grant_rules, options.dry_run)
     rows = granted.withColumns(
-        {"run_id": F.lit(options.run_id), "dry_run": F.lit(options.dry_run), "granted_at": F.current_timestamp()}
+        {"run_id": F.lit(options.run_id), "dry_run": F.lit(options.dry_run), "granted_at": _now()}
     )
     append_tag_grants(rows, options.tag_grants_path, options.dry_run)
     return granted
 
 
 def _rollback(state: GovernanceState, options: RunOptions, audit: DataFrame) -> RunResult:
+    started = _now()
     parsed = undo.parse_metadata(audit, options.run_id)
     steps = cut_lineage(undo.rollback_steps(undo.rollback_objects(parsed), state.functions, options.dry_run))
     results = undo.rollback_results(parsed, steps)
-    now = F.current_timestamp()
-    rows = undo.rollback_audit_rows(results, steps, options.run_id, uuid.uuid4().hex, now, now, options.dry_run)
+    rows = undo.rollback_audit_rows(results, steps, options.run_id, uuid.uuid4().hex, started, _now(), options.dry_run)
     new_state = state
     if not options.dry_run:
         rows = cut_lineage(rows)

@@ -246,6 +246,10 @@ def test_audit_has_one_row_per_object(spark, folder, full):
     got = {(r.table, r.masked_column): r for r in audit.collect()}
     step = got[("both", "c1")]
     assert (step.validation_status, step.migration_phase, step.target_policy_type) == ("PASSED", "FINALIZED", "COLUMN_MASK")
+    # Reading the returned rows again shows what was written.
+    returned = {(r.table, r.masked_column): r for r in full.result.audit.collect()}
+    assert {k: (r.attempt_id, r.completed_at) for k, r in returned.items()} == {k: (r.attempt_id, r.completed_at) for k, r in got.items()}
+    assert step.started_at < step.completed_at
     # Phase and validation are the table's, not the object's.
     assert (got[("partial", "c1")].status, got[("partial", "c1")].migration_phase) == ("SUCCESS", "FAILED")
     assert got[("filter_only", None)].rollback_metadata == (
