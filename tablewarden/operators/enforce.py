@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,60 +70,86 @@ def _on(df: DataFrame, table: tuple[str, str, str]) -> DataFrame:
     return df.where((F.col("catalog") == catalog) & (F.col("schema") == schema) & (F.col("table") == name))
 
 
-def rules_on(table: tuple[str, str, str], state: SecurityState, who: Who) -> Rules:
-    """Rules in force on one table for *who*.
-
-    Small jobs over rows of this one table; what reaches the driver is bounded
-    by the table's own columns, tags and rules.
-    """
-    filters: dict[tuple[str, tuple[str, ...]], None] = {}
-    masks: dict[str, str] = {}
-
-    def add_filter(function: str, columns: list[str]) -> None:
-        filters[(function, tuple(c.lower() for c in columns))] = None
-
-    def add_mask(column: str, function: str) -> None:
-        column = column.lower()
-        if masks.setdefault(column, function) != function:
-            raise ConflictingMasks(f"{'.'.join(table)}.{column}: {masks[column]} and {function}")
-
+def _rule_rows(table: tuple[str, str, str], state: SecurityState) -> list[DataFrame]:
+    """Old rules of the table, and its policies with one row per alias and the columns it selects."""
+    parts = []
     if state.row_filters is not None:
-        for r in _on(state.row_filters, table).select("function_fqn", "using_columns").collect():
-            add_filter(r.function_fqn, r.using_columns)
+        parts.append(
+            _on(state.row_filters, table).select(
+                F.lit(ROW_FILTER).alias("policy_type"), "function_fqn", F.col("using_columns").alias("columns")
+            )
+        )
     if state.masks is not None:
-        for r in _on(state.masks, table).select("column", "function_fqn").collect():
-            add_mask(r["column"], r["function_fqn"])
+        parts.append(
+            _on(state.masks, table).select(
+                F.lit(COLUMN_MASK).alias("policy_type"), "function_fqn", F.array("column").alias("columns")
+            )
+        )
     if state.policies is not None and state.column_tags is not None:
         catalog, schema, name = table
         here = state.policies.where(
             F.col("on_securable").isin(f"TABLE `{catalog}`.`{schema}`.`{name}`", f"CATALOG `{catalog}`")
         )
-        matched = resolve_match_columns(here, _on(state.column_tags, table))
-        found = (
-            matched.groupBy("on_securable", "policy_name", "alias")
+        key = ["on_securable", "policy_name"]
+        matched = (
+            resolve_match_columns(here, _on(state.column_tags, table))
+            .groupBy(*key, "alias")
             .agg(F.sort_array(F.collect_set("column")).alias("columns"))
-            .join(here.select("on_securable", "policy_name", "policy_type", "function_fqn", "match_columns",
-                              "using_columns", "to_principals", "except_principals"),
-                  ["on_securable", "policy_name"])
-            .collect()
-        )
-        by_policy: dict[tuple[str, str], tuple] = {}
-        for r in found:
-            _, aliases = by_policy.setdefault((r.on_securable, r.policy_name), (r, {}))
-            aliases[r.alias] = list(r.columns)
-        for r, aliases in by_policy.values():
-            if not binds(Scoping(list(r.to_principals), list(r.except_principals or [])), who):
-                continue
-            if len(aliases) < len({m.alias for m in r.match_columns}):
-                continue
-            if r.policy_type == COLUMN_MASK:
-                for column in aliases[r.match_columns[0].alias]:
-                    add_mask(column, r.function_fqn)
-            elif r.policy_type == ROW_FILTER:
-                several = {a: c for a, c in aliases.items() if len(c) > 1}
-                if several:
-                    raise AmbiguousColumnMatch(f"{'.'.join(table)} {r.policy_name}: {several}")
-                add_filter(r.function_fqn, [aliases[a][0] for a in r.using_columns])
+        )
+        body = here.select(
+            *key,
+            "policy_type",
+            "function_fqn",
+            F.array_distinct(F.transform("match_columns", lambda m: m["alias"])).alias("aliases"),
+            "using_columns",
+            "to_principals",
+            "except_principals",
+        )
+        parts.append(matched.join(body, key))
+    return parts
+
+
+def rules_on(table: tuple[str, str, str], state: SecurityState, who: Who) -> Rules:
+    """Rules in force on one table for *who*.
+
+    One small job over rows of this one table; what reaches the driver is
+    bounded by the table's own columns, tags and rules.
+    """
+    parts = _rule_rows(table, state)
+    if not parts:
+        return Rules((), {})
+    found = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).collect()
+
+    filters: dict[tuple[str, tuple[str, ...]], None] = {}
+    masks: dict[str, str] = {}
+
+    def add(kind: str, function: str, columns: list[str]) -> None:
+        lower = [c.lower() for c in columns]
+        if kind == ROW_FILTER:
+            filters[(function, tuple(lower))] = None
+            return
+        for column in lower:
+            if masks.setdefault(column, function) != function:
+                raise ConflictingMasks(f"{'.'.join(table)}.{column}: {masks[column]} and {function}")
+
+    by_policy: dict[tuple[str, str], list] = {}
+    for r in found:
+        if "policy_name" in r and r.policy_name is not None:
+            by_policy.setdefault((r.on_securable, r.policy_name), []).append(r)
+        else:
+            add(r.policy_type, r.function_fqn, r.columns)
+    for rows in by_policy.values():
+        p, columns = rows[0], {r.alias: list(r.columns) for r in rows}
+        in_force = len(columns) == len(p.aliases)
+        if not in_force or not binds(Scoping(list(p.to_principals), list(p.except_principals or [])), who):
+            continue
+        if p.policy_type == COLUMN_MASK:
+            add(COLUMN_MASK, p.function_fqn, columns[p.aliases[0]])
+            continue
+        several = {a: c for a, c in columns.items() if len(c) > 1}
+        if several:
+            raise AmbiguousColumnMatch(f"{'.'.join(table)} {p.policy_name}: {several}")
+        add(ROW_FILTER, p.function_fqn, [columns[a][0] for a in p.using_columns])
     return Rules(tuple(filters), masks)
 
 
