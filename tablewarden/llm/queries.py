@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import langid, toxicity
+from tablewarden.llm import langid, mixing, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,13 @@ def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 @query("op5_language_id", "documents")
 def op5_language_id(docs: DataFrame) -> DataFrame:
     return langid.op5(docs)
+
+
+@query("op2_mixing", "documents")
+def op2_mixing(docs: DataFrame) -> DataFrame:
+    return mixing.op2(docs)
+
+
+@query("op8_quality_rules", "documents", sql=quality_rules.SQL)
+def op8_quality_rules(docs: DataFrame) -> DataFrame:
+    return quality_rules.op8(docs)
