@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import langid, mixing, quality_rules, toxicity
+from tablewarden.llm import langid, mixing, quality_rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,8 @@ def op2_mixing(docs: DataFrame) -> DataFrame:
 @query("op8_quality_rules", "documents", sql=quality_rules.SQL)
 def op8_quality_rules(docs: DataFrame) -> DataFrame:
     return quality_rules.op8(docs)
+
+
+@query("op10_secrets", "documents")
+def op10_secrets(docs: DataFrame) -> DataFrame:
+    return secrets.op10(docs)
