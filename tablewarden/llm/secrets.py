@@ -74,11 +74,12 @@ def _tail(z: Column) -> Column:
 
 def _codes(token: Column) -> Column:
     """Places of a token's characters in the alphabet of its encoding, padding left out; null without one."""
-    chars = F.split(F.regexp_replace(token, "=+$", ""), "")
-    found = F.lit(None).cast("array<int>")
-    for pattern, alphabet in reversed(ENCODINGS.values()):
-        found = F.when(token.rlike(pattern), F.transform(chars, lambda c, a=alphabet: F.instr(F.lit(a), c) - 1)).otherwise(found)
-    return found
+    chars = F.regexp_extract_all(F.regexp_replace(token, "=+$", ""), F.lit("."), F.lit(0))
+
+    def places(alphabet: str) -> Column:
+        return F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1)
+
+    return F.coalesce(*[F.when(token.rlike(p), places(a)) for p, a in ENCODINGS.values()])
 
 
 def _alphabet_size(token: Column) -> Column:
