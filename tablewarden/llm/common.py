@@ -47,6 +47,10 @@ def bounded_sample(df: DataFrame, by: str, per_class: int, columns: list[str]) -
     Rows are kept by a hash of *columns*, so that no task gathers a class and the
     choice does not depend on partitions.  A class with fewer rows is kept whole.
     """
-    counts = df.groupBy(by).agg(F.count("*").alias("_n"))
+    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return df.limit(0)
+    # one count per class travels as a literal, so that no text is shuffled
+    share = F.element_at(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, per_class / n)]), F.col(by))
     spread = F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(counts, by).where(spread * F.col("_n") < per_class).drop("_n")
+    return df.where(spread < share)
