@@ -122,14 +122,16 @@ def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, optio
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, options: FtrlOptions = FtrlOptions()) -> SparseModel:
-    """Train on a bounded sample of the rows of *docs* (doc_id, text) that *may_learn* and that *labels* (doc_id, toxic) covers.
+    """Train on a bounded sample of the rows of *docs* (doc_id, text) that *labels* (doc_id, toxic) covers.
 
-    A document that is labelled twice with the same label counts once; rows whose
+    *may_learn* is a condition on doc_id.  A document that is labelled twice with the same label counts once; rows whose
     two labels differ teach both.  Features are made in the tasks, from whole texts.
     """
-    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    named = docs.where(may_learn).select("doc_id", "text").join(known, "doc_id")
-    totals = {r["toxic"]: r["n"] for r in named.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = labels.where(F.col("toxic").isin(0, 1)).where(may_learn).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # the options bound the sample, so it may be broadcast: the texts are read in place
+    drawn = bounded_sample(known, "toxic", options.per_class, ["doc_id"])
+    named = docs.where(may_learn).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
     def to_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -139,15 +141,14 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, options: FtrlOpti
             yield pd.DataFrame({"h": pdf["h"], "toxic": pdf["toxic"], "f": [np.sort(f).astype(np.int32) for f in found]})
 
     rows = (
-        bounded_sample(named, "toxic", options.per_class, ["doc_id", "text"])
-        .select(F.xxhash64("doc_id", "text").alias("h"), "toxic", F.col("text").cast("binary").alias("text"))
+        named.select(F.xxhash64("doc_id", "text").alias("h"), "toxic", F.col("text").cast("binary").alias("text"))
         .mapInPandas(to_features, "h long, toxic int, f array<int>")
         .toPandas()
         .sort_values(["h", "toxic"], kind="stable")
     )
     y = rows["toxic"].to_numpy()
     # rare classes are sampled more densely; weights put the proportions back
-    share = {c: max(1.0, totals[c] / max(1, (y == c).sum())) for c in totals}
+    share = {c: max(1.0, n / max(1, (y == c).sum())) for c, n in totals.items()}
     least = min(share.values(), default=1.0)
     return train([np.asarray(f, np.int64) for f in rows["f"]], y, np.array([share[c] / least for c in y]), options)
 
