@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import langid, mixing, quality_rules, secrets, toxicity
+from tablewarden.llm import langid, mixing, quality_rules, secrets, toxicity, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op8_quality_rules(docs: DataFrame) -> DataFrame:
 @query("op10_secrets", "documents")
 def op10_secrets(docs: DataFrame) -> DataFrame:
     return secrets.op10(docs)
+
+
+@query("op1_quality_classifier", "documents")
+def op1_quality_classifier(docs: DataFrame) -> DataFrame:
+    return weak_labels.op1(docs)
