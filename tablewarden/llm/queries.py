@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import langid, mixing, quality_rules, secrets, toxicity, weak_labels
+from tablewarden.llm import decontaminate, langid, lm_score, mixing, quality_rules, secrets, toxicity, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,13 @@ def op10_secrets(docs: DataFrame) -> DataFrame:
 @query("op1_quality_classifier", "documents")
 def op1_quality_classifier(docs: DataFrame) -> DataFrame:
     return weak_labels.op1(docs)
+
+
+@query("op4_lm_score", "documents")
+def op4_lm_score(docs: DataFrame) -> DataFrame:
+    return lm_score.op4(docs)
+
+
+@query("op7_decontamination", "documents", "benchmark")
+def op7_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return decontaminate.op7(docs, benchmark)

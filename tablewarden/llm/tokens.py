@@ -93,12 +93,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokens:
-    """Maximal runs of token bytes of a chunk, with hashes; those of text i are ``first[i]:first[i+1]``."""
-
-    def __init__(self, chunk: Chunk, b: np.ndarray, inside: np.ndarray):
-        edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-        self.starts = np.flatnonzero(edge == 1)
-        self.ends = np.flatnonzero(edge == -1)
+    """Maximal runs of bytes with one label other than 0, with hashes; those of text i are ``first[i]:first[i+1]``."""
+
+    def __init__(self, chunk: Chunk, b: np.ndarray, label: np.ndarray):
+        label = label.view(np.int8)
+        turn = np.flatnonzero(np.diff(label, prepend=np.int8(0), append=np.int8(0)))
+        before = np.append(label, np.int8(0))[turn - 1]  # at 0 this reads the 0 just appended
+        self.starts = turn[np.append(label, np.int8(0))[turn] != 0]
+        self.ends = turn[before != 0]
         up, down = _powers(len(b) + 1)
         total = np.empty(len(b) + 1, np.uint64)
         total[0] = 0
@@ -131,7 +133,7 @@ def runs(h: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k, o in enumerate(offsets):
-        out += h[o : o + n] * ODD[k + 8 * len(offsets) % 56]
+        out += h[o : o + n] * ODD[(8 * len(offsets) + 3 * k + offsets[-1]) % len(ODD)]
     return mix(out)
 
 
