@@ -1,7 +1,8 @@
 """A corpus pipeline: language ID, near duplicates, decontamination, secrets, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; a stage's rows
-are written as Parquet and read again by the next one.
+are written as Parquet and read again by the next one.  All but the last return
+the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import langid
+from tablewarden.llm import decontaminate, jaccard_join, langid, mixing, secrets
 from tablewarden.llm.common import Scratch, crc_mod
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,8 +25,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).where(~F.col("rejected")).select(COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; rows that repeat it entirely are one row."""
+    docs = docs.select(COLUMNS)
+    lead = jaccard_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(lead, docs["doc_id"].eqNullSafe(lead["doc_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret span replaced by a mark; ``n_chars`` follows where it was known."""
+    found = secrets.spans(docs, keep=tuple(COLUMNS))
+    text = secrets.redact(F.col("text"), F.col("found"))
+    redacted = found.withColumn("_clean", text)
+    changed = F.col("n_chars").isNotNull() & (F.size("found") > 0)
+    return redacted.select(
+        "doc_id", F.col("_clean").alias("text"), "lang", "source", F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    )
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each document is taken: doc_id, source, size, source_size, target, copies, taken."""
+    return mixing.mix(docs.select(COLUMNS))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("mixing", mixing_sources),
 ]
 
 # Language ID is a trained model and the mix a random walk: neither has SQL.

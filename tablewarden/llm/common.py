@@ -1,9 +1,10 @@
-"""Shared scratch tables and bounded training samples."""
+"""Shared scratch tables, bounded training samples and filters of fixed size."""
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +55,22 @@ def bounded_sample(df: DataFrame, by: str, per_class: int, columns: list[str]) -
     share = F.element_at(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, per_class / n)]), F.col(by))
     spread = F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     return df.where(spread < share)
+
+
+def hash_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Packed bits, set where a hash in *column* (long) has these leading *bits*.
+
+    Takes 2 ** (bits - 3) bytes whatever the rows; with more rows than bits it
+    lets more through, and what passes is still to be joined.
+    """
+    placed = df.select(F.shiftrightunsigned(column, 64 - bits).alias("bit"))
+    filled = placed.groupBy(F.expr("bit div 8 AS byte")).agg(F.expr("bit_or(shiftright(128, cast(bit % 8 AS int))) AS mask")).toPandas()
+    packed = np.zeros(1 << (bits - 3), np.uint8)
+    packed[filled["byte"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.uint8)
+    return packed
+
+
+def passes(packed: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the hashes *h* (uint64) a ``hash_filter`` lets through."""
+    at = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden.llm.common import hash_filter, passes
 from tablewarden.llm.tokens import DIGIT, LETTER, Chunk, Tokens, chunks, lower_latin, mix, runs
 
 NUMBER, UNIT, NAME = 1, 2, 3
@@ -123,11 +124,10 @@ def _item_windows(options: LeakOptions):
 
 def _doc_windows(shared, lengths: list[int], options: LeakOptions):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.unpackbits(shared.value).view(bool)
         for pdf in batches:
             for k in lengths:
                 for h, at, owner, t, kind, c in windows(pdf["text"].tolist(), [k], options.literals):
-                    hit = known[(h >> np.uint64(64 - options.filter_bits)).astype(np.int64)]
+                    hit = passes(shared.value, h, options.filter_bits)
                     h, at, owner = h[hit], at[hit], owner[hit]
                     if len(at):
                         row = c.rows[owner]
@@ -155,13 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: LeakOptions = LeakOpti
     kind = items.schema["item_id"].dataType.simpleString()
     mine = items.where(F.col("item_id").isNotNull()).mapInPandas(_item_windows(options), f"item_id {kind}, n_tokens int, {_WINDOW}")
 
-    bits = options.filter_bits
-    placed = mine.select(F.shiftrightunsigned("window", 64 - bits).alias("bit"))
-    # the filter's set bytes: at most 2 ** (bits - 3), as many as it has
-    filled = placed.groupBy(F.expr("bit div 8 AS byte")).agg(F.expr("bit_or(shiftright(128, cast(bit % 8 AS int))) AS mask")).toPandas()
-    known = np.zeros(1 << (bits - 3), np.uint8)
-    known[filled["byte"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.uint8)
-    shared = spark.sparkContext.broadcast(known)
+    shared = spark.sparkContext.broadcast(hash_filter(mine, "window", options.filter_bits))
     lengths = sorted(r["length"] for r in mine.select("length").distinct().collect())
 
     doc_kind = docs.schema["doc_id"].dataType

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import decontaminate, langid, lm_score, mixing, quality_rules, secrets, toxicity, weak_labels
+from tablewarden.llm import decontaminate, jaccard_join, langid, lm_score, mixing, quality_rules, secrets, toxicity, url_filters, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +62,13 @@ def op4_lm_score(docs: DataFrame) -> DataFrame:
 @query("op7_decontamination", "documents", "benchmark")
 def op7_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontaminate.op7(docs, benchmark)
+
+
+@query("op6_url_filters", "pages", sql=url_filters.SQL)
+def op6_url_filters(pages: DataFrame) -> DataFrame:
+    return url_filters.op6(pages)
+
+
+@query("op9_jaccard_join", "documents")
+def op9_jaccard_join(docs: DataFrame) -> DataFrame:
+    return jaccard_join.op9(docs)
