@@ -27,10 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; rows that repeat it entirely are one row."""
-    docs = docs.select(COLUMNS)
-    lead = jaccard_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(lead, docs["doc_id"].eqNullSafe(lead["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    lead = jaccard_join.join(docs.select(COLUMNS)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    kept = docs.select(*COLUMNS, key).join(lead, "_key", "left_semi")
+    return kept.dropDuplicates(["_key", "text"]).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
