@@ -47,6 +47,7 @@ def bounded_sample(df: DataFrame, by: str, per_class: int, columns: list[str]) -
 
     Rows are kept by a hash of *columns*, so that no task gathers a class and the
     choice does not depend on partitions.  A class with fewer rows is kept whole.
+    Rows alike in *columns* come or stay together: the caller makes them distinct.
     """
     counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
     if not counts:

@@ -39,17 +39,23 @@ class LangIdOptions:
 
 @dataclass
 class LangIdModel:
-    """``logits[bucket, class]``, the temperature of the softmax, and the least probability that is not rejected."""
+    """``table[bucket]`` has a logit per class, and 1 if training met the bucket.
+
+    ``temperature`` calibrates the softmax.  Texts below ``least`` probability, or
+    with less than ``least_known`` of their subwords met in training, are rejected.
+    """
 
     classes: list[str]
-    logits: np.ndarray
+    table: np.ndarray
     temperature: float
     least: float
+    least_known: float = 0.0
 
-    def probabilities(self, texts: list[bytes | None]) -> np.ndarray:
-        """One row per text; the classes weigh the same where no subword is known."""
-        out = [softmax(_mean_rows(c, self.logits) / self.temperature) for c in chunks(texts)]
-        return np.concatenate(out) if out else np.zeros((0, len(self.classes)))
+    def predict(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, one row per text, even where no subword is known; and the share of known subwords."""
+        rows = [_mean_rows(c, self.table) for c in chunks(texts)]
+        mean = np.concatenate(rows) if rows else np.zeros((0, self.table.shape[1]))
+        return softmax(mean[:, :-1] / self.temperature), mean[:, -1]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -97,11 +103,12 @@ def train(texts: list[bytes], langs: list[str], options: LangIdOptions = LangIdO
     short texts are within what the model has seen.  The temperature is the one
     of least loss on the other fifth; ``least`` is the smallest probability at
     which at most ``kept_error`` of what is kept there is wrong, and never below
-    an even choice between two languages.
+    an even choice between two languages.  ``least_known`` is half of what all but
+    one in a hundred of them have: a text of another script or language falls short of it.
     """
     classes = sorted(set(langs))
     if not classes:
-        return LangIdModel([], np.zeros((options.buckets, 0), np.float32), 1.0, 1.0)
+        return LangIdModel([], np.zeros((options.buckets, 1), np.float32), 1.0, 1.0)
     y = np.array([classes.index(x) for x in langs])
     rng = np.random.default_rng(5)
     order = rng.permutation(len(texts))
@@ -140,9 +147,11 @@ def train(texts: list[bytes], langs: list[str], options: LangIdOptions = LangIdO
             # a subword's step is as large as if its text were one subword, hence the factor of the mean size
             np.subtract.at(embedding, flat, back[owner] * np.float32(8))
     embedding[~seen] = 0
-    model = LangIdModel(classes, embedding @ weights, 1.0, 0.0)
+    model = LangIdModel(classes, np.column_stack([embedding @ weights, seen.astype(np.float32)]), 1.0, 0.0)
     if len(tuning):
-        z = np.log(np.maximum(model.probabilities([texts[i] for i in tuning]), 1e-12))
+        p, known = model.predict([texts[i] for i in tuning])
+        z = np.log(np.maximum(p, 1e-12))
+        model.least_known = float(np.quantile(known, 0.01)) / 2
         right = y[tuning]
         losses = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), right], 1e-12)).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)}
         model.temperature = min(losses, key=losses.__getitem__)
@@ -159,14 +168,15 @@ def train(texts: list[bytes], langs: list[str], options: LangIdOptions = LangIdO
 
 
 def fit(docs: DataFrame, may_learn: Column, options: LangIdOptions = LangIdOptions()) -> LangIdModel:
-    """Train on a bounded sample of the rows of *docs* (text, lang) where *may_learn* and lang is known."""
-    named = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(HAS_LETTER)).select("text", "lang")
+    """Train on a bounded sample of the rows of *docs* (doc_id, text, lang) where *may_learn* and lang is known."""
+    named = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(HAS_LETTER)).select("doc_id", "text", "lang")
     spaced = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     every = F.greatest(F.lit(1), (F.size("_w") / options.words).cast("int"))
     rows = (
-        bounded_sample(named, "lang", options.per_class, ["text"])
-        .select("lang", "text", spaced.alias("_w"))
-        .select("lang", F.xxhash64("text").alias("_h"), F.array_join(F.transform(F.filter("_w", lambda w, i: i % every == 0), lambda w: F.substring(w, 1, 64)), " ").alias("text"))
+        bounded_sample(named, "lang", options.per_class, ["doc_id", "text"])
+        .select("lang", F.xxhash64("doc_id", "text").alias("_h"), spaced.alias("_w"))
+        .select("lang", "_h", F.array_join(F.transform(F.filter("_w", lambda w, i: i % every == 0), lambda w: F.substring(w, 1, 64)), " ").alias("text"))
+        .distinct()
         .toPandas()
         .sort_values(["_h", "lang", "text"])
     )
@@ -178,7 +188,8 @@ def identify(docs: DataFrame, model: LangIdModel) -> DataFrame:
 
     Text that is null or holds no letter is ``und`` with score 0 and rejected, as
     is everything where no language was learnt; so is a text whose best language
-    has a calibrated probability below ``model.least``, which keeps its guess.
+    has a calibrated probability below ``model.least``, or whose subwords the
+    training hardly met; its guess stays.
     Columns of *docs* keep their values; those three names must be free.
     """
     clash = {"lang_pred", "score", "rejected"} & set(docs.columns)
@@ -191,11 +202,12 @@ def identify(docs: DataFrame, model: LangIdModel) -> DataFrame:
         names = np.array([*m.classes, UNDETERMINED], object)
         for texts in batches:
             if m.classes:
-                p = m.probabilities(texts.tolist())
+                p, known = m.predict(texts.tolist())
                 best, score = p.argmax(axis=1), p.max(axis=1)
+                rejected = (score < m.least) | (known < m.least_known)
             else:
-                best, score = np.full(len(texts), -1), np.zeros(len(texts))
-            yield pd.DataFrame({"lang_pred": names[best], "score": score, "rejected": score < m.least if m.classes else True})
+                best, score, rejected = np.full(len(texts), -1), np.zeros(len(texts)), True
+            yield pd.DataFrame({"lang_pred": names[best], "score": score, "rejected": rejected})
 
     guess = F.pandas_udf(predict, "lang_pred string, score double, rejected boolean")
     lettered = F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False))

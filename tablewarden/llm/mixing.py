@@ -107,7 +107,7 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Settle the open units so that words, then documents, stay nearest to their expectation."""
+    """Settle the open units, two at most, so that words, then documents, stay nearest to their expectation."""
     p = p.copy()
     at = np.flatnonzero((p > 0) & (p < 1))
     if len(at):
@@ -118,7 +118,8 @@ def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _fly(level: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable")
+        # large documents first, so that those left for the landing are small
+        pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
         source, bucket, last = pdf["source"].iloc[0], int(pdf["bucket"].iloc[0]), bool(pdf["last"].iloc[0])
         name = zlib.crc32(source.encode()) if isinstance(source, str) else 1 << 33
         p = flight(pdf["size"].to_numpy(), pdf["p"].to_numpy(float), np.random.default_rng([seed, level, bucket, name]))

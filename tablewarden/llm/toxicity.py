@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, options: FtrlOpti
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     # the options bound the sample, so it may be broadcast: the texts are read in place
     drawn = bounded_sample(known, "toxic", options.per_class, ["doc_id"])
-    named = docs.where(may_learn).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    named = docs.where(may_learn).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").distinct()
 
     def to_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

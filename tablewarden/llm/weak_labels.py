@@ -238,13 +238,12 @@ def classify(docs: DataFrame, options: WeakOptions = WeakOptions(), scratch: Scr
                 m = measure(c)
                 yield pd.DataFrame({"h": pdf["h"].iloc[c.rows].to_numpy(), "m": list(m), "y": shared_table.value[patterns(m)], "f": [f.astype(np.int32) for f in rows]})
 
-    # one text in many documents is drawn by its own hash, so that copies come or stay together
-    sample = bounded_sample(voted.withColumn("side", (F.col("pattern").isin([int(c) for c, p in zip(codes, posterior) if p >= 0.5])).cast("int")), "side", options.per_class, ["text"])
+    sample = bounded_sample(voted.withColumn("side", (F.col("pattern").isin([int(c) for c, p in zip(codes, posterior) if p >= 0.5])).cast("int")), "side", options.per_class, ["doc_id", "text"])
     rows = (
-        sample.select(F.xxhash64("text").alias("h"), "text")
+        sample.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+        .distinct()
         .mapInPandas(to_rows, "h long, m array<double>, y double, f array<int>")
         .toPandas()
-        .drop_duplicates("h")
         .sort_values("h", kind="stable")
     )
     scorer = train([np.asarray(f, np.int64) for f in rows["f"]], np.stack(rows["m"].tolist()) if len(rows) else np.zeros((0, len(METRICS))), rows["y"].to_numpy(), options)
