@@ -57,8 +57,26 @@ def visible_counts(
     return hand_out(counts, "unit", value_to_group, membership, admin_group)
 
 
-def visible_totals(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("principal").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_units"))
+def _without_admins(membership: DataFrame, admin_group: str) -> tuple[DataFrame, DataFrame]:
+    """Administrators, and the memberships of everybody else."""
+    admins = membership.where(F.col("group_name") == admin_group).select(F.col("member_email").alias("principal")).distinct()
+    return admins, membership.join(admins, membership["member_email"] == admins["principal"], "left_anti")
+
+
+def visible_totals(
+    df: DataFrame, unit: str, value_to_group: DataFrame, membership: DataFrame, admin_group: str = ADMIN_GROUP
+) -> DataFrame:
+    """Rows and units that each principal sees (``principal, n_rows, n_units``).
+
+    Administrators see everything: one global sum serves all of them, so that
+    they are never multiplied by units.
+    """
+    counts = df.groupBy(F.col(unit).alias("unit")).agg(F.count("*").alias("n_rows"))
+    admins, members = _without_admins(membership, admin_group)
+    totals = (F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_units"))
+    ordinary = hand_out(counts, "unit", value_to_group, members, admin_group).groupBy("principal").agg(*totals)
+    everything = counts.agg(F.struct(*totals).alias("t")).scalar()
+    return ordinary.unionByName(admins.select("principal", everything.alias("t")).select("principal", "t.*"))
 
 
 def sample(df: DataFrame, key: str, n: int = 3) -> DataFrame:
@@ -74,22 +92,30 @@ def sample_per_principal(
     membership: DataFrame,
     admin_group: str = ADMIN_GROUP,
     n: int = 3,
+    for_admins: DataFrame | None = None,
 ) -> DataFrame:
     """First *n* rows by key that each principal sees.
 
     The first rows of a principal are among the first rows of its units: each
     unit is cut to *n* rows first (Spark limits every partition before the
-    shuffle), and only those are handed to principals.
+    shuffle), and only those are handed to principals.  Administrators share one
+    global first *n*, of *for_admins* where masks let them see more than *df*.
     """
     per_unit = Window.partitionBy(unit).orderBy(key)
     heads = df.withColumn("__rn", F.row_number().over(per_unit)).where(F.col("__rn") <= n)
     per_principal = Window.partitionBy("principal").orderBy(key)
-    return (
-        hand_out(heads, unit, value_to_group, membership, admin_group, (unit, "__rn"))
+    admins, members = _without_admins(membership, admin_group)
+    ordinary = (
+        hand_out(heads, unit, value_to_group, members, admin_group, (unit, "__rn"))
         .withColumn("position", F.row_number().over(per_principal))
         .where(F.col("position") <= n)
         .drop("__rn")
     )
+    every = df if for_admins is None else for_admins.select(df.columns)
+    first = F.sort_array(F.collect_list(F.struct(F.col(key).alias("__key"), F.struct(*df.columns).alias("row"))))
+    first = every.orderBy(key).limit(n).agg(first.alias("rows")).scalar()
+    shown = admins.select("principal", F.posexplode(first).alias("at", "shown"))
+    return ordinary.unionByName(shown.select("principal", "shown.row.*", (F.col("at") + 1).alias("position")))
 
 
 def overlap(visible_a: DataFrame, visible_b: DataFrame) -> DataFrame:

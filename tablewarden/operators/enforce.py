@@ -17,7 +17,7 @@ from tablewarden.functions.masks import Mask, unless_admin
 from tablewarden.functions.names import COLUMN_MASK, ROW_FILTER
 from tablewarden.operators.matching import resolve_match_columns
 from tablewarden.operators.membership import ADMIN_GROUP, Who, resolve_who
-from tablewarden.operators.rowfilters import RowRule, Scoping, binds
+from tablewarden.operators.rowfilters import RowRule, policies_binding
 
 
 class AmbiguousColumnMatch(ValueError):
@@ -28,6 +28,14 @@ class ConflictingMasks(ValueError):
     """Two different masks on one column."""
 
 
+class UnclearMask(ValueError):
+    """A mask policy without a target, or with one that is none of its aliases."""
+
+
+class MissingColumn(ValueError):
+    """A mask guards a column that the frame does not have, perhaps because it was renamed."""
+
+
 class UnknownFunction(KeyError):
     """A rule names a function that the registry does not hold."""
 
@@ -70,8 +78,8 @@ def _on(df: DataFrame, table: tuple[str, str, str]) -> DataFrame:
     return df.where((F.col("catalog") == catalog) & (F.col("schema") == schema) & (F.col("table") == name))
 
 
-def _rule_rows(table: tuple[str, str, str], state: SecurityState) -> list[DataFrame]:
-    """Old rules of the table, and its policies with one row per alias and the columns it selects."""
+def _rule_rows(table: tuple[str, str, str], state: SecurityState, who: Who) -> list[DataFrame]:
+    """Old rules of the table, and the policies that bind *who* with one row per alias and the columns it selects."""
     parts = []
     if state.row_filters is not None:
         parts.append(
@@ -85,10 +93,12 @@ def _rule_rows(table: tuple[str, str, str], state: SecurityState) -> list[DataFr
                 F.lit(COLUMN_MASK).alias("policy_type"), "function_fqn", F.array("column").alias("columns")
             )
         )
-    if state.policies is not None and state.column_tags is not None:
+    if state.policies is not None:
+        if state.column_tags is None:
+            raise ValueError("policies match columns by their tags: without column_tags nothing would be protected")
         catalog, schema, name = table
-        here = state.policies.where(
-            F.col("on_securable").isin(f"TABLE `{catalog}`.`{schema}`.`{name}`", f"CATALOG `{catalog}`")
+        here = policies_binding(
+            state.policies.where(F.col("on_securable").isin(f"TABLE `{catalog}`.`{schema}`.`{name}`", f"CATALOG `{catalog}`")), who
         )
         key = ["on_securable", "policy_name"]
         matched = (
@@ -102,8 +112,7 @@ def _rule_rows(table: tuple[str, str, str], state: SecurityState) -> list[DataFr
             "function_fqn",
             F.array_distinct(F.transform("match_columns", lambda m: m["alias"])).alias("aliases"),
             "using_columns",
-            "to_principals",
-            "except_principals",
+            "target_alias",
         )
         parts.append(matched.join(body, key))
     return parts
@@ -115,7 +124,7 @@ def rules_on(table: tuple[str, str, str], state: SecurityState, who: Who) -> Rul
     One small job over rows of this one table; what reaches the driver is
     bounded by the table's own columns, tags and rules.
     """
-    parts = _rule_rows(table, state)
+    parts = _rule_rows(table, state, who)
     if not parts:
         return Rules((), {})
     found = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).collect()
@@ -140,11 +149,12 @@ def rules_on(table: tuple[str, str, str], state: SecurityState, who: Who) -> Rul
             add(r.policy_type, r.function_fqn, r.columns)
     for rows in by_policy.values():
         p, columns = rows[0], {r.alias: list(r.columns) for r in rows}
-        in_force = len(columns) == len(p.aliases)
-        if not in_force or not binds(Scoping(list(p.to_principals), list(p.except_principals or [])), who):
+        if len(columns) < len(p.aliases):
             continue
         if p.policy_type == COLUMN_MASK:
-            add(COLUMN_MASK, p.function_fqn, columns[p.aliases[0]])
+            if p.target_alias not in columns:
+                raise UnclearMask(f"{'.'.join(table)} {p.policy_name}: target {p.target_alias} of {p.aliases}")
+            add(COLUMN_MASK, p.function_fqn, columns[p.target_alias])
             continue
         several = {a: c for a, c in columns.items() if len(c) > 1}
         if several:
@@ -167,12 +177,17 @@ def apply_row_filters(df: DataFrame, filters, functions: Registry, who: Who) ->
     return df
 
 
-def apply_masks(df: DataFrame, masks: Mapping[str, str], functions: Registry, who: Who) -> DataFrame:
+def apply_masks(df: DataFrame, masks: Mapping[str, str], functions: Registry, who: Who, pruned: bool = False) -> DataFrame:
     """Every masked column replaced in one projection; names, order and types stay.
 
-    Column names match without regard to case, so that none slips through.
+    Column names match without regard to case, so that none slips through.  A
+    guarded column that *df* lacks is an error, for it may be there under
+    another name; *pruned* says that columns were only left out.
     """
     by_column = {c.lower(): fn for c, fn in masks.items()}
+    absent = set(by_column) - {c.lower() for c in df.columns}
+    if absent and not pruned:
+        raise MissingColumn(f"masked columns not in the frame: {sorted(absent)}")
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
@@ -184,15 +199,17 @@ def apply_masks(df: DataFrame, masks: Mapping[str, str], functions: Registry, wh
     return df.select(*out)
 
 
-def apply_rules(df: DataFrame, rules: Rules, functions: Registry, who: Who) -> DataFrame:
-    return apply_masks(apply_row_filters(df, rules.filters, functions, who), rules.masks, functions, who)
+def apply_rules(df: DataFrame, rules: Rules, functions: Registry, who: Who, pruned: bool = False) -> DataFrame:
+    return apply_masks(apply_row_filters(df, rules.filters, functions, who), rules.masks, functions, who, pruned)
 
 
-def secure(df: DataFrame, table: tuple[str, str, str], state: SecurityState, principal: str | Who) -> DataFrame:
+def secure(df: DataFrame, table: tuple[str, str, str], state: SecurityState, principal: str | Who, pruned: bool = False) -> DataFrame:
     """What *principal* sees of *df*, the rows of *table*.
 
     Old per-table rules and tag-matched policies may both be active: equal
-    rules act once, and two different masks on one column are an error.
+    rules act once, and two different masks on one column are an error.  So is
+    whatever would leave a column unprotected unnoticed: policies without tags, a
+    mask without a clear target, and, unless *pruned*, a masked column that *df* lacks.
     """
     who = principal if isinstance(principal, Who) else resolve_who(state.membership, principal, state.admin_group)
-    return apply_rules(df, rules_on(table, state, who), state.functions, who)
+    return apply_rules(df, rules_on(table, state, who), state.functions, who, pruned)

@@ -7,7 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Most literals put into one plan; beyond it a semi join takes over.
+from tablewarden.sources.store import cut_lineage
+
+# Most literals put into one plan; beyond it a semi join with a table written at that moment takes over.  What a
+# principal sees is settled when the plan is built, on either side of the limit.
 LITERAL_LIMIT = 1000
 
 ADMIN_GROUP = "admins"
@@ -18,7 +21,8 @@ class Who:
     """A principal, settled before the plan is built.
 
     ``groups`` is None when the principal is in more than the literal limit;
-    rules then join ``group_rows`` instead of listing names.
+    rules then join ``group_rows``, which were written when the principal was
+    looked up, instead of listing names.
     """
 
     name: str
@@ -51,6 +55,7 @@ def resolve_who(
     rows = groups_of(membership, principal)
     found = [r[0] for r in rows.limit(limit + 1).collect()]
     if len(found) > limit:
+        rows = cut_lineage(rows)
         is_admin = not rows.where(F.col("group_name") == admin_group).isEmpty()
         return Who(principal, None, is_admin, rows)
     return Who(principal, frozenset(found), admin_group in found, rows)

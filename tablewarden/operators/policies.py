@@ -43,7 +43,7 @@ def table_policies_by_object(policies: DataFrame, team_prefix: str = "") -> Data
     return policies.where(F.startswith("on_securable", F.lit("TABLE ")) & (is_filter | is_mask)).select(
         *[F.get(key, F.lit(i)).alias(k) for i, k in enumerate(KEY)],
         F.when(is_filter, ROW_FILTER).otherwise(COLUMN_MASK).alias("object_type"),
-        F.when(is_filter, "").otherwise(F.substring("policy_name", len(prefix) + 1, 10_000)).alias("slot"),
+        F.when(is_filter, "").otherwise(F.substr("policy_name", F.lit(len(prefix) + 1))).alias("slot"),
         "policy_type",
         "policy_name",
         "function_fqn",

@@ -26,7 +26,8 @@ def parse_metadata(audit: DataFrame, run_id: str) -> DataFrame:
     """
     rows = rows_for_run(audit, run_id).where(F.length("rollback_metadata") > 0)
     bad = F.json_object_keys("rollback_metadata").isNull() & (F.trim("rollback_metadata") != "null")
-    return rows.select(*ATTEMPT, F.from_json("rollback_metadata", ROLLBACK_METADATA).alias("undo"), bad.alias("bad"))
+    target = F.col("target_policy_name") if "target_policy_name" in audit.columns else F.lit(None).cast("string")
+    return rows.select(*ATTEMPT, target.alias("target_policy_name"), F.from_json("rollback_metadata", ROLLBACK_METADATA).alias("undo"), bad.alias("bad"))
 
 
 def rollback_objects(parsed: DataFrame) -> DataFrame:
@@ -34,7 +35,9 @@ def rollback_objects(parsed: DataFrame) -> DataFrame:
     good = parsed.where(~F.col("bad"))
     none = F.array().cast("array<struct<policy_name:string,on_securable:string,policy_type:string>>")
     policies = F.coalesce("undo.abac_policies_created_by_this_run", none)
-    fields = [*ATTEMPT, "object_type", "slot", "function_fqn", "using_columns", "created"]
+    fields = [*ATTEMPT, "object_type", "slot", "function_fqn", "using_columns", "created", "recorded_name"]
+    # a row of one mask names that mask's policy; with several masks the name is rebuilt from the mask
+    single = F.when(F.size("undo.original_column_masks") == 1, F.col("target_policy_name"))
     original = "undo.original_row_filter"
     filters = good.where(
         F.col(f"{original}.function").isNotNull() | F.col(f"{original}.using_columns").isNotNull()
@@ -45,11 +48,13 @@ def rollback_objects(parsed: DataFrame) -> DataFrame:
         F.col(f"{original}.function").alias("function_fqn"),
         F.col(f"{original}.using_columns").alias("using_columns"),
         F.filter(policies, lambda p: p["policy_type"] == ROW_FILTER).alias("created"),
+        F.col("target_policy_name").alias("recorded_name"),
     )
     masks = good.select(
         *ATTEMPT,
         F.explode("undo.original_column_masks").alias("m"),
         F.filter(policies, lambda p: p["policy_type"] == COLUMN_MASK).alias("created"),
+        single.alias("recorded_name"),
     ).select(
         *ATTEMPT,
         F.lit(COLUMN_MASK).alias("object_type"),
@@ -57,6 +62,7 @@ def rollback_objects(parsed: DataFrame) -> DataFrame:
         F.col("m.function").alias("function_fqn"),
         F.array().cast("array<string>").alias("using_columns"),
         "created",
+        "recorded_name",
     )
     return filters.select(*fields).unionByName(masks.select(*fields))
 
@@ -175,13 +181,13 @@ def droppable_policies(
 ) -> DataFrame:
     """Policies to drop after the restore (*row_filters* and *masks* are the restored state).
 
-    Only those that the rollback data lists, for a mask only the one of its
-    deterministic name, and no catalog policy that another table still relies
+    Only those that the rollback data lists, for a mask only the one that its
+    audit row names (or, without, the one of its deterministic name), and no catalog policy that another table still relies
     on: one with the tag on a column and no old rule in its place.
     """
     listed = (
         steps.where(F.col("status") == "ROLLED_BACK")
-        .withColumn("expected", policy_name(scope, team_prefix, "function_fqn"))
+        .withColumn("expected", F.coalesce("recorded_name", policy_name(scope, team_prefix, "function_fqn")))
         .select("object_type", "expected", F.explode("created").alias("p"))
         .where((F.col("object_type") == ROW_FILTER) | (F.col("p.policy_name") == F.col("expected")))
         .select("object_type", "p.on_securable", "p.policy_name")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.operators.membership import LITERAL_LIMIT, Who
+from tablewarden.sources.store import cut_lineage
 
 # A rule keeps the rows of a frame that a principal may see, reading the named columns.
 RowRule = Callable[[DataFrame, list[str], Who], DataFrame]
@@ -29,18 +30,21 @@ def filter_by_group(
     """Rows whose *column* maps to a group of the principal; administrators see all.
 
     Up to *limit* values become literals, which reach the Parquet scan; beyond
-    that a semi join runs, whose strategy Spark picks by measured size.
+    that a semi join runs, whose strategy Spark picks by measured size, with the
+    values as they are now.
     """
     if who.is_admin:
         return df
     if isinstance(value_to_group, dict):
-        values = [v for v, g in value_to_group.items() if who.is_member(g)]
-        return df.where(F.col(column).isin(values))
+        if who.groups is not None and len(value_to_group) <= limit:
+            return df.where(F.col(column).isin([v for v, g in value_to_group.items() if g in who.groups]))
+        value_to_group = df.sparkSession.createDataFrame(list(value_to_group.items()), "value string, group_name string")
     allowed = allowed_values(value_to_group, who)
     values = [r[0] for r in allowed.limit(limit + 1).collect()]
     if len(values) <= limit:
         return df.where(F.col(column).isin(values))
-    return df.join(allowed.withColumnRenamed("value", column), column, "left_semi").select(*df.columns)
+    allowed = cut_lineage(allowed).withColumnRenamed("value", "__allowed")
+    return df.join(allowed, df[column] == allowed["__allowed"], "left_semi")
 
 
 def filter_public_or_group(df: DataFrame, column: str, public: list[str], group: str, who: Who) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.names import COLUMN_MASK, KEY, ROW_FILTER, row_filter_policy_name, securable
 from tablewarden.operators.audit import latest_per_table
+from tablewarden.operators.matching import policies_in_force, resolve_match_columns
 from tablewarden.operators.policies import table_policies_by_object
 
 _FIELDS = [*KEY, "object_type", "masked_column", "status", "source_function", "target_policy_name", "error_code"]
@@ -73,6 +74,37 @@ def verify_masks(masks: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+def keep_uncovered(steps: DataFrame, policies: DataFrame, column_tags: DataFrame) -> DataFrame:
+    """*steps* with every object FAILED, and its old rule kept, that its new policy does not act on.
+
+    *policies* and *column_tags* are the state after the steps.  A filter is
+    covered where its policy is in force on the table, a mask where it is and
+    selects the masked column.
+    """
+    policy = ["on_securable", "policy_name"]
+    made = steps.where("policy_created")
+    matches = resolve_match_columns(policies.join(made.select(*policy).distinct(), policy, "left_semi"), column_tags)
+    acting = matches.join(policies_in_force(matches).select(*KEY, *policy), [*KEY, *policy], "left_semi")
+    covered = acting.select(*KEY, *policy, F.when(F.col("policy_type") == COLUMN_MASK, F.col("column")).otherwise("").alias("slot"))
+    covered = covered.distinct().withColumn("__covered", F.lit(True))
+    open_ = F.col("policy_created") & F.col("__covered").isNull() & F.col("status").isin("SUCCESS", "ABAC_APPLIED")
+    return (
+        steps.join(covered, [*KEY, *policy, "slot"], "left")
+        .withColumn("__open", open_)
+        .withColumns(
+            {
+                "status": F.when(F.col("__open"), "FAILED").otherwise(F.col("status")),
+                "error_code": F.when(F.col("__open"), "POLICY_VERIFY_FAILED").otherwise(F.col("error_code")),
+                "error_message": F.when(F.col("__open"), "The new policy does not act on this object; its old rule stays.").otherwise(
+                    F.col("error_message")
+                ),
+                "legacy_removed": F.col("legacy_removed") & ~F.col("__open"),
+            }
+        )
+        .select(*steps.columns)
+    )
+
+
 def verify_tables(tables: DataFrame, steps: DataFrame) -> DataFrame:
     """Status per table, NOT_ELIGIBLE where nothing was found to verify."""
     s = F.col("status")

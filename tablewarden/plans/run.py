@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ from tablewarden.operators.tags import (
     tag_requests,
     usable,
 )
-from tablewarden.operators.verify import detect_drift, verify_masks, verify_row_filters, verify_tables
+from tablewarden.operators.verify import detect_drift, keep_uncovered, verify_masks, verify_row_filters, verify_tables
 from tablewarden.plans.options import RunOptions
 from tablewarden.sources.schemas import AUDIT
 from tablewarden.sources.store import (
@@ -49,6 +49,9 @@ from tablewarden.sources.store import (
 )
 
 
+NOT_LISTED = "The table is not in the listing."
+
+
 @dataclass(frozen=True)
 class GovernanceState:
     """All metadata a run reads (schemas in ``sources.schemas``); runs return a new one."""
@@ -103,11 +106,13 @@ def scoped(df: DataFrame, state: GovernanceState, options: RunOptions) -> DataFr
 
 
 def tables_in_scope(state: GovernanceState, options: RunOptions) -> DataFrame:
-    """Tables selected by the options; a named table that is not listed is kept."""
+    """Tables selected by the options; a named table that is not listed is kept, as one that cannot be described."""
     if options.scope_type != "SPECIFIC_TABLES":
         return scoped(state.tables, state, options)
     return named_tables(state, options).join(state.tables, KEY, "left").select(
-        *KEY, F.coalesce("table_type", F.lit("MANAGED")).alias("table_type"), "describe_error"
+        *KEY,
+        F.coalesce("table_type", F.lit("UNKNOWN")).alias("table_type"),
+        F.when(F.col("table_type").isNull() & F.col("describe_error").isNull(), F.lit(NOT_LISTED)).otherwise(F.col("describe_error")).alias("describe_error"),
     )
 
 
@@ -148,11 +153,17 @@ def planned_objects(tables: DataFrame, state: GovernanceState, options: RunOptio
 
 
 def resolved_tags(planned: DataFrame, state: GovernanceState, options: RunOptions) -> DataFrame:
+    """Tags that the policies of *planned* match.
+
+    A catalog policy serves every table of its function, whatever other tags
+    their columns carry: it matches the function's own key, and each of its
+    columns gets that key.  Only a table's own policy may go by a tag in place.
+    """
     return resolve_tags(
         tag_requests(planned, options.tag_team_prefix),
-        state.column_tags,
+        scoped(state.column_tags, state, options),
         state.governed_tags,
-        options.prefer_existing_tags,
+        options.prefer_existing_tags and options.policy_scope == "TABLE",
         options.reuse_same_role_only,
     )
 
@@ -211,19 +222,34 @@ def _migrate(
     resolved = granted = None
     if options.phase != "FINALIZE":
         resolved = cut_lineage(resolved_tags(planned, state, options))
-        if options.tag_grantee_principals:
-            granted = _grant(resolved, state, options)
-    steps = cut_lineage(with_none_steps(migration_steps(planned, resolved, options, faults), eligible))
+    steps = migration_steps(planned, resolved, options, faults)
+    if resolved is not None and not options.dry_run:
+        steps = cut_lineage(steps)
+        tags = assign_tags(scoped(state.column_tags, state, options), resolved)
+        steps = keep_uncovered(steps, upsert_policies(state.policies, steps.where("policy_created")), tags)
+    steps = cut_lineage(with_none_steps(steps, eligible))
     results = table_results(steps)
+    recorded = steps
     if not options.continue_on_error:
-        results = until_first_failure(results)
-    recorded = steps if options.continue_on_error else steps.join(results.select(*KEY), KEY, "left_semi")
+        # what is not recorded does not happen: no tag, grant, policy or removal beyond the first failure
+        results = cut_lineage(until_first_failure(results))
+        recorded = steps.join(results.select(*KEY), KEY, "left_semi")
+        if resolved is not None:
+            resolved = resolved.join(results.select(*KEY), KEY, "left_semi")
+    if resolved is not None and options.tag_grantee_principals:
+        granted = _grant(resolved, state, options)
     rows = audit_ops.audit_rows(recorded, results, options.run_id, uuid.uuid4().hex, started, _now(), options.dry_run)
     append_audit(rows, options.audit_path, options.dry_run)
-    new_state = state if options.dry_run else next_state(state, steps, resolved, granted)
+    new_state = state if options.dry_run else written(next_state(state, recorded, resolved, granted), state)
     return RunResult(options, new_state, inventory, steps, results, run_summary(results), granted, rows)
 
 
+def written(new: GovernanceState, old: GovernanceState) -> GovernanceState:
+    """*new* with every frame that differs from *old* written out, so that a chain of runs does not recompute itself."""
+    changed = {f.name: getattr(new, f.name) for f in fields(new) if getattr(new, f.name) is not getattr(old, f.name)}
+    return replace(new, **{name: cut_lineage(df) for name, df in changed.items()})
+
+
 def _grant(resolved: DataFrame, state: GovernanceState, options: RunOptions) -> DataFrame:
     wanted = grants(resolved, GrantOptions(options.tag_grantee_principals, options.tag_grantee_role))
     if state.grant_rules is None and not options.dry_run:
@@ -251,9 +277,7 @@ def _rollback(state: GovernanceState, options: RunOptions, audit: DataFrame) ->
         dropped = undo.droppable_policies(
             steps, filters, masks, state.column_tags, options.policy_scope, options.tag_team_prefix
         )
-        new_state = replace(
-            state, row_filters=filters, masks=masks, policies=drop_policies(state.policies, dropped)
-        )
+        new_state = written(replace(state, row_filters=filters, masks=masks, policies=drop_policies(state.policies, dropped)), state)
     return RunResult(options, new_state, steps=steps, results=results, audit=rows)
 
 

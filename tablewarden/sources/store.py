@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +13,18 @@ from tablewarden.sources.schemas import AUDIT, INVENTORY, TAG_GRANTS, conform, s
 _MAX_ROWS_PER_FILE = 5_000_000
 
 
-@cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="tablewarden-")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new sub-folder of the folder that all executors share.
 
-    The session names it in ``spark.checkpoint.dir``.  Only a local session
-    may do without: driver and executors are one process there.
+    The session names it in ``spark.checkpoint.dir``.  Only a local session may
+    do without, and then uses a folder of its warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_scratch()
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/tablewarden-{uuid.uuid4().hex}"
 
 
@@ -75,7 +69,25 @@ def rows_for_run(df: DataFrame, run_id: str) -> DataFrame:
     return df.where(F.col("run_id") == run_id)
 
 
+_VERSIONS = "version string, at timestamp"
+
+
 def refresh_snapshot(df: DataFrame, path: str) -> DataFrame:
-    """Full refresh of a stored result; rules apply when it is read, not here."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Full refresh of a stored result; rules apply when it is read, not here.
+
+    Every refresh is a folder of its own, and the list of versions gets its row
+    last: readers of an older version, *df* among them, go on undisturbed, and a
+    refresh that breaks off is never seen.
+    """
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{path}/{version}")
+    row = df.sparkSession.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp())
+    row.write.mode("append").parquet(f"{path}/_versions")
+    return read_snapshot(df.sparkSession, path)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of the snapshot at *path*."""
+    versions = spark.read.schema(_VERSIONS).parquet(f"{path}/_versions")
+    newest = versions.orderBy(F.desc("at"), "version").first()["version"]
+    return spark.read.parquet(f"{path}/{newest}")

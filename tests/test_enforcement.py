@@ -10,7 +10,9 @@ from tablewarden.operators.enforce import (
     AmbiguousColumnMatch,
     ConflictingMasks,
     MaskFunction,
+    MissingColumn,
     SecurityState,
+    UnclearMask,
     UnknownFunction,
     apply_masks,
     secure,
@@ -313,3 +315,50 @@ def test_stream_through_a_join(spark, people, membership, tmp_path):
     seen = filter_by_group(stream, "unit", mapping, resolve_who(membership, "r@x", limit=0), limit=0)
     write_available(seen, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert ids(spark.read.schema(people.schema).parquet(f"{tmp_path}/out")) == [1, 3]
+
+
+# -- nothing is left unprotected unnoticed ---------------------------------------------------------------------
+
+
+def test_the_target_alias_is_masked_not_the_first_one(spark, people, membership):
+    match = [("unit_key", None, "mc_arg", None), ("mail_key", None, "mc_email", None)]
+    row = (ON, "two", "COLUMN_MASK", "f.redact", match, ["mc_arg"], "mc_email", [EVERYONE], [], "")
+    seen = secure(people, TABLE, security(spark, membership, [row], TAGS), "r@x").where("id = 1").first()
+    assert (seen.unit, seen.email) == ("Retail", "REDACTED")
+    for target in (None, "mc_other"):
+        with pytest.raises(UnclearMask):
+            secure(people, TABLE, security(spark, membership, [(*row[:6], target, *row[7:])], TAGS), "r@x")
+
+
+def test_policies_without_tags_are_an_error(spark, people, membership):
+    state = SecurityState(membership, {"f.redact": MaskFunction(m.constant())}, policies=frame(spark, [MASK], schemas.POLICIES))
+    with pytest.raises(ValueError, match="column_tags"):
+        secure(people, TABLE, state, "r@x")
+
+
+def test_a_masked_column_that_is_missing_is_an_error_unless_pruned(spark, people, membership):
+    state = security(spark, membership, masks=[("email", "f.redact")])
+    with pytest.raises(MissingColumn):
+        secure(people.withColumnRenamed("email", "contact"), TABLE, state, "r@x")
+    assert secure(people.drop("email"), TABLE, state, "r@x", pruned=True).count() == 5
+
+
+def test_groups_are_settled_when_the_principal_is_looked_up(spark, people, tmp_path):
+    """On either side of the limit, a membership that changes afterwards changes nothing."""
+    mapping = spark.createDataFrame(list(UNITS.items()), "value string, group_name string")
+    for limit in (1000, 0):
+        path = f"{tmp_path}/members{limit}"
+        generate.membership(spark, MEMBERS).write.parquet(path)
+        who = resolve_who(spark.read.parquet(path), "r@x", limit=limit)
+        frames = [filter_by_group(people, "unit", of, who, limit=limit) for of in (mapping, UNITS)]
+        generate.membership(spark, [("bu_o2c_group", "r@x")]).write.mode("overwrite").parquet(path)
+        spark.catalog.refreshByPath(path)
+        assert [ids(f) for f in frames] == [[1, 3], [1, 3]]
+
+
+def test_administrators_are_not_multiplied_by_units(people, membership):
+    mapping = people.sparkSession.createDataFrame(list(UNITS.items()), "value string, group_name string")
+    counts = checks.visible_counts(people, "unit", mapping, membership)
+    summed = counts.groupBy("principal").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_units"))
+    totals = checks.visible_totals(people, "unit", mapping, membership)
+    assert rows(totals, "principal", "n_rows", "n_units") == rows(summed, "principal", "n_rows", "n_units")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tablewarden.functions import masks as m
 from tablewarden.functions.names import KEY
 from tablewarden.operators import checks, matching
 from tablewarden.operators.enforce import MaskFunction, SecurityState, apply_masks, secure
-from tablewarden.operators.membership import is_member, resolve_who
+from tablewarden.operators.membership import Who, is_member, resolve_who
 from tablewarden.operators.rowfilters import (
     equals_rule,
     filter_by_group,
@@ -242,7 +244,7 @@ def valued_tags(f: Frames) -> DataFrame:
     ]
     policies = f.spark.createDataFrame(rows, schemas.schema(schemas.POLICIES))
     found = matching.resolve_match_columns(policies, f.column_tags)
-    return found.groupBy("tag_key", F.substring("alias", 4, 10).alias("wanted")).agg(F.count("*").alias("n_columns"))
+    return found.groupBy("tag_key", F.substr("alias", F.lit(4)).alias("wanted")).agg(F.count("*").alias("n_columns"))
 
 
 @query("X-02_ambiguous_matches", f"""
@@ -327,6 +329,15 @@ def secured_join(f: Frames) -> DataFrame:
     )
 
 
+@query("X-04_two_argument_mask", f"SELECT c_custkey, c_name, {MASKED_EMAIL} AS email, phone, c_acctbal, business_unit FROM sec_customers")
+def two_argument_mask(f: Frames) -> DataFrame:
+    """A mask whose first alias is only an argument: the target is masked, the argument stays."""
+    match = [("unit", None, "mc_unit", None), ("email", None, "mc_email", None)]
+    row = ("CATALOG `cat-0`", "two", "COLUMN_MASK", "gov.mask_email", match, ["mc_unit"], "mc_email", ["account users"], [], "")
+    policies = f.spark.createDataFrame([row], schemas.schema(schemas.POLICIES))
+    return secure(f.customers, CUSTOMERS, replace(customer_state(f), policies=policies), MEMBER)
+
+
 @query("X-05_old_and_new_rules", _SECURED)
 def old_and_new(f: Frames) -> DataFrame:
     return secure(f.customers, CUSTOMERS, customer_state(f, legacy=True), MEMBER)
@@ -378,7 +389,7 @@ def visible_counts(f: Frames) -> DataFrame:
 
 @query("X-07_visible_totals", "SELECT principal, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) AS n_units FROM counts GROUP BY 1", _COUNTS)
 def visible_totals(f: Frames) -> DataFrame:
-    return checks.visible_totals(_counts(f))
+    return checks.visible_totals(f.customers, "business_unit", f.unit_groups, f.membership)
 
 
 @query("X-07_visible_lines", """
@@ -396,15 +407,16 @@ def masked_sample(f: Frames) -> DataFrame:
 
 @query("X-08_sample_per_principal", """
 SELECT principal, position, c_custkey, business_unit, phone FROM (
-  SELECT m.principal, row_number() OVER (PARTITION BY m.principal ORDER BY c_custkey) AS position, c_custkey, business_unit, '******' || right(phone, 4) AS phone
+  SELECT m.principal, row_number() OVER (PARTITION BY m.principal ORDER BY c_custkey) AS position, c_custkey, business_unit,
+    CASE WHEN m.principal IN (SELECT member_email FROM membership WHERE group_name = 'admins') THEN phone ELSE '******' || right(phone, 4) END AS phone
   FROM sec_customers s JOIN (SELECT DISTINCT member_email AS principal, unit FROM membership JOIN (SELECT DISTINCT c_mktsegment AS unit FROM customer)
     ON group_name = 'bu_' || unit OR group_name = 'admins') m ON m.unit = s.business_unit) WHERE position <= 3""")
 def sample_per_principal(f: Frames) -> DataFrame:
-    who = resolve_who(f.membership, MEMBER)
-    rows = apply_masks(
-        f.customers.select("c_custkey", "business_unit", "phone"), {"phone": "p"}, {"p": MaskFunction(m.keep_last())}, who
-    )
-    return checks.sample_per_principal(rows, "business_unit", "c_custkey", f.unit_groups, f.membership)
+    """Masked for members, in clear for administrators, whom the mask lets through."""
+    raw, mask = f.customers.select("c_custkey", "business_unit", "phone"), {"p": MaskFunction(m.keep_last(), admin_bypass=True)}
+    nobody = frozenset()
+    masked, clear = (apply_masks(raw, {"phone": "p"}, mask, Who("", nobody, admin, f.membership)) for admin in (False, True))
+    return checks.sample_per_principal(masked, "business_unit", "c_custkey", f.unit_groups, f.membership, for_admins=clear)
 
 
 @query("X-09_isolation_verdict", """
@@ -415,11 +427,19 @@ def isolation(f: Frames) -> DataFrame:
     return checks.isolation_verdict(_counts(f), f.membership)
 
 
-@query("X-09_overlap", "SELECT c_custkey, business_unit FROM sec_customers WHERE business_unit = 'BUILDING' AND business_unit IN " + ALLOWED_UNITS)
+@query("X-09_overlap", """
+SELECT c_custkey FROM sec_customers
+WHERE business_unit IN (SELECT substr(group_name, 4) FROM membership WHERE member_email = (SELECT min(member_email) FROM membership WHERE group_name = 'bu_BUILDING'))
+  AND business_unit IN (SELECT substr(group_name, 4) FROM membership WHERE member_email = (SELECT max(member_email) FROM membership WHERE group_name = 'bu_BUILDING'))""")
 def overlap(f: Frames) -> DataFrame:
-    rows = f.customers.select("c_custkey", "business_unit")
-    mine = filter_by_group(rows, "business_unit", f.unit_groups, resolve_who(f.membership, MEMBER))
-    return checks.overlap(mine, rows.where(F.col("business_unit") == "BUILDING"))
+    """What two principals, each behind the table's rules, both see."""
+    state = customer_state(f)
+    ends = f.membership.agg(
+        F.min(F.when(F.col("group_name") == "bu_BUILDING", F.col("member_email"))).alias("a"),
+        F.max(F.when(F.col("group_name") == "bu_BUILDING", F.col("member_email"))).alias("b"),
+    ).first()
+    seen = [secure(f.customers, CUSTOMERS, state, p).select("c_custkey") for p in (ends.a, ends.b)]
+    return checks.overlap(*seen)
 
 
 @query("X-09_unexpected", """
@@ -436,9 +456,16 @@ def unexpected(f: Frames) -> DataFrame:
 
 @query("X-10_mask_check", f"SELECT count(*) AS n_rows, true AS phone, true AS email, false AS c_name FROM ({_SECURED})")
 def mask_check(f: Frames) -> DataFrame:
-    seen = secure(f.customers, CUSTOMERS, customer_state(f), MEMBER)
-    with_constants = apply_masks(seen, {"email": "c", "phone": "c"}, {"c": MaskFunction(m.constant())}, resolve_who(f.membership, MEMBER))
-    return checks.mask_check(with_constants, {"phone": "REDACTED", "email": "REDACTED", "c_name": "REDACTED"})
+    """What the rules promise, tested on what they show: a phone's tail behind stars, no local part of an address."""
+    seen = secure(f.customers, CUSTOMERS, customer_state(f), MEMBER).select("c_custkey", "phone", "email", "c_name")
+    raw = f.customers.select("c_custkey", F.col("phone").alias("raw_phone"), F.col("email").alias("raw_email"))
+    both = seen.join(raw, "c_custkey")
+    domain = F.substring_index("raw_email", "@", -1)
+    shown = F.when(F.contains("raw_email", F.lit("@")), F.substring_index("email", "@", -1) == domain).otherwise(True)
+    hidden = F.coalesce((F.col("email") != F.col("raw_email")) & shown, F.col("raw_email").isNull())
+    tail = F.col("phone").rlike(r"^\*+[0-9]{4}$") & (F.right("phone", F.lit(4)) == F.right("raw_phone", F.lit(4)))
+    judged = both.select("c_name", F.when(tail, "ok").alias("phone"), F.when(hidden, "ok").alias("email"))
+    return checks.mask_check(judged, {"phone": "ok", "email": "ok", "c_name": "REDACTED"})
 
 
 def event_state(f: Frames) -> SecurityState:

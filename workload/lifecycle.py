@@ -179,7 +179,7 @@ SELECT r.tkey AS tag_key, min(fn) AS function_fqn, max(fn) AS other_function, CA
 FROM all_requests r LEFT JOIN governed g ON g.tkey = r.tkey GROUP BY r.tkey HAVING min(fn) <> max(fn) OR any_value(g.descr) <> {DESCRIPTION} || min(fn)""", _TWINS)
 def key_errors(f: Frames) -> DataFrame:
     asked = tags.tag_requests(planned(f))
-    twins = asked.where((F.col("role") == "row_filter") & (F.substring("table", 3, 20).cast("long") % 29 == 0)).withColumn(
+    twins = asked.where((F.col("role") == "row_filter") & (F.substr("table", F.lit(3)).cast("long") % 29 == 0)).withColumn(
         "function_fqn", F.replace("function_fqn", F.lit("rf_region-"), F.lit("rf_region_"))
     )
     return tags.key_errors(asked.unionByName(twins), f.governed_tags)
@@ -484,8 +484,10 @@ def old_rules_after(f: Frames) -> DataFrame:
     return filters.unionAll(policies.remove_masks(f.live_masks, done).select(*KEY, F.col("column").alias("slot"), "function_fqn"))
 
 
-_SHARED = {
+SHARED = {
     **PLANNED,
+    # a catalog policy matches its own key alone
+    "reusable": "SELECT '' AS tn, '' AS col, '' AS rk, '' AS rv WHERE false",
     "cat_steps": """
 SELECT p.* FROM cat_planned p WHERE decision = 'PROCEED' AND (SELECT count(*) FROM usable_tags u WHERE u.tn = p.tn AND ((p.object_type = 'ROW_FILTER' AND u.req_role = 'row_filter') OR (p.object_type = 'COLUMN_MASK' AND u.req_role = 'mask' AND u.col = p.slot))) =
   CASE WHEN p.object_type = 'ROW_FILTER' THEN (SELECT len(string_split(using_columns, ',')) FROM gov_filters g WHERE g.tn = p.tn) ELSE 1 END""",
@@ -498,7 +500,7 @@ UNION ALL SELECT cn, sn, tn, slot, 'mask', source_function, policy_name FROM cat
 @query("P-15_shared_policies", """
 SELECT on_securable, policy_name, policy_type, function_fqn FROM (
   SELECT DISTINCT 'CATALOG `' || cn || '`' AS on_securable, policy_name, object_type AS policy_type, source_function AS function_fqn FROM cat_steps
-  UNION ALL SELECT on_securable, policy_name, object_type, pfn FROM catalog_policies p WHERE NOT EXISTS (SELECT 1 FROM cat_steps s WHERE s.cn = p.cn AND s.policy_name = p.policy_name))""", _SHARED)
+  UNION ALL SELECT on_securable, policy_name, object_type, pfn FROM catalog_policies p WHERE NOT EXISTS (SELECT 1 FROM cat_steps s WHERE s.cn = p.cn AND s.policy_name = p.policy_name))""", SHARED)
 def shared_policies(f: Frames) -> DataFrame:
     """Policies after a run at catalog scope: one per function, however many tables use it."""
     options = RunOptions(

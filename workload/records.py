@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.names import KEY
 from tablewarden.operators import audit, results, rollback, verify
+from tablewarden.operators.matching import policies_in_force, resolve_match_columns
 from tablewarden.plans.options import RunOptions
 from tablewarden.plans.run import GovernanceState, existing_of, run
 from tablewarden.plans.run import verify as verify_run
 from tablewarden.sources import generate, schemas, store
 from workload.ctes import KEY_OUT
 from workload.frames import Frames
-from workload.lifecycle import CATALOG, STEPS, TABLE, steps
+from workload.lifecycle import CATALOG, SHARED, STEPS, TABLE, steps
 from workload.registry import query
 
 _STATUS = """CASE WHEN bool_or(status = 'FAILED') THEN 'FAILED' WHEN bool_and(status = 'NOT_ELIGIBLE') THEN 'NOT_ELIGIBLE' WHEN bool_or(status = 'WOULD_MIGRATE') THEN 'WOULD_MIGRATE'
@@ -359,6 +360,44 @@ def run_migrate(f: Frames) -> DataFrame:
     return done.results.groupBy("status").agg(F.count("*").alias("n_tables"))
 
 
+_CATALOG_RUN = {
+    **ELIGIBLE,
+    **SHARED,
+    "cat_planned": SHARED["cat_planned"] + " WHERE coalesce(l.tn, m.tn) IN (SELECT tn FROM eligible)",
+}
+
+
+@query("RUN_migrate_catalog", f"SELECT {KEY_OUT}, object_type, slot, policy_name FROM cat_steps", _CATALOG_RUN)
+def run_migrate_catalog(f: Frames) -> DataFrame:
+    """Every object that a run at catalog scope migrated, with the policy that acts on it in the state after the run."""
+    done = run(f.state("CATALOG"), _options(f, "MIGRATE", "m1", store.shared_folder(f.spark), policy_scope="CATALOG"))
+    after, policy = done.state, ["on_securable", "policy_name"]
+    matches = resolve_match_columns(after.policies, after.column_tags)
+    acting = matches.join(policies_in_force(matches).select(*KEY, *policy), [*KEY, *policy], "left_semi")
+    slot = F.when(F.col("policy_type") == "COLUMN_MASK", F.col("column")).otherwise("").alias("slot")
+    migrated = done.steps.where("status = 'SUCCESS' AND decision = 'PROCEED'").select(*KEY, "object_type", "slot", "policy_name")
+    return migrated.join(acting.select(*KEY, "policy_name", slot).distinct(), [*KEY, "policy_name", "slot"])
+
+
+@query("RUN_stop_at_failure", """
+SELECT 'changed without audit row' AS what, 0 AS n UNION ALL SELECT 'recorded tables', count(*) FROM (SELECT tn FROM clean_status WHERE (cn, sn, tn) <= (SELECT min((cn, sn, tn)) FROM clean_status WHERE status = 'FAILED'))""",
+    {**_CLEAN, "clean_status": f"SELECT cn, sn, tn, {_STATUS} AS status FROM clean_steps GROUP BY cn, sn, tn"})
+def run_stop_at_failure(f: Frames) -> DataFrame:
+    """A run that stops at the first failed table changes nothing that its audit log does not hold."""
+    state = f.state()
+    done = run(state, _options(f, "MIGRATE", "m1", store.shared_folder(f.spark), continue_on_error=False))
+    key = [*KEY, "slot"]
+
+    def rules(s: GovernanceState) -> DataFrame:
+        return s.row_filters.select(*KEY, F.lit("").alias("slot")).unionAll(s.masks.select(*KEY, F.col("column").alias("slot")))
+
+    gone = rules(state).join(rules(done.state), key, "left_anti")
+    logged = done.audit.select(*KEY, F.coalesce("masked_column", F.lit("")).alias("slot"))
+    return gone.join(logged, key, "left_anti").agg(F.lit("changed without audit row").alias("what"), F.count("*").alias("n")).unionAll(
+        done.audit.select(*KEY).distinct().agg(F.lit("recorded tables").alias("what"), F.count("*").alias("n"))
+    )
+
+
 @query("RUN_migrate_then_rollback", """
 SELECT 'different' AS what, 0 AS n UNION ALL SELECT 'restored', count(*) FROM clean_steps WHERE status = 'SUCCESS'""", _CLEAN)
 def run_rollback(f: Frames) -> DataFrame:
