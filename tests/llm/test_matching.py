@@ -49,7 +49,7 @@ def joined(df, **options):
 
 
 # Small lists, blocks and filters make every skip happen on a small corpus.
-@pytest.mark.parametrize("options", [{}, {"list_rows": 4, "block": 2, "heavy_least": 2, "heavy_share": 64, "filter_bits": 4}])
+@pytest.mark.parametrize("options", [{}, {"list_rows": 4, "block": 2, "short": 2, "heavy_least": 2, "heavy_share": 64, "filter_bits": 4}])
 def test_join_equals_brute_force(docs, corpus, options):
     assert joined(docs, **options) == brute_join(corpus)
 
