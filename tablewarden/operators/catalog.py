@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.labels import error_reason
-from tablewarden.functions.names import KEY
+from tablewarden.functions.names import COLUMN_MASK, KEY, ROW_FILTER
+from tablewarden.sources.schemas import MATCH_COLUMN
 
 SCOPES = ("ALL_CATALOGS", "SELECTED_CATALOGS", "ALL_SCHEMAS", "SELECTED_SCHEMAS", "SPECIFIC_TABLES")
 
@@ -106,6 +107,49 @@ def parse_policies(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: _comma_list(c) for c in fields if c in rows.columns})
 
 
+# Labels in a policy's description -> field.
+_DESCRIBED = {
+    "Name": "policy_name", "Type": "policy_type", "Function": "function_fqn", "On": "on_securable", "To Principals": "to_principals",
+    "Except Principals": "except_principals", "Match Columns": "match_columns", "Using Columns": "using_columns", "On Column": "target_alias",
+    "Comment": "comment",
+}
+_CLAUSE = r"has_tag(?:_value)?\(([^)]*)\)\s+(?i:AS)\s+([A-Za-z0-9_]+)"
+
+
+def described_policies(lines: DataFrame) -> DataFrame:
+    """Policy rows (``schemas.POLICIES``) from description lines ``policy_id, name, value``.
+
+    One aggregation over all lines; the match clauses ``has_tag('k') AS a`` and
+    ``has_tag_value('k', 'v') AS a`` become structs.  A description without a
+    name or a securable is no policy; one without a function cannot be acted on
+    and keeps its NULL.
+    """
+    value = F.nullif(F.trim("value"), F.lit(""))
+    fields = lines.groupBy("policy_id").agg(*[F.max(F.when(F.trim("name") == label, value)).alias(c) for label, c in _DESCRIBED.items()])
+    arguments = F.regexp_extract_all("match_columns", F.lit(_CLAUSE), F.lit(1))
+    aliases = F.regexp_extract_all("match_columns", F.lit(_CLAUSE), F.lit(2))
+
+    def clause(args: Column, alias: Column) -> Column:
+        parts = F.regexp_extract_all(args, F.lit("'([^']*)'"), F.lit(1))
+        return F.struct(
+            F.get(parts, F.lit(0)).alias("tag_key"), F.get(parts, F.lit(1)).alias("tag_value"), alias.alias("alias"), F.lit(None).cast("string").alias("source_column")
+        )
+
+    kind = F.when(F.upper("policy_type").contains("MASK"), COLUMN_MASK).when(F.upper("policy_type").contains("FILTER"), ROW_FILTER)
+    return fields.where(F.col("policy_name").isNotNull() & F.col("on_securable").isNotNull()).select(
+        "on_securable",
+        "policy_name",
+        kind.alias("policy_type"),
+        F.replace(F.col("function_fqn"), F.lit("`"), F.lit("")).alias("function_fqn"),
+        F.coalesce(F.zip_with(arguments, aliases, clause), F.array().cast(f"array<{MATCH_COLUMN}>")).alias("match_columns"),
+        _comma_list("using_columns").alias("using_columns"),
+        "target_alias",
+        F.transform(_comma_list("to_principals"), lambda p: F.replace(p, F.lit("`"), F.lit(""))).alias("to_principals"),
+        F.transform(_comma_list("except_principals"), lambda p: F.replace(p, F.lit("`"), F.lit(""))).alias("except_principals"),
+        "comment",
+    )
+
+
 def policies_on(policies: DataFrame, on_securable: str, policy_name: str | None = None) -> DataFrame:
     """Policies of one securable, or the one of that name."""
     rows = policies.where(F.col("on_securable") == on_securable)

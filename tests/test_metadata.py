@@ -264,3 +264,22 @@ def test_snapshot_is_replaced(spark, tmp_path):
     path = f"{tmp_path}/s"
     store.refresh_snapshot(spark.range(5), path)
     assert store.refresh_snapshot(spark.range(3), path).agg(F.count("*")).first()[0] == 3
+
+
+def test_listing_errors_stop_a_run_or_are_skipped(spark):
+    from tablewarden.plans.discover import ListingFailed, check_listing
+
+    errors = spark.createDataFrame([("cat1", "PERMISSION_DENIED here", None), ("cat2", "FAILED_JDBC.CONNECTION", None)], "securable string, message string, code string")
+    check_listing(errors, "ALL_CATALOGS")
+    with pytest.raises(ListingFailed, match="cat1: PERMISSION_DENIED here"):
+        check_listing(errors, "SELECTED_CATALOGS")
+
+
+def test_described_policy(spark):
+    lines = [("p", "Name", "n"), ("p", "Type", "Column mask"), ("p", "Function", "`c`.`s`.`f`"), ("p", "On", "CATALOG `c`"), ("p", "On Column", "mc_b"), ("p", "Using Columns", "mc_a"),
+             ("p", "Match Columns", "has_tag('k') AS mc_a, has_tag_value('k2', 'high') as mc_b"), ("p", "To Principals", "`a b`, c"), ("q", "Name", "no securable")]
+    got = catalog.described_policies(spark.createDataFrame(lines, "policy_id string, name string, value string")).collect()
+    assert len(got) == 1
+    p = got[0]
+    assert (p.policy_type, p.function_fqn, p.target_alias, p.using_columns, p.to_principals, p.except_principals) == ("COLUMN_MASK", "c.s.f", "mc_b", ["mc_a"], ["a b", "c"], [])
+    assert [(m.tag_key, m.tag_value, m.alias) for m in p.match_columns] == [("k", None, "mc_a"), ("k2", "high", "mc_b")]

@@ -17,7 +17,7 @@ from workload import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 MANY_JOBS = ("T-05", "T-06", "T-07", "T-10", "T-11", "P-04", "P-05", "P-06", "P-12", "P-13", "P-14", "P-15", "A-01", "A-02", "A-03",
-             "A-06", "A-12", "A-13", "A-15", "A-17", "G-03", "RUN", "A-05", "P-11", "E-06_exempt_by", "X-01_v", "V-03")
+             "A-06", "A-12", "A-13", "A-15", "A-17", "G-03", "RUN", "A-05", "P-11", "E-06_exempt_by", "X-01_v", "X-06_phase", "V-03")
 KEPT = ("T-06_resolved_tags", "P-13_apply", "V-03_verify_tables")
 NAMES = [n for n in QUERIES if not n.startswith(MANY_JOBS) or n in KEPT]
 NEVER = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups")

@@ -20,6 +20,8 @@ from tablewarden.operators.rowfilters import (
     policies_binding,
     predicate_rule,
 )
+from tablewarden.plans.options import RunOptions
+from tablewarden.plans.run import GovernanceState, run
 from tablewarden.sources import schemas
 from tablewarden.sources.store import refresh_snapshot, shared_folder
 from tablewarden.streaming.secured import read_files, secure_stream, write_available
@@ -346,19 +348,37 @@ def old_and_new(f: Frames) -> DataFrame:
 @query("X-06_phase_parity", f"""
 SELECT phase, n_rows, 0 AS n_different FROM (SELECT count(*) AS n_rows FROM ({_SECURED})), (VALUES ('between'), ('after'), ('rolled_back')) v(phase)""")
 def phase_parity(f: Frames) -> DataFrame:
-    def seen(**kw) -> DataFrame:
-        return secure(f.customers, CUSTOMERS, customer_state(f, **kw), MEMBER)
+    """What a member sees through the real phases: apply, finalize, roll both back, each on the state before it."""
+    folder, rules = shared_folder(f.spark), customer_state(f, legacy=True, policies=False)
 
-    before = seen(legacy=True, policies=False)
-    phases = {"between": seen(legacy=True), "after": seen(), "rolled_back": seen(legacy=True, policies=False)}
+    def frame(ddl: str, *data: tuple) -> DataFrame:
+        return f.spark.createDataFrame(list(data), schemas.schema(ddl))
+
+    def options(mode: str, run_id: str) -> RunOptions:
+        return RunOptions(
+            mode=mode, scope_type="ALL_CATALOGS", dry_run=False, run_id=run_id, audit_path=f"{folder}/audit", inventory_path=f"{folder}/inventory"
+        )
+
+    start = GovernanceState(
+        frame(schemas.TABLES, (*CUSTOMERS, "MANAGED", None)), rules.row_filters, rules.masks, frame(schemas.POLICIES), frame(schemas.COLUMN_TAGS),
+        frame(schemas.GOVERNED_TAGS), frame(schemas.FUNCTIONS, *[(fn, True) for fn in rules.functions]),
+    )
+    applied = run(start, options("APPLY_ABAC", "a1")).state
+    final = run(applied, options("FINALIZE", "f1")).state
+    undone = run(run(final, options("ROLLBACK", "f1")).state, options("ROLLBACK", "a1")).state
+
+    def seen(state: GovernanceState) -> DataFrame:
+        live = replace(rules, row_filters=state.row_filters, masks=state.masks, policies=state.policies, column_tags=state.column_tags)
+        return secure(f.customers, CUSTOMERS, live, MEMBER)
+
+    if not final.row_filters.isEmpty() or not final.masks.isEmpty():
+        raise AssertionError("old rules are still there after FINALIZE")
+    before = seen(start)
     parts = []
-    for name, rows in phases.items():
+    for name, state in {"between": applied, "after": final, "rolled_back": undone}.items():
+        rows = seen(state)
         differ = checks.parity_difference(before, rows).agg(F.count("*").alias("n"))
-        parts.append(
-            rows.agg(F.count("*").alias("n_rows")).select(
-                F.lit(name).alias("phase"), "n_rows", differ.scalar().alias("n_different")
-            )
-        )
+        parts.append(rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("phase"), "n_rows", differ.scalar().alias("n_different")))
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 

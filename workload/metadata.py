@@ -9,6 +9,7 @@ from tablewarden.functions.labels import VOCABULARY, category, error_reason, nor
 from tablewarden.functions.names import KEY, full_name
 from tablewarden.operators import catalog, describe
 from tablewarden.operators.inventory import build_inventory, inventory_counts, masks_per_table
+from tablewarden.plans.discover import state_from_listings
 from tablewarden.plans.options import RunOptions
 from tablewarden.plans.run import inventory_of
 from tablewarden.sources.schemas import INVENTORY
@@ -211,7 +212,7 @@ SELECT t.cn, t.sn, t.tn, CASE WHEN describe_error IS NULL THEN table_type ELSE '
   r.tn IS NOT NULL AS has_row_filter, r.fn AS row_filter_function, coalesce(r.using_columns, '') AS row_filter_columns,
   coalesce(describe_error, r.fn || ' ON (' || r.using_columns || ')', '') AS row_filter_expression_text,
   m.tn IS NOT NULL AS has_column_masks, coalesce(m.masks, '') AS column_masks, m.labels AS mask_labels,
-  CASE WHEN r.using_columns = 'region' THEN 'region' WHEN r.tn IS NOT NULL THEN 'business_unit' END AS filter_label,
+  CASE WHEN r.tn IS NOT NULL THEN 'region' END AS filter_label,  -- two votes a column, one the function's name: its part "region" decides
   p.tn IS NOT NULL AS has_existing_abac_policy, coalesce(p.names, '') AS existing_abac_policy_names,
   CASE WHEN describe_error IS NOT NULL THEN {REASON} WHEN r.tn IS NULL AND m.tn IS NULL AND p.tn IS NULL THEN 'NO_LEGACY_SECURITY_FOUND'
        WHEN table_type = 'VIEW' THEN 'UNSUPPORTED_TABLE_TYPE' END AS eligibility_reason
@@ -219,6 +220,34 @@ FROM gov_tables t LEFT JOIN have_filter r ON r.tn = t.tn LEFT JOIN have_masks m
 }
 
 
+def policy_lines(f: Frames) -> DataFrame:
+    """Every table policy as the lines of its description."""
+    clause = F.transform("match_columns", lambda m: F.concat(F.lit("has_tag('"), m["tag_key"], F.lit("') AS "), m["alias"]))
+    ticked = F.concat(F.lit("`"), F.replace(F.col("function_fqn"), F.lit("."), F.lit("`.`")), F.lit("`"))
+    kind = F.when(F.col("policy_type") == "ROW_FILTER", "ROW FILTER").otherwise("COLUMN MASK")
+    told = {
+        "Name": F.col("policy_name"), " Type ": kind, "Function": ticked, "On": F.col("on_securable"), "To Principals": F.array_join("to_principals", ", "),
+        "Except Principals": F.array_join("except_principals", ", "), "Match Columns": F.array_join(clause, ", "),
+        "Using Columns": F.array_join("using_columns", ", "), "On Column": F.col("target_alias"), "Comment": F.col("comment"), "Owner": F.lit("x"),
+    }
+    lines = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in told.items()])
+    key = F.concat_ws("|", "on_securable", "policy_name")
+    return f.policies("TABLE").select(key.alias("policy_id"), F.inline(lines))
+
+
+@query("S-09_described_policies", """
+SELECT on_securable, policy_name, object_type AS policy_type, pfn AS function_fqn, tkey || '=' || CASE object_type WHEN 'ROW_FILTER' THEN 'mc_region' ELSE 'mc_' || slot END AS matches,
+  CASE object_type WHEN 'ROW_FILTER' THEN 'mc_region' ELSE '' END AS using_columns, CASE object_type WHEN 'COLUMN_MASK' THEN 'mc_' || slot END AS target_alias,
+  'account users' AS to_principals FROM table_policies""")
+def described(f: Frames) -> DataFrame:
+    found = catalog.described_policies(policy_lines(f))
+    return found.select(
+        "on_securable", "policy_name", "policy_type", "function_fqn",
+        F.array_join(F.transform("match_columns", lambda m: F.concat_ws("=", m["tag_key"], m["alias"])), ",").alias("matches"),
+        F.array_join("using_columns", ",").alias("using_columns"), "target_alias", F.array_join("to_principals", ",").alias("to_principals"),
+    )
+
+
 def _inventory(f: Frames, label: bool = True) -> DataFrame:
     options = RunOptions(scope_type="ALL_CATALOGS", suggest_pii_tags=label, run_id="r1")
     state = f.state()
@@ -244,6 +273,21 @@ def inventory(f: Frames) -> DataFrame:
     )
 
 
+@query("RUN_inventory_from_dump", f"""
+SELECT {KEY_OUT}, table_type, has_row_filter, row_filter_function, has_column_masks, column_masks, existing_abac_policy_names, eligibility_reason FROM inventory_rows""",
+    {**_INVENTORY, "have_filter": _INVENTORY["have_filter"].split(" WHERE")[0], "have_masks": _INVENTORY["have_masks"].replace("WHERE tid % 4 <> 0", "")})
+def inventory_from_dump(f: Frames) -> DataFrame:
+    """The inventory of a state made from listings alone: DESCRIBE lines, tags and policy descriptions."""
+    none = f.spark.createDataFrame([], "tag_key string, allowed_values_text string, description string")
+    state = state_from_listings(f.tables, f.dump, f.raw_column_tags, none, policy_lines(f), f.functions)
+    rows = inventory_of(state.tables, state, RunOptions(scope_type="ALL_CATALOGS", run_id="r1"))
+    masks = F.array_join(F.transform("column_masks", lambda m: F.concat(m["column"], F.lit("="), m["function"])), ";")
+    return rows.select(
+        *KEY, "table_type", "has_row_filter", "row_filter_function", "has_column_masks", masks.alias("column_masks"),
+        F.array_join("existing_abac_policy_names", ",").alias("existing_abac_policy_names"), "eligibility_reason",
+    )
+
+
 @query("I-02_eligibility", f"""
 SELECT coalesce(CASE WHEN describe_error IS NOT NULL THEN {REASON} WHEN NOT EXISTS (SELECT 1 FROM gov_objects o WHERE o.tid = t.tid) THEN 'NO_LEGACY_SECURITY_FOUND'
   WHEN table_type = 'VIEW' THEN 'UNSUPPORTED_TABLE_TYPE' END, 'ELIGIBLE') AS reason, count(*) AS n_tables FROM gov_tables t GROUP BY 1""")
