@@ -109,16 +109,17 @@ def train(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, optio
     rng = np.random.default_rng(11)
     for _ in range(options.epochs):
         for r in rng.permutation(len(rows)):
-            i = np.append(rows[r], options.buckets)
+            i = np.append(rows[r], options.buckets).astype(np.int64)
             w = weight(i)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30)))
             g = (p - labels[r]) * weights[r]
             root = np.sqrt(n[i])
             n[i] += g * g
             z[i] += g - (np.sqrt(n[i]) - root) / options.alpha * w
-    final = weight(np.arange(options.buckets + 1))
-    index = np.flatnonzero(final[:-1])
-    return SparseModel(options.buckets, float(final[-1]), index, final[index])
+    met = np.flatnonzero(n[:-1])
+    final = weight(met)
+    bias = float(weight(np.array([options.buckets]))[0])
+    return SparseModel(options.buckets, bias, met[final != 0], final[final != 0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, options: FtrlOptions = FtrlOptions()) -> SparseModel:
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, options: FtrlOpti
     # rare classes are sampled more densely; weights put the proportions back
     share = {c: max(1.0, n / max(1, (y == c).sum())) for c, n in totals.items()}
     least = min(share.values(), default=1.0)
-    return train([np.asarray(f, np.int64) for f in rows["f"]], y, np.array([share[c] / least for c in y]), options)
+    return train(rows["f"].tolist(), y, np.array([share[c] / least for c in y]), options)
 
 
 def toxicity(docs: DataFrame, model: SparseModel) -> DataFrame:
