@@ -44,7 +44,7 @@ def op8_quality_rules(docs: DataFrame) -> DataFrame:
     return quality_rules.op8(docs)
 
 
-@query("op10_secrets", "documents")
+@query("op10_secrets", "documents", sql=secrets.SQL)
 def op10_secrets(docs: DataFrame) -> DataFrame:
     return secrets.op10(docs)
 

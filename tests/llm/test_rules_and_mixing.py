@@ -121,6 +121,21 @@ def test_randomness_battery(spark):
     assert not any(got[2000 + i] for i in range(50))
 
 
+def test_secrets_equal_their_sql(spark):
+    rng = random.Random(13)
+    b64 = string.ascii_letters + string.digits + "+/"
+    rows = [(i, f"é x {t} y token={t[:9]} z") for i, t in enumerate(random_tokens(rng, 60, b64, 30) + random_tokens(rng, 40, "0123456789ABCDEF", 25))]
+    rows += [(1000 + i, f"user_account_{i}_2024_backup_file_archive {'ab1' * (i + 7)}") for i in range(40)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    cur = con.execute(secrets.SQL)
+    got, want = secrets.op10(df), rows_of([d[0] for d in cur.description], cur.fetchall())
+    assert rows_of(got.columns, got.collect()) == want
+    assert sum(int(r[want[0].index("n_random")]) for r in want[1]) > 60
+
+
 def test_p_values_equal_plain_python(spark):
     from math import erfc, exp, log, sqrt
 
