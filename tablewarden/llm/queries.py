@@ -69,6 +69,6 @@ def op6_url_filters(pages: DataFrame) -> DataFrame:
     return url_filters.op6(pages)
 
 
-@query("op9_jaccard_join", "documents")
+@query("op9_jaccard_join", "documents", sql=jaccard_join.SQL)
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
     return jaccard_join.op9(docs)
