@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,9 +117,20 @@ def tables_in_scope(state: GovernanceState, options: RunOptions) -> DataFrame:
     )
 
 
+def policies_in_scope(state: GovernanceState, options: RunOptions) -> DataFrame:
+    """Policies of the scope's catalogs, on them or on their tables: prefixes that reach the scan."""
+    names = options.schemas if options.scope_type == "SELECTED_SCHEMAS" else options.catalogs
+    if options.scope_type in ("ALL_CATALOGS", "SPECIFIC_TABLES") or not names:
+        return state.policies
+    on = F.col("on_securable")
+    return state.policies.where(
+        reduce(Column.__or__, [(on == f"CATALOG `{c}`") | F.startswith(on, F.lit(f"TABLE `{c}`.")) for c in names])
+    )
+
+
 def existing_of(state: GovernanceState, options: RunOptions) -> DataFrame:
     found = existing_policies(
-        state.policies, options.policy_scope, scoped(state.column_tags, state, options), options.tag_team_prefix
+        policies_in_scope(state, options), options.policy_scope, scoped(state.column_tags, state, options), options.tag_team_prefix
     )
     return scoped(found, state, options) if options.policy_scope == "TABLE" else found
 
@@ -144,7 +156,7 @@ def planned_objects(tables: DataFrame, state: GovernanceState, options: RunOptio
         scoped(state.row_filters, state, options),
         scoped(state.masks, state, options),
         existing_of(state, options),
-        state.policies,
+        policies_in_scope(state, options),
         state.functions,
         options.policy_scope,
         options.tag_team_prefix,
@@ -203,7 +215,7 @@ def next_state(
 def verify(tables: DataFrame, state: GovernanceState, options: RunOptions) -> DataFrame:
     existing = existing_of(state, options)
     steps = verify_row_filters(
-        scoped(state.row_filters, state, options), existing, state.policies, options.policy_scope, options.tag_team_prefix
+        scoped(state.row_filters, state, options), existing, policies_in_scope(state, options), options.policy_scope, options.tag_team_prefix
     ).unionByName(verify_masks(scoped(state.masks, state, options), existing))
     return verify_tables(tables, steps)
 

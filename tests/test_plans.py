@@ -76,3 +76,26 @@ def test_a_table_partitioned_by_the_filter_column_is_pruned(spark, people, membe
     df = spark.read.parquet(f"{tmp_path}/by_unit")
     text = plan(filter_by_group(df, "unit", {"u1": "g1"}, resolve_who(membership, "p")))
     assert "PartitionFilters: [isnotnull(unit" in text or "PartitionFilters: [(unit" in text or "PartitionFilters: [unit" in text
+
+
+def test_scope_reaches_the_scans_of_tags_and_policies(spark, tmp_path):
+    from helpers import options, state
+
+    from tablewarden.plans.run import planned_objects, resolved_tags, verify
+
+    t1, t2 = ("c1", "s", "t"), ("c2", "s", "t")
+    s = state(spark, tables=[(*t, "MANAGED", None) for t in (t1, t2)], filters=[(t, "c.s.f", ["region"]) for t in (t1, t2)],
+              policies=[(f"CATALOG `{c}`", "p", "ROW_FILTER", "c.s.f", [], [], None, [], [], "") for c in ("c1", "c2", "c3")],
+              tags=[(t, "region", "k", None) for t in (t1, t2)])
+    for name in ("policies", "column_tags"):
+        getattr(s, name).write.parquet(f"{tmp_path}/{name}")
+    from dataclasses import replace
+
+    s = replace(s, policies=spark.read.parquet(f"{tmp_path}/policies"), column_tags=spark.read.parquet(f"{tmp_path}/column_tags"))
+    o = options(tmp_path, scope_type="SELECTED_CATALOGS", catalogs=("c1",))
+    planned = planned_objects(s.tables, s, o)
+    assert [r.catalog for r in planned.collect()] == ["c1"]
+    for df in (planned, verify(s.tables, s, o)):
+        scans = [x for x in plan(df).splitlines() if "on_securable" in x and "FileScan" in x]
+        assert scans and all("StringStartsWith(on_securable" in x for x in scans)
+    assert "EqualTo(catalog,c1)" in plan(resolved_tags(planned, s, o))
