@@ -1,7 +1,9 @@
 """Secrets in whole texts: three fixed patterns, and a battery of randomness tests for everything else.
 
-Candidates are long runs of the characters that encodings of random bytes use,
-with a letter and a digit.  For the encoding that a candidate's alphabet implies,
+Candidates are long runs of the characters that encodings of random bytes use.
+"=" parts a name from its value, so a run ends there but for its padding; a run
+that no one alphabet holds is taken apart at the characters that break either
+base64 alphabet, and the pieces of both ways are candidates.  For the encoding that a candidate's alphabet implies,
 chi-squared uniformity, a runs test and the serial correlation each give a
 p-value for "drawn at random"; Fisher's method combines them.  A candidate is
 dismissed as structured by the Benjamini-Hochberg rule among candidates of like
@@ -26,6 +28,9 @@ HEX = r"[0-9a-f]{24,}"  # a run is one match, so the least length may stand in t
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX, LEAST_RANDOM = 6, 20, 24, 20
 RANDOM = r"[A-Za-z0-9+/_=-]{20,}"
+# A run between "=", with the padding that ends it; and what one alphabet holds of a run that mixes them.
+PIECE = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+ONE_ALPHABET = (r"[A-Za-z0-9+/]{20,}(?:=+$)?", r"[A-Za-z0-9_-]{20,}(?:=+$)?")
 # Alphabets by encoding, in the order in which they are tried; digits of the alphabet by place.
 ENCODINGS = {
     "hex": (r"^[0-9a-f]+$", "0123456789abcdef"),
@@ -116,12 +121,39 @@ def _battery(x: Column) -> Column:
     return F.exp(-half) * (1 + half + half * half / 2)
 
 
+def _pieces(text: Column, runs: Column) -> Column:
+    """*runs*, those that mix alphabets taken apart at either alphabet's breaking characters."""
+
+    def apart(s: Column) -> Column:
+        token = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        parts = F.concat(*[_spans(token, p, 3, 0, LEAST_RANDOM) for p in ONE_ALPHABET])
+        placed = F.transform(parts, lambda q: F.struct((s["start"] + q["start"]).alias("start"), q["kind"].alias("kind"), (s["start"] + q["end"]).alias("end")))
+        return F.when(token.rlike("[+/]") & token.rlike("[_-]"), placed).otherwise(F.array(s))
+
+    return F.flatten(F.transform(runs, apart))
+
+
+def _united(found: Column) -> Column:
+    """Spans of one kind, those that overlap made one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
+        whole = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))
+        return F.when(F.size(acc) == 0, F.array(s)).when(last["end"] > s["start"], whole).otherwise(F.concat(acc, F.array(s)))
+
+    return F.when(F.size(found) > 1, F.aggregate(F.array_sort(found), F.array().cast(_SPAN), step)).otherwise(found)
+
+
 def _with_p(text: Column, base: Column, found: Column) -> Column:
-    """Candidates outside the *base* spans, with length class and p-value in millionths."""
-    outside = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    """Candidates outside the *base* spans, with length class and p-value in millionths.
+
+    Runs without a letter or digit are rules, which every test dismisses; they do not count towards the bars.
+    """
+    outside = F.filter(_pieces(text, found), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     tokens = F.transform(outside, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("token")))
-    mixed = F.filter(tokens, lambda t: t["token"].rlike("[A-Za-z]") & t["token"].rlike("[0-9]"))
-    coded = F.transform(mixed, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _alphabet_size(t["token"]).alias("size"), _codes(t["token"]).alias("codes")))
+    told = F.filter(tokens, lambda t: t["token"].rlike("[A-Za-z0-9]"))
+    coded = F.transform(told, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _alphabet_size(t["token"]).alias("size"), _codes(t["token"]).alias("codes")))
     known = F.filter(coded, lambda t: F.size(t["codes"]) >= LEAST_RANDOM)
 
     def classed(t: Column) -> Column:
@@ -157,7 +189,7 @@ def spans(docs: DataFrame, scratch: Scratch | None = None, keep: tuple[str, ...]
         *keep,
         text.alias("_text"),
         F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, LEAST_VALUE), _spans(text, ACCESS, 1, 0, LEAST_ACCESS), _spans(text, HEX, 2, 0, LEAST_HEX))).alias("base"),
-        _spans(text, RANDOM, 3, 0, LEAST_RANDOM).alias("_runs"),
+        _spans(text, PIECE, 3, 0, LEAST_RANDOM).alias("_runs"),
     )
     scanned = scratch.write(scanned.select(*keep, "base", _with_p(F.col("_text"), F.col("base"), F.col("_runs")).alias("candidates")), "scanned")
     bars = dismissal_bars(scanned.select(F.inline("candidates")).select("stratum", "p")).collect()
@@ -167,7 +199,7 @@ def spans(docs: DataFrame, scratch: Scratch | None = None, keep: tuple[str, ...]
         return c["p"] > bar
 
     added = F.transform(F.filter("candidates", random), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return scanned.select(*keep, "base", F.array_sort(F.concat("base", added)).alias("found"))
+    return scanned.select(*keep, "base", F.array_sort(F.concat("base", _united(added))).alias("found"))
 
 
 def _written(found: Column) -> Column:
