@@ -2,8 +2,10 @@
 
 Text becomes a template: numbers, units after a number and names (a capital and a
 small letter, within a sentence) are placeholders, every other word stands for
-itself.
-Windows of template tokens are hash-joined with the benchmark's.  Along one
+itself.  A word that opens a sentence is a name too where its text uses it as one
+within a sentence; windows are taken with and without such names.
+Windows of template tokens are hash-joined with the benchmark's, and so are
+windows of the words and numbers themselves, however few words they hold.  Along one
 alignment of a document with an item the placeholders must be filled
 consistently: the same value of the item always by the same value of the
 document, and the other way round.  Tokens covered by consistent windows decide.
@@ -49,10 +51,14 @@ def _hash_words(words: list[str]) -> np.ndarray:
 
 _UNIT_HASHES = _hash_words(UNITS)
 _PLACEHOLDER = mix(np.arange(4, dtype=np.uint64) + np.uint64(0xA5A5))
+_CAPITALS, _AS_IT_STANDS = np.uint64(0x5C5C), np.uint64(0xC3C3 << 16)
 
 
-def template(chunk: Chunk) -> tuple[Tokens, np.ndarray, np.ndarray]:
-    """Tokens (runs of letters; numbers with inner points and commas), the type of each (0: literal), template hashes."""
+def template(chunk: Chunk) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens (runs of letters; numbers with inner points and commas), types (0: literal) without and with names that open sentences, hashes as they stand.
+
+    As it stands a word counts in lower case, but for words all in capitals.
+    """
     raw = chunk.bytes
     digit = DIGIT[raw]
     inner = np.zeros(len(raw), bool)
@@ -62,7 +68,7 @@ def template(chunk: Chunk) -> tuple[Tokens, np.ndarray, np.ndarray]:
     t = Tokens(chunk, lower_latin(raw), label)
     kind = np.zeros(len(t), np.int8)
     if not len(t):
-        return t, kind, t.hash
+        return t, kind, kind, t.hash
     number = label[t.starts] == 2
     kind[number] = NUMBER
     head = np.zeros(len(t), bool)  # first tokens of their text
@@ -77,23 +83,36 @@ def template(chunk: Chunk) -> tuple[Tokens, np.ndarray, np.ndarray]:
     small = ((beyond[second] >= 0x61) & (beyond[second] <= 0x7A)) | ((beyond[second] == 0xC3) & (beyond[second + 1] >= 0x9F))
     stops = np.append(0, np.cumsum(np.isin(raw, np.frombuffer(b".!?:\n|", np.uint8)) & ~inner))
     within = stops[t.starts] == stops[np.append(0, t.ends[:-1])]
-    kind[(kind == 0) & capital & small & within & ~head] = NAME
-    return t, kind, np.where(kind > 0, _PLACEHOLDER[kind], t.hash)
+    named = (kind == 0) & capital & small
+    opening = named & ~(within & ~head)
+    kind[named & ~opening] = NAME
+    of_text = mix(t.hash + np.repeat(np.arange(len(t.n), dtype=np.uint64), t.n) * np.uint64(0x9E3779B97F4A7C15))
+    opened = kind.copy()
+    opened[opening & np.isin(of_text, of_text[kind == NAME])] = NAME
+    upper = np.append(0, np.cumsum((raw >= 0x41) & (raw <= 0x5A)))
+    size = t.ends - t.starts
+    shouted = (size > 1) & (upper[t.ends] - upper[t.starts] == size)
+    return t, kind, opened, np.where(shouted, mix(t.hash ^ _CAPITALS), t.hash)
 
 
 def windows(texts: list[bytes | None], lengths: list[int], literals: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Tokens, np.ndarray, Chunk]]:
-    """Per chunk and length: hash, first token and text of the windows with enough literal tokens."""
+    """Per chunk and length: hash, first token and text of the windows with enough literal tokens, and of all windows as they stand."""
     for c in chunks(texts):
-        t, kind, h = template(c)
+        t, kind, opened, plain = template(c)
         owner = np.repeat(np.arange(len(t.n)), t.n)
-        plain = np.append(0, np.cumsum(kind == 0))
+        changed = np.append(0, np.cumsum(kind != opened))
         for k in lengths:
-            whole = runs(h, tuple(range(k)))
-            if not len(whole):
+            if len(t) < k:
                 continue
-            ok = (owner[: len(whole)] == owner[k - 1 :]) & (plain[k:] - plain[:-k] >= min(literals, k))
-            at = np.flatnonzero(ok)
-            yield mix(whole[at] + np.uint64(k)), at, owner[at], t, kind, c
+            same = owner[: len(t) - k + 1] == owner[k - 1 :]
+            for types, also in ((kind, True), (opened, changed[k:] > changed[:-k])):
+                literal = np.append(0, np.cumsum(types == 0))
+                at = np.flatnonzero(same & also & (literal[k:] - literal[:-k] >= min(literals, k)))
+                if len(at):
+                    whole = runs(np.where(types > 0, _PLACEHOLDER[types], t.hash), tuple(range(k)))
+                    yield mix(whole[at] + np.uint64(k)), at, owner[at], t, types, c
+            at = np.flatnonzero(same)
+            yield mix(runs(plain, tuple(range(k)))[at] + np.uint64(k) + _AS_IT_STANDS), at, owner[at], t, np.zeros_like(kind), c
 
 
 def _slots(t: Tokens, kind: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -143,8 +162,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: LeakOptions = LeakOpti
     not read.  ``n_covered`` of the item's ``n_tokens`` template tokens lie in
     windows whose placeholders are filled consistently; ``exact`` when they are
     all filled as in the item.  Null and empty texts have no windows, items of
-    fewer than ``least_item`` tokens or with too few literal ones are not looked
-    for, and either table may be empty.  Rows with one doc_id count as one document;
+    fewer than ``least_item`` tokens are not looked for, those with too few literal
+    ones only as they stand, and either table may be empty.  Rows with one doc_id count as one document;
     an item_id that repeats counts as one item of all its texts.
 
     Documents are read once.  What they have in common with a filter of

@@ -150,6 +150,22 @@ def test_reparameterised_questions(spark):
     assert {1, 2} & kept == set() and {4, 6} <= kept
 
 
+def test_copies_with_few_words_and_names_that_open_sentences(spark):
+    items = [
+        "What is 12 * 15 + 37 - 18 / 3 + 4?",
+        "Sort these numbers: 4, 9, 2, 7, 1, 8, 3, 6, 5, 11, 12, 14, 10.",
+        "Find the sum of 3, 5, 8, 13, 21 and 34.",
+        "Tom has 5 apples. Tom buys 3 more. Tom gives 2 to Ann. How many does Tom have now?",
+        "The Blue train carries 40 people and stops at 6 places. How many people ride The Blue train then?",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, f"Some words first. {t} And some after.") for i, t in enumerate(items)]
+    docs += [(13, "Kim has 9 apples. Kim buys 4 more. Kim gives 7 to Joe. How many does Kim have now?"), (14, "the house in The Hague. " + items[4].replace("40", "77"))]
+    docs += [(20, "What is 12 * 15 + 37 - 18 / 3 + 5?"), (21, "Sort these numbers: 1, 2, 3, 4, 5, 6, 7, 8, 9, 10."), (22, "Kim has 9 apples. Kim buys 4 more. Joe gives 7 to Joe. How many does Ed have now?")]
+    got = {(r["doc_id"], r["item_id"]): (r["n_covered"] == r["n_tokens"], r["exact"]) for r in decontaminate.op7(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {**{(i, i): (True, True) for i in range(5)}, (13, 3): (True, False), (14, 4): (True, False)}
+
+
 def brute_leaks(docs, bench, o=decontaminate.LeakOptions()):
     """Coverage by windows, for texts without placeholders."""
     out = set()
