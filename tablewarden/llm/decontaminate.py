@@ -9,6 +9,8 @@ windows of the words and numbers themselves, however few words they hold.  Along
 alignment of a document with an item the placeholders must be filled
 consistently: the same value of the item always by the same value of the
 document, and the other way round.  Tokens covered by consistent windows decide.
+Where fillings conflict, only the windows that hold a conflicting placeholder
+go; or those that are not filled as in the item, if that leaves more tokens.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import hash_filter, passes
@@ -95,8 +97,8 @@ def template(chunk: Chunk) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
     return t, kind, opened, np.where(shouted, mix(t.hash ^ _CAPITALS), t.hash)
 
 
-def windows(texts: list[bytes | None], lengths: list[int], literals: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Tokens, np.ndarray, Chunk]]:
-    """Per chunk and length: hash, first token and text of the windows with enough literal tokens, and of all windows as they stand."""
+def windows(texts: list[bytes | None], lengths: list[int], literals: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Tokens, np.ndarray | None, Chunk]]:
+    """Per chunk and length: hash, first token and text of the windows with enough literal tokens, and of all windows as they stand (no types)."""
     for c in chunks(texts):
         t, kind, opened, plain = template(c)
         owner = np.repeat(np.arange(len(t.n)), t.n)
@@ -112,16 +114,18 @@ def windows(texts: list[bytes | None], lengths: list[int], literals: int) -> Ite
                     whole = runs(np.where(types > 0, _PLACEHOLDER[types], t.hash), tuple(range(k)))
                     yield mix(whole[at] + np.uint64(k)), at, owner[at], t, types, c
             at = np.flatnonzero(same)
-            yield mix(runs(plain, tuple(range(k)))[at] + np.uint64(k) + _AS_IT_STANDS), at, owner[at], t, np.zeros_like(kind), c
+            yield mix(runs(plain, tuple(range(k)))[at] + np.uint64(k) + _AS_IT_STANDS), at, owner[at], t, None, c
 
 
-def _slots(t: Tokens, kind: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
-    """Type and value of the placeholders of each window, in order, as one number each."""
+def _slots(t: Tokens, kind: np.ndarray | None, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """Type and value of the placeholders of each window, in order, as one number each; none as it stands."""
+    if kind is None:
+        return [np.zeros(0, np.int64)] * len(at)
     value = (t.hash & np.uint64(2**60 - 1)).astype(np.int64) * 4 + kind
     return [value[a : a + k][kind[a : a + k] > 0] for a in at.tolist()]
 
 
-_WINDOW = "window long, length int, at int, slots array<long>"
+_WINDOW = "window long, length int, at int, slots array<long>, template boolean"
 
 
 def _item_windows(options: LeakOptions):
@@ -136,7 +140,7 @@ def _item_windows(options: LeakOptions):
                 k = int(min(size, options.window))
                 for h, at, owner, t, kind, c in windows(rows["text"].tolist(), [k], options.literals):
                     row = c.rows[owner]
-                    yield pd.DataFrame({"item_id": rows["item_id"].to_numpy()[row], "n_tokens": int(size), "window": h.view(np.int64), "length": k, "at": at - t.first[owner], "slots": _slots(t, kind, at, k)})
+                    yield pd.DataFrame({"item_id": rows["item_id"].to_numpy()[row], "n_tokens": int(size), "window": h.view(np.int64), "length": k, "at": at - t.first[owner], "slots": _slots(t, kind, at, k), "template": kind is not None})
 
     return run
 
@@ -150,7 +154,7 @@ def _doc_windows(shared, lengths: list[int], options: LeakOptions):
                     h, at, owner = h[hit], at[hit], owner[hit]
                     if len(at):
                         row = c.rows[owner]
-                        yield pd.DataFrame({"doc": pdf["doc"].to_numpy()[row], "text_hash": pdf["text_hash"].to_numpy()[row], "window": h.view(np.int64), "length": k, "at": at - t.first[owner], "slots": _slots(t, kind, at, k)})
+                        yield pd.DataFrame({"doc": pdf["doc"].to_numpy()[row], "text_hash": pdf["text_hash"].to_numpy()[row], "window": h.view(np.int64), "length": k, "at": at - t.first[owner], "slots": _slots(t, kind, at, k), "template": kind is not None})
 
     return run
 
@@ -161,7 +165,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: LeakOptions = LeakOpti
     *docs* has doc_id and text, *benchmark* item_id and text; other columns are
     not read.  ``n_covered`` of the item's ``n_tokens`` template tokens lie in
     windows whose placeholders are filled consistently; ``exact`` when they are
-    all filled as in the item.  Null and empty texts have no windows, items of
+    all filled as in the item in alignments without conflict.  Null and empty texts have no windows, items of
     fewer than ``least_item`` tokens are not looked for, those with too few literal
     ones only as they stand, and either table may be empty.  Rows with one doc_id count as one document;
     an item_id that repeats counts as one item of all its texts.
@@ -186,17 +190,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: LeakOptions = LeakOpti
     met = d.join(i, (F.col("d.window") == F.col("i.window")) & (F.col("d.length") == F.col("i.length")) & (F.size("d.slots") == F.size("i.slots")))
     aligned = met.groupBy("d.doc", "d.text_hash", "i.item_id", (F.col("d.at") - F.col("i.at")).alias("shift")).agg(
         F.max("i.n_tokens").alias("n_tokens"),
-        F.collect_set(F.struct(F.col("i.at").alias("at"), F.col("i.length").alias("length"))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.zip_with("i.slots", "d.slots", lambda a, b: F.struct(a.alias("mine"), b.alias("theirs")))))).alias("pairs"),
+        F.collect_set(
+            F.struct(
+                F.col("i.at").alias("at"),
+                F.col("i.length").alias("length"),
+                F.col("i.template").alias("template"),
+                F.zip_with("i.slots", "d.slots", lambda a, b: F.struct(a.alias("mine"), b.alias("theirs"))).alias("pairs"),
+            )
+        ).alias("places"),
     )
+    aligned = aligned.withColumn("pairs", F.array_distinct(F.flatten("places.pairs")))
     one_to_one = (F.size(F.array_distinct("pairs.mine")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.theirs")) == F.size("pairs"))
-    exact = F.forall("pairs", lambda p: p["mine"] == p["theirs"])
-    tokens = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["at"], p["at"] + p["length"] - 1))))
+    apart = F.filter("pairs", lambda p: F.exists("pairs", lambda q: (p["mine"] == q["mine"]) != (p["theirs"] == q["theirs"])))
+
+    def same(pairs: Column) -> Column:
+        return F.forall(pairs, lambda p: p["mine"] == p["theirs"])
+
+    def tokens(places: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p["at"], p["at"] + p["length"] - 1))))
+
+    def covered(name: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.collect_set(name))))
+
+    # words left as they were and places filled anew are not added up: one name for two, between copied words, is another question
+    verbatim = F.filter("places", lambda w: same(w["pairs"]))
+    # a lambda's variable, so that the conflicts are found once and not for every window
+    agreeing = F.flatten(F.transform(F.array(apart), lambda out: F.filter("places", lambda w: w["template"] & ~F.arrays_overlap(w["pairs"], out))))
     pairs = (
-        aligned.where(one_to_one)
-        .select("doc", "item_id", "n_tokens", tokens.alias("tokens"), exact.alias("exact"))
+        aligned.select(
+            "doc",
+            "item_id",
+            "n_tokens",
+            tokens(F.when(one_to_one, F.col("places")).otherwise(verbatim)).alias("verbatim"),
+            tokens(F.when(one_to_one, F.col("places")).otherwise(agreeing)).alias("agreeing"),
+            F.when(one_to_one, same(F.col("pairs"))).alias("exact"),
+        )
         .groupBy("doc", "item_id")
-        .agg(F.max("n_tokens").alias("n_tokens"), F.size(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("n_covered"), F.min("exact").alias("exact"))
+        .agg(F.max("n_tokens").alias("n_tokens"), F.greatest(covered("verbatim"), covered("agreeing")).alias("n_covered"), F.coalesce(F.min("exact"), F.lit(False)).alias("exact"))
     )
     return pairs.where(F.col("n_covered") >= F.least(F.col("n_tokens"), F.lit(options.covered))).select(
         F.col("doc").cast(doc_kind).alias("doc_id"), "item_id", "n_covered", "n_tokens", "exact"

@@ -166,6 +166,20 @@ def test_copies_with_few_words_and_names_that_open_sentences(spark):
     assert got == {**{(i, i): (True, True) for i in range(5)}, (13, 3): (True, False), (14, 4): (True, False)}
 
 
+def test_a_conflict_costs_only_its_windows(spark):
+    copied = "and then the old miller carried every sack of grain over the narrow bridge before the rain began to fall upon the quiet village again that night"
+    item = f"Lea has 3 apples and 3 pears in her green basket by the door {copied}, so how much fruit is left?"
+    bench = spark.createDataFrame([(1, item), (2, QUESTION)], "item_id long, text string")
+    docs = [
+        (1, item.replace("3 apples", "5 apples").replace("3 pears", "4 pears")),
+        (2, item.replace("3 pears", "4 pears")),
+        (3, item.replace("3 apples", "5 apples").replace("3 pears", "4 pears").replace("the quiet", "the other quiet")),
+        (4, "If Bob has 1 apples and gives 2 kg of them to Bob, how many apples does Bob still have in the end?"),
+    ]
+    got = {r["doc_id"]: (r["item_id"], r["n_covered"], r["n_tokens"]) for r in decontaminate.op7(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3} and all(i == 1 and n >= 30 for i, n, _ in got.values())
+
+
 def brute_leaks(docs, bench, o=decontaminate.LeakOptions()):
     """Coverage by windows, for texts without placeholders."""
     out = set()
