@@ -35,6 +35,7 @@ class LangIdOptions:
     rate: float = 4.0
     batch: int = 32
     kept_error: float = 0.01
+    rejected_share: float = 0.01
 
 
 @dataclass
@@ -102,8 +103,9 @@ def train(texts: list[bytes], langs: list[str], options: LangIdOptions = LangIdO
     Every text is also learnt from its first and last three words alone, so that
     short texts are within what the model has seen.  The temperature is the one
     of least loss on the other fifth; ``least`` is the smallest probability at
-    which at most ``kept_error`` of what is kept there is wrong, and never below
-    an even choice between two languages.  ``least_known`` is half of what all but
+    which at most ``kept_error`` of what is kept there is wrong, but rejects at
+    most ``rejected_share`` of that fifth (labels may be what is wrong, not the
+    guess), and is never below an even choice between two languages.  ``least_known`` is half of what all but
     one in a hundred of them have: a text of another script or language falls short of it.
     """
     classes = sorted(set(langs))
@@ -163,6 +165,8 @@ def train(texts: list[bytes], langs: list[str], options: LangIdOptions = LangIdO
         model.least = float(top[down[good[-1]]]) if len(good) else 1.0
         if len(good) == len(down):  # nothing measured speaks for a higher bar
             model.least = 0.0
+        # wrong labels lie at any confidence, so the error alone may put the bar anywhere
+        model.least = min(model.least, float(np.quantile(top, options.rejected_share, method="lower")))
     model.least = max(model.least, 0.5 if k > 1 else 0.0)
     return model
 

@@ -78,6 +78,20 @@ def test_unknown_script_is_rejected(docs):
     assert got[1]["rejected"] and got[2]["rejected"] and got[2]["lang_pred"] == "und"
 
 
+def test_wrong_labels_do_not_move_the_rejection_bar():
+    rng = np.random.default_rng(11)
+    vocabulary = {"en": "the of and to in is that for it as was with house river stone walking".split(), "de": "der die das und den von zu mit sich des auf ist haus fluss stein gehen".split()}
+    truth = [("en", "de")[i % 2] for i in range(2000)]
+    texts = [" ".join(rng.choice(vocabulary[x], int(rng.integers(8, 60)))).encode() for x in truth]
+    for noise in (0.0, 0.02, 0.05):
+        labels = [("de" if x == "en" else "en") if rng.random() < noise else x for x in truth]
+        model = langid.train(texts, labels)
+        p, known = model.predict(texts)
+        kept = (p.max(axis=1) >= model.least) & (known >= model.least_known)
+        assert kept.mean() > 0.97, (noise, model.least)
+        assert np.mean([model.classes[k] == x for k, x in zip(p.argmax(axis=1), truth, strict=True)]) > 0.97
+
+
 def test_language_of_odd_rows(odd, none):
     rows = langid.op5(odd).collect()
     assert len(rows) == 10
