@@ -26,9 +26,9 @@ class Scratch:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         self.base = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """*df* as a table of this folder, read back."""
-        df.write.parquet(f"{self.base}/{name}")
+        df.write.option("compression", compression).parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:

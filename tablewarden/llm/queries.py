@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewarden.llm import decontaminate, jaccard_join, langid, lm_score, mixing, quality_rules, secrets, toxicity, url_filters, weak_labels
+from tablewarden.llm import (
+    alignment,
+    decontaminate,
+    jaccard_join,
+    langid,
+    lexical_search,
+    lm_score,
+    mixing,
+    quality_rules,
+    secrets,
+    sharding,
+    toxicity,
+    url_filters,
+    weak_labels,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +86,18 @@ def op6_url_filters(pages: DataFrame) -> DataFrame:
 @query("op9_jaccard_join", "documents", sql=jaccard_join.SQL)
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
     return jaccard_join.op9(docs)
+
+
+@query("op11_sharding", "documents", sql=sharding.SQL)
+def op11_sharding(docs: DataFrame) -> DataFrame:
+    return sharding.op11(docs)
+
+
+@query("op12_lexical_search", "documents", "benchmark", sql=lexical_search.SQL)
+def op12_lexical_search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return lexical_search.op12(docs, benchmark)
+
+
+@query("op13_alignment", "documents")
+def op13_alignment(docs: DataFrame) -> DataFrame:
+    return alignment.op13(docs)
