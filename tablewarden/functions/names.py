@@ -103,6 +103,10 @@ def catalog_securable() -> Column:
     return F.concat(F.lit("CATALOG "), quoted("catalog"))
 
 
+def schema_securable() -> Column:
+    return F.concat(F.lit("SCHEMA "), F.concat_ws(".", quoted("catalog"), quoted("schema")))
+
+
 def securable(scope: str) -> Column:
     return table_securable() if scope == "TABLE" else catalog_securable()
 

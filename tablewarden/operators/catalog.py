@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions.conditions import is_plain, parse_conditions
 from tablewarden.functions.labels import error_reason
 from tablewarden.functions.names import COLUMN_MASK, KEY, ROW_FILTER
 from tablewarden.sources.schemas import MATCH_COLUMN
+from tablewarden.sources.store import cut_lineage
 
 SCOPES = ("ALL_CATALOGS", "SELECTED_CATALOGS", "ALL_SCHEMAS", "SELECTED_SCHEMAS", "SPECIFIC_TABLES")
 
@@ -107,47 +111,79 @@ def parse_policies(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: _comma_list(c) for c in fields if c in rows.columns})
 
 
-# Labels in a policy's description -> field.
+# Labels of a policy's description -> field; the nested ones are indented in a listing.
 _DESCRIBED = {
-    "Name": "policy_name", "Type": "policy_type", "Function": "function_fqn", "On": "on_securable", "To Principals": "to_principals",
-    "Except Principals": "except_principals", "Match Columns": "match_columns", "Using Columns": "using_columns", "On Column": "target_alias",
-    "Comment": "comment",
+    "Name": "policy_name", "Policy Type": "policy_type", "On Securable Type": "securable_type", "On Securable": "securable", "Comment": "comment",
+    "To Principals": "to_principals", "Except Principals": "except_principals", "Match Columns": "match_text",
+    "Function Name": "function_fqn", "Using Columns": "using_columns", "On Column": "target_alias",
 }
-_CLAUSE = r"has_tag(?:_value)?\(([^)]*)\)\s+(?i:AS)\s+([A-Za-z0-9_]+)"
+# Lines that say nothing about what a policy does.
+_NEUTRAL = ("Owner", "Created At", "Created By", "Created Time", "Updated At", "Updated By", "Updated Time", "Id", "For Securable Type")
+_PARTS = {"TABLE": 3, "SCHEMA": 2, "CATALOG": 1}
 
 
-def described_policies(lines: DataFrame) -> DataFrame:
-    """Policy rows (``schemas.POLICIES``) from description lines ``policy_id, name, value``.
+def _securable(kind: Column, name: Column) -> Column:
+    """``KIND `a`.`b` `` from a type and a name with or without backticks; NULL for other types and other numbers of parts."""
+    parts = F.regexp_extract_all(name, F.lit("`([^`]+)`|([^.`]+)"), F.lit(0))
+    ticked = F.transform(parts, lambda p: F.concat(F.lit("`"), F.replace(p, F.lit("`"), F.lit("")), F.lit("`")))
+    fits = reduce(Column.__or__, [(kind == k) & (F.size(parts) == n) for k, n in _PARTS.items()])
+    return F.when(fits, F.concat_ws(" ", kind, F.array_join(ticked, ".")))
 
-    One aggregation over all lines; the match clauses ``has_tag('k') AS a`` and
-    ``has_tag_value('k', 'v') AS a`` become structs.  A description without a
-    name or a securable is no policy; one without a function cannot be acted on
-    and keeps its NULL.
+
+def described_policies(lines: DataFrame) -> DataFrame:
+    """Policy rows (``schemas.POLICIES`` and ``schemas.LISTED``) from description lines ``policy_id, name, value``.
+
+    One aggregation over all lines.  Every description gives a row: one that is
+    not wholly understood says why in ``problem``, and whatever reads a table
+    that it may guard fails.  That is a type or securable that is unknown or
+    missing, a missing name, function or list of principals, a line of an unknown label, and a match
+    text that is no list of conditions with aliases.  A clause of one tag test
+    has its key in ``match_columns``; any other has a NULL key there and its
+    condition in ``conditions``.  The rows are written once: every read of a
+    table looks at them several times, and the texts are to be read only here.
     """
     value = F.nullif(F.trim("value"), F.lit(""))
-    fields = lines.groupBy("policy_id").agg(*[F.max(F.when(F.trim("name") == label, value)).alias(c) for label, c in _DESCRIBED.items()])
-    arguments = F.regexp_extract_all("match_columns", F.lit(_CLAUSE), F.lit(1))
-    aliases = F.regexp_extract_all("match_columns", F.lit(_CLAUSE), F.lit(2))
-
-    def clause(args: Column, alias: Column) -> Column:
-        parts = F.regexp_extract_all(args, F.lit("'([^']*)'"), F.lit(1))
-        return F.struct(
-            F.get(parts, F.lit(0)).alias("tag_key"), F.get(parts, F.lit(1)).alias("tag_value"), alias.alias("alias"), F.lit(None).cast("string").alias("source_column")
-        )
-
+    label = F.trim("name")
+    unknown = F.when(value.isNotNull() & ~label.isin(*_DESCRIBED, *_NEUTRAL), label)
+    fields = lines.groupBy("policy_id").agg(
+        *[F.max(F.when(label == text, value)).alias(c) for text, c in _DESCRIBED.items()], F.min(unknown).alias("unknown_label")
+    )
+    fields = fields.withColumns({"parsed": parse_conditions(F.col("match_text")), "on_securable": _securable(F.upper("securable_type"), F.col("securable"))})
     kind = F.when(F.upper("policy_type").contains("MASK"), COLUMN_MASK).when(F.upper("policy_type").contains("FILTER"), ROW_FILTER)
-    return fields.where(F.col("policy_name").isNotNull() & F.col("on_securable").isNotNull()).select(
+    plain = lambda c: is_plain(c["condition"])
+    match = F.transform(
+        "parsed.clauses",
+        lambda c: F.struct(
+            F.when(plain(c), c["condition"][0]["tag_key"]).alias("tag_key"),
+            F.when(plain(c), c["condition"][0]["tag_value"]).alias("tag_value"),
+            c["alias"].alias("alias"),
+            F.lit(None).cast("string").alias("source_column"),
+        ),
+    ).cast(f"array<{MATCH_COLUMN}>")
+    problem = (
+        F.when(F.col("policy_name").isNull(), "no name")
+        .when(F.col("on_securable").isNull(), F.concat_ws(" ", F.lit("unknown securable:"), "securable_type", "securable"))
+        .when(kind.isNull(), F.concat_ws(" ", F.lit("unknown type:"), "policy_type"))
+        .when(F.col("unknown_label").isNotNull(), F.concat(F.lit("unknown label: "), "unknown_label"))
+        .when(F.col("parsed.error").isNotNull(), F.concat(F.lit("match columns: "), "parsed.error"))
+        .when(F.col("function_fqn").isNull(), "no function")
+        .when(F.size(_comma_list("to_principals")) == 0, "no principals")
+    )
+    found = fields.select(
         "on_securable",
-        "policy_name",
+        F.coalesce("policy_name", F.concat(F.lit("policy "), F.col("policy_id").cast("string"))).alias("policy_name"),
         kind.alias("policy_type"),
         F.replace(F.col("function_fqn"), F.lit("`"), F.lit("")).alias("function_fqn"),
-        F.coalesce(F.zip_with(arguments, aliases, clause), F.array().cast(f"array<{MATCH_COLUMN}>")).alias("match_columns"),
+        match.alias("match_columns"),
         _comma_list("using_columns").alias("using_columns"),
         "target_alias",
         F.transform(_comma_list("to_principals"), lambda p: F.replace(p, F.lit("`"), F.lit(""))).alias("to_principals"),
         F.transform(_comma_list("except_principals"), lambda p: F.replace(p, F.lit("`"), F.lit(""))).alias("except_principals"),
         "comment",
+        F.filter("parsed.clauses", lambda c: ~plain(c)).alias("conditions"),
+        problem.alias("problem"),
     )
+    return cut_lineage(found)
 
 
 def policies_on(policies: DataFrame, on_securable: str, policy_name: str | None = None) -> DataFrame:

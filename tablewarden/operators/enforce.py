@@ -6,11 +6,11 @@ above the masks.  The same function serves batch and streaming frames.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.masks import Mask, unless_admin
@@ -32,6 +32,10 @@ class UnclearMask(ValueError):
     """A mask policy without a target, or with one that is none of its aliases."""
 
 
+class UnclearPolicy(UnclearMask):
+    """A policy that binds the principal and cannot be understood: its condition, its function or what it is on."""
+
+
 class MissingColumn(ValueError):
     """A mask guards a column that the frame does not have, perhaps because it was renamed."""
 
@@ -78,8 +82,27 @@ def _on(df: DataFrame, table: tuple[str, str, str]) -> DataFrame:
     return df.where((F.col("catalog") == catalog) & (F.col("schema") == schema) & (F.col("table") == name))
 
 
-def _rule_rows(table: tuple[str, str, str], state: SecurityState, who: Who) -> list[DataFrame]:
-    """Old rules of the table, and the policies that bind *who* with one row per alias and the columns it selects."""
+def _unclear(policies: DataFrame) -> Column:
+    """Why a policy cannot be enforced, NULL if it can."""
+    listed = {c: F.col(c) if c in policies.columns else F.lit(None) for c in ("problem", "conditions")}
+    known = F.transform(listed["conditions"], lambda c: c["alias"]) if "conditions" in policies.columns else F.array().cast("array<string>")
+    known = F.coalesce(known, F.array().cast("array<string>"))
+    no_test = F.exists("match_columns", lambda m: m["alias"].isNull() | (m["tag_key"].isNull() & ~F.array_contains(known, F.coalesce(m["alias"], F.lit("")))))
+    return (
+        F.when(listed["problem"].isNotNull(), listed["problem"].cast("string"))
+        .when(F.col("on_securable").isNull() | ~F.col("on_securable").rlike("^(TABLE|SCHEMA|CATALOG) `"), "unknown securable")
+        .when(F.col("match_columns").isNull() | (F.size("match_columns") < 1), "no match columns")
+        .when(no_test, "an alias without a condition")
+        .when(F.col("function_fqn").isNull(), "no function")
+        .when(F.col("policy_type").isNull() | ~F.col("policy_type").isin(ROW_FILTER, COLUMN_MASK), "unknown type")
+    )
+
+
+def _rule_rows(table: tuple[str, str, str], state: SecurityState, who: Who, columns: Sequence[str] | None) -> list[DataFrame]:
+    """Old rules of the table, and the policies that bind *who* with one row per alias and the columns it selects.
+
+    Policies that cannot be understood come as rows with a ``problem``.
+    """
     parts = []
     if state.row_filters is not None:
         parts.append(
@@ -97,12 +120,23 @@ def _rule_rows(table: tuple[str, str, str], state: SecurityState, who: Who) -> l
         if state.column_tags is None:
             raise ValueError("policies match columns by their tags: without column_tags nothing would be protected")
         catalog, schema, name = table
-        here = policies_binding(
-            state.policies.where(F.col("on_securable").isin(f"TABLE `{catalog}`.`{schema}`.`{name}`", f"CATALOG `{catalog}`")), who
-        )
+        on = F.col("on_securable")
+        ours = on.isin(f"TABLE `{catalog}`.`{schema}`.`{name}`", f"SCHEMA `{catalog}`.`{schema}`", f"CATALOG `{catalog}`")
+        named = reduce(Column.__or__, [F.startswith(on, F.lit(kind)) for kind in ("TABLE `", "SCHEMA `", "CATALOG `")])
+        # a policy on nothing known may be on this table, and one with nobody in TO may bind everyone
+        near = state.policies.where(ours | on.isNull() | ~named).withColumn("__why", _unclear(state.policies))
+        here = policies_binding(near.where(F.col("__why").isNull()), who).drop("__why")
+        nobody = F.size(F.coalesce("to_principals", F.array().cast("array<string>"))) == 0
+        odd = near.where(F.col("__why").isNotNull())
+        problem = F.concat_ws(": ", "policy_name", "__why").alias("problem")
+        parts.append(policies_binding(odd, who).select(problem).unionAll(odd.where(nobody).select(problem)))
         key = ["on_securable", "policy_name"]
+        all_columns = None
+        if columns is not None and "conditions" in state.policies.columns:
+            rows = [(*table, c) for c in columns]
+            all_columns = state.policies.sparkSession.createDataFrame(rows, "catalog string, schema string, `table` string, column string")
         matched = (
-            resolve_match_columns(here, _on(state.column_tags, table))
+            resolve_match_columns(here, _on(state.column_tags, table), all_columns)
             .groupBy(*key, "alias")
             .agg(F.sort_array(F.collect_set("column")).alias("columns"))
         )
@@ -118,13 +152,15 @@ def _rule_rows(table: tuple[str, str, str], state: SecurityState, who: Who) -> l
     return parts
 
 
-def rules_on(table: tuple[str, str, str], state: SecurityState, who: Who) -> Rules:
+def rules_on(table: tuple[str, str, str], state: SecurityState, who: Who, columns: Sequence[str] | None = None) -> Rules:
     """Rules in force on one table for *who*.
 
     One small job over rows of this one table; what reaches the driver is
-    bounded by the table's own columns, tags and rules.
+    bounded by the table's own columns, tags and rules.  *columns* are the
+    table's, for conditions that hold of columns without tags.  A policy that
+    binds *who*, may be on this table and cannot be understood is an error.
     """
-    parts = _rule_rows(table, state, who)
+    parts = _rule_rows(table, state, who, columns)
     if not parts:
         return Rules((), {})
     found = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).collect()
@@ -142,6 +178,9 @@ def rules_on(table: tuple[str, str, str], state: SecurityState, who: Who) -> Rul
                 raise ConflictingMasks(f"{'.'.join(table)}.{column}: {masks[column]} and {function}")
 
     by_policy: dict[tuple[str, str], list] = {}
+    odd = sorted({r.problem for r in found if "problem" in r and r.problem is not None})
+    if odd:
+        raise UnclearPolicy(f"{'.'.join(table)}: {'; '.join(odd)}")
     for r in found:
         if "policy_name" in r and r.policy_name is not None:
             by_policy.setdefault((r.on_securable, r.policy_name), []).append(r)
@@ -208,8 +247,8 @@ def secure(df: DataFrame, table: tuple[str, str, str], state: SecurityState, pri
 
     Old per-table rules and tag-matched policies may both be active: equal
     rules act once, and two different masks on one column are an error.  So is
-    whatever would leave a column unprotected unnoticed: policies without tags, a
-    mask without a clear target, and, unless *pruned*, a masked column that *df* lacks.
+    whatever would leave a column unprotected unnoticed: policies without tags,
+    policies that cannot be understood, a mask without a clear target, and, unless *pruned*, a masked column that *df* lacks.
     """
     who = principal if isinstance(principal, Who) else resolve_who(state.membership, principal, state.admin_group)
-    return apply_rules(df, rules_on(table, state, who), state.functions, who, pruned)
+    return apply_rules(df, rules_on(table, state, who, df.columns), state.functions, who, pruned)

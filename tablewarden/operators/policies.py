@@ -208,8 +208,9 @@ def upsert_policies(policies: DataFrame, created: DataFrame) -> DataFrame:
         .agg(F.min_by("__body", "__from").alias("__body"))
         .select("on_securable", "policy_name", "__body.*")
     )
-    kept = policies.select("on_securable", "policy_name", *_BODY).join(new, ["on_securable", "policy_name"], "left_anti")
-    return kept.unionByName(new)
+    listed = [c for c in ("conditions", "problem") if c in policies.columns]
+    kept = policies.select("on_securable", "policy_name", *_BODY, *listed).join(new, ["on_securable", "policy_name"], "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def drop_policies(policies: DataFrame, dropped: DataFrame) -> DataFrame:

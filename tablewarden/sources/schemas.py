@@ -29,6 +29,10 @@ POLICIES = (
     "to_principals array<string>, except_principals array<string>, comment string"
 )
 
+# A listing adds these two: the conditions of aliases whose clause in match_columns has no tag key
+# (postfix, see functions.conditions), and why a policy cannot be understood, so that reading fails where it binds.
+LISTED = "conditions array<struct<alias:string,condition:array<struct<op:string,tag_key:string,tag_value:string>>>>, problem string"
+
 # Columns and types of the persisted tables (20, 22 and 9 columns).
 INVENTORY = (
     f"run_id string, inventoried_at timestamp, {_KEY}, full_name string, table_type string, "

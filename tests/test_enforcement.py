@@ -5,7 +5,7 @@ from helpers import frame, policy, rows
 from pyspark.sql import functions as F
 
 from tablewarden.functions import masks as m
-from tablewarden.operators import checks
+from tablewarden.operators import catalog, checks, matching
 from tablewarden.operators.enforce import (
     AmbiguousColumnMatch,
     ConflictingMasks,
@@ -13,6 +13,7 @@ from tablewarden.operators.enforce import (
     MissingColumn,
     SecurityState,
     UnclearMask,
+    UnclearPolicy,
     UnknownFunction,
     apply_masks,
     secure,
@@ -362,3 +363,87 @@ def test_administrators_are_not_multiplied_by_units(people, membership):
     summed = counts.groupBy("principal").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_units"))
     totals = checks.visible_totals(people, "unit", mapping, membership)
     assert rows(totals, "principal", "n_rows", "n_units") == rows(summed, "principal", "n_rows", "n_units")
+
+
+MASK_MAIL = {"gov.m": MaskFunction(lambda c, t: F.lit("*"))}
+
+
+def listed_state(spark, membership, match, kind="TABLE", on="cat.sch.people", tags=(("email", "k", None), ("email", "k2", None)), **lines):
+    """One mask policy as its description lists it."""
+    told = {
+        "Name": "p", "Policy Type": "COLUMN_MASK", "On Securable Type": kind, "On Securable": on, "  Function Name": "gov.m", "  On Column": "mc",
+        "To Principals": "account users", "Match Columns": match,
+    } | lines
+    rows_ = [("p", n, v) for n, v in told.items()]
+    return SecurityState(
+        membership, MASK_MAIL, policies=catalog.described_policies(spark.createDataFrame(rows_, "policy_id string, name string, value string")),
+        column_tags=frame(spark, [(*TABLE, *t) for t in tags], schemas.COLUMN_TAGS),
+    )
+
+
+@pytest.mark.parametrize(
+    ("match", "masked", "kind", "on"),
+    [
+        ('has_tag("k") AS mc', {"email"}, "TABLE", "cat.sch.people"),
+        ("(has_tag('k')) AS mc", {"email"}, "CATALOG", "cat"),
+        ("has_tag('k') mc", {"email"}, "SCHEMA", "`cat`.`sch`"),
+        ("has_tag('k') AND has_tag('k2') AS mc", {"email"}, "SCHEMA", "cat.sch"),
+        ("has_tag('k') AND has_tag('k3') AS mc", set(), "TABLE", "cat.sch.people"),
+        ("NOT has_tag('zz') AS mc", {"unit", "email", "phone"}, "TABLE", "cat.sch.people"),
+        ("NOT has_tag('k') AND NOT has_tag('shown') AS mc", {"unit", "phone"}, "CATALOG", "cat"),
+        ("has_tag('none') OR has_tag_value('k', 'x') AS mc", set(), "SCHEMA", "cat.sch"),
+    ],
+)
+def test_every_condition_is_evaluated(spark, membership, people, match, masked, kind, on):
+    text = people.drop("id", "pay")
+    state_ = listed_state(spark, membership, match, kind, on)
+    seen = secure(text, TABLE, state_, "r@x").first()
+    assert {c for c in text.columns if seen[c] == "*"} == masked
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [
+        {"match": None}, {"match": "has_tag('k')"}, {"match": "regexp_like(column_name, 'e') AS mc"}, {"match": "has_tag('k') AS mc", "kind": "METASTORE", "on": "m"},
+        {"match": "has_tag('k') AS mc", "on": "sch.people"}, {"match": "has_tag('k') AS mc", "  Function Name": None}, {"match": "has_tag('k') AS mc", "When Condition": "x"},
+        {"match": "has_tag('k') AS mc", "Policy Type": "ROW_SAMPLE"}, {"match": "has_tag('k') AS mc", "To Principals": None},
+    ],
+)
+def test_a_policy_that_is_not_understood_stops_the_read(spark, membership, people, changes):
+    with pytest.raises(UnclearPolicy):
+        secure(people, TABLE, listed_state(spark, membership, **changes), "r@x")
+
+
+def test_unclear_policies_elsewhere_or_for_others_do_not_matter(spark, membership, people):
+    other = listed_state(spark, membership, "what", on="cat.sch.others")
+    assert secure(people, TABLE, other, "r@x").count() == 5
+    others = listed_state(spark, membership, "what", **{"To Principals": "bu_o2c_group"})
+    assert secure(people, TABLE, others, "r@x").count() == 5
+    with pytest.raises(UnclearPolicy):
+        secure(people, TABLE, others, "o@x")
+
+
+def test_policies_by_hand_fail_closed(spark, membership, people):
+    for p in [
+        (ON, "p", "COLUMN_MASK", "gov.m", [], [], "mc", ["account users"], [], ""),
+        (ON, "p", "COLUMN_MASK", "gov.m", [(None, None, "mc", None)], [], "mc", ["account users"], [], ""),
+        ("VOLUME `cat`.`sch`.`people`", "p", "COLUMN_MASK", "gov.m", [("k", None, "mc", None)], [], "mc", ["account users"], [], ""),
+        ("TABLE cat.sch.people", "p", "COLUMN_MASK", "gov.m", [("k", None, "mc", None)], [], "mc", ["account users"], [], ""),
+    ]:
+        st = SecurityState(membership, MASK_MAIL, policies=frame(spark, [p], schemas.POLICIES), column_tags=frame(spark, [(*TABLE, "email", "k", None)], schemas.COLUMN_TAGS))
+        with pytest.raises(UnclearPolicy):
+            secure(people, TABLE, st, "r@x")
+
+
+def test_conditions_over_many_tables(spark):
+    """Frames of tables: what holds of untagged columns needs all columns by name."""
+    lines = [("p", n, v) for n, v in {"Name": "p", "Policy Type": "COLUMN_MASK", "On Securable Type": "SCHEMA", "On Securable": "c.s", "  Function Name": "f",
+             "  On Column": "mc", "To Principals": "account users", "Match Columns": "NOT has_tag('open') AS mc"}.items()]
+    policies = catalog.described_policies(spark.createDataFrame(lines, "policy_id string, name string, value string"))
+    tags = frame(spark, [("c", "s", "t", "a", "open", None), ("c", "s", "t", "b", "k", None), ("c", "z", "t", "b", "k", None)], schemas.COLUMN_TAGS)
+    columns = spark.createDataFrame([("c", "s", "t", x) for x in "abd"] + [("c", "z", "t", "b")], "catalog string, schema string, `table` string, column string")
+    found = matching.resolve_match_columns(policies, tags, columns)
+    assert rows(found, "schema", "table", "column", "tag_key") == [("s", "t", "b", None), ("s", "t", "d", None)]
+    assert rows(matching.policies_in_force(found), "schema", "table", "n_columns") == [("s", "t", 2)]
+    with pytest.raises(Exception, match="name all columns"):
+        matching.resolve_match_columns(policies, tags).collect()

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from helpers import T, frame, options, policy, rows, state
 from pyspark.sql import functions as F
 
+from tablewarden.functions.conditions import holds, parse_conditions
 from tablewarden.functions.labels import category, normalize_label
 from tablewarden.operators import audit, catalog, describe
 from tablewarden.operators.inventory import build_inventory
@@ -275,11 +278,79 @@ def test_listing_errors_stop_a_run_or_are_skipped(spark):
         check_listing(errors, "SELECTED_CATALOGS")
 
 
+def described(spark, *listings):
+    rows = [(k, n, v) for k, lines in enumerate(listings) for n, v in lines.items()]
+    found = catalog.described_policies(spark.createDataFrame(rows, "policy_id long, name string, value string")).collect()
+    return sorted(found, key=lambda p: p.policy_name)
+
+
+def listing(name="n", **changes):
+    """Lines as a platform lists them; keyword ``On_Column`` replaces ``On Column``."""
+    lines = {
+        "Name": name, "Policy Type": "COLUMN_MASK", "On Securable Type": "TABLE", "On Securable": "cat.sch.tbl", "To Principals": "account users",
+        "Match Columns": "has_tag('k') AS mc_a", "  Function Name": "`c`.`s`.`f`", "  On Column": "mc_a", "Owner": "x",
+    }
+    return lines | {k.replace("_", " "): v for k, v in changes.items()}
+
+
 def test_described_policy(spark):
-    lines = [("p", "Name", "n"), ("p", "Type", "Column mask"), ("p", "Function", "`c`.`s`.`f`"), ("p", "On", "CATALOG `c`"), ("p", "On Column", "mc_b"), ("p", "Using Columns", "mc_a"),
-             ("p", "Match Columns", "has_tag('k') AS mc_a, has_tag_value('k2', 'high') as mc_b"), ("p", "To Principals", "`a b`, c"), ("q", "Name", "no securable")]
-    got = catalog.described_policies(spark.createDataFrame(lines, "policy_id string, name string, value string")).collect()
-    assert len(got) == 1
-    p = got[0]
-    assert (p.policy_type, p.function_fqn, p.target_alias, p.using_columns, p.to_principals, p.except_principals) == ("COLUMN_MASK", "c.s.f", "mc_b", ["mc_a"], ["a b", "c"], [])
-    assert [(m.tag_key, m.tag_value, m.alias) for m in p.match_columns] == [("k", None, "mc_a"), ("k2", "high", "mc_b")]
+    p, f, s = described(
+        spark,
+        listing("a", On_Securable_Type="CATALOG", On_Securable="c", Match_Columns="has_tag('k') AS mc_a, has_tag_value('k2', 'high') as mc_b", To_Principals="`a b`, c", Comment="why")
+        | {"  On Column": "mc_b", "  Using Columns": "mc_a"},
+        listing("b", Policy_Type="ROW_FILTER", On_Securable="`cat`.`s.x`.`t`", Except_Principals="`z`") | {"  On Column": None, "  Using Columns": "mc_a"},
+        listing("c", On_Securable_Type="schema", On_Securable="cat.sch", Match_Columns="has_tag('k') AND NOT has_tag('l') AS mc_a"),
+    )
+    assert (p.on_securable, p.policy_type, p.function_fqn, p.target_alias, p.using_columns, p.to_principals, p.except_principals, p.comment, p.problem) == (
+        "CATALOG `c`", "COLUMN_MASK", "c.s.f", "mc_b", ["mc_a"], ["a b", "c"], [], "why", None)
+    assert [(m.tag_key, m.tag_value, m.alias) for m in p.match_columns] == [("k", None, "mc_a"), ("k2", "high", "mc_b")] and p.conditions == []
+    assert (f.on_securable, f.policy_type, f.target_alias, f.using_columns, f.except_principals, f.problem) == ("TABLE `cat`.`s.x`.`t`", "ROW_FILTER", None, ["mc_a"], ["z"], None)
+    assert s.on_securable == "SCHEMA `cat`.`sch`" and s.problem is None and [(m.tag_key, m.alias) for m in s.match_columns] == [(None, "mc_a")]
+    assert [(c.alias, [(i.op, i.tag_key) for i in c.condition]) for c in s.conditions] == [("mc_a", [("TAG", "k"), ("TAG", "l"), ("NOT", None), ("AND", None)])]
+
+
+@pytest.mark.parametrize(
+    ("changes", "problem"),
+    [
+        ({"Name": None}, "no name"),
+        ({"On Securable": None}, "unknown securable: TABLE"),
+        ({"On Securable": "cat.sch"}, "unknown securable: TABLE cat.sch"),
+        ({"On Securable Type": "METASTORE"}, "unknown securable: METASTORE cat.sch.tbl"),
+        ({"Policy Type": "ROW_LIMIT"}, "unknown type: ROW_LIMIT"),
+        ({"When Condition": "is_account_group_member('x')"}, "unknown label: When Condition"),
+        ({"Match Columns": None}, "match columns: the text ends early"),
+        ({"Match Columns": "has_tag('k')"}, "match columns: the text ends early"),
+        ({"Match Columns": "has_tag('k') AS a, AS b"}, "match columns: unexpected AS"),
+        ({"Match Columns": "(has_tag('k') AS a"}, "match columns: unexpected AS"),
+        ({"Match Columns": "regexp_like(column_name, '^a$') AS a"}, "match columns: unexpected regexp_like"),
+        ({"  Function Name": " "}, "no function"),
+        ({"To Principals": ""}, "no principals"),
+    ],
+)
+def test_a_description_that_is_not_understood_stays(spark, changes, problem):
+    assert [p.problem for p in described(spark, listing() | changes)] == [problem]
+
+
+def test_match_conditions_equal_python(spark):
+    rng = random.Random(5)
+
+    def tree(depth):
+        kind = rng.choice(["tag", "value", "NOT", "AND", "OR"]) if depth else "tag"
+        key = rng.choice("abc")
+        if kind == "tag":
+            return f"has_tag('{key}')", lambda t: key in t
+        if kind == "value":
+            return f'has_tag_value("{key}", "1")', lambda t: t.get(key) == "1"
+        text, f = tree(depth - 1)
+        if kind == "NOT":
+            return f"not ({text})", lambda t: not f(t)
+        text2, g = tree(depth - 1)
+        return f"({text}) {kind} ({text2})", (lambda t: f(t) and g(t)) if kind == "AND" else (lambda t: f(t) or g(t))
+
+    trees = [tree(3) for _ in range(40)] + [("has_tag('a') OR has_tag('b') AND NOT has_tag('c')", lambda t: "a" in t or ("b" in t and "c" not in t))]
+    sets = [{k: rng.choice([None, "1", "2"]) for k in "abc" if rng.random() < 0.5} for _ in range(12)]
+    rows = [(i, text + " AS m", j, list(s.items())) for i, (text, _) in enumerate(trees) for j, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i int, text string, j int, tags array<struct<tag_key:string,tag_value:string>>")
+    parsed = parse_conditions(F.col("text"))
+    for r in df.select("i", "j", parsed["error"].alias("error"), holds(parsed["clauses"][0]["condition"], F.col("tags")).alias("holds")).collect():
+        assert (r.error, r.holds) == (None, bool(trees[r.i][1](sets[r.j]))), trees[r.i][0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions import masks as m
 from tablewarden.functions.names import KEY
 from tablewarden.operators import checks, matching
+from tablewarden.operators.catalog import described_policies
 from tablewarden.operators.enforce import MaskFunction, SecurityState, apply_masks, secure
 from tablewarden.operators.membership import Who, is_member, resolve_who
 from tablewarden.operators.rowfilters import (
@@ -235,18 +236,48 @@ def match_columns(f: Frames) -> DataFrame:
 
 
 @query("X-01_valued_tags", """
-SELECT tkey AS tag_key, CASE tval WHEN 'high' THEN 'high' ELSE 'any' END AS wanted, count(*) AS n_columns
-FROM tags WHERE cn = 'cat-2' AND tkey IN ('pii_email', 'pii_phone') AND tval = 'high' GROUP BY 1, 2
-UNION ALL SELECT tkey, 'any', count(*) FROM tags WHERE cn = 'cat-2' AND tkey IN ('pii_email', 'pii_phone') GROUP BY 1""")
+SELECT cn AS catalog, tkey AS tag_key, tval AS wanted, count(*) AS n_columns FROM tags WHERE tval IS NOT NULL GROUP BY ALL
+UNION ALL SELECT cn, tkey, 'any value', count(*) FROM tags GROUP BY ALL""")
 def valued_tags(f: Frames) -> DataFrame:
-    rows = [
-        ("CATALOG `cat-2`", f"{key}_{value or 'any'}", "COLUMN_MASK", "f", [(key, value, f"mc_{value or 'any'}", "c")], [], None, [], [], "")
-        for key in ("pii_email", "pii_phone")
-        for value in (None, "high")
-    ]
-    policies = f.spark.createDataFrame(rows, schemas.schema(schemas.POLICIES))
+    """A catalog policy for each tag key with each of its values, and one for the key with any value."""
+    keys = f.column_tags.select("catalog", "tag_key", F.explode(F.array_distinct(F.array("tag_value", F.lit(None)))).alias("tag_value")).distinct()
+    wanted = F.coalesce("tag_value", F.lit("any value"))
+    match = F.struct("tag_key", "tag_value", F.lit("mc").alias("alias"), F.lit(None).cast("string").alias("source_column"))
+    policies = keys.select(
+        F.concat(F.lit("CATALOG `"), "catalog", F.lit("`")).alias("on_securable"), F.concat_ws("|", "tag_key", wanted).alias("policy_name"),
+        F.lit("COLUMN_MASK").alias("policy_type"), F.lit("f").alias("function_fqn"), F.array(match).alias("match_columns"),
+    )
     found = matching.resolve_match_columns(policies, f.column_tags)
-    return found.groupBy("tag_key", F.substr("alias", F.lit(4)).alias("wanted")).agg(F.count("*").alias("n_columns"))
+    return found.groupBy("catalog", "tag_key", F.substring_index("policy_name", "|", -1).alias("wanted")).agg(F.count("*").alias("n_columns"))
+
+
+@query("X-01_conditions", f"""
+SELECT {KEY_OUT}, on_securable, policy_name, col AS "column" FROM (
+  SELECT DISTINCT cn, sn, tn, 'SCHEMA `' || cn || '`.`' || sn || '`' AS on_securable, 'low ' || k.tkey AS policy_name, col
+  FROM tags t JOIN (SELECT DISTINCT cn, sn, tkey FROM tags) k USING (cn, sn)
+  WHERE t.tkey = k.tkey AND NOT EXISTS (SELECT 1 FROM tags h WHERE (h.cn, h.sn, h.tn, h.col, h.tkey) = (t.cn, t.sn, t.tn, t.col, k.tkey) AND h.tval = 'high')
+  UNION ALL
+  SELECT DISTINCT cn, sn, tn, 'CATALOG `' || cn || '`', 'mail or high', col FROM tags t
+  WHERE tkey = 'pii_email' OR (tval = 'high' AND tkey IN ('pii_phone', 'pii_ssn')))""")
+def conditions(f: Frames) -> DataFrame:
+    """Policies on schemas and catalogs whose conditions join, negate and bracket tag tests, from their descriptions."""
+    tags = f.column_tags
+    key = F.col("tag_key")
+    low = tags.select("catalog", "schema", "tag_key").distinct().select(
+        F.concat_ws("|", "catalog", "schema", key).alias("policy_id"), F.lit("SCHEMA").alias("kind"), F.concat_ws(".", "catalog", "schema").alias("on"),
+        F.concat(F.lit("low "), key).alias("policy_name"),
+        F.concat(F.lit("has_tag('"), key, F.lit("') AND NOT has_tag_value('"), key, F.lit("', 'high') AS mc")).alias("match"),
+    )
+    either = "has_tag('pii_email') OR (has_tag_value('pii_phone', 'high') OR has_tag_value('pii_ssn', 'high')) AND NOT has_tag('nowhere') AS mc"
+    mail = tags.select("catalog").distinct().select(
+        F.col("catalog").alias("policy_id"), F.lit("CATALOG").alias("kind"), F.col("catalog").alias("on"), F.lit("mail or high").alias("policy_name"), F.lit(either).alias("match")
+    )
+    told = {"Name": "policy_name", "On Securable Type": "kind", "On Securable": "on", "Match Columns": "match"}
+    fixed = {"Policy Type": "COLUMN_MASK", "  Function Name": "f", "  On Column": "mc", "To Principals": "account users"}
+    lines = [F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in told.items()]
+    lines += [F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in fixed.items()]
+    policies = described_policies(low.unionByName(mail).select("policy_id", F.inline(F.array(*lines))))
+    return matching.resolve_match_columns(policies, tags).select(*KEY, "on_securable", "policy_name", "column")
 
 
 @query("X-02_ambiguous_matches", f"""
@@ -317,6 +348,36 @@ def secured_customers(f: Frames) -> DataFrame:
     return secure(f.customers, CUSTOMERS, customer_state(f), MEMBER)
 
 
+def described_state(f: Frames) -> SecurityState:
+    """The rules of ``customer_state`` from policy descriptions whose conditions join, negate and bracket tag tests."""
+    wanted = [
+        ("SCHEMA", "cat-0.s_0", "units", "ROW_FILTER", "gov.rf_unit", "(has_tag('unit')) AND NOT has_tag('shown') u"),
+        ("CATALOG", "`cat-0`", "phones", "COLUMN_MASK", "gov.mask_phone", "NOT (has_tag('unit') OR has_tag('email') OR has_tag('shown')) AS u"),
+        ("TABLE", "cat-0.s_0.customers", "mails", "COLUMN_MASK", "gov.mask_email", "has_tag_value(\"email\", 'work') OR has_tag('mail') AS u"),
+        ("CATALOG", "cat-1", "elsewhere", "COLUMN_MASK", "gov.mask_none", "what is this"),
+    ]
+    lines = [
+        (name, label, value)
+        for kind, on, name, what, fn, match in wanted
+        for label, value in {
+            "Name": name, "Policy Type": what, "On Securable Type": kind, "On Securable": on, "  Function Name": fn, "Match Columns": match, "To Principals": "account users",
+            "Except Principals": "`bu_EXEMPT`", ("  Using Columns" if what == "ROW_FILTER" else "  On Column"): "u",
+        }.items()
+    ]
+    tags = [("business_unit", "unit", None), ("email", "email", "work"), *((c, "shown", None) for c in ("c_custkey", "c_name", "c_acctbal"))]
+    state = customer_state(f)
+    return replace(
+        state,
+        policies=described_policies(f.spark.createDataFrame(lines, "policy_id string, name string, value string")),
+        column_tags=f.spark.createDataFrame([(*CUSTOMERS, *t) for t in tags], schemas.schema(schemas.COLUMN_TAGS)),
+    )
+
+
+@query("X-04_conditions", _SECURED)
+def secured_by_conditions(f: Frames) -> DataFrame:
+    return secure(f.customers, CUSTOMERS, described_state(f), MEMBER)
+
+
 @query("X-04_secured_join", f"""
 SELECT s.business_unit, o.o_orderpriority, s.email, count(*) AS n_orders, round(sum(o.o_totalprice), 2) AS total
 FROM ({_SECURED}) s JOIN orders o ON o.o_custkey = s.c_custkey GROUP BY 1, 2, 3""")

@@ -221,30 +221,33 @@ FROM gov_tables t LEFT JOIN have_filter r ON r.tn = t.tn LEFT JOIN have_masks m
 
 
 def policy_lines(f: Frames) -> DataFrame:
-    """Every table policy as the lines of its description."""
+    """Every table policy as the lines of its description, labelled and indented as a platform lists them."""
     clause = F.transform("match_columns", lambda m: F.concat(F.lit("has_tag('"), m["tag_key"], F.lit("') AS "), m["alias"]))
     ticked = F.concat(F.lit("`"), F.replace(F.col("function_fqn"), F.lit("."), F.lit("`.`")), F.lit("`"))
     kind = F.when(F.col("policy_type") == "ROW_FILTER", "ROW FILTER").otherwise("COLUMN MASK")
     told = {
-        "Name": F.col("policy_name"), " Type ": kind, "Function": ticked, "On": F.col("on_securable"), "To Principals": F.array_join("to_principals", ", "),
+        "Name": F.col("policy_name"), "Policy Type": kind, "On Securable Type": F.lit("TABLE"), "On Securable": F.concat_ws(".", *KEY),
+        "  Function Name": ticked, "To Principals": F.array_join("to_principals", ", "),
         "Except Principals": F.array_join("except_principals", ", "), "Match Columns": F.array_join(clause, ", "),
-        "Using Columns": F.array_join("using_columns", ", "), "On Column": F.col("target_alias"), "Comment": F.col("comment"), "Owner": F.lit("x"),
+        "  Using Columns": F.array_join("using_columns", ", "), "  On Column": F.col("target_alias"), "Comment": F.col("comment"), "Owner": F.lit("x"),
     }
     lines = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in told.items()])
     key = F.concat_ws("|", "on_securable", "policy_name")
-    return f.policies("TABLE").select(key.alias("policy_id"), F.inline(lines))
+    parts = F.regexp_extract_all("on_securable", F.lit("`([^`]+)`"), 1)
+    named = f.policies("TABLE").withColumns({k: F.get(parts, F.lit(i)) for i, k in enumerate(KEY)})
+    return named.select(key.alias("policy_id"), F.inline(lines))
 
 
 @query("S-09_described_policies", """
 SELECT on_securable, policy_name, object_type AS policy_type, pfn AS function_fqn, tkey || '=' || CASE object_type WHEN 'ROW_FILTER' THEN 'mc_region' ELSE 'mc_' || slot END AS matches,
   CASE object_type WHEN 'ROW_FILTER' THEN 'mc_region' ELSE '' END AS using_columns, CASE object_type WHEN 'COLUMN_MASK' THEN 'mc_' || slot END AS target_alias,
-  'account users' AS to_principals FROM table_policies""")
+  'account users' AS to_principals, CAST(NULL AS VARCHAR) AS problem FROM table_policies""")
 def described(f: Frames) -> DataFrame:
     found = catalog.described_policies(policy_lines(f))
     return found.select(
         "on_securable", "policy_name", "policy_type", "function_fqn",
         F.array_join(F.transform("match_columns", lambda m: F.concat_ws("=", m["tag_key"], m["alias"])), ",").alias("matches"),
-        F.array_join("using_columns", ",").alias("using_columns"), "target_alias", F.array_join("to_principals", ",").alias("to_principals"),
+        F.array_join("using_columns", ",").alias("using_columns"), "target_alias", F.array_join("to_principals", ",").alias("to_principals"), "problem",
     )
 
 
