@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.names import COLUMN_MASK, KEY, ROW_FILTER, row_filter_policy_name, securable
@@ -10,6 +10,7 @@ from tablewarden.operators.audit import latest_per_table
 from tablewarden.operators.matching import policies_in_force, resolve_match_columns
 from tablewarden.operators.policies import table_policies_by_object
 
+_OBJECT = [*KEY, "object_type", "slot"]
 _FIELDS = [*KEY, "object_type", "masked_column", "status", "source_function", "target_policy_name", "error_code"]
 
 
@@ -74,23 +75,35 @@ def verify_masks(masks: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def keep_uncovered(steps: DataFrame, policies: DataFrame, column_tags: DataFrame) -> DataFrame:
-    """*steps* with every object FAILED, and its old rule kept, that its new policy does not act on.
+def covered_objects(policies: DataFrame, column_tags: DataFrame) -> DataFrame:
+    """Objects that some policy acts on now: table key, object_type, slot, and the policy.
 
-    *policies* and *column_tags* are the state after the steps.  A filter is
-    covered where its policy is in force on the table, a mask where it is and
-    selects the masked column.
+    A filter is covered where its policy is in force on the table, a mask where
+    it is and selects the masked column.  Being there by name is not enough.
     """
     policy = ["on_securable", "policy_name"]
-    made = steps.where("policy_created")
-    matches = resolve_match_columns(policies.join(made.select(*policy).distinct(), policy, "left_semi"), column_tags)
+    matches = resolve_match_columns(policies, column_tags)
     acting = matches.join(policies_in_force(matches).select(*KEY, *policy), [*KEY, *policy], "left_semi")
-    covered = acting.select(*KEY, *policy, F.when(F.col("policy_type") == COLUMN_MASK, F.col("column")).otherwise("").alias("slot"))
-    covered = covered.distinct().withColumn("__covered", F.lit(True))
-    open_ = F.col("policy_created") & F.col("__covered").isNull() & F.col("status").isin("SUCCESS", "ABAC_APPLIED")
+    slot = F.when(F.col("policy_type") == COLUMN_MASK, F.col("column")).otherwise("")
+    return acting.select(*KEY, F.col("policy_type").alias("object_type"), slot.alias("slot"), *policy).distinct()
+
+
+def keep_uncovered(steps: DataFrame, policies: DataFrame, column_tags: DataFrame) -> DataFrame:
+    """*steps* with every object FAILED, and its old rule kept, that its policy does not act on.
+
+    *policies* and *column_tags* are the state after the steps.  This holds in
+    every phase: for a policy just made, and for one made earlier whose old rule
+    is about to go, or would in a dry run.
+    """
+    policy = ["on_securable", "policy_name"]
+    # only policies that the steps speak of, on their own securable, are resolved
+    named = policies.join(steps.select(*policy).distinct(), policy, "left_semi")
+    covered = covered_objects(named, column_tags).drop("object_type").withColumn("__covered", F.lit(True))
+    relies = F.col("policy_created") | F.col("legacy_removed") | (F.col("status") == "WOULD_FINALIZE")
+    open_ = relies & F.col("__covered").isNull() & F.col("status").isin("SUCCESS", "ABAC_APPLIED", "WOULD_FINALIZE")
     return (
         steps.join(covered, [*KEY, *policy, "slot"], "left")
-        .withColumn("__open", open_)
+        .withColumn("__open", F.coalesce(open_, F.lit(False)))
         .withColumns(
             {
                 "status": F.when(F.col("__open"), "FAILED").otherwise(F.col("status")),
@@ -105,6 +118,38 @@ def keep_uncovered(steps: DataFrame, policies: DataFrame, column_tags: DataFrame
     )
 
 
+def record_coverage(recorded: DataFrame | None, steps: DataFrame, run_id: str, since: Column) -> DataFrame:
+    """The coverage frame (``schemas.COVERAGE``) after *steps*: one row per object whose new policy was found acting."""
+    done = steps.where((F.col("policy_created") | F.col("legacy_removed")) & F.col("status").isin("SUCCESS", "ABAC_APPLIED"))
+    new = done.select(*KEY, "object_type", "slot", "on_securable", "policy_name", F.lit(run_id).alias("run_id"), since.cast("timestamp").alias("since"))
+    return new if recorded is None else recorded.join(new.select(*_OBJECT), _OBJECT, "left_anti").unionByName(new)
+
+
+def acting_only(verified: DataFrame, covered: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
+    """*verified* objects with FAILED for every one whose policy, there by name, does not act on it.
+
+    Objects of the *recorded* coverage frame that nothing acts on now and that
+    *verified* does not know, because their policy or its tag is gone, are added.
+    """
+    slot = F.coalesce("masked_column", F.lit("")).alias("slot")
+    acts = covered.select(*_OBJECT, F.col("policy_name").alias("target_policy_name")).distinct().withColumn("__acts", F.lit(True))
+    seen = verified.withColumn("slot", slot).join(acts, [*_OBJECT, "target_policy_name"], "left")
+    failed = F.col("__acts").isNull()
+    out = seen.withColumns(
+        {"status": F.when(failed, "FAILED").otherwise(F.col("status")), "error_code": F.when(failed, "POLICY_VERIFY_FAILED").otherwise(F.col("error_code"))}
+    ).select(*_FIELDS)
+    if recorded is None:
+        return out
+    known = verified.select(*KEY, "object_type", slot)
+    gone = recorded.join(known, _OBJECT, "left_anti").join(covered.select(*_OBJECT), _OBJECT, "left_anti")
+    none = F.lit(None).cast("string")
+    lost = gone.select(
+        *KEY, "object_type", F.nullif("slot", F.lit("")).alias("masked_column"), F.lit("FAILED").alias("status"), none.alias("source_function"),
+        F.col("policy_name").alias("target_policy_name"), F.lit("POLICY_VERIFY_FAILED").alias("error_code"),
+    )
+    return out.unionByName(lost.select(*_FIELDS))
+
+
 def verify_tables(tables: DataFrame, steps: DataFrame) -> DataFrame:
     """Status per table, NOT_ELIGIBLE where nothing was found to verify."""
     s = F.col("status")

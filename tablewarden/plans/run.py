@@ -38,7 +38,16 @@ from tablewarden.operators.tags import (
     tag_requests,
     usable,
 )
-from tablewarden.operators.verify import detect_drift, keep_uncovered, verify_masks, verify_row_filters, verify_tables
+from tablewarden.operators.verify import (
+    acting_only,
+    covered_objects,
+    detect_drift,
+    keep_uncovered,
+    record_coverage,
+    verify_masks,
+    verify_row_filters,
+    verify_tables,
+)
 from tablewarden.plans.options import RunOptions
 from tablewarden.sources.schemas import AUDIT
 from tablewarden.sources.store import (
@@ -65,6 +74,7 @@ class GovernanceState:
     governed_tags: DataFrame
     functions: DataFrame
     grant_rules: DataFrame | None = None
+    coverage: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -124,7 +134,7 @@ def policies_in_scope(state: GovernanceState, options: RunOptions) -> DataFrame:
         return state.policies
     on = F.col("on_securable")
     return state.policies.where(
-        reduce(Column.__or__, [(on == f"CATALOG `{c}`") | F.startswith(on, F.lit(f"TABLE `{c}`.")) for c in names])
+        reduce(Column.__or__, [(on == f"CATALOG `{c}`") | F.startswith(on, F.lit(f"SCHEMA `{c}`.")) | F.startswith(on, F.lit(f"TABLE `{c}`.")) for c in names])
     )
 
 
@@ -213,11 +223,14 @@ def next_state(
 
 
 def verify(tables: DataFrame, state: GovernanceState, options: RunOptions) -> DataFrame:
+    """Status per table: a policy counts where it acts on the object, and what an earlier run saw covered must still be."""
     existing = existing_of(state, options)
     steps = verify_row_filters(
         scoped(state.row_filters, state, options), existing, policies_in_scope(state, options), options.policy_scope, options.tag_team_prefix
     ).unionByName(verify_masks(scoped(state.masks, state, options), existing))
-    return verify_tables(tables, steps)
+    covered = covered_objects(policies_in_scope(state, options), scoped(state.column_tags, state, options))
+    recorded = None if state.coverage is None else scoped(state.coverage, state, options)
+    return verify_tables(tables, acting_only(steps, covered, recorded))
 
 
 def _migrate(
@@ -238,7 +251,10 @@ def _migrate(
     if resolved is not None and not options.dry_run:
         steps = cut_lineage(steps)
         tags = assign_tags(scoped(state.column_tags, state, options), resolved)
-        steps = keep_uncovered(steps, upsert_policies(state.policies, steps.where("policy_created")), tags)
+        steps = keep_uncovered(steps, upsert_policies(policies_in_scope(state, options), steps.where("policy_created")), tags)
+    elif options.phase == "FINALIZE":
+        # the old rule goes only where the policy made earlier still acts
+        steps = keep_uncovered(steps, policies_in_scope(state, options), scoped(state.column_tags, state, options))
     steps = cut_lineage(with_none_steps(steps, eligible))
     results = table_results(steps)
     recorded = steps
@@ -252,7 +268,10 @@ def _migrate(
         granted = _grant(resolved, state, options)
     rows = audit_ops.audit_rows(recorded, results, options.run_id, uuid.uuid4().hex, started, _now(), options.dry_run)
     append_audit(rows, options.audit_path, options.dry_run)
-    new_state = state if options.dry_run else written(next_state(state, recorded, resolved, granted), state)
+    new_state = state
+    if not options.dry_run:
+        covered = record_coverage(state.coverage, recorded, options.run_id, _now())
+        new_state = written(replace(next_state(state, recorded, resolved, granted), coverage=covered), state)
     return RunResult(options, new_state, inventory, steps, results, run_summary(results), granted, rows)
 
 
@@ -289,7 +308,11 @@ def _rollback(state: GovernanceState, options: RunOptions, audit: DataFrame) ->
         dropped = undo.droppable_policies(
             steps, filters, masks, state.column_tags, options.policy_scope, options.tag_team_prefix
         )
-        new_state = written(replace(state, row_filters=filters, masks=masks, policies=drop_policies(state.policies, dropped)), state)
+        restored = replace(state, row_filters=filters, masks=masks, policies=drop_policies(state.policies, dropped))
+        if state.coverage is not None:
+            # a dropped policy protects nothing any more, the restored rules do
+            restored = replace(restored, coverage=state.coverage.join(dropped, ["on_securable", "policy_name"], "left_anti"))
+        new_state = written(restored, state)
     return RunResult(options, new_state, steps=steps, results=results, audit=rows)
 
 

@@ -33,6 +33,9 @@ POLICIES = (
 # (postfix, see functions.conditions), and why a policy cannot be understood, so that reading fails where it binds.
 LISTED = "conditions array<struct<alias:string,condition:array<struct<op:string,tag_key:string,tag_value:string>>>>, problem string"
 
+# What a policy protected when a run last looked: one row per object (slot: the masked column, '' for the filter).
+COVERAGE = f"{_KEY}, object_type string, slot string, on_securable string, policy_name string, run_id string, since timestamp"
+
 # Columns and types of the persisted tables (20, 22 and 9 columns).
 INVENTORY = (
     f"run_id string, inventoried_at timestamp, {_KEY}, full_name string, table_type string, "

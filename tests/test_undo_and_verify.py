@@ -1,7 +1,8 @@
 import json
+from dataclasses import replace
 
 import pytest
-from helpers import T, frame, options, policy, rows, state
+from helpers import T, frame, options, policy, rows, state, steps_of
 
 from tablewarden.operators import rollback
 from tablewarden.plans.run import run
@@ -109,7 +110,7 @@ def test_verify_and_drift(spark, tmp_path):
     made = lambda n: policy(f"TABLE `cat`.`sch`.`{n}`", "abac_migrated_row_filter", "ROW_FILTER", "cat.sch.rf")
     s = state(
         spark, [(*k, "MANAGED", None) for k in t.values()], [(t[n], "cat.sch.rf", ["x"]) for n in ("half", "filter_left")],
-        [(t["mask_left"], "a", "cat.sch.mk")], [made("done"), made("half")],
+        [(t["mask_left"], "a", "cat.sch.mk")], [made("done"), made("half")], [(t[n], "region", "k", None) for n in ("done", "half")],
     )
     assert verify(s, tmp_path) == {
         "done": ("SUCCESS", None), "half": ("ABAC_APPLIED", None), "filter_left": ("FAILED", "POLICY_VERIFY_FAILED"),
@@ -132,3 +133,33 @@ def test_verify_and_drift(spark, tmp_path):
         "filter_left": (True, "POLICY_VERIFY_FAILED"), "mask_left": (False, "LAST_RUN_WAS_NOT_SUCCESSFUL"),
         "nothing": (False, "NEVER_MIGRATED_BY_THIS_UTILITY"),
     }
+
+
+@pytest.mark.parametrize("scope", ["TABLE", "CATALOG"])
+def test_a_lost_tag_is_seen_in_every_phase(spark, tmp_path, scope):
+    """Applied, then the tags are taken off: FINALIZE keeps the old rules, and after a finalized run VERIFY and RECONCILE tell."""
+    s = state(spark, filters=[(T, "cat.sch.rf", ["region"])], masks=[(T, "mail", "cat.sch.mk")])
+    opts = lambda mode, run_id, **kw: options(tmp_path, mode, run_id=run_id, policy_scope=scope, **kw)
+    applied = run(s, opts("APPLY_ABAC", "a")).state
+    assert applied.coverage.count() == 2
+    untagged = replace(applied, column_tags=applied.column_tags.limit(0))
+    kept = run(untagged, opts("FINALIZE", "f"))
+    assert steps_of(kept) == {x: ("FAILED", "POLICY_VERIFY_FAILED") for x in ("", "mail")}
+    assert kept.state.row_filters.count() == 1 and kept.state.masks.count() == 1
+
+    done = run(applied, opts("FINALIZE", "g"))
+    assert {v[0] for v in steps_of(done).values()} == {"SUCCESS"} and done.state.masks.isEmpty()
+    check = lambda st, mode: run(st, opts(mode, "v")).results.collect()[0]
+    assert check(done.state, "VERIFY").status == "SUCCESS"
+    bare = replace(done.state, column_tags=done.state.column_tags.where("column <> 'mail'"))
+    assert (check(bare, "VERIFY").status, check(bare, "VERIFY").error_code) == ("FAILED", "POLICY_VERIFY_FAILED")
+    assert (check(bare, "RECONCILE").drift_detected, check(bare, "RECONCILE").reason) == (True, "POLICY_VERIFY_FAILED")
+
+
+def test_rollback_takes_coverage_back(spark, tmp_path):
+    s = state(spark, filters=[(T, "cat.sch.rf", ["region"])])
+    done = run(s, options(tmp_path, run_id="m")).state
+    assert done.coverage.count() == 1
+    back = run(done, options(tmp_path, "ROLLBACK", run_id="m")).state
+    assert back.coverage.isEmpty() and back.row_filters.count() == 1
+    assert {r.status for r in run(back, options(tmp_path, "VERIFY")).results.collect()} == {"FAILED"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from tablewarden.plans.run import verify as verify_run
 from tablewarden.sources import generate, schemas, store
 from workload.ctes import KEY_OUT
 from workload.frames import Frames
-from workload.lifecycle import CATALOG, SHARED, STEPS, TABLE, steps
+from workload.lifecycle import CATALOG, PLANNED, SHARED, STEPS, TABLE, steps
 from workload.registry import query
 
 _STATUS = """CASE WHEN bool_or(status = 'FAILED') THEN 'FAILED' WHEN bool_and(status = 'NOT_ELIGIBLE') THEN 'NOT_ELIGIBLE' WHEN bool_or(status = 'WOULD_MIGRATE') THEN 'WOULD_MIGRATE'
@@ -325,6 +326,34 @@ def verify_tables_catalog(f: Frames) -> DataFrame:
     return verify_run(s.tables, s, CATALOG)
 
 
+# Tags taken off two tables in five after the policies were made.
+_LOST = "tid % 5 IN (1, 2)"
+_UNCOVERED = {
+    **VERIFY,
+    "verified": VERIFY["verified"].replace("CASE WHEN fn IS NOT NULL AND pfn IS NULL THEN", f"CASE WHEN {_LOST} OR (fn IS NOT NULL AND pfn IS NULL) THEN"),
+}
+
+
+def _losing_tags(f: Frames) -> GovernanceState:
+    s = f.state()
+    return replace(s, column_tags=s.column_tags.where(~(F.substr("table", F.lit(3)).cast("int") % 5).isin(1, 2)))
+
+
+@query("V-03_uncovered", f"SELECT {KEY_OUT}, status, error_code FROM verified_tables", _UNCOVERED)
+def verify_uncovered(f: Frames) -> DataFrame:
+    """Tables whose policies are there by name, but whose tags are gone in part: such a policy does not count."""
+    s = _losing_tags(f)
+    return verify_run(s.tables, s, TABLE)
+
+
+@query("V-04_drift_uncovered", f"""
+SELECT {KEY_OUT}, v.error_code AS reason FROM verified_tables v JOIN last_audit USING (tn) WHERE last_audit.status IN ('SUCCESS', 'ALREADY_MIGRATED') AND v.status = 'FAILED'""", _UNCOVERED)
+def drift_uncovered(f: Frames) -> DataFrame:
+    s = _losing_tags(f)
+    found = verify.detect_drift(s.tables, f.audit, verify_run(s.tables, s, TABLE))
+    return found.where("drift_detected AND reason = 'POLICY_VERIFY_FAILED'").select(*KEY, "reason")
+
+
 @query("V-04_drift", f"""
 SELECT {KEY_OUT}, coalesce(a.status IN ('SUCCESS', 'ALREADY_MIGRATED') AND v.status <> 'SUCCESS', false) AS drift_detected,
   CASE WHEN a.status IS NULL THEN 'NEVER_MIGRATED_BY_THIS_UTILITY' WHEN a.status NOT IN ('SUCCESS', 'ALREADY_MIGRATED') THEN 'LAST_RUN_WAS_NOT_SUCCESSFUL' WHEN v.status = 'SUCCESS' THEN 'LIVE_STATE_MATCHES_AUDIT'
@@ -379,6 +408,19 @@ def run_migrate_catalog(f: Frames) -> DataFrame:
     return migrated.join(acting.select(*KEY, "policy_name", slot).distinct(), [*KEY, "policy_name", "slot"])
 
 
+@query("RUN_finalize_without_tag", f"""
+SELECT object_type, CASE WHEN {_LOST} THEN 'FAILED' ELSE 'SUCCESS' END AS status, CASE WHEN {_LOST} THEN 'POLICY_VERIFY_FAILED' END AS error_code, count(*) AS n_objects,
+  count(*) FILTER ({_LOST}) AS n_old_rules_left
+FROM planned WHERE decision = 'PROCEED' AND applied AND tn IN (SELECT tn FROM eligible) GROUP BY 1, 2, 3""", {**RESULTS, **PLANNED})
+def run_finalize_without_tag(f: Frames) -> DataFrame:
+    """FINALIZE where some tags are gone: an old rule goes only where its policy acts on the object."""
+    done = run(_losing_tags(f), _options(f, "FINALIZE", "m1", store.shared_folder(f.spark)))
+    left = done.state.row_filters.select(*KEY, F.lit("").alias("slot")).unionAll(done.state.masks.select(*KEY, F.col("column").alias("slot")))
+    left = left.withColumn("left", F.lit(1))
+    relied = done.steps.where("decision = 'PROCEED' AND abac_already_applied").join(left, [*KEY, "slot"], "left")
+    return relied.groupBy("object_type", "status", "error_code").agg(F.count("*").alias("n_objects"), F.count("left").alias("n_old_rules_left"))
+
+
 @query("RUN_stop_at_failure", """
 SELECT 'changed without audit row' AS what, 0 AS n UNION ALL SELECT 'recorded tables', count(*) FROM (SELECT tn FROM clean_status WHERE (cn, sn, tn) <= (SELECT min((cn, sn, tn)) FROM clean_status WHERE status = 'FAILED'))""",
     {**_CLEAN, "clean_status": f"SELECT cn, sn, tn, {_STATUS} AS status FROM clean_steps GROUP BY cn, sn, tn"})
