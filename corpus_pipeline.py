@@ -26,11 +26,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; rows that repeat it entirely are one row."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    lead = jaccard_join.join(docs.select(COLUMNS)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = docs.select(*COLUMNS, key).join(lead, "_key", "left_semi")
-    return kept.dropDuplicates(["_key", "text"]).select(COLUMNS)
+    """Of each group of linked documents the one with the smallest id; of its rows that repeat, or share that id, one.
+
+    Rows are told apart by id and text: what another text of the same id is
+    linked with does not keep this one.  Rows with a null id that are linked with
+    nothing stay, one per text; null and empty texts stay, one per id.
+    """
+    docs = docs.select(COLUMNS)
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_key")
+    text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("_text")
+    # the join goes by a number per id and text, so that rows of one id are documents of their own
+    rows = docs.select("doc_id", text, "text").withColumn("_row", F.xxhash64(key(F.col("doc_id")), F.col("doc_id").isNull(), F.col("_text")))
+    found = jaccard_join.join(rows.select(F.col("_row").alias("doc_id"), "text"))
+    ids = rows.select(F.col("_row").alias("r"), "doc_id", "_text").distinct()
+    joined = found.select(F.col("doc_id").alias("f"), "component_id").distinct().join(ids, F.col("f") == F.col("r"))
+    # the smallest id of a component leads it, nulls last, then the smallest row
+    lead = joined.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r")).alias("m")).select(F.col("m.r").alias("_row"))
+    row = F.xxhash64(key(F.col("doc_id")), F.col("doc_id").isNull(), text).alias("_row")
+    return docs.select("*", row).join(lead, "_row", "left_semi").dropDuplicates(["_row"]).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,12 +10,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.llm.tokens import mix
+
 
 class Scratch:
     """A folder for one run of an operator, in the place that all executors share.
 
-    The session names that place in ``spark.checkpoint.dir``; without it (tests)
-    a folder under the warehouse serves.  Tables written here survive lost
+    The session names that place in ``spark.checkpoint.dir``; only a local session
+    may do without, and then a folder under the warehouse serves.  Tables written here survive lost
     executors.  ``drop`` removes what a later step no longer reads.
     """
 
@@ -23,6 +25,9 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if base is None:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         self.base = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
@@ -57,21 +62,35 @@ def crc_mod(key: Column, n: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, by: str, per_class: int, columns: list[str]) -> DataFrame:
-    """About *per_class* rows of each value of *by*, the same at every run.
+    """About *per_class* distinct rows of each value of *by*, the same at every run.
 
     Rows are kept by a hash of *columns*, so that no task gathers a class and the
-    choice does not depend on partitions.  A class with fewer rows is kept whole.
-    Rows alike in *columns* come or stay together: the caller makes them distinct.
+    choice does not depend on partitions.  The share follows from how many
+    distinct rows a class has (by hash, within a twentieth), so copies of one row
+    take no other row's place; a class of up to a quarter more than *per_class*
+    is kept whole.  Rows alike in *columns* come or stay together: the caller
+    makes them distinct.
     """
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    distinct = F.approx_count_distinct(F.xxhash64(*columns), 0.02).alias("n")
+    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(distinct).collect()}
     if not counts:
         return df.limit(0)
     # one count per class travels as a literal, so that no text is shuffled
-    share = F.element_at(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, per_class / n)]), F.col(by))
+    shares = {c: 1.0 if n <= 1.25 * per_class else per_class / n for c, n in counts.items()}
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col(by))
     spread = F.pmod(F.xxhash64(*columns, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     return df.where(spread < share)
 
 
+def even_choice(features: np.ndarray, row: int, most: int) -> np.ndarray:
+    """At most *most* of a row's features, sorted; which ones depends on the row's hash as well, so none is lost from every long row."""
+    if len(features) <= most:
+        return np.sort(features)
+    salt = mix(np.array([row & ((1 << 64) - 1)], np.uint64))
+    h = mix(features.astype(np.uint64) ^ salt)
+    return np.sort(features[np.argsort(h, kind="stable")[:most]])
+
+
 def hash_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """Packed bits, set where a hash in *column* (long) has these leading *bits*.
 

@@ -21,6 +21,8 @@ from tablewarden.llm.tokens import LETTER, Chunk, chunks
 
 UNDETERMINED = "und"
 HAS_LETTER = r"\p{L}"
+# Characters of a word that count as one when words are drawn.
+PIECE = 64
 
 
 @dataclass(frozen=True)
@@ -172,14 +174,19 @@ def train(texts: list[bytes], langs: list[str], options: LangIdOptions = LangIdO
 
 
 def fit(docs: DataFrame, may_learn: Column, options: LangIdOptions = LangIdOptions()) -> LangIdModel:
-    """Train on a bounded sample of the rows of *docs* (doc_id, text, lang) where *may_learn* and lang is known."""
+    """Train on a bounded sample of the rows of *docs* (doc_id, text, lang) where *may_learn* and lang is known.
+
+    A row gives about ``words`` words from all over its text: every k-th, from a place that its hash names.
+    """
     named = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(HAS_LETTER)).select("doc_id", "text", "lang")
     spaced = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # long words, whole paragraphs in some scripts, count as several
+    pieces = F.flatten(F.transform(spaced, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / PIECE).cast("int")), lambda i: F.substr(w, i * PIECE + 1, F.lit(PIECE)))))
     every = F.greatest(F.lit(1), (F.size("_w") / options.words).cast("int"))
     rows = (
         bounded_sample(named, "lang", options.per_class, ["doc_id", "text"])
-        .select("lang", F.xxhash64("doc_id", "text").alias("_h"), spaced.alias("_w"))
-        .select("lang", "_h", F.array_join(F.transform(F.filter("_w", lambda w, i: i % every == 0), lambda w: F.substring(w, 1, 64)), " ").alias("text"))
+        .select("lang", F.xxhash64("doc_id", "text").alias("_h"), pieces.alias("_w"))
+        .select("lang", "_h", F.array_join(F.filter("_w", lambda w, i: i % every == F.pmod("_h", every)), " ").alias("text"))
         .distinct()
         .toPandas()
         .sort_values(["_h", "lang", "text"])

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import bounded_sample, crc_mod
+from tablewarden.llm.common import bounded_sample, crc_mod, even_choice
 from tablewarden.llm.tokens import Chunk, chunks, letters, runs
 
 # Tokens of a feature, by distance from its first: words, pairs, pairs with one word between.
@@ -137,9 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, options: FtrlOpti
     def to_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = features(pdf["text"].tolist(), options.buckets)
-            # a row with more features teaches an even choice of them
-            found = [f[np.argsort(f * 0x9E3779B1 % (1 << 31), kind="stable")[: options.row_features]] for f in found]
-            yield pd.DataFrame({"h": pdf["h"], "toxic": pdf["toxic"], "f": [np.sort(f).astype(np.int32) for f in found]})
+            # a row with more features teaches an even choice of them, another one in each row
+            found = [even_choice(f, int(h), options.row_features).astype(np.int32) for f, h in zip(found, pdf["h"], strict=True)]
+            yield pd.DataFrame({"h": pdf["h"], "toxic": pdf["toxic"], "f": found})
 
     rows = (
         named.select(F.xxhash64("doc_id", "text").alias("h"), "toxic", F.col("text").cast("binary").alias("text"))

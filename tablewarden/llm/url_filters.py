@@ -9,6 +9,8 @@ DataFrame functions only; times are seconds, as long.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +33,25 @@ def segments_of(url: Column) -> Column:
     return F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
 
 
-def intervals(changes: DataFrame) -> DataFrame:
+def intervals(changes: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Validity intervals of dated *changes* (list, kind, pattern, added, at, change_id).
 
     A change holds from its time to the next one of its entry, the end excluded
-    and null if there is none; only additions give an interval.  Changes of one
-    time count in order of change_id, so that the last of them holds.  Changes
-    without a pattern or a time are passed over.
+    and null if there is none; only additions give an interval.  Of changes of
+    one time the one with the last change_id holds.  Changes without a pattern
+    or a time are passed over.  An entry's changes are put in order within
+    stretches of time, each of which ends where the entry's next one begins, so
+    that an entry with very many changes is no single task's.
     """
-    entry = Window.partitionBy("list", "kind", "pattern").orderBy("at", "change_id")
+    entry = ["list", "kind", "pattern"]
     dated = changes.where(F.col("pattern").isNotNull() & F.col("at").isNotNull())
-    held = dated.select("list", "kind", "pattern", "added", F.col("at").alias("since"), F.lead("at").over(entry).alias("until"))
-    return held.where(F.col("added") & (F.col("until").isNull() | (F.col("until") > F.col("since")))).drop("added")
+    last = dated.groupBy(*entry, "at").agg(F.max(F.struct("change_id", "added")).alias("c"))
+    held = last.select(*entry, F.col("c.added").alias("added"), F.col("at").alias("since"), F.floor(F.col("at") / stretch).alias("stretch"))
+    begins = held.groupBy(*entry, "stretch").agg(F.min("since").alias("begin"))
+    after = F.lead("begin").over(Window.partitionBy(*entry).orderBy("stretch")).alias("after")
+    next_ = F.lead("since").over(Window.partitionBy(*entry, "stretch").orderBy("since"))
+    joined = held.join(begins.select(*[F.col(c).alias(f"_{c}") for c in (*entry, "stretch")], after), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*entry, "stretch")]))
+    return joined.select(*entry, "added", "since", F.coalesce(next_, "after").alias("until")).where("added").drop("added")
 
 
 def _keys(host: Column, segments: Column, depth: Column) -> Column:
@@ -74,12 +83,11 @@ def judge(captures: DataFrame, changes: DataFrame, stretch: int = STRETCH) -> Da
     clash = set(added) & set(captures.columns)
     if clash:
         raise ValueError(f"columns in the way: {sorted(clash)}")
-    active = intervals(changes)
+    active = intervals(changes, stretch)
     depth = active.where(F.col("kind") == "prefix").agg(F.max(F.size(F.split("pattern", "/")) - 1).alias("d"))
     seen = captures.select("url", "fetched_at").where(F.col("fetched_at").isNotNull()).distinct()
-    # a few numbers of the whole tables bound the explosions: the deepest prefix, and the time that captures span
-    span = seen.agg(F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high")).first()
-    low, high, deepest = span["low"] or 0, span["high"] or 0, depth.first()["d"] or 0
+    # the deepest prefix of all bounds the explosion of a URL
+    deepest = depth.first()["d"] or 0
     host, segments = host_of(F.col("url")), segments_of(F.col("url"))
     keyed = (
         seen.select("url", "fetched_at", host.alias("host"), segments.alias("segments"))
@@ -87,10 +95,10 @@ def judge(captures: DataFrame, changes: DataFrame, stretch: int = STRETCH) -> Da
         .select("url", "fetched_at", F.inline(_keys(F.col("host"), F.col("segments"), F.lit(deepest))))
         .withColumn("stretch", F.floor(F.col("fetched_at") / stretch))
     )
-    held = active.where((F.col("since") <= high) & (F.col("until").isNull() | (F.col("until") > low)))
-    first = F.floor(F.greatest("since", F.lit(low)) / stretch)
-    last = F.floor(F.least(F.coalesce("until", F.lit(high)), F.lit(high)) / stretch)
-    spread = held.select("*", F.explode(F.sequence(first, last)).alias("stretch"))
+    # an interval goes to those stretches alone in which its key was captured
+    taken = keyed.select("kind", "pattern", "stretch").distinct()
+    first, last = F.floor(F.col("since") / stretch), F.floor(F.col("until") / stretch)
+    spread = active.join(taken, ["kind", "pattern"]).where((F.col("stretch") >= first) & (last.isNull() | (F.col("stretch") <= last)))
     met = keyed.join(spread, ["kind", "pattern", "stretch"]).where(
         (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     )

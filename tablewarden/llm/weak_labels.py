@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import Scratch, bounded_sample
+from tablewarden.llm.common import Scratch, bounded_sample, even_choice
 from tablewarden.llm.tokens import LETTER, Chunk, chunks, letters, runs, words
 
 BAD, NOTHING, GOOD = 0, 1, 2
@@ -222,7 +222,9 @@ def classify(docs: DataFrame, options: WeakOptions = WeakOptions(), scratch: Scr
             found = [patterns(measure(c)) for c in chunks(texts)]
             yield pd.Series(np.concatenate(found) if found else np.zeros(0, np.int64))
 
-    voted = docs.withColumn("pattern", F.pandas_udf(to_patterns, "long")("text"))
+    # a few numbers a row are written, so that votes are taken once
+    key = F.xxhash64("doc_id", "text").alias("h")
+    voted = (scratch or Scratch(spark)).write(docs.select(key, F.pandas_udf(to_patterns, "long")("text").alias("pattern")), "voted")
     counted = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
     codes = counted["pattern"].to_numpy(np.int64)
     posterior, _, _ = expectation_maximisation(votes_of(codes), counted["n"].to_numpy(float), options)
@@ -234,13 +236,16 @@ def classify(docs: DataFrame, options: WeakOptions = WeakOptions(), scratch: Scr
         for pdf in batches:
             for c in chunks(pdf["text"]):
                 rows = _hashed(c, options.buckets)
-                rows = [np.sort(f[np.argsort(f * 0x9E3779B1 % (1 << 31), kind="stable")[: options.row_features]]) for f in rows]
+                rows = [even_choice(f, int(h), options.row_features) for f, h in zip(rows, pdf["h"].iloc[c.rows], strict=True)]
                 m = measure(c)
                 yield pd.DataFrame({"h": pdf["h"].iloc[c.rows].to_numpy(), "m": list(m), "y": shared_table.value[patterns(m)], "f": [f.astype(np.int32) for f in rows]})
 
-    sample = bounded_sample(voted.withColumn("side", (F.col("pattern").isin([int(c) for c, p in zip(codes, posterior) if p >= 0.5])).cast("int")), "side", options.per_class, ["doc_id", "text"])
+    good = F.col("pattern").isin([int(c) for c, p in zip(codes, posterior, strict=True) if p >= 0.5])
+    # two bounded sides, so the sample may be broadcast: the texts are read in place
+    sample = bounded_sample(voted.withColumn("side", good.cast("int")), "side", options.per_class, ["h"]).select("h").distinct()
     rows = (
-        sample.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+        docs.select(key, "text")
+        .join(F.broadcast(sample), "h")
         .distinct()
         .mapInPandas(to_rows, "h long, m array<double>, y double, f array<int>")
         .toPandas()

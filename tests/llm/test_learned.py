@@ -1,5 +1,7 @@
 """Learned operators: held-out accuracy, agreement of tasks with plain numpy, odd rows."""
 
+import random
+import re
 import zlib
 
 import numpy as np
@@ -7,9 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewarden.llm import langid, lm_score, toxicity, weak_labels
+from tablewarden.llm.common import bounded_sample, even_choice
 from tablewarden.llm.tokens import chunks, letters, runs, shingles, words
 
 
+def prose(rng, n, words_):
+    return " ".join(rng.choice(words_) for _ in range(n))
+
+
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
@@ -78,6 +85,36 @@ def test_unknown_script_is_rejected(docs):
     assert got[1]["rejected"] and got[2]["rejected"] and got[2]["lang_pred"] == "und"
 
 
+def test_repeated_rows_take_no_class_away(spark):
+    """One row 20,000 times among 40 others of its language: counts are of distinct rows, small classes stay whole."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 30, "the house of stone and river".split()), "en") for i in range(400)] + [(1000 + i, prose(rng, 30, "das haus der stein und fluss".split()), "de") for i in range(40)]
+    again = spark.range(20_000).select(F.lit(5000).cast("long").alias("doc_id"), F.lit("der fluss und das haus").alias("text"), F.lit("de").alias("lang"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(again)
+    sample = bounded_sample(docs, "lang", 100, ["doc_id", "text"]).distinct().groupBy("lang").count()
+    got = {r["lang"]: r["count"] for r in sample.collect()}
+    assert got["de"] == 41 and 60 < got["en"] < 150
+    assert langid.fit(docs, F.lit(True)).classes == ["de", "en"]
+    votes = docs.select("doc_id", "text")
+    assert {r["kept"] for r in weak_labels.classify(votes).select("kept").distinct().collect()} <= {True, False}
+
+
+def test_long_rows_lose_different_features():
+    f = np.arange(1000)
+    a, b = even_choice(f, 1, 100), even_choice(f, -2, 100)
+    assert len(a) == len(b) == 100 and len(set(a) & set(b)) < 40 and (np.diff(a) > 0).all()
+    assert (even_choice(f[::-1], 3, 1000) == f).all()
+
+
+def test_words_of_any_length_are_learnt(spark):
+    """A language without spaces: what tells it apart stands behind the first characters of its only word."""
+    rows = [(i, "abc" * 30 + ("xyz" if i % 2 else "uvw") * 60, "a" if i % 2 else "b") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    found = langid.identify(spark.createDataFrame([(1, "xyz" * 20), (2, "uvw" * 20)], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {1: "a", 2: "b"}
+
+
 def test_wrong_labels_do_not_move_the_rejection_bar():
     rng = np.random.default_rng(11)
     vocabulary = {"en": "the of and to in is that for it as was with house river stone walking".split(), "de": "der die das und den von zu mit sich des auf ist haus fluss stein gehen".split()}
@@ -183,16 +220,26 @@ def test_quality_of_odd_rows(odd, none):
 
 
 def test_scores_are_sums_of_masked_predictions(docs, corpus):
-    o = lm_score.LmOptions(buckets=1 << 10, classes=16, own=8, hidden=6, stride=4, batch=32)
+    o = lm_score.LmOptions(buckets=1 << 10, classes=16, own=8, hidden=6, batch=32)
     got = by_id(lm_score.log_likelihood(docs, o))
     vocab, net = lm_score.fit(docs.select(F.col("text").cast("binary").alias("text")), o)
+
+    def buckets(t):
+        """Shape of each token in the lowest place, its hash above."""
+        h = words(next(chunks([t.encode()]))).hash
+        raw = re.findall(rb"[^\x20\x09-\x0D]+", t.encode())
+        shape = [
+            (w[-1:] in b".!?") + 2 * (b"A" <= w[:1] <= b"Z") + 4 * any(x >= 128 for x in w) + 8 * (w[-1:] in b",;:)]}\"'") + 16 * ((len(w) > 3) + (len(w) > 6) + (len(w) > 10))
+            for w in raw
+        ]
+        return np.array([int(x) % 128 * 8 + s % 8 for x, s in zip(h, shape, strict=True)])
+
     counts = np.zeros(o.buckets)
     for _, t, *_ in corpus:
-        h = words(next(chunks([t.encode()]))).hash
-        np.add.at(counts, (h % np.uint64(o.buckets)).astype(int), 1)
+        np.add.at(counts, buckets(t), 1)
     smooth = counts + o.smoothing
     for i, t, *_ in corpus[::40]:
-        b = (words(next(chunks([t.encode()]))).hash % np.uint64(o.buckets)).astype(int)
+        b = buckets(t)
         c = vocab.cls[b].astype(int)
         total = 0.0
         for k in range(len(b)):
@@ -205,7 +252,7 @@ def test_scores_are_sums_of_masked_predictions(docs, corpus):
 
 
 def test_learning_lowers_the_loss(docs, corpus):
-    o = lm_score.LmOptions(buckets=1 << 10, classes=64, own=48, stride=2, batch=64)
+    o = lm_score.LmOptions(buckets=1 << 10, classes=64, own=48, batch=64)
     b = docs.select(F.col("text").cast("binary").alias("text"))
     vocab, net = lm_score.fit(b, o)
     texts = [t.encode() for _, t, *_ in corpus]
@@ -214,6 +261,26 @@ def test_learning_lowers_the_loss(docs, corpus):
     assert total.sum() / n.sum() > before.sum() / n.sum() + 0.3
 
 
+def test_texts_beat_their_shuffles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    vocab, net = lm_score.fit(docs.select(F.col("text").cast("binary").alias("text")))
+    rng = random.Random(3)
+    texts = [r.text.split() for r in docs.select("text").collect() if len(r.text.split()) > 50]
+    mixed = [rng.sample(w, len(w)) for w in texts]
+    a, b = (lm_score.pseudo_log_likelihood([" ".join(w).encode() for w in x], vocab, net)[1] for x in (texts, mixed))
+    assert len(texts) > 100 and (a > b).mean() > 0.95
+
+
+def test_every_position_is_learnt(spark):
+    docs = spark.createDataFrame([("a b c",), ("d",), (None,), ("e f g h i",)], "text string").select(F.col("text").cast("binary").alias("text")).coalesce(1)
+    o = lm_score.LmOptions(buckets=1 << 10, classes=16, own=8)
+    vocab, _ = lm_score.fit(docs, o)
+    shared = spark.sparkContext.broadcast(vocab)
+    parted = docs.withColumn("part", F.lit(0).cast("long"))
+    learnt = [parted.mapInPandas(lm_score._learn(o, shared, None, turn), lm_score._NETWORKS).first()["weight"] for turn in range(o.rounds)]
+    assert sum(learnt) == 9
+
+
 def test_networks_are_averaged_by_a_tree(spark, docs):
     from tablewarden.llm.common import Scratch
 

@@ -303,8 +303,8 @@ def test_queries_equal_their_sql(spark, name):
 
 
 @HERE
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries() if re.match(r"op\d+_", n)) == list(range(1, 11)) and "pipeline" in queries()
+def test_all_thirteen_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries() if re.match(r"op\d+_", n)) == list(range(1, 14)) and "pipeline" in queries()
 
 
 @HERE
@@ -333,3 +333,41 @@ def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
         rows = docs.collect()
         assert not [r for r in rows if r["doc_id"] in (7, 8)]
+
+
+def test_far_dates_and_many_open_entries(spark):
+    """Captures thousands of years apart: an interval meets only stretches in which its key was captured."""
+    changes = spark.range(2000).select(
+        F.lit("block").alias("list"), F.lit("host").alias("kind"), F.concat(F.lit("h"), "id", F.lit(".x")).alias("pattern"), F.lit(True).alias("added"),
+        F.lit(-5_000_000_000).alias("at"), F.col("id").alias("change_id"),
+    )
+    captures = spark.createDataFrame([("http://h1.x/a", -6_000_000_000), ("http://h1.x/a", 0), ("http://h1.x/a", 253_402_300_799), ("http://no.x/", 5)], "url string, fetched_at long")
+    got = {(r["url"], r["fetched_at"]): r["verdict"] for r in url_filters.judge(captures, changes).collect()}
+    assert got == {("http://h1.x/a", -6_000_000_000): "pass", ("http://h1.x/a", 0): "block", ("http://h1.x/a", 253_402_300_799): "block", ("http://no.x/", 5): "pass"}
+
+
+def test_intervals_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["allow", "block"]), "host", rng.choice(["a", "b"]), rng.random() < 0.6, rng.randint(-50, 50), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "list string, kind string, pattern string, added boolean, at long, change_id long")
+    want = set()
+    for entry in {r[:3] for r in rows}:
+        last = {}
+        for r in sorted((r for r in rows if r[:3] == entry), key=lambda r: (r[4], r[5])):
+            last[r[4]] = r[3]
+        times = sorted(last)
+        want |= {(*entry, t, u) for t, u in zip(times, [*times[1:], None], strict=True) if last[t]}
+    for stretch in (7, 1000):
+        got = [tuple(r) for r in url_filters.intervals(df, stretch).select("list", "kind", "pattern", "since", "until").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_near_duplicates_are_told_apart_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c = ("one two three four five six seven eight %s" % x for x in ("alpha beta gamma", "delta eps zeta eta theta", "iota kappa my ny xi"))
+    a, b, c = ("%s %s %s" % (x, x[::-1], x[::2]) for x in (a, b, c))
+    rows = [(2, b, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (None, b, "en", "s", 1), (None, c, "en", "s", 1), (7, None, "en", "s", 1), (8, "", "en", "s", 1), (8, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(2, b), (5, a), (None, c), (7, None), (8, "")], key=str)
