@@ -10,7 +10,8 @@ one row would meet at one place.
 Neither order is sorted in one task.  Both keys, the shuffled key and the
 fractional rank, are spread evenly, so their leading part serves as a bucket of
 about ``bucket_rows`` rows; places are counted within a bucket, and the rows of
-the buckets before it are added from a table of one count per bucket.
+the buckets before it are added from a table of one count per bucket, summed in
+two levels.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class ShardOptions:
 
     shards: int = 16
     seed: int = 23
-    bucket_rows: int = 50_000
+    bucket_rows: int = 4096
     chunk: int = 10_000
 
 
@@ -53,14 +54,25 @@ def _keys(docs: DataFrame, options: ShardOptions) -> DataFrame:
     return rows.withColumn("h", _number(F.lit(str(options.seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "crc"))
 
 
+def _before(held: DataFrame, *by: str) -> DataFrame:
+    """Buckets with the rows ``before`` each and all rows ``n``, per value of *by*.
+
+    Sums run within runs of 1,024 buckets and over the runs, so that the longest
+    window has a row per 1,024 * ``bucket_rows`` rows of the table.
+    """
+    held = held.withColumn("run", F.shiftright("bucket", 10))
+    runs = held.groupBy(*by, "run").agg(F.sum("held").alias("held"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = lambda w: F.coalesce(F.sum("held").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*by, "run", earlier(whole.orderBy("run")).alias("run_before"), F.sum("held").over(whole).alias("n"))
+    inner = earlier(Window.partitionBy(*by, "run").orderBy("bucket"))
+    return held.join(runs, [*by, "run"]).select(*by, "bucket", (F.col("run_before") + inner).alias("before"), "n")
+
+
 def _ranked(rows: DataFrame, total: int, options: ShardOptions) -> DataFrame:
     """*rows* (with ``copies``) with the rank of their first copy in the shuffled order of the source, and its rows."""
     spread = rows.withColumn("bucket", F.shiftright("h", 60 - _bits(total, options)))
-    held = spread.groupBy("src", "bucket").agg(F.sum("copies").alias("held"))
-    # as many rows a source as there are buckets: total / bucket_rows
-    source = Window.partitionBy("src")
-    before = F.sum("held").over(source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    held = held.select("src", "bucket", F.coalesce(before, F.lit(0)).alias("before"), F.sum("held").over(source).alias("n"))
+    held = _before(spread.groupBy("src", "bucket").agg(F.sum("copies").alias("held")), "src")
     within = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
     joined = spread.join(held, ["src", "bucket"])
     return joined.withColumn("rank", F.col("before") + F.coalesce(F.sum("copies").over(within), F.lit(0))).drop("bucket", "before", "h")
@@ -103,10 +115,7 @@ def assign(docs: DataFrame, options: ShardOptions = ShardOptions(), scratch: Scr
     placed = _expanded(ranked, options).withColumn("f", (F.col("rank") + offset) / F.col("n"))
     buckets = 1 << _bits(total, options)
     placed = placed.withColumn("bucket", F.least(F.floor(F.col("f") * buckets), F.lit(buckets - 1)))
-    # one row per bucket, total / bucket_rows of them
-    held = placed.groupBy("bucket").agg(F.count("*").alias("held"))
-    before = F.sum("held").over(Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    held = held.select("bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    held = _before(placed.groupBy("bucket").agg(F.count("*").alias("held"))).drop("n")
     within = Window.partitionBy("bucket").orderBy("f", "src", "rank")
     at = F.col("before") + F.row_number().over(within) - 1
     placed = placed.join(held, "bucket").withColumn("at", at.cast("long"))
