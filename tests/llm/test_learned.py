@@ -229,7 +229,7 @@ def test_scores_are_sums_of_masked_predictions(docs, corpus):
         h = words(next(chunks([t.encode()]))).hash
         raw = re.findall(rb"[^\x20\x09-\x0D]+", t.encode())
         shape = [
-            (w[-1:] in b".!?") + 2 * (b"A" <= w[:1] <= b"Z") + 4 * any(x >= 128 for x in w) + 8 * (w[-1:] in b",;:)]}\"'") + 16 * ((len(w) > 3) + (len(w) > 6) + (len(w) > 10))
+            (w[-1:] in b".!?") + 2 * (b"A" <= w[:1] <= b"Z") + 4 * any(x >= 128 for x in w) + 8 * (w[-1:] in b",;:)]}\"'") + 16 * (len(w) > 6)
             for w in raw
         ]
         return np.array([int(x) % 128 * 8 + s % 8 for x, s in zip(h, shape, strict=True)])
