@@ -63,17 +63,33 @@ def category(function_fqn: Column | str, columns: Column | str, vocabulary: Mapp
     """
     fqn = F.col(function_fqn) if isinstance(function_fqn, str) else function_fqn
     cols = F.col(columns) if isinstance(columns, str) else columns
-    own = name_parts(F.element_at(F.split(fqn, r"\."), -1))
-    parts = F.transform(F.coalesce(cols, F.array().cast("array<string>")), name_parts)
-
-    def votes(words: Sequence[str]) -> Column:
-        known = F.array(*[F.lit(w) for w in words])
-        by_columns = F.size(F.filter(parts, lambda p: F.arrays_overlap(p, known)))
-        return 2 * by_columns + F.coalesce(F.arrays_overlap(own, known), F.lit(False)).cast("int")
-
-    ranked = F.array(*[F.struct(votes(w).alias("votes"), F.lit(-i).alias("place"), F.lit(c).alias("category")) for i, (c, w) in enumerate(vocabulary.items())])
-    best = F.array_max(ranked)
-    return F.when(best["votes"] > 0, best["category"]).otherwise("other")
+    names = list(vocabulary)
+    places: dict[str, list[int]] = {}
+    for place, name in enumerate(names):
+        for word in vocabulary[name]:
+            places.setdefault(word, []).append(place)
+    if not places:
+        return F.lit("other")
+    known = F.create_map(*[c for w, at in places.items() for c in (F.lit(w), F.array(*[F.lit(i) for i in at]))])
+    nowhere = F.array().cast("array<int>")
+
+    def spoken_for(name: Column) -> Column:
+        """Places of the categories that know a part of the name, each once."""
+        return F.array_distinct(F.flatten(F.transform(name_parts(name), lambda p: F.coalesce(F.element_at(known, p), nowhere))))
+
+    by_columns = F.flatten(F.transform(F.coalesce(cols, F.array().cast("array<string>")), lambda c: F.coalesce(spoken_for(c), nowhere)))
+    own = F.coalesce(spoken_for(F.element_at(F.split(fqn, r"\."), -1)), nowhere)
+
+    def most(cast: Column) -> Column:
+        def ranked(place: Column) -> Column:
+            votes = 2 * F.size(F.filter(cast["columns"], lambda v: v == place)) + F.size(F.filter(cast["own"], lambda v: v == place))
+            return F.struct(votes.alias("votes"), (-place).alias("place"))
+
+        best = F.array_max(F.transform(F.array(*[F.lit(i) for i in range(len(names))]), ranked))
+        return F.when(best["votes"] > 0, F.element_at(F.array(*[F.lit(n) for n in names]), 1 - best["place"])).otherwise("other")
+
+    # one element, so that the votes are taken once and not once per category
+    return F.transform(F.array(F.struct(by_columns.alias("columns"), own.alias("own"))), most)[0]
 
 
 def normalize_label(raw: Column | str) -> Column:

@@ -61,6 +61,27 @@ def resolve_who(
     return Who(principal, frozenset(found), admin_group in found, rows)
 
 
+def nested_membership(membership: DataFrame, subgroups: DataFrame) -> DataFrame:
+    """Membership through groups within groups: ``group_name, member_email``, each pair once.
+
+    *subgroups* (``group_name, member_group``) says which group contains which, to
+    any depth; cycles are allowed and make their groups equal.  The closure over
+    groups grows from the pairs that the last round found new, one written table
+    a round, and members are joined once at its end.  NULL names belong to nothing.
+    """
+    direct = subgroups.select("group_name", "member_group").where("group_name <> member_group").distinct()
+    direct = cut_lineage(direct)
+    known = fresh = direct
+    while not fresh.isEmpty():
+        longer = fresh.join(direct.select(F.col("group_name").alias("member_group"), F.col("member_group").alias("__below")), "member_group")
+        longer = longer.select("group_name", F.col("__below").alias("member_group")).where("group_name <> member_group").distinct()
+        fresh = cut_lineage(longer.join(known, ["group_name", "member_group"], "left_anti"))
+        known = known.unionByName(fresh)
+    own = membership.select("group_name", "member_email").where("group_name IS NOT NULL AND member_email IS NOT NULL")
+    inherited = own.withColumnRenamed("group_name", "member_group").join(known, "member_group").select("group_name", "member_email")
+    return own.unionByName(inherited).distinct()
+
+
 def is_member(membership: DataFrame, principals: DataFrame, group: str | Column) -> DataFrame:
     """Which of many *principals* are in *group* (one name, or a column of *principals*).
 

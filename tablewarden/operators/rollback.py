@@ -6,7 +6,9 @@ never without protection; a failed restore keeps its policy.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Collection
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.functions.names import COLUMN_MASK, KEY, ROW_FILTER, catalog_securable
@@ -14,9 +16,11 @@ from tablewarden.operators.catalog import function_status
 from tablewarden.operators.decide import policy_name
 from tablewarden.operators.results import rollback_phase_of
 from tablewarden.sources.schemas import AUDIT, ROLLBACK_METADATA, conform
-from tablewarden.sources.store import rows_for_run
+from tablewarden.sources.store import cut_lineage, rows_for_run
 
 ATTEMPT = ["attempt_id", *KEY]
+OBJECT = [*KEY, "object_type", "slot"]
+LATER_RUN = "LATER_RUN_CHANGED_OBJECT"
 
 
 def parse_metadata(audit: DataFrame, run_id: str) -> DataFrame:
@@ -67,9 +71,91 @@ def rollback_objects(parsed: DataFrame) -> DataFrame:
     return filters.select(*fields).unionByName(masks.select(*fields))
 
 
-def rollback_steps(objects: DataFrame, functions: DataFrame, dry_run: bool = False) -> DataFrame:
-    """Adds ``status, error_code, error_message`` to the objects."""
+def changes(audit: DataFrame) -> DataFrame:
+    """Which run changed which object last: ``run_id``, the object, ``changed_at, stands``.
+
+    A change is a row with rollback data that was no dry run; it stands until a
+    rollback of the same run undoes it, at that time or later.  One aggregation
+    per run and object.  Rows without a time count as the oldest.
+    """
+    none = F.array().cast("array<struct<object_type:string,slot:string>>")
+    rows = conform(audit, AUDIT).where(~F.coalesce("dry_run", F.lit(False)))
+    rows = rows.withColumn("completed_at", F.coalesce("completed_at", F.timestamp_seconds(F.lit(0))))
+    undo = rows.where(F.length("rollback_metadata") > 0).withColumn("undo", F.from_json("rollback_metadata", ROLLBACK_METADATA))
+    original = "undo.original_row_filter"
+    has_filter = F.col(f"{original}.function").isNotNull() | F.col(f"{original}.using_columns").isNotNull()
+    of_filter = F.when(has_filter, F.array(F.struct(F.lit(ROW_FILTER).alias("object_type"), F.lit("").alias("slot"))))
+    of_masks = F.transform(
+        "undo.original_column_masks",
+        lambda m: F.struct(F.lit(COLUMN_MASK).alias("object_type"), F.coalesce(m["column"], F.lit("")).alias("slot")),
+    )
+    at = F.col("completed_at")
+    done = undo.select("run_id", *KEY, at.alias("changed_at"), F.inline(F.concat(F.coalesce(of_filter, none), F.coalesce(of_masks, none))))
+    undone = rows.where(F.col("status") == "ROLLED_BACK").select(
+        "run_id", *KEY, "object_type", F.coalesce("masked_column", F.lit("")).alias("slot"), at.alias("undone_at")
+    )
+    last = done.unionByName(undone, allowMissingColumns=True).groupBy("run_id", *OBJECT)
+    last = last.agg(F.max("changed_at").alias("changed_at"), F.max("undone_at").alias("undone_at"))
+    stands = F.col("undone_at").isNull() | (F.col("undone_at") < F.col("changed_at"))
+    return last.where(F.col("changed_at").isNotNull()).select("run_id", *OBJECT, "changed_at", stands.alias("stands"))
+
+
+def superseded(audit: DataFrame, run_id: str, undone: Collection[str] = ()) -> DataFrame:
+    """Objects of the run that later runs changed and that undoing it would overwrite: the object,
+    ``n_later_runs`` and ``latest_run``.
+
+    Changes of one moment count as later: their order is unknown.  Runs in *undone*
+    count as rolled back.  Only tables that the run has rows of are looked at.
+    """
+    ours = rows_for_run(audit, run_id).select(*KEY).distinct()
+    own = F.col("run_id") == run_id
+    told = changes(audit.join(ours, KEY, "left_semi")).where(own | F.col("stands") & ~F.col("run_id").isin(list(undone)))
+    own_at = F.max(F.when(own, F.col("changed_at"))).over(Window.partitionBy(*OBJECT))
+    later = told.withColumn("own_at", own_at).where(~own & (F.col("changed_at") >= F.col("own_at")))
+    return later.groupBy(*OBJECT).agg(
+        F.count("*").alias("n_later_runs"), F.max_by("run_id", F.struct("changed_at", "run_id")).alias("latest_run")
+    )
+
+
+def undo_order(audit: DataFrame, run_id: str) -> DataFrame:
+    """The run and every run that builds on it, in the order to undo them: ``run_id, position`` (from 1).
+
+    A run builds on another where it changed one of its objects later, directly
+    or through runs between.  Each object names only neighbours in time, so that no
+    two runs of a long history are paired; newest changes go first, the run itself last.
+    """
+    standing = changes(audit).where("stands")
+    in_time = Window.partitionBy(*OBJECT).orderBy("changed_at", "run_id")
+    before = F.lag("run_id").over(in_time).alias("run_id")
+    follows = standing.select(before, F.col("run_id").alias("later")).where("run_id IS NOT NULL").distinct()
+    # changes of one moment may have happened either way round
+    ties = Window.partitionBy(*OBJECT, "changed_at").orderBy("run_id")
+    same = standing.select(F.lag("run_id").over(ties).alias("later"), "run_id").where("later IS NOT NULL").distinct()
+    follows = cut_lineage(follows.select("run_id", "later").unionByName(same).distinct())
+    found = fresh = cut_lineage(audit.sparkSession.createDataFrame([(run_id,)], "run_id string"))
+    while not fresh.isEmpty():
+        reached = follows.join(fresh, "run_id").select(F.col("later").alias("run_id")).distinct()
+        fresh = cut_lineage(reached.join(found, "run_id", "left_anti"))
+        found = found.unionByName(fresh)
+    newest = standing.groupBy("run_id").agg(F.max("changed_at").alias("changed_at"))
+    last = (F.col("run_id") == run_id).cast("int")
+    order = Window.orderBy(last, F.col("changed_at").desc_nulls_last(), F.col("run_id").desc())
+    return found.join(newest, "run_id", "left").select("run_id", F.row_number().over(order).alias("position"))
+
+
+def rollback_steps(
+    objects: DataFrame, functions: DataFrame, dry_run: bool = False, blocked: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``status, error_code, error_message`` to the objects.
+
+    An object in *blocked* (of :func:`superseded`) fails: a later run's state is
+    not overwritten.
+    """
     is_filter = F.col("object_type") == ROW_FILTER
+    later = F.lit(None).cast("string")
+    if blocked is not None:
+        objects = objects.join(blocked.select(*OBJECT, F.col("latest_run").alias("__later")), OBJECT, "left")
+        later = F.col("__later")
     broken = F.col("function_fqn").isNull() | (~is_filter & (F.col("slot") == ""))
     missing = ~F.col("function_exists")
     return (
@@ -77,14 +163,16 @@ def rollback_steps(objects: DataFrame, functions: DataFrame, dry_run: bool = Fal
         .withColumns(
             {
                 "masked_column": F.when(~is_filter, F.col("slot")),
-                "status": F.when(broken | missing, "FAILED").otherwise("WOULD_ROLLBACK" if dry_run else "ROLLED_BACK"),
-                "error_code": F.when(broken, "ROLLBACK_FAILED").when(missing, "SOURCE_FUNCTION_NOT_FOUND"),
+                "status": F.when(broken | missing | later.isNotNull(), "FAILED").otherwise("WOULD_ROLLBACK" if dry_run else "ROLLED_BACK"),
+                "error_code": F.when(broken, "ROLLBACK_FAILED")
+                .when(missing, "SOURCE_FUNCTION_NOT_FOUND")
+                .when(later.isNotNull(), LATER_RUN),
                 "error_message": F.when(broken, "Rollback data names no function or column.").when(
                     missing, "Cannot restore: the original function no longer exists."
-                ),
+                ).when(later.isNotNull(), F.concat(F.lit("A later run changed this object; undo it first: "), later)),
             }
         )
-        .drop("function_exists", "function_executable")
+        .drop("function_exists", "function_executable", "__later")
     )
 
 

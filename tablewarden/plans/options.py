@@ -14,12 +14,15 @@ from tablewarden.operators.tags import GRANT_ROLES
 PHASE_BY_MODE = {"MIGRATE": "FULL", "INVENTORY_AND_MIGRATE": "FULL", "APPLY_ABAC": "APPLY_ABAC", "FINALIZE": "FINALIZE"}
 MODES = ("INVENTORY", *PHASE_BY_MODE, "VERIFY", "RECONCILE", "ROLLBACK")
 POLICY_SCOPES = ("TABLE", "CATALOG")
+LATER_RUNS = ("REFUSE", "CASCADE")
 
 
 @dataclass(frozen=True)
 class RunOptions:
     """*audit_path*, *inventory_path* and *tag_grants_path* name the Parquet
-    tables that a run appends to; all frames of state are passed separately."""
+    tables that a run appends to; all frames of state are passed separately.
+    *later_runs* says what ROLLBACK does where later runs changed the same
+    objects: those objects fail, or the later runs are undone first."""
 
     mode: str = "INVENTORY"
     scope_type: str = "SELECTED_CATALOGS"
@@ -41,6 +44,7 @@ class RunOptions:
     tag_grantee_principals: tuple[str, ...] = ()
     tag_grantee_role: str = "ASSIGN"
     suggest_pii_tags: bool = False
+    later_runs: str = "REFUSE"
     run_id: str = ""
 
     def __post_init__(self) -> None:
@@ -52,6 +56,7 @@ class RunOptions:
             ("mode", self.mode, MODES),
             ("scope_type", self.scope_type, SCOPES),
             ("policy_scope", self.policy_scope, POLICY_SCOPES),
+            ("later_runs", self.later_runs, LATER_RUNS),
             ("tag_grantee_role", self.tag_grantee_role.upper(), tuple(GRANT_ROLES)),
         ):
             if value not in allowed:

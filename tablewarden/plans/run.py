@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
@@ -49,7 +50,7 @@ from tablewarden.operators.verify import (
     verify_tables,
 )
 from tablewarden.plans.options import RunOptions
-from tablewarden.sources.schemas import AUDIT
+from tablewarden.sources.schemas import AUDIT, conform
 from tablewarden.sources.store import (
     append_audit,
     append_inventory,
@@ -293,10 +294,28 @@ def _grant(resolved: DataFrame, state: GovernanceState, options: RunOptions) ->
     return granted
 
 
-def _rollback(state: GovernanceState, options: RunOptions, audit: DataFrame) -> RunResult:
+def _rollback_in_order(state: GovernanceState, options: RunOptions, audit: DataFrame) -> RunResult:
+    """Undo every run that builds on this one, newest first, then the run itself; results hold all of them."""
+    order = [r.run_id for r in undo.undo_order(audit, options.run_id).orderBy("position").collect()]
+    parts: list[RunResult] = []
+    for at, run_id in enumerate(order):
+        part = _rollback(state, replace(options, run_id=run_id, later_runs="REFUSE"), audit, order[:at] if options.dry_run else ())
+        # a written log shows the rows that the rollback appended; one that was handed in does not
+        audit = conform(audit, AUDIT).unionByName(part.audit)
+        state = part.state
+        parts.append(part)
+
+    def all_of(name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [getattr(p, name) for p in parts])
+
+    return RunResult(options, state, steps=all_of("steps"), results=all_of("results"), audit=all_of("audit"))
+
+
+def _rollback(state: GovernanceState, options: RunOptions, audit: DataFrame, undone: Sequence[str] = ()) -> RunResult:
     started = _now()
     parsed = undo.parse_metadata(audit, options.run_id)
-    steps = cut_lineage(undo.rollback_steps(undo.rollback_objects(parsed), state.functions, options.dry_run))
+    blocked = undo.superseded(audit, options.run_id, undone)
+    steps = cut_lineage(undo.rollback_steps(undo.rollback_objects(parsed), state.functions, options.dry_run, blocked))
     results = undo.rollback_results(parsed, steps)
     rows = undo.rollback_audit_rows(results, steps, options.run_id, uuid.uuid4().hex, started, _now(), options.dry_run)
     new_state = state
@@ -325,11 +344,14 @@ def run(
     at ``options.audit_path``; given to other modes, it fills the inventory's
     last status.
     INVENTORY and the migrating modes append to their tables unless dry; VERIFY
-    and RECONCILE only return results; ROLLBACK undoes ``options.run_id``.
+    and RECONCILE only return results; ROLLBACK undoes ``options.run_id``: objects
+    that a later run changed fail, or later runs go first (``options.later_runs``).
     Intermediate frames go to the folder that executors share.
     """
     if audit is None and options.mode in ("RECONCILE", "ROLLBACK"):
         audit = read_table(state.tables.sparkSession, options.audit_path, AUDIT)
+    if options.mode == "ROLLBACK" and options.later_runs == "CASCADE":
+        return _rollback_in_order(state, options, audit)
     if options.mode == "ROLLBACK":
         return _rollback(state, options, audit)
     tables = tables_in_scope(state, options)

@@ -12,7 +12,7 @@ from tablewarden.functions.names import KEY
 from tablewarden.operators import checks, matching
 from tablewarden.operators.catalog import described_policies
 from tablewarden.operators.enforce import MaskFunction, SecurityState, apply_masks, secure
-from tablewarden.operators.membership import Who, is_member, resolve_who
+from tablewarden.operators.membership import Who, is_member, nested_membership, resolve_who
 from tablewarden.operators.rowfilters import (
     equals_rule,
     filter_by_group,
@@ -55,6 +55,31 @@ def one_group(f: Frames) -> DataFrame:
     return is_member(f.membership, f.read("customer").select(F.col("c_name").alias("principal")), "bu_BUILDING")
 
 
+@query("E-01_nested_groups", """
+SELECT group_name, member_email FROM (
+  WITH RECURSIVE below(top, node) AS (
+    SELECT s_suppkey, s_suppkey FROM supplier
+    UNION SELECT b.top, s.s_suppkey FROM below b JOIN supplier s ON s.s_suppkey // 2 = b.node OR (b.node % 7 = 0 AND b.node // 2 = s.s_suppkey))
+  SELECT DISTINCT 'team_' || top AS group_name, c_name AS member_email FROM below JOIN (SELECT c_name, c_custkey % (SELECT max(s_suppkey) FROM supplier) AS node FROM customer) USING (node))""")
+def nested_groups(f: Frames) -> DataFrame:
+    """Teams of a tree over suppliers, some of which contain the team that contains them: cycles."""
+    key = F.col("s_suppkey")
+    team = lambda k: F.concat(F.lit("team_"), k.cast("long").cast("string"))
+    suppliers = f.read("supplier").select(key)
+    teams = suppliers.select(team(key).alias("team"))
+    pairs = F.array(
+        F.struct(team(F.floor(key / 2)).alias("group_name"), team(key).alias("member_group")),
+        F.when(key % 7 == 0, F.struct(team(key).alias("group_name"), team(F.floor(key / 2)).alias("member_group"))),
+    )
+    inside = suppliers.select(F.inline(F.filter(pairs, lambda p: p.isNotNull())))
+    for name in ("group_name", "member_group"):
+        inside = inside.join(teams.withColumnRenamed("team", name), name, "left_semi")
+    last = suppliers.agg(F.max(key)).scalar()
+    members = f.read("customer").select(team(F.col("c_custkey") % last).alias("group_name"), F.col("c_name").alias("member_email"))
+    members = members.join(teams.withColumnRenamed("team", "group_name"), "group_name", "left_semi")
+    return nested_membership(members, inside)
+
+
 @query("E-02_group_filter", f"SELECT c_custkey, business_unit FROM sec_customers WHERE business_unit IN {ALLOWED_UNITS}")
 def group_filter(f: Frames) -> DataFrame:
     rows = f.customers.select("c_custkey", "business_unit")
@@ -452,6 +477,18 @@ def parity_differences(f: Frames) -> DataFrame:
     return checks.parity_difference(orders.where("o_orderstatus <> 'P'"), orders.where("o_orderstatus <> 'F'"))
 
 
+@query("X-06_parity_by_buckets", """
+SELECT o_orderkey, o_orderdate, o_orderpriority, CAST(sum(sign) AS BIGINT) AS n_extra FROM (
+  SELECT o_orderkey, o_orderdate, o_orderpriority, -1 AS sign FROM orders
+  UNION ALL SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 1000 = 3 THEN NULL ELSE o_orderpriority END, 1 FROM orders WHERE o_orderkey % 1000 <> 5) GROUP BY ALL HAVING sum(sign) <> 0""")
+def parity_by_buckets(f: Frames) -> DataFrame:
+    """Two frames that differ in few rows: only the buckets of these are shuffled whole."""
+    orders = f.read("orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    key = F.col("o_orderkey") % 1000
+    after = orders.where(key != 5).withColumn("o_orderpriority", F.when(key != 3, F.col("o_orderpriority")))
+    return checks.parity_by_buckets(orders, after)
+
+
 _COUNTS = {
     "unit_counts": "SELECT business_unit AS unit, count(*) AS n_rows FROM sec_customers GROUP BY 1",
     "counts": """
@@ -473,6 +510,36 @@ def visible_totals(f: Frames) -> DataFrame:
     return checks.visible_totals(f.customers, "business_unit", f.unit_groups, f.membership)
 
 
+_CLASSES = {
+    **_COUNTS,
+    "admins": "SELECT DISTINCT member_email AS principal FROM membership WHERE group_name = 'admins'",
+    "sights": "SELECT principal, string_agg(unit, '|' ORDER BY unit) AS units FROM counts WHERE principal NOT IN (SELECT principal FROM admins) GROUP BY 1",
+    "classes": """
+SELECT principal, min(principal) OVER (PARTITION BY units) AS class_id, false AS sees_all FROM sights
+UNION ALL SELECT principal, min(principal) OVER (), true FROM admins""",
+}
+
+
+def _classes(f: Frames) -> DataFrame:
+    units = f.customers.select(F.col("business_unit").alias("unit"))
+    return checks.principal_classes(units, f.unit_groups, f.membership)
+
+
+def _class_counts(f: Frames, classes: DataFrame) -> DataFrame:
+    return checks.class_counts(f.customers, "business_unit", f.unit_groups, f.membership, classes)
+
+
+@query("X-07_principal_classes", "SELECT * FROM classes", _CLASSES)
+def principal_classes(f: Frames) -> DataFrame:
+    return _classes(f)
+
+
+@query("X-07_class_counts", "SELECT principal AS class_id, unit, n_rows FROM counts WHERE principal IN (SELECT class_id FROM classes)", _CLASSES)
+def class_counts(f: Frames) -> DataFrame:
+    """One set of rows for all who see the same, administrators among them."""
+    return _class_counts(f, _classes(f))
+
+
 @query("X-07_visible_lines", """
 SELECT DISTINCT member_email AS principal, unit, n_rows
 FROM membership JOIN (SELECT l_returnflag AS unit, count(*) AS n_rows FROM lineitem GROUP BY 1) ON group_name = 'rf_' || unit OR group_name = 'admins'""")
@@ -508,6 +575,14 @@ def isolation(f: Frames) -> DataFrame:
     return checks.isolation_verdict(_counts(f), f.membership)
 
 
+@query("X-09_class_isolation", """
+SELECT class_id, count(DISTINCT principal) AS n_principals, count(DISTINCT unit) AS n_units, count(DISTINCT unit) FILTER (n_viewers > 1) AS n_shared_units, count(*) FILTER (n_viewers > 1) = 0 AS isolated
+FROM (SELECT class_id, principal, unit, count(*) OVER (PARTITION BY unit) AS n_viewers FROM counts JOIN classes USING (principal) WHERE NOT sees_all) GROUP BY 1""", _CLASSES)
+def class_isolation(f: Frames) -> DataFrame:
+    classes = _classes(f)
+    return checks.class_isolation(_class_counts(f, classes), classes)
+
+
 @query("X-09_overlap", """
 SELECT c_custkey FROM sec_customers
 WHERE business_unit IN (SELECT substr(group_name, 4) FROM membership WHERE member_email = (SELECT min(member_email) FROM membership WHERE group_name = 'bu_BUILDING'))

@@ -253,6 +253,36 @@ def dropped_policies(f: Frames) -> DataFrame:
     return rollback.droppable_policies(done, filters, masks, f.column_tags)
 
 
+# per run and object: when it was last changed, and whether no rollback of that run came after
+HISTORY = {
+    "told": """
+SELECT run_id, cn, sn, tn, object_type, coalesce(masked_column, '') AS slot, completed_at, status = 'ROLLED_BACK' AS undoing, event_id % 50 <> 0 AND event_id % 3 <> 1 AS changing FROM audit""",
+    "history": """
+SELECT run_id, cn, sn, tn, object_type, slot, max(completed_at) FILTER (changing) AS changed_at, coalesce(max(completed_at) FILTER (undoing) < max(completed_at) FILTER (changing), true) AS stands
+FROM told GROUP BY ALL HAVING bool_or(changing)""",
+}
+
+
+@query("A-15_superseded", f"""
+SELECT {KEY_OUT}, object_type, slot, count(*) AS n_later_runs, max_by(h.run_id, (h.changed_at, h.run_id)) AS latest_run
+FROM history h JOIN (SELECT cn, sn, tn, object_type, slot, changed_at AS own_at FROM history WHERE run_id = 'run-1') USING (cn, sn, tn, object_type, slot)
+WHERE h.run_id <> 'run-1' AND h.stands AND h.changed_at >= own_at GROUP BY cn, sn, tn, object_type, slot""", HISTORY)
+def superseded(f: Frames) -> DataFrame:
+    """Objects that undoing a run would take back beyond what later runs made of them."""
+    return rollback.superseded(f.audit_with_undo, "run-1")
+
+
+@query("A-15_undo_order", """
+SELECT run_id, row_number() OVER (ORDER BY run_id = 'run-1', changed_at DESC, run_id DESC)::INT AS position FROM (
+  WITH RECURSIVE builds(run_id) AS (
+    SELECT 'run-1' UNION SELECT e.later FROM builds b JOIN (
+      SELECT DISTINCT a.run_id, l.run_id AS later FROM history a JOIN history l USING (cn, sn, tn, object_type, slot) WHERE a.stands AND l.stands AND a.run_id <> l.run_id AND l.changed_at >= a.changed_at) e USING (run_id))
+  SELECT run_id, (SELECT max(changed_at) FROM history h WHERE h.stands AND h.run_id = builds.run_id) AS changed_at FROM builds)""", HISTORY)
+def undo_order(f: Frames) -> DataFrame:
+    """Which runs to undo, and in which order, to take one back whole."""
+    return rollback.undo_order(f.audit_with_undo, "run-1")
+
+
 _UNDO_RESULT = "CASE WHEN bad THEN 'FAILED' WHEN NOT full_data THEN 'SKIPPED' ELSE (SELECT s.step_status FROM undo_steps s WHERE s.attempt_id = u.attempt_id) END"
 
 
