@@ -11,12 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.names import KEY
+from tablewarden.functions.names import KEY, catalog_securable, schema_securable, table_securable
 from tablewarden.operators import audit as audit_ops
 from tablewarden.operators import rollback as undo
 from tablewarden.operators.catalog import parse_table_names, resolve_scope
 from tablewarden.operators.decide import outcomes, plan_objects, with_faults
 from tablewarden.operators.inventory import build_inventory
+from tablewarden.operators.membership import LITERAL_LIMIT
 from tablewarden.operators.policies import (
     drop_policies,
     existing_policies,
@@ -129,9 +130,19 @@ def tables_in_scope(state: GovernanceState, options: RunOptions) -> DataFrame:
 
 
 def policies_in_scope(state: GovernanceState, options: RunOptions) -> DataFrame:
-    """Policies of the scope's catalogs, on them or on their tables: prefixes that reach the scan."""
+    """Policies of the scope's catalogs, on them or on their tables: prefixes that reach the scan.
+
+    Named tables have the policies on them, their schemas and their catalogs: by
+    name at the scan, or beyond the literal limit by a semi join.
+    """
+    if options.scope_type == "SPECIFIC_TABLES":
+        above = F.array(table_securable(), schema_securable(), catalog_securable())
+        wanted = named_tables(state, options).select(F.explode(above).alias("on_securable")).distinct()
+        if len(options.tables) > LITERAL_LIMIT // 3:
+            return state.policies.join(wanted, "on_securable", "left_semi").select(*state.policies.columns)
+        return state.policies.where(F.col("on_securable").isin([r.on_securable for r in wanted.collect()]))
     names = options.schemas if options.scope_type == "SELECTED_SCHEMAS" else options.catalogs
-    if options.scope_type in ("ALL_CATALOGS", "SPECIFIC_TABLES") or not names:
+    if options.scope_type == "ALL_CATALOGS" or not names:
         return state.policies
     on = F.col("on_securable")
     return state.policies.where(

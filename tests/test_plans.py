@@ -99,3 +99,21 @@ def test_scope_reaches_the_scans_of_tags_and_policies(spark, tmp_path):
         scans = [x for x in plan(df).splitlines() if "on_securable" in x and "FileScan" in x]
         assert scans and all("StringStartsWith(on_securable" in x for x in scans)
     assert "EqualTo(catalog,c1)" in plan(resolved_tags(planned, s, o))
+
+
+def test_named_tables_reach_the_scan_of_policies(spark, tmp_path):
+    from dataclasses import replace
+
+    from helpers import options, state
+
+    from tablewarden.plans.run import policies_in_scope
+
+    on = ["TABLE `c`.`s`.`t`", "TABLE `c`.`s`.`u`", "SCHEMA `c`.`s`", "SCHEMA `c`.`z`", "CATALOG `c`", "CATALOG `d`"]
+    s = state(spark, policies=[(o, "p", "ROW_FILTER", "f", [], [], None, [], [], "") for o in on])
+    s.policies.write.parquet(f"{tmp_path}/policies")
+    s = replace(s, policies=spark.read.parquet(f"{tmp_path}/policies"))
+    few = policies_in_scope(s, options(tmp_path, scope_type="SPECIFIC_TABLES", tables=("c.s.t",)))
+    many = policies_in_scope(s, options(tmp_path, scope_type="SPECIFIC_TABLES", tables=("c.s.t", *(f"c.s.n{i}" for i in range(400)))))
+    want = ["CATALOG `c`", "SCHEMA `c`.`s`", "TABLE `c`.`s`.`t`"]
+    assert sorted(r.on_securable for r in few.collect()) == sorted(r.on_securable for r in many.collect()) == want
+    assert "In(on_securable" in plan(few) and few.columns == many.columns == s.policies.columns
