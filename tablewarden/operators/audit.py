@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.names import COLUMN_MASK, KEY, ROW_FILTER
 from tablewarden.operators.results import phase_of, validation_of
+from tablewarden.sources.deltas import ChangeLog, KeyedTable
+from tablewarden.sources.schemas import AUDIT, conform
 
 OBJECT_KEY = [*KEY, "object_type", "masked_column"]
 
@@ -32,6 +34,20 @@ def latest_per_table(audit: DataFrame) -> DataFrame:
     return _latest(audit, KEY)
 
 
+def kept_latest(log: ChangeLog, name: str = "latest_per_object", key: tuple[str, ...] = tuple(OBJECT_KEY), buckets: int = 64) -> KeyedTable:
+    """The newest audit row of every object (or table: ``KEY``) as a table that ``keep_latest`` keeps up."""
+    return KeyedTable(log, name, AUDIT, key, ("completed_at", "attempt_id"), buckets)
+
+
+def keep_latest(latest: KeyedTable, rows: DataFrame) -> int:
+    """Take up *rows* that were appended to the audit log; only the buckets of their keys are read and rewritten.
+
+    The same row wins as over the whole log, in whatever order rows come in, and
+    rows taken up twice change nothing.  Returns the version.
+    """
+    return latest.merge(_latest(conform(rows, AUDIT), list(latest.key)))
+
+
 def audit_rows(
     steps: DataFrame, results: DataFrame, run_id: str, attempt: str, started_at: Column, completed_at: Column, dry_run: bool
 ) -> DataFrame:

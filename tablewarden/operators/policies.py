@@ -180,13 +180,12 @@ _BODY = ["policy_type", "function_fqn", "match_columns", "using_columns", "targe
          "to_principals", "except_principals", "comment"]
 
 
-def upsert_policies(policies: DataFrame, created: DataFrame) -> DataFrame:
-    """Policies after create-or-replace.
+def new_policies(created: DataFrame) -> DataFrame:
+    """Policies that *created* (one row per migrated object) asks for, one row each.
 
-    *created* holds one row per migrated object.  Tables that share a catalog
-    policy ask for it many times: the one of the lowest table and column stays,
-    found by a map-side reduction, so that a function used everywhere is no
-    hot spot.
+    Tables that share a catalog policy ask for it many times: the one of the
+    lowest table and column stays, found by a map-side reduction, so that a
+    function used everywhere is no hot spot.
     """
     wanted = created.select(
         "on_securable",
@@ -203,11 +202,16 @@ def upsert_policies(policies: DataFrame, created: DataFrame) -> DataFrame:
             "comment",
         ).alias("__body"),
     )
-    new = (
+    return (
         wanted.groupBy("on_securable", "policy_name")
         .agg(F.min_by("__body", "__from").alias("__body"))
         .select("on_securable", "policy_name", "__body.*")
     )
+
+
+def upsert_policies(policies: DataFrame, created: DataFrame) -> DataFrame:
+    """Policies after create-or-replace of those that *created* asks for."""
+    new = new_policies(created)
     listed = [c for c in ("conditions", "problem") if c in policies.columns]
     kept = policies.select("on_securable", "policy_name", *_BODY, *listed).join(new, ["on_securable", "policy_name"], "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
@@ -217,11 +221,20 @@ def drop_policies(policies: DataFrame, dropped: DataFrame) -> DataFrame:
     return policies.join(dropped, ["on_securable", "policy_name"], "left_anti")
 
 
+def removed_row_filters(steps: DataFrame) -> DataFrame:
+    """Keys of the tables whose old filter the steps removed."""
+    return steps.where(F.col("legacy_removed") & (F.col("object_type") == ROW_FILTER)).select(*KEY)
+
+
+def removed_masks(steps: DataFrame) -> DataFrame:
+    """Keys of the columns whose old mask the steps removed."""
+    done = steps.where(F.col("legacy_removed") & (F.col("object_type") == COLUMN_MASK))
+    return done.select(*KEY, F.col("masked_column").alias("column"))
+
+
 def remove_row_filters(row_filters: DataFrame, steps: DataFrame) -> DataFrame:
-    done = steps.where(F.col("legacy_removed") & (F.col("object_type") == ROW_FILTER))
-    return row_filters.join(done.select(*KEY), KEY, "left_anti")
+    return row_filters.join(removed_row_filters(steps), KEY, "left_anti")
 
 
 def remove_masks(masks: DataFrame, steps: DataFrame) -> DataFrame:
-    done = steps.where(F.col("legacy_removed") & (F.col("object_type") == COLUMN_MASK))
-    return masks.join(done.select(*KEY, F.col("masked_column").alias("column")), [*KEY, "column"], "left_anti")
+    return masks.join(removed_masks(steps), [*KEY, "column"], "left_anti")

@@ -247,14 +247,22 @@ def _restored(steps: DataFrame, object_type: str, key: list[str]) -> DataFrame:
     return done.groupBy(*key).agg(F.min_by(F.struct("function_fqn", "using_columns"), "attempt_id").alias("r")).select(*key, "r.*")
 
 
+def restored_row_filters(steps: DataFrame) -> DataFrame:
+    return _restored(steps, ROW_FILTER, KEY)
+
+
+def restored_masks(steps: DataFrame) -> DataFrame:
+    return _restored(steps, COLUMN_MASK, [*KEY, "slot"]).select(*KEY, F.col("slot").alias("column"), "function_fqn")
+
+
 def restore_row_filters(row_filters: DataFrame, steps: DataFrame) -> DataFrame:
-    back = _restored(steps, ROW_FILTER, KEY)
+    back = restored_row_filters(steps)
     kept = row_filters.select(*KEY, "function_fqn", "using_columns").join(back, KEY, "left_anti")
     return kept.unionByName(back)
 
 
 def restore_masks(masks: DataFrame, steps: DataFrame) -> DataFrame:
-    back = _restored(steps, COLUMN_MASK, [*KEY, "slot"]).select(*KEY, F.col("slot").alias("column"), "function_fqn")
+    back = restored_masks(steps)
     kept = masks.select(*KEY, "column", "function_fqn").join(back, [*KEY, "column"], "left_anti")
     return kept.unionByName(back)
 

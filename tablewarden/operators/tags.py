@@ -193,11 +193,15 @@ def create_tags(governed_tags: DataFrame, new_tags: DataFrame) -> DataFrame:
     return governed_tags.unionByName(new_tags.join(governed_tags, "tag_key", "left_anti"))
 
 
+def assigned_tags(resolved: DataFrame) -> DataFrame:
+    """Minted tags of columns, as rows of the column tags."""
+    return resolved.where(F.col("resolution") == "MINTED").select(*KEY, "column", "tag_key", "tag_value").distinct()
+
+
 def assign_tags(column_tags: DataFrame, resolved: DataFrame) -> DataFrame:
     """Column tags after the minted ones are set; a key already on the column is replaced."""
-    fields = [*KEY, "column", "tag_key", "tag_value"]
-    new = resolved.where(F.col("resolution") == "MINTED").select(*fields).distinct()
-    old = column_tags.select(*fields).join(new, [*KEY, "column", "tag_key"], "left_anti")
+    new = assigned_tags(resolved)
+    old = column_tags.select(*new.columns).join(new, [*KEY, "column", "tag_key"], "left_anti")
     return old.unionByName(new)
 
 
@@ -259,8 +263,11 @@ def grant_outcomes(
 
 def apply_grants(rules: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Rules after the grants: a new rule is appended, none is replaced."""
-    new = outcomes.where(F.col("status") == "GRANTED").select("tag_key", "role", "principals")
-    return rules.select("tag_key", "role", "principals").unionByName(new)
+    return rules.select("tag_key", "role", "principals").unionByName(new_rules(outcomes))
+
+
+def new_rules(outcomes: DataFrame) -> DataFrame:
+    return outcomes.where(F.col("status") == "GRANTED").select("tag_key", "role", "principals")
 
 
 def grow_allowed_values(governed_tags: DataFrame, additions: DataFrame) -> DataFrame:

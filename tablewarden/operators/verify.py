@@ -120,11 +120,16 @@ def keep_uncovered(steps: DataFrame, policies: DataFrame, column_tags: DataFrame
 
 def record_coverage(recorded: DataFrame | None, steps: DataFrame, run_id: str, since: Column) -> DataFrame:
     """The coverage frame (``schemas.COVERAGE``) after *steps*: one row per object whose new policy was found acting."""
-    done = steps.where((F.col("policy_created") | F.col("legacy_removed")) & F.col("status").isin("SUCCESS", "ABAC_APPLIED"))
-    new = done.select(*KEY, "object_type", "slot", "on_securable", "policy_name", F.lit(run_id).alias("run_id"), since.cast("timestamp").alias("since"))
+    new = new_coverage(steps, run_id, since)
     return new if recorded is None else recorded.join(new.select(*_OBJECT), _OBJECT, "left_anti").unionByName(new)
 
 
+def new_coverage(steps: DataFrame, run_id: str, since: Column) -> DataFrame:
+    """Coverage rows of the objects whose new policy *steps* found acting."""
+    done = steps.where((F.col("policy_created") | F.col("legacy_removed")) & F.col("status").isin("SUCCESS", "ABAC_APPLIED"))
+    return done.select(*KEY, "object_type", "slot", "on_securable", "policy_name", F.lit(run_id).alias("run_id"), since.cast("timestamp").alias("since"))
+
+
 def acting_only(verified: DataFrame, covered: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
     """*verified* objects with FAILED for every one whose policy, there by name, does not act on it.
 

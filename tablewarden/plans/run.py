@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, fields, replace
+from dataclasses import MISSING, dataclass, fields, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +21,12 @@ from tablewarden.operators.membership import LITERAL_LIMIT
 from tablewarden.operators.policies import (
     drop_policies,
     existing_policies,
+    new_policies,
     plan_policies,
     remove_masks,
     remove_row_filters,
+    removed_masks,
+    removed_row_filters,
     upsert_policies,
     with_match_columns,
 )
@@ -32,10 +35,12 @@ from tablewarden.operators.tags import (
     GrantOptions,
     apply_grants,
     assign_tags,
+    assigned_tags,
     create_tags,
     grant_outcomes,
     grants,
     minted_tags,
+    new_rules,
     resolve_tags,
     tag_requests,
     usable,
@@ -45,12 +50,14 @@ from tablewarden.operators.verify import (
     covered_objects,
     detect_drift,
     keep_uncovered,
+    new_coverage,
     record_coverage,
     verify_masks,
     verify_row_filters,
     verify_tables,
 )
 from tablewarden.plans.options import RunOptions
+from tablewarden.plans.stored import FRAMES, Changes, StateStore
 from tablewarden.sources.schemas import AUDIT, conform
 from tablewarden.sources.store import (
     append_audit,
@@ -66,7 +73,11 @@ NOT_LISTED = "The table is not in the listing."
 
 @dataclass(frozen=True)
 class GovernanceState:
-    """All metadata a run reads (schemas in ``sources.schemas``); runs return a new one."""
+    """All metadata a run reads (schemas in ``sources.schemas``); runs return a new one.
+
+    With a *store* (``stored_state``) a run commits its changes there instead of
+    writing the frames anew.
+    """
 
     tables: DataFrame
     row_filters: DataFrame
@@ -77,6 +88,32 @@ class GovernanceState:
     functions: DataFrame
     grant_rules: DataFrame | None = None
     coverage: DataFrame | None = None
+    store: StateStore | None = None
+    version: int | None = None
+
+
+def load_state(store: StateStore, version: int | None = None) -> GovernanceState:
+    """State as of a version of *store*, by default the newest.
+
+    Runs on it commit there, and fail if another commit came in between.
+    """
+    version = store.version if version is None else version
+    known = store.known(version)
+    names = [f.name for f in fields(GovernanceState) if f.name in FRAMES and (f.name in known or f.default is MISSING)]
+    return GovernanceState(**{n: store.read(n, version) for n in names}, store=store, version=version)
+
+
+def _commit(state: GovernanceState, changes: dict[str, Changes]) -> GovernanceState:
+    """The state after *changes*, which build on the version that *state* shows."""
+    state.store.append(changes, state.version)
+    return load_state(state.store)
+
+
+def stored_state(state: GovernanceState, store: StateStore) -> GovernanceState:
+    """*state* written whole to *store*, for runs that then write changes only."""
+    frames = {f.name: getattr(state, f.name) for f in fields(state) if f.name in FRAMES}
+    store.save({n: df for n, df in frames.items() if df is not None})
+    return load_state(store)
 
 
 @dataclass(frozen=True)
@@ -234,6 +271,24 @@ def next_state(
     return replace(state, **changes)
 
 
+def run_changes(
+    state: GovernanceState, steps: DataFrame, resolved: DataFrame | None, granted: DataFrame | None, run_id: str
+) -> dict[str, Changes]:
+    """What ``next_state`` and the coverage record change, by frame: rows of this run alone."""
+    changes = {
+        "row_filters": Changes(deletes=removed_row_filters(steps)),
+        "masks": Changes(deletes=removed_masks(steps)),
+        "coverage": Changes(new_coverage(steps, run_id, _now())),
+    }
+    if resolved is not None:
+        changes["policies"] = Changes(new_policies(steps.where("policy_created")))
+        changes["column_tags"] = Changes(assigned_tags(resolved))
+        changes["governed_tags"] = Changes(minted_tags(resolved, state.governed_tags))
+    if granted is not None and state.grant_rules is not None:
+        changes["grant_rules"] = Changes(new_rules(granted))
+    return changes
+
+
 def verify(tables: DataFrame, state: GovernanceState, options: RunOptions) -> DataFrame:
     """Status per table: a policy counts where it acts on the object, and what an earlier run saw covered must still be."""
     existing = existing_of(state, options)
@@ -281,7 +336,9 @@ def _migrate(
     rows = audit_ops.audit_rows(recorded, results, options.run_id, uuid.uuid4().hex, started, _now(), options.dry_run)
     append_audit(rows, options.audit_path, options.dry_run)
     new_state = state
-    if not options.dry_run:
+    if not options.dry_run and state.store is not None:
+        new_state = _commit(state, run_changes(state, recorded, resolved, granted, options.run_id))
+    elif not options.dry_run:
         covered = record_coverage(state.coverage, recorded, options.run_id, _now())
         new_state = written(replace(next_state(state, recorded, resolved, granted), coverage=covered), state)
     return RunResult(options, new_state, inventory, steps, results, run_summary(results), granted, rows)
@@ -338,11 +395,21 @@ def _rollback(state: GovernanceState, options: RunOptions, audit: DataFrame, und
         dropped = undo.droppable_policies(
             steps, filters, masks, state.column_tags, options.policy_scope, options.tag_team_prefix
         )
-        restored = replace(state, row_filters=filters, masks=masks, policies=drop_policies(state.policies, dropped))
-        if state.coverage is not None:
-            # a dropped policy protects nothing any more, the restored rules do
-            restored = replace(restored, coverage=state.coverage.join(dropped, ["on_securable", "policy_name"], "left_anti"))
-        new_state = written(restored, state)
+        # a dropped policy protects nothing any more, the restored rules do
+        if state.store is not None:
+            changes = {
+                "row_filters": Changes(undo.restored_row_filters(steps)),
+                "masks": Changes(undo.restored_masks(steps)),
+                "policies": Changes(deletes=dropped),
+            }
+            if state.coverage is not None:
+                changes["coverage"] = Changes(deletes=state.coverage.join(dropped, ["on_securable", "policy_name"], "left_semi"))
+            new_state = _commit(state, changes)
+        else:
+            restored = replace(state, row_filters=filters, masks=masks, policies=drop_policies(state.policies, dropped))
+            if state.coverage is not None:
+                restored = replace(restored, coverage=state.coverage.join(dropped, ["on_securable", "policy_name"], "left_anti"))
+            new_state = written(restored, state)
     return RunResult(options, new_state, steps=steps, results=results, audit=rows)
 
 

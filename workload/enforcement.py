@@ -20,12 +20,16 @@ from tablewarden.operators.rowfilters import (
     group_rule,
     policies_binding,
     predicate_rule,
+    public_or_group_rule,
 )
 from tablewarden.plans.options import RunOptions
 from tablewarden.plans.run import GovernanceState, run
+from tablewarden.plans.stored import Changes, StateStore
 from tablewarden.sources import schemas
+from tablewarden.sources.deltas import ChangeLog, KeyedTable, add_signed, totals_ddl
 from tablewarden.sources.store import refresh_snapshot, shared_folder
 from tablewarden.streaming.secured import read_files, secure_stream, write_available
+from tablewarden.streaming.versioned import write_by_version
 from workload.ctes import KEY_OUT
 from workload.frames import Frames
 from workload.registry import query
@@ -648,6 +652,46 @@ def secured_stream(f: Frames) -> DataFrame:
     return f.spark.read.schema(schema).parquet(f"{target}/rows").select("event_id", "user_id", "event_type", "value", "props")
 
 
+@query("X-11_rules_follow_the_stream", """
+SELECT event_id, event_type, CAST(CASE WHEN half = 1 THEN 1 ELSE 2 END AS BIGINT) AS rules_version
+FROM (SELECT *, ntile(2) OVER (ORDER BY event_id) AS half FROM events) WHERE half = 1 OR event_type = 'click'""")
+def rules_follow_the_stream(f: Frames) -> DataFrame:
+    """Events arrive in two halves; between them the principal leaves the group that sees more than clicks."""
+    spark, folder = f.spark, shared_folder(f.spark)
+    table, group = ("cat-0", "s_0", "events"), "bu_BUILDING"
+    rules = spark.createDataFrame([(*table, "gov.rf", ["event_type"], "")], schemas.schema(schemas.ROW_FILTERS))
+    store = StateStore(spark, f"{folder}/state", buckets=4)
+    store.save({"membership": f.membership, "row_filters": rules})
+    events, schema = f.read("events"), f.read("events").schema
+    last = events.orderBy("event_id").select("event_id").limit((events.count() + 1) // 2).agg(F.max("event_id")).scalar()
+    for half in (F.col("event_id") <= last, F.col("event_id") > last):
+        events.where(half).write.mode("append").parquet(f"{folder}/events")
+        stream = read_files(spark, f"{folder}/events", schema)
+        functions = {"gov.rf": public_or_group_rule(["click"], group)}
+        write_by_version(stream, table, store, functions, MEMBER, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+        if store.version == 1:
+            left = f.membership.where((F.col("member_email") == MEMBER) & F.col("group_name").isin(group, "admins"))
+            store.append({"membership": Changes(deletes=left)})
+    return spark.read.parquet(f"{folder}/rows").select("event_id", "event_type", "rules_version")
+
+
+@query("X-12_incremental_totals", """
+SELECT o_custkey AS c_custkey, count(*) AS n_rows, sum(CAST(o_totalprice AS DECIMAL(15, 2))) AS total
+FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1""")
+def incremental_totals(f: Frames) -> DataFrame:
+    """Totals per customer of open and partial orders; then filled ones come in and partial ones go."""
+    price = F.col("o_totalprice").cast("decimal(15,2)").alias("total")
+    orders = f.read("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", price)
+    ddl = totals_ddl("c_custkey long", {"total": "decimal(38,2)"})
+    totals = KeyedTable(ChangeLog(f.spark, shared_folder(f.spark)), "order_totals", ddl, ("c_custkey",), buckets=8)
+    status = F.col("o_orderstatus")
+    add_signed(totals, orders.where(status.isin("O", "P")).withColumn("sign", F.lit(1)), ["total"])
+    change = orders.where(status.isin("F", "P")).withColumn("sign", F.when(status == "F", 1).otherwise(-1))
+    add_signed(totals, change, ["total"])
+    totals.log.vacuum()
+    return totals.read().select("c_custkey", "n_rows", "total")
+
+
 @query("X-12_secured_snapshot", """
 SELECT c_custkey, n_orders, total, 'REDACTED' AS business_unit FROM (
   SELECT c_custkey, any_value(business_unit) AS bu, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total

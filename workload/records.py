@@ -12,9 +12,11 @@ from tablewarden.functions.names import KEY
 from tablewarden.operators import audit, results, rollback, verify
 from tablewarden.operators.matching import policies_in_force, resolve_match_columns
 from tablewarden.plans.options import RunOptions
-from tablewarden.plans.run import GovernanceState, existing_of, run
+from tablewarden.plans.run import GovernanceState, existing_of, run, stored_state
 from tablewarden.plans.run import verify as verify_run
+from tablewarden.plans.stored import StateStore
 from tablewarden.sources import generate, schemas, store
+from tablewarden.sources.deltas import ChangeLog
 from workload.ctes import KEY_OUT
 from workload.frames import Frames
 from workload.lifecycle import CATALOG, PLANNED, SHARED, STEPS, TABLE, steps
@@ -120,6 +122,25 @@ def latest_per_table(f: Frames) -> DataFrame:
     return audit.latest_per_table(f.audit).select(*KEY, "attempt_id", "status", "object_type")
 
 
+def _kept_up(f: Frames, key: list[str]) -> DataFrame:
+    """The log taken up a run at a time, the newest run first, and all of it once more."""
+    latest = audit.kept_latest(ChangeLog(f.spark, store.shared_folder(f.spark)), key=tuple(key), buckets=8)
+    for i in range(6, -1, -1):
+        audit.keep_latest(latest, store.rows_for_run(f.audit, f"run-{i}"))
+    audit.keep_latest(latest, f.audit)
+    return latest.read()
+
+
+@query("A-07_latest_kept_up", f"SELECT {KEY_OUT}, object_type, masked_column, attempt_id, status FROM ({_LATEST}) WHERE n = 1")
+def latest_kept_up(f: Frames) -> DataFrame:
+    return _kept_up(f, audit.OBJECT_KEY).select(*KEY, "object_type", "masked_column", "attempt_id", "status")
+
+
+@query("A-08_latest_table_kept_up", f"SELECT {KEY_OUT}, attempt_id, status, object_type FROM (SELECT *, row_number() OVER (PARTITION BY tn ORDER BY completed_at DESC, attempt_id DESC) AS n FROM audit) WHERE n = 1")
+def latest_table_kept_up(f: Frames) -> DataFrame:
+    return _kept_up(f, KEY).select(*KEY, "attempt_id", "status", "object_type")
+
+
 @query("A-09_rows_of_run", f"SELECT {KEY_OUT}, attempt_id, status FROM audit WHERE run_id = 'run-3'")
 def rows_of_run(f: Frames) -> DataFrame:
     return store.rows_for_run(f.audit, "run-3").select(*KEY, "attempt_id", "status")
@@ -419,6 +440,23 @@ def run_migrate(f: Frames) -> DataFrame:
     return done.results.groupBy("status").agg(F.count("*").alias("n_tables"))
 
 
+@query("P-14_stored_run", f"""
+SELECT 'policy' AS what, on_securable, policy_name AS name, object_type AS kind, fn AS function_fqn FROM clean_steps WHERE status = 'SUCCESS' AND go
+UNION ALL SELECT 'policy', on_securable, policy_name, object_type, pfn FROM table_policies p WHERE NOT EXISTS (SELECT 1 FROM clean_steps s WHERE s.go AND s.status = 'SUCCESS' AND s.on_securable = p.on_securable AND s.policy_name = p.policy_name)
+UNION ALL SELECT 'old rule', cn || '.' || sn || '.' || tn, slot, object_type, fn FROM live_objects l WHERE NOT EXISTS (SELECT 1 FROM clean_steps s WHERE s.go AND s.status = 'SUCCESS' AND s.tn = l.tn AND s.slot = l.slot)""", _CLEAN)
+def stored_run(f: Frames) -> DataFrame:
+    """Policies and old rules after a run that commits its changes to a store, folded in and cleared of older versions."""
+    folder = store.shared_folder(f.spark)
+    kept = StateStore(f.spark, f"{folder}/state", buckets=8)
+    run(stored_state(f.state(), kept), _options(f, "MIGRATE", "m1", folder))
+    kept.compact()
+    kept.vacuum()
+    fqn = F.concat_ws(".", *KEY).alias("on_securable")
+    filters = kept.read("row_filters").select(F.lit("old rule").alias("what"), fqn, F.lit("").alias("name"), F.lit("ROW_FILTER").alias("kind"), "function_fqn")
+    masks = kept.read("masks").select(F.lit("old rule"), fqn, "column", F.lit("COLUMN_MASK"), "function_fqn")
+    return kept.read("policies").select(F.lit("policy"), "on_securable", "policy_name", "policy_type", "function_fqn").unionAll(filters).unionAll(masks).toDF(*filters.columns)
+
+
 _CATALOG_RUN = {
     **ELIGIBLE,
     **SHARED,
