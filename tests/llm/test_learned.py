@@ -180,6 +180,69 @@ def test_toxicity_of_odd_rows(spark, odd, none):
 # -- weak labels -------------------------------------------------------------------------------------------------
 
 
+def plain_metrics(text):
+    """The nine metrics of one text, a word at a time; letters are A-Z, a-z and everything beyond ASCII."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    if not w:
+        return [0.0] * 9
+    n, chars = len(w), sum(map(len, w))
+    symbols = [sum(c in "#*$%&|<>{}[]\\^~=_@" for c in x) for x in w]
+    alpha = [sum(c.isascii() and c.isalpha() or not c.isascii() for c in x) for x in w]
+    windows = [tuple(w[i : i + 5]) for i in range(n - 4)]
+    return [
+        n, sum(symbols) / chars, sum(a == 0 for a in alpha) / n, len(set(w)) / (2 * n) ** 0.5,
+        1 - len(set(windows)) / len(windows) if windows else 0.0, sum(0 < a <= 3 for a in alpha) / n, chars / n,
+        sum(any(c in ".!?" for c in x) for x in w) / n, sum(k > 0 for k in symbols) / n,
+    ]
+
+
+def test_metrics_and_patterns_equal_a_plain_count(docs, corpus, odd_rows):
+    texts = [r[1] for r in [*corpus, *odd_rows]]
+    for c in chunks([None if t is None else t.encode() for t in texts]):
+        got = weak_labels.measure(c)
+        for row, m in zip(c.rows, got, strict=True):
+            assert m == pytest.approx(plain_metrics(texts[row]), abs=1e-12), texts[row]
+    # what the query says of a document is what a plain reading of the labellers' table says
+    seen = by_id(weak_labels.op1(docs))
+    for doc_id, text, *_ in corpus:
+        votes = 0
+        for value, x in zip(plain_metrics(text), weak_labels.LABELLERS, strict=True):
+            bad, good = (any(low <= value < high for low, high in ranges) for ranges in (x.bad, x.good))
+            votes = votes * 3 + (0 if bad else 2 if good else 1)
+        assert seen[doc_id]["pattern"] == votes
+
+
+def test_scorer_equals_plain_descent():
+    """Training against a loop over single weights in dictionaries."""
+    rng = np.random.default_rng(3)
+    o = weak_labels.WeakOptions(buckets=64, epochs=3)
+    rows = [np.unique(rng.integers(0, 64, rng.integers(0, 9))) for _ in range(40)]
+    metrics, target = rng.random((40, 9)) * 30, rng.random(40)
+    got = weak_labels.train(rows, metrics, target, o)
+
+    weight, seen, shape_weight, shape_seen, bias, bias_seen = {}, {}, [0.0] * 18, [1e-4] * 18, 0.0, 1e-4
+    order = np.random.default_rng(23)
+    for _ in range(o.epochs):
+        for i in order.permutation(40):
+            m = [np.log1p(metrics[i][0]) / 5, *(min(x, 20) for x in metrics[i][1:])]
+            m[3], m[6] = m[3] / 5, m[6] / 5
+            m += [x * x for x in m]
+            scale = 1 / max(1, len(rows[i])) ** 0.5
+            z = bias + sum(a * b for a, b in zip(m, shape_weight, strict=True)) + sum(scale * weight.get(f, 0.0) for f in rows[i].tolist())
+            e = 1 / (1 + np.exp(-min(max(z, -30), 30))) - target[i]
+            for f in rows[i].tolist():
+                seen[f] = seen.get(f, 1e-4) + (e * scale) ** 2
+                w = weight.get(f, 0.0)
+                weight[f] = w - o.rate * (0.1 * e * scale / seen[f] ** 0.5 + o.l2 * w)
+            for j, x in enumerate(m):
+                shape_seen[j] += (e * x) ** 2
+                shape_weight[j] -= o.rate * e * x / shape_seen[j] ** 0.5
+            bias_seen += e * e
+            bias -= o.rate * e / bias_seen**0.5
+    assert got.weight == pytest.approx([weight.get(f, 0.0) for f in range(64)])
+    assert got.shape_weight == pytest.approx(shape_weight) and got.bias == pytest.approx(bias)
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng = np.random.default_rng(8)
     truth = rng.random(20_000) < 0.8
