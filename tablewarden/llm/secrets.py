@@ -27,7 +27,6 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a run is one match, so the least length may stand in the pattern
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX, LEAST_RANDOM = 6, 20, 24, 20
-RANDOM = r"[A-Za-z0-9+/_=-]{20,}"
 # A run between "=", with the padding that ends it; and what one alphabet holds of a run that mixes them.
 PIECE = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
 ONE_ALPHABET = (r"[A-Za-z0-9+/]{20,}(?:=+$)?", r"[A-Za-z0-9_-]{20,}(?:=+$)?")
@@ -238,13 +237,13 @@ def op10(docs: DataFrame) -> DataFrame:
     )
 
 
-def _span_sql(pattern: str, kind: int, group: int, least: int) -> str:
+def _span_sql(pattern: str, kind: int, group: int, least: int, source: str = "d") -> str:
     quoted = pattern.replace("'", "''")
     return f"""
 SELECT k, {kind} AS kind, gap_to + hit_to AS s, gap_to + hit_to + len(hits[i]) AS e FROM (
   SELECT k, i, hits, vals, list_sum([len(g) FOR g IN gaps[1:i]]) AS gap_to, coalesce(list_sum([len(h) FOR h IN hits[1:i-1]]), 0) AS hit_to
   FROM (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM (
-    SELECT k, string_split_regex(text, '{quoted}') AS gaps, regexp_extract_all(text, '{quoted}', 0) AS hits, regexp_extract_all(text, '{quoted}', {group}) AS vals FROM d)
+    SELECT k, string_split_regex(text, '{quoted}') AS gaps, regexp_extract_all(text, '{quoted}', 0) AS hits, regexp_extract_all(text, '{quoted}', {group}) AS vals FROM {source})
     WHERE len(hits) > 0)) WHERE len(vals[i]) >= {least}"""
 
 
@@ -261,28 +260,36 @@ def _sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({_span_sql(ASSIGN, 0, 2, LEAST_VALUE)} UNION ALL {_span_sql(ACCESS, 1, 0, LEAST_ACCESS)} UNION ALL {_span_sql(HEX, 2, 0, LEAST_HEX)}),
-runs AS ({_span_sql(RANDOM, 3, 0, LEAST_RANDOM)}),
-tokens AS (SELECT r.k, r.s, r.e, substr(text, (r.s + 1)::BIGINT, (r.e - r.s)::BIGINT) AS tok FROM runs r JOIN d ON d.k = r.k
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.k = r.k AND b.s < r.e AND b.e > r.s)),
-coded AS (SELECT k, s, e, CASE {size} END AS a, CASE {alphabet} END AS alphabet, regexp_replace(tok, '=+$', '') AS body FROM tokens
-  WHERE regexp_matches(tok, '[A-Za-z]') AND regexp_matches(tok, '[0-9]')),
-chars AS (SELECT k, s, e, a, i, strpos(alphabet, substr(body, i, 1)) - 1 AS v FROM (SELECT *, unnest(generate_series(1, len(body))) AS i FROM coded WHERE a IS NOT NULL)),
-sums AS (SELECT k, s, any_value(e) AS e, any_value(a)::DOUBLE AS a, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS total, sum((v * 2 >= a)::INT)::DOUBLE AS high FROM chars GROUP BY k, s),
-squares AS (SELECT k, s, sum(c * c)::DOUBLE AS sq FROM (SELECT k, s, v, count(*) AS c FROM chars GROUP BY k, s, v) GROUP BY k, s),
-spreads AS (SELECT k, s, sum((v - total / n) * (v - total / n)) AS spread FROM chars JOIN sums USING (k, s) GROUP BY k, s),
-pairs AS (SELECT x.k, x.s, sum(((x.v * 2 >= x.a) <> (y.v * 2 >= y.a))::INT)::DOUBLE AS changes, sum((x.v - total / n) * (y.v - total / n)) AS lagged
-  FROM chars x JOIN chars y ON x.k = y.k AND x.s = y.s AND y.i = x.i + 1 JOIN sums u ON u.k = x.k AND u.s = x.s GROUP BY x.k, x.s),
-z AS (SELECT k, s, e, n, (a / n * sq - n - (a - 1)) / sqrt(2 * (a - 1) * (n - 1) / n) AS z_chi, 2 * high * (n - high) / n + 1 AS expected, changes, lagged, spread
-  FROM sums JOIN squares USING (k, s) JOIN spreads USING (k, s) JOIN pairs USING (k, s) WHERE n >= {LEAST_RANDOM}),
+bare AS ({_span_sql("[A-Za-z0-9+/_-]{20,}", 3, 0, LEAST_RANDOM)}),
+padded AS (SELECT r.k, s, e, text, len(regexp_extract(substr(text, (e + 1)::BIGINT), '^=+')) AS pad FROM bare r JOIN d ON d.k = r.k),
+runs AS MATERIALIZED (SELECT row_number() OVER () AS run, k, s, e, substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) AS tok FROM (
+  SELECT k, s, text, CASE WHEN regexp_matches(substr(text, (e + pad + 1)::BIGINT, 1), '[A-Za-z0-9+/_-]') THEN e ELSE e + pad END AS e FROM padded)),
+mixed AS (SELECT run AS k, tok AS text FROM runs WHERE regexp_matches(tok, '[+/]') AND regexp_matches(tok, '[_-]')),
+parts AS ({" UNION ALL ".join(_span_sql(p, 3, 0, LEAST_RANDOM, "mixed") for p in ONE_ALPHABET)}),
+pieces AS (SELECT k, s, e, tok FROM runs WHERE run NOT IN (SELECT k FROM mixed)
+  UNION ALL SELECT r.k, r.s + p.s, r.s + p.e, substr(tok, (p.s + 1)::BIGINT, (p.e - p.s)::BIGINT) FROM parts p JOIN runs r ON r.run = p.k),
+tokens AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM pieces r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.k = r.k AND b.s < r.e AND b.e > r.s)),
+coded AS (SELECT id, CASE {size} END AS a, CASE {alphabet} END AS alphabet, regexp_replace(tok, '=+$', '') AS body FROM tokens WHERE regexp_matches(tok, '[A-Za-z0-9]')),
+chars AS (SELECT id, a, i, strpos(alphabet, substr(body, i, 1)) - 1 AS v FROM (SELECT *, unnest(generate_series(1, len(body))) AS i FROM coded WHERE a IS NOT NULL)),
+sums AS (SELECT id, any_value(a)::DOUBLE AS a, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS total, sum((v * 2 >= a)::INT)::DOUBLE AS high FROM chars GROUP BY id),
+squares AS (SELECT id, sum(c * c)::DOUBLE AS sq FROM (SELECT id, v, count(*) AS c FROM chars GROUP BY id, v) GROUP BY id),
+spreads AS (SELECT id, sum((v - total / n) * (v - total / n)) AS spread FROM chars JOIN sums USING (id) GROUP BY id),
+pairs AS (SELECT x.id, sum(((x.v * 2 >= x.a) <> (y.v * 2 >= y.a))::INT)::DOUBLE AS changes, sum((x.v - total / n) * (y.v - total / n)) AS lagged
+  FROM chars x JOIN chars y ON x.id = y.id AND y.i = x.i + 1 JOIN sums u ON u.id = x.id GROUP BY x.id),
+z AS (SELECT id, n, (a / n * sq - n - (a - 1)) / sqrt(2 * (a - 1) * (n - 1) / n) AS z_chi, 2 * high * (n - high) / n + 1 AS expected, changes, lagged, spread
+  FROM sums JOIN squares USING (id) JOIN spreads USING (id) JOIN pairs USING (id) WHERE n >= {LEAST_RANDOM}),
 z2 AS (SELECT *, CASE WHEN (expected - 1) * (expected - 2) / (n - 1) > 0 THEN (changes + 1 - expected) / sqrt((expected - 1) * (expected - 2) / (n - 1)) END AS z_runs,
   CASE WHEN spread > 0 THEN (lagged / spread + 1 / n) * sqrt(n) END AS z_serial FROM z),
 ps AS (SELECT *, CASE WHEN z_chi > 0 THEN {tail_of('z_chi')} ELSE 1 - {tail_of('z_chi')} END AS p1, coalesce(2 * {tail_of('z_runs')}, 0) AS p2, coalesce(2 * {tail_of('z_serial')}, 0) AS p3 FROM z2),
-cand AS (SELECT k, s, e, {stratum} AS stratum, floor(exp(-h) * (1 + h + h * h / 2) * {SCALE})::INT AS p
+cand AS (SELECT id, {stratum} AS stratum, floor(exp(-h) * (1 + h + h * h / 2) * {SCALE})::INT AS p
   FROM (SELECT *, -(ln(greatest(p1, 1e-15)) + ln(greatest(p2, 1e-15)) + ln(greatest(p3, 1e-15))) AS h FROM ps)),
 hist AS (SELECT stratum, p, count(*) AS c FROM cand GROUP BY stratum, p),
 ranked AS (SELECT stratum, p, sum(c) OVER (PARTITION BY stratum ORDER BY p) AS r, sum(c) OVER (PARTITION BY stratum) AS m FROM hist),
 bars AS (SELECT stratum, max(p) AS bar FROM ranked WHERE p * m <= {FALSE_SHARE} * {SCALE} * r GROUP BY stratum),
-found AS (SELECT k, kind, s, e FROM base UNION ALL SELECT c.k, 3, c.s, c.e FROM cand c LEFT JOIN bars b ON b.stratum = c.stratum WHERE c.p > coalesce(b.bar, -1)),
+random AS (SELECT k, s, e FROM cand c JOIN tokens USING (id) LEFT JOIN bars b ON b.stratum = c.stratum WHERE c.p > coalesce(b.bar, -1)),
+edges AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM random),
+united AS (SELECT k, min(s) AS s, max(e) AS e FROM (SELECT *, sum((reach IS NULL OR s >= reach)::INT) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM edges) GROUP BY k, g),
+found AS (SELECT k, kind, s, e FROM base UNION ALL SELECT k, 3, s, e FROM united),
 told AS (SELECT k, kind, s, (CASE kind {kinds} END) || ':' || s::BIGINT || ':' || e::BIGINT AS t FROM found),
 agg AS (SELECT k, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_random,
   string_agg(t, ',' ORDER BY s, kind) AS spans, string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3) AS base FROM told GROUP BY k)

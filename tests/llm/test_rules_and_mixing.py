@@ -371,3 +371,27 @@ def test_near_duplicates_are_told_apart_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(2, b), (5, a), (None, c), (7, None), (8, "")], key=str)
+
+
+def test_secrets_sql_follows_the_same_rule(spark):
+    """Runs that end at "=", keep their padding, mix alphabets or hold letters alone: the SQL finds what the operator finds."""
+    rng = random.Random(31)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    digits = letters_ + "0123456789"
+    texts = [f"AWS_SECRET_ACCESS_KEY={draw(digits + '+/', 40)}", f"AccountKey={draw(digits, 43)}== next", f"?sig={draw(digits, 32)}&x=1",
+             f"é sk_live_{draw(digits, 24)}/{draw(digits, 30)}", f"{draw(letters_, 40)}", f"a/b_{draw(digits, 30)}=={draw(digits, 30)}=",
+             f"token: {draw(digits, 30)}", f"{draw(digits, 25)}-{draw(digits, 25)}/{draw(digits, 25)}_{draw(digits, 25)}==", "-" * 40, "/usr/local/lib/python/site-packages/some_module",
+             "the_quick_brown_fox_jumps/over/the/lazy/dog", "0123456789" * 4, None, "", "=" * 30]
+    texts += [f"{draw(digits + '+/', rng.randint(20, 70))}{'=' * rng.randint(0, 2)} {draw('abc_-', 30)}/{draw(digits + '_-', 30)}" for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = secrets.op10(spark.createDataFrame(rows, "doc_id long, text string"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(secrets.SQL)
+    names = [d[0] for d in want.description]
+    want = sorted(want.fetchall())
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == want
+    found = {r[0]: r[names.index("n_random")] for r in want}
+    assert found[0] and found[1] and found[3] and found[7] and not found[8] and not found[11]
