@@ -80,10 +80,9 @@ def step_order() -> Column:
     )
 
 
-def with_none_steps(steps: DataFrame, tables: DataFrame) -> DataFrame:
-    """Tables without any object get one NONE step."""
-    bare = tables.select(*KEY).join(steps.select(*KEY), KEY, "left_anti")
-    none = bare.withColumns(
+def none_steps(bare: DataFrame) -> DataFrame:
+    """One NONE step for each of the tables *bare*."""
+    return bare.select(*KEY).withColumns(
         {
             "object_type": F.lit("NONE"),
             "slot": F.lit(""),
@@ -91,7 +90,12 @@ def with_none_steps(steps: DataFrame, tables: DataFrame) -> DataFrame:
             "error_code": F.lit("NO_LEGACY_SECURITY_FOUND"),
         }
     )
-    return steps.unionByName(none, allowMissingColumns=True)
+
+
+def with_none_steps(steps: DataFrame, tables: DataFrame) -> DataFrame:
+    """Tables without any object get one NONE step."""
+    bare = tables.select(*KEY).join(steps.select(*KEY), KEY, "left_anti")
+    return steps.unionByName(none_steps(bare), allowMissingColumns=True)
 
 
 def table_results(steps: DataFrame) -> DataFrame:

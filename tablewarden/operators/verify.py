@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.names import COLUMN_MASK, KEY, ROW_FILTER, row_filter_policy_name, securable
 from tablewarden.operators.audit import latest_per_table
-from tablewarden.operators.matching import policies_in_force, resolve_match_columns
+from tablewarden.operators.matching import resolve_match_columns
 from tablewarden.operators.policies import table_policies_by_object
+from tablewarden.sources.store import cut_lineage
 
 _OBJECT = [*KEY, "object_type", "slot"]
+POLICY = ["on_securable", "policy_name"]
 _FIELDS = [*KEY, "object_type", "masked_column", "status", "source_function", "target_policy_name", "error_code"]
 
 
@@ -81,11 +85,20 @@ def covered_objects(policies: DataFrame, column_tags: DataFrame) -> DataFrame:
     A filter is covered where its policy is in force on the table, a mask where
     it is and selects the masked column.  Being there by name is not enough.
     """
-    policy = ["on_securable", "policy_name"]
-    matches = resolve_match_columns(policies, column_tags)
-    acting = matches.join(policies_in_force(matches).select(*KEY, *policy), [*KEY, *policy], "left_semi")
+    kind = ["policy_type", "function_fqn", "n_aliases"]
     slot = F.when(F.col("policy_type") == COLUMN_MASK, F.col("column")).otherwise("")
-    return acting.select(*KEY, F.col("policy_type").alias("object_type"), slot.alias("slot"), *policy).distinct()
+    # matches are read once: the aliases and the columns that a policy selects in one table, as many as that table has
+    found = resolve_match_columns(policies, column_tags).groupBy(*KEY, *POLICY).agg(
+        F.collect_set(F.struct(*kind, "alias")).alias("aliases"),
+        F.collect_set(F.struct(F.col("policy_type").alias("object_type"), slot.alias("slot"))).alias("objects"),
+    )
+
+    def complete(one: Column) -> Column:
+        """Is every alias of this policy matched by some column?"""
+        same = F.filter("aliases", lambda a: reduce(Column.__and__, [a[k].eqNullSafe(one[k]) for k in kind]))
+        return F.size(same) == one["n_aliases"]
+
+    return found.where(F.exists("aliases", complete)).select(*KEY, *POLICY, F.inline("objects")).select(*_OBJECT, *POLICY)
 
 
 def keep_uncovered(steps: DataFrame, policies: DataFrame, column_tags: DataFrame) -> DataFrame:
@@ -93,17 +106,25 @@ def keep_uncovered(steps: DataFrame, policies: DataFrame, column_tags: DataFrame
 
     *policies* and *column_tags* are the state after the steps.  This holds in
     every phase: for a policy just made, and for one made earlier whose old rule
-    is about to go, or would in a dry run.
+    is about to go, or would in a dry run.  The policies asked about, the tags and
+    the keys of the open objects are written to the shared folder, so that none is
+    worked out twice and the steps themselves stay where they are while few are open.
     """
-    policy = ["on_securable", "policy_name"]
-    # only policies that the steps speak of, on their own securable, are resolved
-    named = policies.join(steps.select(*policy).distinct(), policy, "left_semi")
-    covered = covered_objects(named, column_tags).drop("object_type").withColumn("__covered", F.lit(True))
     relies = F.col("policy_created") | F.col("legacy_removed") | (F.col("status") == "WOULD_FINALIZE")
-    open_ = relies & F.col("__covered").isNull() & F.col("status").isin("SUCCESS", "ABAC_APPLIED", "WOULD_FINALIZE")
+    key = [*_OBJECT, *POLICY]
+    relying = steps.where(relies & F.col("status").isin("SUCCESS", "ABAC_APPLIED", "WOULD_FINALIZE")).select(*key)
+    # only policies that the steps speak of, on their own securable, are resolved
+    listed = [c for c in ("conditions", "problem") if c in policies.columns]
+    named = policies.select(*POLICY, "policy_type", "function_fqn", "match_columns", *listed).join(relying.select(*POLICY).distinct(), POLICY, "left_semi")
+    tags = column_tags.select(*KEY, "column", "tag_key", "tag_value")
+    covered = covered_objects(cut_lineage(named), cut_lineage(tags)).drop("object_type")
+    open_ = cut_lineage(relying.join(covered, [*KEY, *POLICY, "slot"], "left_anti").distinct())
+    open_ = open_.select(*[F.col(c).alias(f"__{c}") for c in key], F.lit(True).alias("__open"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
+    is_open = F.coalesce(F.col("__open") & relies & F.col("status").isin("SUCCESS", "ABAC_APPLIED", "WOULD_FINALIZE"), F.lit(False))
     return (
-        steps.join(covered, [*KEY, *policy, "slot"], "left")
-        .withColumn("__open", F.coalesce(open_, F.lit(False)))
+        steps.join(open_, same, "left")
+        .withColumn("__open", is_open)
         .withColumns(
             {
                 "status": F.when(F.col("__open"), "FAILED").otherwise(F.col("status")),

@@ -30,7 +30,7 @@ from tablewarden.operators.policies import (
     upsert_policies,
     with_match_columns,
 )
-from tablewarden.operators.results import run_summary, table_results, until_first_failure, with_none_steps
+from tablewarden.operators.results import none_steps, run_summary, table_results, until_first_failure
 from tablewarden.operators.tags import (
     GrantOptions,
     apply_grants,
@@ -314,15 +314,16 @@ def _migrate(
     resolved = granted = None
     if options.phase != "FINALIZE":
         resolved = cut_lineage(resolved_tags(planned, state, options))
-    steps = migration_steps(planned, resolved, options, faults)
+    steps = cut_lineage(migration_steps(planned, resolved, options, faults))
+    bare = cut_lineage(eligible.join(steps.select(*KEY), KEY, "left_anti"))
     if resolved is not None and not options.dry_run:
-        steps = cut_lineage(steps)
         tags = assign_tags(scoped(state.column_tags, state, options), resolved)
         steps = keep_uncovered(steps, upsert_policies(policies_in_scope(state, options), steps.where("policy_created")), tags)
     elif options.phase == "FINALIZE":
         # the old rule goes only where the policy made earlier still acts
         steps = keep_uncovered(steps, policies_in_scope(state, options), scoped(state.column_tags, state, options))
-    steps = cut_lineage(with_none_steps(steps, eligible))
+    # the steps are wide and written once: what changed in them since, and tables without any, are narrow frames of their own
+    steps = steps.unionByName(none_steps(bare), allowMissingColumns=True)
     results = table_results(steps)
     recorded = steps
     if not options.continue_on_error:

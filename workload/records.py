@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.names import KEY
 from tablewarden.operators import audit, results, rollback, verify
-from tablewarden.operators.matching import policies_in_force, resolve_match_columns
 from tablewarden.plans.options import RunOptions
 from tablewarden.plans.run import GovernanceState, existing_of, run, stored_state
 from tablewarden.plans.run import verify as verify_run
@@ -468,12 +467,9 @@ _CATALOG_RUN = {
 def run_migrate_catalog(f: Frames) -> DataFrame:
     """Every object that a run at catalog scope migrated, with the policy that acts on it in the state after the run."""
     done = run(f.state("CATALOG"), _options(f, "MIGRATE", "m1", store.shared_folder(f.spark), policy_scope="CATALOG"))
-    after, policy = done.state, ["on_securable", "policy_name"]
-    matches = resolve_match_columns(after.policies, after.column_tags)
-    acting = matches.join(policies_in_force(matches).select(*KEY, *policy), [*KEY, *policy], "left_semi")
-    slot = F.when(F.col("policy_type") == "COLUMN_MASK", F.col("column")).otherwise("").alias("slot")
+    acting = verify.covered_objects(done.state.policies, done.state.column_tags)
     migrated = done.steps.where("status = 'SUCCESS' AND decision = 'PROCEED'").select(*KEY, "object_type", "slot", "policy_name")
-    return migrated.join(acting.select(*KEY, "policy_name", slot).distinct(), [*KEY, "policy_name", "slot"])
+    return migrated.join(acting.select(*KEY, "policy_name", "slot").distinct(), [*KEY, "policy_name", "slot"])
 
 
 @query("RUN_finalize_without_tag", f"""
@@ -606,6 +602,8 @@ def matrix_run(f: Frames) -> DataFrame:
         "catalog", "schema", F.concat_ws("_", kind, flavour, tid.cast("string")).alias("table"),
         types.alias("table_type"), F.lit(None).cast("string").alias("describe_error"),
     )
+    # a small file of part keys gives long rows: dealt to all cores once, not worked out by a task or two in every step
+    tables = f.stored("matrix_tables", lambda: tables.repartition(f.spark.sparkContext.defaultParallelism))
     filters, masks = generate.matrix(tables)
     known = filters.select("function_fqn").unionAll(masks.select("function_fqn")).distinct()
     spark = f.spark
