@@ -68,17 +68,20 @@ def nested_membership(membership: DataFrame, subgroups: DataFrame) -> DataFrame:
     any depth; cycles are allowed and make their groups equal.  The closure over
     groups grows from the pairs that the last round found new, one written table
     a round, and members are joined once at its end.  NULL names belong to nothing.
+    All joins are by merging: a side that is small enough to be broadcast would
+    go through the driver again in every round.
     """
     direct = subgroups.select("group_name", "member_group").where("group_name <> member_group").distinct()
     direct = cut_lineage(direct)
     known = fresh = direct
     while not fresh.isEmpty():
-        longer = fresh.join(direct.select(F.col("group_name").alias("member_group"), F.col("member_group").alias("__below")), "member_group")
+        below = direct.select(F.col("group_name").alias("member_group"), F.col("member_group").alias("__below"))
+        longer = fresh.hint("merge").join(below.hint("merge"), "member_group")
         longer = longer.select("group_name", F.col("__below").alias("member_group")).where("group_name <> member_group").distinct()
-        fresh = cut_lineage(longer.join(known, ["group_name", "member_group"], "left_anti"))
+        fresh = cut_lineage(longer.join(known.hint("merge"), ["group_name", "member_group"], "left_anti"))
         known = known.unionByName(fresh)
     own = membership.select("group_name", "member_email").where("group_name IS NOT NULL AND member_email IS NOT NULL")
-    inherited = own.withColumnRenamed("group_name", "member_group").join(known, "member_group").select("group_name", "member_email")
+    inherited = own.withColumnRenamed("group_name", "member_group").join(known.hint("merge"), "member_group").select("group_name", "member_email")
     return own.unionByName(inherited).distinct()
 
 

@@ -77,10 +77,10 @@ def nested_groups(f: Frames) -> DataFrame:
     )
     inside = suppliers.select(F.inline(F.filter(pairs, lambda p: p.isNotNull())))
     for name in ("group_name", "member_group"):
-        inside = inside.join(teams.withColumnRenamed("team", name), name, "left_semi")
+        inside = inside.join(teams.withColumnRenamed("team", name).hint("merge"), name, "left_semi")
     last = suppliers.agg(F.max(key)).scalar()
     members = f.read("customer").select(team(F.col("c_custkey") % last).alias("group_name"), F.col("c_name").alias("member_email"))
-    members = members.join(teams.withColumnRenamed("team", "group_name"), "group_name", "left_semi")
+    members = members.join(teams.withColumnRenamed("team", "group_name").hint("merge"), "group_name", "left_semi")
     return nested_membership(members, inside)
 
 
