@@ -4,9 +4,12 @@ Every token is predicted from the tokens on both sides of it, itself hidden.
 Tokens are hashed to ``buckets``, which keep a token's shape (its first letter's
 case, what it ends with, its letters' range and its length); the network gives the probability of the
 token's class from the classes around it, and counts over the whole corpus give
-the token's share of its class:
+the token's share of what the network tells apart:
 
-    log p(token | both sides) = log p(class | both sides) + log(count / count of the class)
+    log p(token | both sides) = log p(class | both sides) + log p(slot | class, both sides) + log(count / count of the slot)
+
+The frequent tokens of a class have a slot each, the others share slots of about
+equal counts by frequency.  With one slot a class, the middle term is 0.
 
 The sum over a text is its pseudo-log-likelihood.  Counts are one distributed
 aggregation over all tokens.  The network learns in the tasks, every position of
@@ -30,7 +33,7 @@ from tablewarden.llm.tokens import Chunk, Tokens, chunks, words
 
 @dataclass(frozen=True)
 class LmOptions:
-    """``reach`` tokens on either side; ``own`` frequent buckets are classes of their own, the others share a class by shape; each of the ``rounds`` learns its share of all positions."""
+    """``reach`` tokens on either side; ``own`` frequent buckets are classes of their own, the others share a class by shape, told apart in it by ``slots``; each of the ``rounds`` learns its share of all positions."""
 
     buckets: int = 1 << 20
     classes: int = 96
@@ -42,14 +45,45 @@ class LmOptions:
     rate: float = 0.08
     smoothing: float = 0.5
     fan_in: int = 64
+    slots: int = 1
+
+
+# What the query goes by: words are known by class and slot on either side, and a second softmax tells the slots of a shared class apart.
+WORDS = LmOptions(slots=32, fan_in=8)
 
 
 @dataclass
 class Vocabulary:
-    """Class of every bucket and log of its share of the class; sized by the options alone."""
+    """Class and slot of every bucket, log of its share of the slot, and of each slot's share of its shared class; sized by the options alone."""
 
     cls: np.ndarray
     share: np.ndarray
+    slot: np.ndarray
+    odds: np.ndarray
+
+    def around(self, options: LmOptions) -> np.ndarray:
+        """What a bucket is to its neighbours: its class, or its slot in a shared one, numbered beyond the classes and the text's ends."""
+        cls = self.cls.astype(np.int64)
+        if options.slots == 1:
+            return cls
+        return np.where(cls < options.own, cls, options.classes + 1 + (cls - options.own) * options.slots + self.slot)
+
+
+def _slots(cls: np.ndarray, n: np.ndarray, options: LmOptions) -> np.ndarray:
+    """Slots of buckets: half of a class's slots hold its most frequent buckets, one each, ties by bucket; the rest get equal shares of the rest."""
+    order = np.lexsort((-n, cls))
+    c, mass = cls[order], n[order]
+    first = np.searchsorted(c, c)
+    rank = np.arange(len(c)) - first
+    half = options.slots // 2
+    rest = np.where(rank >= half, mass, 0.0)
+    total = np.bincount(c, rest, options.classes)
+    before = np.cumsum(rest) - rest
+    before -= before[first]
+    bins = before / np.maximum(total[c], 1e-300) * (options.slots - half)
+    slot = np.zeros(len(c), np.uint8)
+    slot[order] = np.where(rank < half, rank, half + np.clip(bins, 0, options.slots - half - 1).astype(np.int64))
+    return slot
 
 
 def vocabulary(bucket: np.ndarray, count: np.ndarray, options: LmOptions = LmOptions()) -> Vocabulary:
@@ -60,34 +94,60 @@ def vocabulary(bucket: np.ndarray, count: np.ndarray, options: LmOptions = LmOpt
     top = np.lexsort((bucket, -count))[: options.own]
     cls[bucket[top]] = np.arange(len(top))
     smooth = n + options.smoothing
-    return Vocabulary(cls, np.log(smooth / np.bincount(cls, smooth, options.classes)[cls]).astype(np.float32))
+    slot = _slots(cls, smooth, options) if options.slots > 1 else np.zeros(options.buckets, np.uint8)
+    place = cls.astype(np.int64) * options.slots + slot
+    mass = np.bincount(place, smooth, options.classes * options.slots)
+    share = np.log(smooth / mass[place]).astype(np.float32)
+    by_class = mass.reshape(options.classes, options.slots)[options.own :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
+    return Vocabulary(cls, share, slot, odds)
 
 
 class Network:
-    """hidden = tanh(sum of one vector per side place and class); softmax over classes.
+    """hidden = tanh(sum of one vector per side place and class); softmax over classes, and over the slots of a shared class.
+
+    Slots start from *odds*, their shares of their class, which are counted, not learnt.
 
     All parameters are views of one array.  Class ``classes`` stands for a place beyond the text's ends.
     """
 
-    def __init__(self, options: LmOptions, values: np.ndarray | None = None):
+    def __init__(self, options: LmOptions, values: np.ndarray | None = None, odds: np.ndarray | None = None):
         self.options = options
         o = options
         self.sides = [d for d in range(-o.reach, o.reach + 1) if d]
-        shapes = [(len(self.sides), o.classes + 1, o.hidden), (o.hidden, o.classes), (o.hidden,), (o.classes,)]
-        size = sum(int(np.prod(s)) for s in shapes)
+        shared = o.classes - o.own if o.slots > 1 else 0
+        known = [(len(self.sides), o.classes + 1 + shared * o.slots, o.hidden), (o.hidden, o.classes), (o.hidden,), (o.classes,)]
+        self.odds, self.shapes = odds, [*known, (shared, o.hidden, o.slots), (shared, o.slots)]
         if values is None:
+            size = sum(int(np.prod(s)) for s in known)
             values = np.random.default_rng(31).normal(0, 0.1, size).astype(np.float32)
-        self.values, self.memory = values, np.full(size, 1e-6, np.float32)
-        self.inputs, self.outputs, self.bias, self.prior = self._views(values)
-
-    def _views(self, flat: np.ndarray) -> list[np.ndarray]:
-        o, out, at = self.options, [], 0
-        for s in [(len(self.sides), o.classes + 1, o.hidden), (o.hidden, o.classes), (o.hidden,), (o.classes,)]:
+            values = np.append(values, np.zeros(sum(int(np.prod(s)) for s in self.shapes) - size, np.float32))
+        self.values, self.memory = values, np.full(len(values), 1e-6, np.float32)
+        self.inputs, self.outputs, self.bias, self.prior, self.leaves, self.tilt = self._views(values)
+        self.seen = self._views(self.memory)[0]
+
+    def _views(self, flat: np.ndarray, first: int = 0) -> list[np.ndarray]:
+        out, at = [], 0
+        for s in self.shapes[first:]:
             n = int(np.prod(s))
             out.append(flat[at : at + n].reshape(s))
             at += n
         return out
 
+    def _by_class(self, target: np.ndarray):
+        """Each shared class among *target* with its rows."""
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        ends = np.searchsorted(target[order], np.arange(self.options.own, self.options.classes + 1))
+        for c in np.flatnonzero(ends[1:] > ends[:-1]):
+            yield c, order[ends[c] : ends[c + 1]]
+
+    def _slot_logits(self, h: np.ndarray, c: int) -> np.ndarray:
+        z = h @ self.leaves[c]
+        z += self.tilt[c] + self.odds[c]
+        z -= z.max(axis=1, keepdims=True)
+        return z
+
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.inputs[0][around[:, 0]]
         for k in range(1, len(self.sides)):
@@ -98,33 +158,53 @@ class Network:
         z -= z.max(axis=1, keepdims=True)
         return h, z
 
-    def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, z = self.forward(around)
-        hit = z[np.arange(len(z)), target]
-        return hit - np.log(np.exp(z).sum(axis=1))
+    def log_probability(self, around: np.ndarray, target: np.ndarray, slot: np.ndarray | None = None) -> np.ndarray:
+        """Of the class *target*, and of the *slot* in it where slots are told apart."""
+        h, z = self.forward(around)
+        out = z[np.arange(len(z)), target] - np.log(np.exp(z).sum(axis=1))
+        if self.options.slots > 1:
+            for c, rows in self._by_class(target):
+                z = self._slot_logits(h[rows], c)
+                out[rows] += z[np.arange(len(z)), slot[rows]] - np.log(np.exp(z).sum(axis=1))
+        return out
 
-    def learn(self, around: np.ndarray, target: np.ndarray) -> None:
+    def learn(self, around: np.ndarray, target: np.ndarray, slot: np.ndarray | None = None) -> None:
         """One step with a rate for every parameter (Adagrad)."""
         h, z = self.forward(around)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(p)), target] -= 1
         p /= len(p)
-        flat = np.zeros_like(self.values)
-        g_in, g_out, g_bias, g_prior = self._views(flat)
+        flat = np.zeros_like(self.values[self.inputs.size :])
+        g_out, g_bias, g_prior, g_leaves, g_tilt = self._views(flat, 1)
         g_out += h.T @ p
         g_prior += p.sum(axis=0)
-        back = (p @ self.outputs.T) * (1 - h * h)
+        back = p @ self.outputs.T
+        if self.options.slots > 1:
+            for c, rows in self._by_class(target):
+                own = h[rows]
+                q = np.exp(self._slot_logits(own, c))
+                q /= q.sum(axis=1, keepdims=True)
+                q[np.arange(len(q)), slot[rows]] -= 1
+                q /= len(h)
+                g_leaves[c] = own.T @ q
+                g_tilt[c] = q.sum(axis=0)
+                back[rows] += q @ self.leaves[c].T
+        back *= 1 - h * h
         g_bias += back.sum(axis=0)
         for k in range(len(self.sides)):
-            # rows of one class lie together after a sort by small numbers; each class gets their sum
+            # rows of one class or slot lie together after a sort by small numbers; each gets their sum, the others stay as they are
             side = around[:, k].astype(np.uint16)
             order = np.argsort(side, kind="stable")
             side = side[order]
             new = np.flatnonzero(np.append(True, side[1:] != side[:-1]))
-            g_in[k, side[new]] += np.add.reduceat(back[order], new, axis=0)
-        self.memory += flat * flat
-        self.values -= self.options.rate * flat / np.sqrt(self.memory)
+            g = np.add.reduceat(back[order], new, axis=0)
+            hit = side[new]
+            self.seen[k, hit] += g * g
+            self.inputs[k, hit] -= self.options.rate * g / np.sqrt(self.seen[k, hit])
+        rest = self.inputs.size
+        self.memory[rest:] += flat * flat
+        self.values[rest:] -= self.options.rate * flat / np.sqrt(self.memory[rest:])
 
 
 _STOP, _MARK, _UPPER, _HIGH = (np.zeros(256, bool) for _ in range(4))
@@ -146,11 +226,14 @@ def _bucket(c: Chunk, t: Tokens, options: LmOptions) -> np.ndarray:
     return (t.hash % np.uint64(options.buckets // shared)).astype(np.int64) * shared + shapes(c, t) % shared
 
 
-def contexts(t: Tokens, cls: np.ndarray, options: LmOptions) -> np.ndarray:
-    """Classes around every token, one column per side place; ``classes`` beyond the ends of the text."""
+def contexts(t: Tokens, cls: np.ndarray, options: LmOptions, at: np.ndarray | None = None) -> np.ndarray:
+    """Classes around every token (or those *at* some places), one column per side place; ``classes`` beyond the ends of the text."""
     columns = []
     first, last = np.repeat(t.first[:-1], t.n), np.repeat(t.first[1:], t.n) - 1
-    at = np.arange(len(t))
+    if at is None:
+        at = np.arange(len(t))
+    else:
+        first, last = first[at], last[at]
     for d in range(-options.reach, options.reach + 1):
         if d:
             there = at + d
@@ -192,20 +275,21 @@ def bucket_counts(docs: DataFrame, options: LmOptions = LmOptions()) -> np.ndarr
 
 def _learn(options: LmOptions, vocab, start: np.ndarray | None, turn: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = Network(options, None if start is None else start.copy())
-        cls = vocab.value.cls.astype(np.int64)
+        net = Network(options, None if start is None else start.copy(), vocab.value.odds)
+        cls, slot, code = vocab.value.cls.astype(np.int64), vocab.value.slot, vocab.value.around(options)
         seen, part = 0, 0
         held_x: list[np.ndarray] = []
         held_y: list[np.ndarray] = []
+        held_s: list[np.ndarray] = []
 
         def step(all_: bool) -> None:
-            x, y = np.concatenate(held_x), np.concatenate(held_y)
-            held_x.clear(), held_y.clear()
+            x, y, s = np.concatenate(held_x), np.concatenate(held_y), np.concatenate(held_s)
+            held_x.clear(), held_y.clear(), held_s.clear()
             end = len(x) if all_ else len(x) // options.batch * options.batch
             for a in range(0, end, options.batch):
-                net.learn(x[a : a + options.batch], y[a : a + options.batch])
+                net.learn(x[a : a + options.batch], y[a : a + options.batch], s[a : a + options.batch])
             if end < len(x):
-                held_x.append(x[end:]), held_y.append(y[end:])
+                held_x.append(x[end:]), held_y.append(y[end:]), held_s.append(s[end:])
 
         for pdf in batches:
             part = int(pdf["part"].iloc[0])
@@ -213,12 +297,14 @@ def _learn(options: LmOptions, vocab, start: np.ndarray | None, turn: int):
                 t = words(c)
                 if not len(t):
                     continue
-                mine = cls[_bucket(c, t, options)]
+                bucket = _bucket(c, t, options)
+                mine = cls[bucket]
                 # which round learns a position depends on the text alone
                 place = np.arange(len(t)) - np.repeat(t.first[:-1], t.n)
                 at = np.flatnonzero(place % options.rounds == turn)
-                held_x.append(contexts(t, mine, options)[at])
+                held_x.append(contexts(t, code[bucket], options, at))
                 held_y.append(mine[at])
+                held_s.append(slot[bucket[at]])
                 seen += len(at)
                 step(False)
         if held_x:
@@ -267,21 +353,22 @@ def fit(docs: DataFrame, options: LmOptions = LmOptions(), scratch: Scratch | No
         values = _average(learnt, (parts or 0) + 1, scratch, f"round{turn}", options)
         if values is None:
             break
-    return vocab, Network(options, values)
+    return vocab, Network(options, values, vocab.odds)
 
 
-def pseudo_log_likelihood(texts: list[bytes | None], vocab: Vocabulary, net: Network, cls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def pseudo_log_likelihood(texts: list[bytes | None], vocab: Vocabulary, net: Network, cls: np.ndarray | None = None, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and summed log-probability of each text."""
     cls = vocab.cls.astype(np.int64) if cls is None else cls
+    code = vocab.around(net.options) if code is None else code
     n, total = [], []
     for c in chunks(texts):
         t = words(c)
         bucket = _bucket(c, t, net.options)
         mine = cls[bucket]
         logs = vocab.share[bucket].astype(np.float64)
-        around = contexts(t, mine, net.options)
+        around = contexts(t, code[bucket], net.options)
         for a in range(0, len(t), 4096):
-            logs[a : a + 4096] += net.log_probability(around[a : a + 4096], mine[a : a + 4096])
+            logs[a : a + 4096] += net.log_probability(around[a : a + 4096], mine[a : a + 4096], vocab.slot[bucket[a : a + 4096]])
         sums = np.append(0.0, np.cumsum(logs))
         n.append(t.n)
         total.append(np.diff(sums[t.first]))
@@ -301,9 +388,9 @@ def log_likelihood(docs: DataFrame, options: LmOptions = LmOptions(), scratch: S
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vocab, values = shared.value
-        net, cls = Network(options, values), vocab.cls.astype(np.int64)
+        net, cls, code = Network(options, values, vocab.odds), vocab.cls.astype(np.int64), vocab.around(options)
         for texts in batches:
-            n, total = pseudo_log_likelihood(texts.tolist(), vocab, net, cls)
+            n, total = pseudo_log_likelihood(texts.tolist(), vocab, net, cls, code)
             yield pd.DataFrame({"n_tokens": n, "log_prob": total})
 
     scored = docs.select("doc_id", F.pandas_udf(run, "n_tokens long, log_prob double")("text").alias("s")).select("doc_id", "s.*")
@@ -311,6 +398,6 @@ def log_likelihood(docs: DataFrame, options: LmOptions = LmOptions(), scratch: S
     return scored.select("doc_id", F.coalesce(mean, F.lit(0.0)).alias("score"), "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
 
 
-def op4(docs: DataFrame, options: LmOptions = LmOptions()) -> DataFrame:
-    """``log_likelihood`` over all documents."""
+def op4(docs: DataFrame, options: LmOptions = WORDS) -> DataFrame:
+    """``log_likelihood`` over all documents, words of a class told apart by their surroundings."""
     return log_likelihood(docs, options)

@@ -334,6 +334,19 @@ def test_texts_beat_their_shuffles(spark):
     assert len(texts) > 100 and (a > b).mean() > 0.95
 
 
+def test_words_of_a_class_are_told_apart_by_their_surroundings(spark):
+    pairs = [("red", "wine"), ("tin", "roof"), ("wet", "moss"), ("old", "king")]
+    texts = [" ".join(f"{a} {b}" for a, b in random.Random(i).choices(pairs, k=60)) for i in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select(F.col("text").cast("binary").alias("text")).coalesce(2)
+    o = lm_score.LmOptions(buckets=1 << 10, classes=9, own=1, batch=64, slots=16)
+    vocab, net = lm_score.fit(docs, o)
+    assert np.allclose(np.bincount(vocab.cls, np.exp(vocab.share) * np.exp(np.where(vocab.cls < o.own, 0, vocab.odds[np.maximum(vocab.cls, 1) - 1, vocab.slot]))), 1, atol=1e-3)
+    n, total = lm_score.pseudo_log_likelihood([t.encode() for t in texts], vocab, net)
+    plain = lm_score.LmOptions(buckets=1 << 10, classes=9, own=1, batch=64)
+    _, before = lm_score.pseudo_log_likelihood([t.encode() for t in texts], *lm_score.fit(docs, plain))
+    assert total.sum() / n.sum() > before.sum() / n.sum() + 0.5
+
+
 def test_every_position_is_learnt(spark):
     docs = spark.createDataFrame([("a b c",), ("d",), (None,), ("e f g h i",)], "text string").select(F.col("text").cast("binary").alias("text")).coalesce(1)
     o = lm_score.LmOptions(buckets=1 << 10, classes=16, own=8)
