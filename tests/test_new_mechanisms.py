@@ -152,3 +152,31 @@ def test_categories_by_votes(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, fn string, cols array<string>")
     got = [r[1] for r in df.select("i", category("fn", "cols", vocabulary)).orderBy("i").collect()]
     assert got == [plain(*c) for c in cases]
+
+
+def test_names_are_cleaned_as_by_the_pattern(spark):
+    from tablewarden.functions.names import sanitize
+
+    texts = ["", "-", "--", "a-b.c", "é😀x", "a`b\\$1", "tab\tnl\n", "ß_Z9", "\x00a", "日本語.x", "[^]-\\", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select(sanitize("t").alias("got"), F.regexp_replace("t", "[^a-zA-Z0-9_]", "_").alias("want"))
+    assert df.where("NOT (got <=> want)").isEmpty()
+    assert "regexp_replace" not in plan_of(df.select("got"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_coverage_reads_matches_once(spark):
+    from tablewarden.operators.verify import covered_objects
+
+    policies = schemas.empty(spark, schemas.POLICIES)
+    tags = schemas.empty(spark, schemas.COLUMN_TAGS)
+    assert covered_objects(policies, tags)._jdf.queryExecution().analyzed().toString().count("Join ") == 3
+
+
+def test_nested_groups_are_not_broadcast(spark):
+    members = spark.createDataFrame([("a", "x"), ("b", "y")], "group_name string, member_email string")
+    inside = spark.createDataFrame([("a", "b")], "group_name string, member_group string")
+    plan = nested_membership(members, inside)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
