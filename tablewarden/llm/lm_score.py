@@ -64,9 +64,9 @@ class Vocabulary:
     def around(self, options: LmOptions) -> np.ndarray:
         """What a bucket is to its neighbours: its class, or its slot in a shared one, numbered beyond the classes and the text's ends."""
         cls = self.cls.astype(np.int64)
-        if options.slots == 1:
-            return cls
-        return np.where(cls < options.own, cls, options.classes + 1 + (cls - options.own) * options.slots + self.slot)
+        if options.slots > 1:
+            cls = np.where(cls < options.own, cls, options.classes + 1 + (cls - options.own) * options.slots + self.slot)
+        return cls.astype(np.min_scalar_type(options.classes + (options.classes - options.own) * options.slots))
 
 
 def _slots(cls: np.ndarray, n: np.ndarray, options: LmOptions) -> np.ndarray:
@@ -125,7 +125,10 @@ class Network:
             values = np.append(values, np.zeros(sum(int(np.prod(s)) for s in self.shapes) - size, np.float32))
         self.values, self.memory = values, np.full(len(values), 1e-6, np.float32)
         self.inputs, self.outputs, self.bias, self.prior, self.leaves, self.tilt = self._views(values)
-        self.seen = self._views(self.memory)[0]
+        # all sides as one table of rows, so that a step sorts and changes them at once
+        places, codes = self.inputs.shape[:2]
+        self.rows, self.seen = (x[: self.inputs.size].reshape(places * codes, o.hidden) for x in (self.values, self.memory))
+        self.offsets = (np.arange(places) * codes).astype(np.min_scalar_type(places * codes - 1))[:, None]
 
     def _views(self, flat: np.ndarray, first: int = 0) -> list[np.ndarray]:
         out, at = [], 0
@@ -135,80 +138,102 @@ class Network:
             at += n
         return out
 
-    def _by_class(self, target: np.ndarray):
-        """Each shared class among *target* with its rows."""
-        order = np.argsort(target.astype(np.uint16), kind="stable")
-        ends = np.searchsorted(target[order], np.arange(self.options.own, self.options.classes + 1))
-        for c in np.flatnonzero(ends[1:] > ends[:-1]):
-            yield c, order[ends[c] : ends[c + 1]]
-
-    def _slot_logits(self, h: np.ndarray, c: int) -> np.ndarray:
-        z = h @ self.leaves[c]
-        z += self.tilt[c] + self.odds[c]
-        z -= z.max(axis=1, keepdims=True)
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Rows of shared classes, those of a class together; each one's class; and the stretch of each class among them."""
+        order = np.argsort(target.astype(np.min_scalar_type(self.options.classes)), kind="stable")
+        cls = target[order].astype(np.int64) - self.options.own
+        ends = np.searchsorted(cls, np.arange(len(self.leaves) + 1))
+        order, cls, ends = order[ends[0] :], cls[ends[0] :], (ends - ends[0]).tolist()
+        return order, cls, [(c, a, z) for c, (a, z) in enumerate(zip(ends, ends[1:], strict=False)) if z > a]
+
+    def _slot_logits(self, h: np.ndarray, cls: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """One column for each row of *h*, which lie by class; the sums over slots then run along whole rows of the result."""
+        z = np.empty((self.options.slots, len(h)), np.float32)
+        for c, a, b in parts:
+            np.matmul(self.leaves[c].T, h[a:b].T, out=z[:, a:b])
+        z += (self.tilt + self.odds).T.take(cls, axis=1)
+        z -= z.max(axis=0)
         return z
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = self.inputs[0][around[:, 0]]
-        for k in range(1, len(self.sides)):
-            h = h + self.inputs[k][around[:, k]]
-        h = np.tanh(h + self.bias)
-        z = h @ self.outputs
-        z += self.prior
-        z -= z.max(axis=1, keepdims=True)
+    def _rows_of(self, around: np.ndarray) -> np.ndarray:
+        """Rows of the table of all sides, one line a side."""
+        return np.add(around.T, self.offsets, order="C", dtype=self.offsets.dtype, casting="unsafe")
+
+    def forward(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden values by position, and logits with one column a position, the greatest of each 0."""
+        h = self.rows.take(rows[0], axis=0)
+        for side in rows[1:]:
+            h += self.rows.take(side, axis=0)
+        h += self.bias
+        np.tanh(h, out=h)
+        z = self.outputs.T @ h.T
+        z += self.prior[:, None]
+        z -= z.max(axis=0)
         return h, z
 
     def log_probability(self, around: np.ndarray, target: np.ndarray, slot: np.ndarray | None = None) -> np.ndarray:
         """Of the class *target*, and of the *slot* in it where slots are told apart."""
-        h, z = self.forward(around)
-        out = z[np.arange(len(z)), target] - np.log(np.exp(z).sum(axis=1))
+        h, z = self.forward(self._rows_of(around))
+        out = z[target, np.arange(len(h))]
+        out -= np.log(np.exp(z, out=z).sum(axis=0))
         if self.options.slots > 1:
-            for c, rows in self._by_class(target):
-                z = self._slot_logits(h[rows], c)
-                out[rows] += z[np.arange(len(z)), slot[rows]] - np.log(np.exp(z).sum(axis=1))
+            rows, cls, parts = self._by_class(target)
+            z = self._slot_logits(h[rows], cls, parts)
+            out[rows] += z[slot[rows], np.arange(len(rows))] - np.log(np.exp(z).sum(axis=0))
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, slot: np.ndarray | None = None) -> None:
         """One step with a rate for every parameter (Adagrad)."""
-        h, z = self.forward(around)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p /= len(p)
+        sides = self._rows_of(around)
+        h, p = self.forward(sides)
+        n = len(h)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0) * n
+        p[target, np.arange(n)] -= 1 / n
         flat = np.zeros_like(self.values[self.inputs.size :])
         g_out, g_bias, g_prior, g_leaves, g_tilt = self._views(flat, 1)
-        g_out += h.T @ p
-        g_prior += p.sum(axis=0)
-        back = p @ self.outputs.T
+        np.matmul(h.T, p.T, out=g_out)
+        p.sum(axis=1, out=g_prior)
+        back = p.T @ self.outputs.T
         if self.options.slots > 1:
-            for c, rows in self._by_class(target):
-                own = h[rows]
-                q = np.exp(self._slot_logits(own, c))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(q)), slot[rows]] -= 1
-                q /= len(h)
-                g_leaves[c] = own.T @ q
-                g_tilt[c] = q.sum(axis=0)
-                back[rows] += q @ self.leaves[c].T
+            rows, cls, parts = self._by_class(target)
+            own = h[rows]
+            q = self._slot_logits(own, cls, parts)
+            np.exp(q, out=q)
+            q /= q.sum(axis=0) * n
+            q[slot[rows], np.arange(len(rows))] -= 1 / n
+            more = np.empty_like(own)
+            for c, a, z in parts:
+                part = q[:, a:z].T
+                np.matmul(own[a:z].T, part, out=g_leaves[c])
+                np.matmul(part, self.leaves[c].T, out=more[a:z])
+            if parts:
+                g_tilt[[c for c, _, _ in parts]] = np.add.reduceat(q, [a for _, a, _ in parts], axis=1).T
+            back[rows] += more
         back *= 1 - h * h
-        g_bias += back.sum(axis=0)
-        for k in range(len(self.sides)):
-            # rows of one class or slot lie together after a sort by small numbers; each gets their sum, the others stay as they are
-            side = around[:, k].astype(np.uint16)
-            order = np.argsort(side, kind="stable")
-            side = side[order]
-            new = np.flatnonzero(np.append(True, side[1:] != side[:-1]))
-            g = np.add.reduceat(back[order], new, axis=0)
-            hit = side[new]
-            self.seen[k, hit] += g * g
-            self.inputs[k, hit] -= self.options.rate * g / np.sqrt(self.seen[k, hit])
+        back.sum(axis=0, out=g_bias)
+        # rows of one class or slot lie together after a sort by small numbers; each gets their sum, the others stay as they are
+        sides = sides.ravel()
+        order = np.argsort(sides, kind="stable")
+        sides = sides[order]
+        new = np.flatnonzero(np.append(True, sides[1:] != sides[:-1]))
+        g = np.add.reduceat(back.take(order % n, axis=0), new, axis=0)
+        hit = sides[new].astype(np.int64)
+        seen = self.seen.take(hit, axis=0)
+        seen += g * g
+        self.seen[hit] = seen
+        g *= self.options.rate
+        g /= np.sqrt(seen, out=seen)
+        self.rows[hit] -= g
         rest = self.inputs.size
         self.memory[rest:] += flat * flat
-        self.values[rest:] -= self.options.rate * flat / np.sqrt(self.memory[rest:])
+        flat *= self.options.rate
+        flat /= np.sqrt(self.memory[rest:])
+        self.values[rest:] -= flat
 
 
-_STOP, _MARK, _UPPER, _HIGH = (np.zeros(256, bool) for _ in range(4))
-_STOP[list(b".!?")] = _MARK[list(b",;:)]}\"'")] = _UPPER[0x41:0x5B] = _HIGH[0x80:] = True
+_STOP, _MARK, _UPPER = (np.zeros(256, bool) for _ in range(3))
+_STOP[list(b".!?")] = _MARK[list(b",;:)]}\"'")] = _UPPER[0x41:0x5B] = True
 
 
 def shapes(c: Chunk, t: Tokens) -> np.ndarray:
@@ -216,7 +241,8 @@ def shapes(c: Chunk, t: Tokens) -> np.ndarray:
     if not len(t):
         return np.zeros(0, np.int64)
     first, last = c.bytes[t.starts], c.bytes[t.ends - 1]
-    high = np.append(0, np.cumsum(_HIGH[c.bytes]))
+    high = np.zeros(len(c.bytes) + 1, np.int32 if len(c.bytes) < 1 << 31 else np.int64)
+    np.cumsum(c.bytes >= 0x80, out=high[1:])
     return _STOP[last] + 2 * _UPPER[first] + 4 * (high[t.ends] > high[t.starts]) + 8 * _MARK[last] + 16 * (t.ends - t.starts > 6)
 
 
@@ -276,7 +302,7 @@ def bucket_counts(docs: DataFrame, options: LmOptions = LmOptions()) -> np.ndarr
 def _learn(options: LmOptions, vocab, start: np.ndarray | None, turn: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network(options, None if start is None else start.copy(), vocab.value.odds)
-        cls, slot, code = vocab.value.cls.astype(np.int64), vocab.value.slot, vocab.value.around(options)
+        cls, slot, code = vocab.value.cls, vocab.value.slot, vocab.value.around(options)
         seen, part = 0, 0
         held_x: list[np.ndarray] = []
         held_y: list[np.ndarray] = []
@@ -356,15 +382,14 @@ def fit(docs: DataFrame, options: LmOptions = LmOptions(), scratch: Scratch | No
     return vocab, Network(options, values, vocab.odds)
 
 
-def pseudo_log_likelihood(texts: list[bytes | None], vocab: Vocabulary, net: Network, cls: np.ndarray | None = None, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def pseudo_log_likelihood(texts: list[bytes | None], vocab: Vocabulary, net: Network, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and summed log-probability of each text."""
-    cls = vocab.cls.astype(np.int64) if cls is None else cls
     code = vocab.around(net.options) if code is None else code
     n, total = [], []
     for c in chunks(texts):
         t = words(c)
         bucket = _bucket(c, t, net.options)
-        mine = cls[bucket]
+        mine = vocab.cls[bucket]
         logs = vocab.share[bucket].astype(np.float64)
         around = contexts(t, code[bucket], net.options)
         for a in range(0, len(t), 4096):
@@ -388,9 +413,9 @@ def log_likelihood(docs: DataFrame, options: LmOptions = LmOptions(), scratch: S
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vocab, values = shared.value
-        net, cls, code = Network(options, values, vocab.odds), vocab.cls.astype(np.int64), vocab.around(options)
+        net, code = Network(options, values, vocab.odds), vocab.around(options)
         for texts in batches:
-            n, total = pseudo_log_likelihood(texts.tolist(), vocab, net, cls, code)
+            n, total = pseudo_log_likelihood(texts.tolist(), vocab, net, code)
             yield pd.DataFrame({"n_tokens": n, "log_prob": total})
 
     scored = docs.select("doc_id", F.pandas_udf(run, "n_tokens long, log_prob double")("text").alias("s")).select("doc_id", "s.*")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -347,6 +348,71 @@ def test_words_of_a_class_are_told_apart_by_their_surroundings(spark):
     assert total.sum() / n.sum() > before.sum() / n.sum() + 0.5
 
 
+def some_positions(o, n, classes, seed=5):
+    """A vocabulary, and *n* positions whose targets are all of *classes*."""
+    rng = np.random.default_rng(seed)
+    vocab = lm_score.vocabulary(np.arange(o.buckets), rng.integers(1, 50, o.buckets), o)
+    code, cls = vocab.around(o), vocab.cls.astype(int)
+    mine = rng.choice(np.flatnonzero(np.isin(cls, classes)), n)
+    around = code[rng.integers(0, o.buckets, (n, 2 * o.reach))].astype(int)
+    around[:3, 0] = o.classes
+    return vocab, around, cls[mine], vocab.slot[mine]
+
+
+@pytest.mark.parametrize("slots", [1, 4])
+def test_a_learning_step_equals_plain_loops(slots):
+    o = lm_score.LmOptions(buckets=1 << 8, classes=12, own=4, hidden=5, slots=slots)
+    vocab, around, target, slot = some_positions(o, 60, [0, 2, 3, 5, 6, 9])
+    net = lm_score.Network(o, odds=vocab.odds)
+    net.values[net.inputs.size :] = np.random.default_rng(2).normal(0, 0.3, len(net.values) - net.inputs.size)
+    old = [x.astype(float) for x in net._views(net.values.copy())]
+    inputs, outputs, bias, prior, leaves, tilt = old
+    grads, logs = [np.zeros_like(x) for x in old], []
+    for x, c, s in zip(around, target, slot, strict=True):
+        h = np.tanh(bias + sum(inputs[k, x[k]] for k in range(len(x))))
+        p = np.exp(h @ outputs + prior)
+        p /= p.sum()
+        logs.append(np.log(p[c]))
+        p[c] -= 1
+        back = outputs @ p
+        grads[1] += np.outer(h, p)
+        grads[3] += p
+        if slots > 1 and c >= o.own:
+            q = np.exp(h @ leaves[c - o.own] + tilt[c - o.own] + vocab.odds[c - o.own].astype(float))
+            q /= q.sum()
+            logs[-1] += np.log(q[s])
+            q[s] -= 1
+            back = back + leaves[c - o.own] @ q
+            grads[4][c - o.own] += np.outer(h, q)
+            grads[5][c - o.own] += q
+        back = back * (1 - h * h)
+        grads[2] += back
+        for k in range(len(x)):
+            grads[0][k, x[k]] += back
+    assert np.allclose(net.log_probability(around, target, slot), logs, atol=1e-4)
+    net.learn(around, target, slot)
+    for now, was, g in zip(net._views(net.values), old, grads, strict=True):
+        g = g / len(target)
+        assert np.allclose(now, was - o.rate * g / np.sqrt(1e-6 + g * g), atol=2e-4)
+
+
+def test_a_step_makes_no_more_calls_for_more_classes():
+    o = lm_score.LmOptions(buckets=1 << 10, classes=40, own=8, slots=16)
+
+    def calls(classes, act):
+        vocab, *positions = some_positions(o, 512, classes)
+        net, seen = lm_score.Network(o, odds=vocab.odds), []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event.endswith("call") else None)
+        try:
+            getattr(net, act)(*positions)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    for act in ("learn", "log_probability"):
+        assert calls(np.arange(8, 40), act) <= calls([8], act) + 3
+
+
 def test_every_position_is_learnt(spark):
     docs = spark.createDataFrame([("a b c",), ("d",), (None,), ("e f g h i",)], "text string").select(F.col("text").cast("binary").alias("text")).coalesce(1)
     o = lm_score.LmOptions(buckets=1 << 10, classes=16, own=8)
