@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from tablewarden.sources.schemas import conform, empty, schema
 from tablewarden.sources.store import _MAX_ROWS_PER_FILE, cut_lineage
 
-_ENTRY = "version long, commit string, name string, folder string, whole array<int>, buckets int, at timestamp"
+_ENTRY = "version long, commit string, name string, folder string, whole array<int>, buckets int, rows long, at timestamp"
+# Up to so many changed rows their keys may be broadcast, as Spark sees fit; file sizes alone hide how many rows there are.
+_FEW_CHANGES = 100_000
 
 
 class ConcurrentCommit(RuntimeError):
@@ -36,13 +38,14 @@ class ConcurrentCommit(RuntimeError):
 
 @dataclass(frozen=True)
 class Entry:
-    """A folder of one commit: rows that replace the buckets *whole*, or changes where it is empty."""
+    """A folder of one commit: rows that replace the buckets *whole*, or changes where it is empty, with their number."""
 
     version: int
     name: str
     folder: str
     whole: tuple[int, ...]
     buckets: int
+    rows: int | None = None
 
 
 class ChangeLog:
@@ -71,7 +74,7 @@ class ChangeLog:
                 raise ConcurrentCommit(f"two commits of number {r['version']} under {self.path}")
         if version is not None and version not in {0, *seen}:
             raise ValueError(f"no version {version} under {self.path}")
-        found = [Entry(r["version"], r["name"], r["folder"], tuple(r["whole"]), r["buckets"]) for r in rows if version is None or r["version"] <= version]
+        found = [Entry(r["version"], r["name"], r["folder"], tuple(r["whole"]), r["buckets"], r["rows"]) for r in rows if version is None or r["version"] <= version]
         return sorted(found, key=lambda e: (e.version, e.name))
 
     @property
@@ -84,7 +87,7 @@ class ChangeLog:
         if not staged:
             return self.version
         commit = uuid.uuid4().hex
-        rows = [(e.version, commit, e.name, e.folder, list(e.whole), e.buckets) for e in staged]
+        rows = [(e.version, commit, e.name, e.folder, list(e.whole), e.buckets, e.rows) for e in staged]
         fields = ", ".join(_ENTRY.split(", ")[:-1])
         log = self.spark.createDataFrame(rows, fields).withColumn("at", F.current_timestamp())
         log.coalesce(1).write.mode("append").parquet(f"{self.path}/_log")
@@ -159,7 +162,8 @@ class KeyedTable:
     def read(self, version: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
         """The table as of *version*, by default the newest; *buckets* limits what is opened."""
         spark = self.log.spark
-        base, changes = _layers(self._entries(version))
+        entries = self._entries(version)
+        base, changes = _layers(entries)
 
         def part(folder: str, extra: str, of: list[int]) -> DataFrame | None:
             of = of if buckets is None else [b for b in of if b in set(buckets)]
@@ -177,10 +181,13 @@ class KeyedTable:
         if self.newest:
             known = kept.withColumn("__gone", F.lit(False)).withColumn("__version", F.lit(0))
             return self._top(known.unionByName(changed), [*self.newest, "__version"])
-        # changes are few: their keys reach the base as one small side, and its rows stay where they are
+        # keys of few changes reach the base as one small side, and its rows stay where they are; many changes meet it by merging
         top = self._top(changed, ["__version"], gone=True)
         same = [kept[c].eqNullSafe(F.col(f"k.`{c}`")) for c in self.key]
-        untouched = kept.join(top.select(*self.key).alias("k"), reduce(Column.__and__, same), "left_anti")
+        known = [e.rows for e in entries if e.folder in changes]
+        keys = top.select(*self.key).alias("k")
+        keys = keys if None not in known and sum(known) <= _FEW_CHANGES else keys.hint("merge")
+        untouched = kept.join(keys, reduce(Column.__and__, same), "left_anti")
         return untouched.unionByName(top.where(~F.col("__gone")).select(*self.columns))
 
     def _top(self, rows: DataFrame, order: list[str], gone: bool = False) -> DataFrame:
@@ -209,7 +216,9 @@ class KeyedTable:
         # sized by what arrives: few files for a small commit, several for a large bucket
         writer = rows.hint("rebalance", "__bucket").write.option("maxRecordsPerFile", _MAX_ROWS_PER_FILE)
         (writer.partitionBy("__bucket") if whole else writer).parquet(f"{self.log.path}/{folder}")
-        return Entry(version, self.name, folder, tuple(whole), self.buckets)
+        # counted by the footers of what was written
+        n = None if whole else self.log.spark.read.schema("__bucket int").parquet(f"{self.log.path}/{folder}").count()
+        return Entry(version, self.name, folder, tuple(whole), self.buckets, n)
 
     def stage_base(self, version: int, rows: DataFrame, whole: Sequence[int] | None = None) -> Entry:
         """*rows* as all there is in the buckets *whole* (all buckets), not yet visible."""

@@ -71,6 +71,19 @@ def test_newest_by_columns_wins_whatever_comes_last(spark, tmp_path):
     assert contents(t.read()) == [("a", 1, "6"), ("b", 1, "0")]
 
 
+def test_many_changes_meet_the_base_without_the_driver(spark, tmp_path):
+    """Rows that compress well look small by their files; they are not broadcast for that, few changes may be."""
+    t = table(spark, tmp_path)
+    rows_ = spark.range(150_000).selectExpr("cast(id % 3 AS string) AS k", "id AS part", "'old' AS v")
+    t.merge(rows_)
+    t.append(rows_.where("part < 5").withColumn("v", rows_["k"]))
+    plan = lambda version: t.read(version)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(2)
+    t.append(deletes=rows_.where("part > 4"))
+    assert "Broadcast" not in plan(3) and "SortMergeJoin" in plan(3)
+    assert contents(t.read()) == sorted((str(i % 3), i, str(i % 3)) for i in range(5))
+
+
 def test_a_merge_reads_and_writes_only_touched_buckets(spark, tmp_path):
     t = table(spark, tmp_path, buckets=16)
     t.merge(spark.range(500).selectExpr("cast(id AS string) AS k", "id AS part", "'old' AS v"))
